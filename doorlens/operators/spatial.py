@@ -33,23 +33,28 @@ def nearest_neighbours(
     k: int,
     group: str = "territory_id",
     key: str = "pams_pin",
+    candidate_key: str | None = None,
+    exclude_self: bool = True,
     radius: float = geo.COMPARABLES_RADIUS_M,
     below_levels: int = 4,
 ) -> DataFrame:
-    """The k nearest candidates of each subject in its group, itself excluded, ties by id.
+    """The k nearest candidates of each subject in its group, ties by id.
 
-    `subjects` and `candidates` hold (group, key, lon, lat); rows without a position take no
-    part. Returns (group, key, neighbour, distance_m, rank).
+    `subjects` hold (group, key, lon, lat), `candidates` (group, candidate_key, lon, lat); rows
+    without a position take no part. `exclude_self` is for ids of one kind: a subject does not
+    meet itself. Returns (group, key, neighbour, distance_m, rank).
     """
     subjects = subjects.select(group, key, "lon", "lat").filter("lon is not null and lat is not null")
-    candidates = candidates.select(group, key, "lon", "lat").filter("lon is not null and lat is not null")
+    candidates = candidates.select(group, F.col(candidate_key or key).alias("_id"), "lon", "lat").filter(
+        "lon is not null and lat is not null"
+    )
     spot = [group, "lon", "lat"]
 
     # Subjects and candidates at one spot share one search.
-    in_spot = Window.partitionBy(*spot).orderBy(key)
+    in_spot = Window.partitionBy(*spot).orderBy("_id")
     offered = (
         candidates.withColumn("_i", F.row_number().over(in_spot)).filter(F.col("_i") <= k + 1)
-        .groupBy(*spot).agg(F.sort_array(F.collect_list(key)).alias("ids"))
+        .groupBy(*spot).agg(F.sort_array(F.collect_list("_id")).alias("ids"))
     )
     places = offered.select(*spot, F.size("ids").alias("weight"))
 
@@ -143,7 +148,8 @@ def nearest_neighbours(
         .select(group, F.col("s_lon").alias("lon"), F.col("s_lat").alias("lat"), "near")
     )
     # Each subject drops itself and keeps k.
-    own = F.slice(F.filter("near", lambda n: n.neighbour != F.col(key)), 1, k)
+    others = F.filter("near", lambda n: n.neighbour != F.col(key)) if exclude_self else F.col("near")
+    own = F.slice(others, 1, k)
     return (
         subjects.join(answer, spot).select(group, key, F.posexplode(own).alias("_p", "n"))
         .select(group, key, "n.neighbour", "n.distance_m", (F.col("_p") + 1).alias("rank"))
@@ -213,6 +219,38 @@ def locate(
     return points.join(found, list(keys), "left")
 
 
+# --- everything within a distance ---------------------------------------------------
+
+
+def within_reach(
+    centres: DataFrame, points: DataFrame, group: str = "territory_id", reach: str = "reach_m"
+) -> DataFrame:
+    """Pairs of a centre and a point of its group no farther than the centre's own `reach` (metres).
+
+    A centre is filed under the grid level whose cell is as wide as its reach, so it asks at
+    most nine cells (a few more near the poles); points ask one cell per level in use. Columns
+    of both sides are kept; the point's position is `lon`, `lat`, the centre's `c_lon`, `c_lat`.
+    """
+    widest = F.cos(geo.radians(F.least(F.abs("c_lat") + 1.0, F.lit(89.0))))
+    degree = geo.COMPARABLES_RADIUS_M * geo.DEGREE
+    ry = F.col(reach) / F.lit(degree) * 1.001
+    rx = ry / widest
+    side = F.pow(F.lit(2.0), F.col("level"))
+    filed = (
+        centres.withColumnsRenamed({"lon": "c_lon", "lat": "c_lat"})
+        .withColumn("level", F.ceil(F.log2(F.greatest(rx, F.lit(1e-7)))).cast("int"))
+        .withColumn("cx", F.explode(F.sequence(F.floor((F.col("c_lon") - rx) / side), F.floor((F.col("c_lon") + rx) / side))))
+        .withColumn("cy", F.explode(F.sequence(F.floor((F.col("c_lat") - ry) / side), F.floor((F.col("c_lat") + ry) / side))))
+    )
+    in_use = filed.agg(F.collect_set("level").alias("levels")).scalar()
+    asked = (
+        points.filter("lon is not null and lat is not null").withColumn("level", F.explode(in_use))
+        .withColumn("cx", F.floor(F.col("lon") / side)).withColumn("cy", F.floor(F.col("lat") / side))
+    )
+    near = geo.haversine_m(F.col("c_lon"), F.col("c_lat"), F.col("lon"), F.col("lat")) <= F.col(reach)
+    return asked.join(filed, [group, "level", "cx", "cy"]).filter(near).drop("level", "cx", "cy")
+
+
 # --- territory ---------------------------------------------------------------------
 
 
