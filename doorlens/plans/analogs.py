@@ -96,7 +96,7 @@ VIEWS = {
                CASE WHEN v.l_partkey % 37 = 0 THEN '00' WHEN v.l_partkey % 43 = 0 OR v.l_partkey % 47 = 0 THEN '999'
                     ELSE r.lot END AS lot,
                CASE WHEN v.l_partkey % 43 = 0 THEN CASE WHEN v.ordinal % 3 = 0 THEN '1 NOWHERE RD' ELSE r.address END
-               END AS address, v.cost
+               END AS address, v.cost, v.k
         FROM v_permit v JOIN v_parcel_raw r ON v.k = r.k""",
     "v_sale": """
         SELECT p.territory_id, p.mun, p.pams_pin, p.k, o_orderkey AS ordinal, r.block, r.lot, r.qualifier,
