@@ -254,14 +254,21 @@ VIEWS = {
             SELECT p_partkey AS src, -1 - p_partkey AS dst, CAST(5 + p_size AS DOUBLE) AS metres
             FROM part WHERE p_partkey % 13 = 0) AS e""",
     "v_node": """
-        SELECT p_partkey AS id, CAST(-74.2 AS DOUBLE) + CAST(p_partkey % 50 AS DOUBLE) * CAST(0.0003 AS DOUBLE) AS lon,
-               CAST(41.0 AS DOUBLE) + floor(p_partkey / 50) * CAST(0.0002 AS DOUBLE) AS lat
+        SELECT p_partkey AS id, CAST(-74.2 AS DOUBLE) + CAST(p_partkey % 50 AS DOUBLE) * CAST(0.002 AS DOUBLE) AS lon,
+               CAST(41.0 AS DOUBLE) + floor(p_partkey / 50) * CAST(0.0025 AS DOUBLE) AS lat, CAST(0 AS BIGINT) AS area
+        FROM part""",
+    "v_segment": """
+        SELECT p_partkey AS id, CAST(p_partkey % 50 * 30 AS DOUBLE) + CAST(p_size % 3 AS DOUBLE) / CAST(5 AS DOUBLE) AS x1,
+               CAST(floor(p_partkey / 50) * 30 AS DOUBLE) AS y1,
+               CAST((p_partkey + 1) % 50 * 30 AS DOUBLE) + CAST(p_size % 5 AS DOUBLE) / CAST(5 AS DOUBLE) AS x2,
+               CAST(floor((p_partkey + 1) / 50) * 30 AS DOUBLE) + CAST(p_size AS DOUBLE) AS y2,
+               CAST(p_size % 37 AS DOUBLE) AS clearance_m, p_partkey % 9 = 0 AS crosses
         FROM part""",
     "v_route_request": """
         SELECT CAST(n_nationkey AS BIGINT) AS route_id, CAST(n_regionkey AS BIGINT) AS territory_id,
                CAST(-74.19 AS DOUBLE) + CAST(n_nationkey % 5 AS DOUBLE) * CAST(0.02 AS DOUBLE) AS lon,
                CAST(41.01 AS DOUBLE) + floor(n_nationkey / 5) * CAST(0.02 AS DOUBLE) AS lat,
-               CAST(0.5 AS DOUBLE) + CAST(n_nationkey % 4 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS hours,
+               CAST(0.5 AS DOUBLE) + CAST(n_nationkey % 4 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS hours, CAST(5 AS INT) AS max_doors,
                CASE WHEN n_nationkey % 8 = 7 THEN 'v1' ELSE 'v2' END AS score_contract_version
         FROM nation""",
     "v_route_door": """

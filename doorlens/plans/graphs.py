@@ -1 +1,112 @@
-"""To come."""
+"""The walk network (N) and nearest nodes (J25)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from doorlens.functions import geo
+from doorlens.operators import graph, spatial
+from doorlens.plans.analogs import Tables
+from doorlens.plans.registry import query
+
+
+def nodes(t: Tables):
+    return t.v_node.select(F.col("area").alias("territory_id"), "id", "lon", "lat")
+
+
+def starts(t: Tables):
+    return t.v_route_request.select(F.lit(0).cast("bigint").alias("territory_id"), "route_id", "lon", "lat")
+
+
+def sources(t: Tables):
+    return graph.nearest_nodes(starts(t), nodes(t), "route_id").select(F.col("node").alias("source"))
+
+
+@query("n1_street_edges", """WITH s AS (SELECT CAST(round_even(x1 / 0.5, 0) AS BIGINT) AS ax, CAST(round_even(y1 / 0.5, 0) AS BIGINT) AS ay,
+        CAST(round_even(x2 / 0.5, 0) AS BIGINT) AS bx, CAST(round_even(y2 / 0.5, 0) AS BIGINT) AS by_,
+        sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS m FROM v_segment WHERE clearance_m <= 30.0 AND NOT crosses),
+    o AS (SELECT CASE WHEN (ax, ay) < (bx, by_) THEN ax ELSE bx END AS sx, CASE WHEN (ax, ay) < (bx, by_) THEN ay ELSE by_ END AS sy,
+                 CASE WHEN (ax, ay) < (bx, by_) THEN bx ELSE ax END AS dx, CASE WHEN (ax, ay) < (bx, by_) THEN by_ ELSE ay END AS dy, m
+          FROM s WHERE m <= 60.0 AND NOT (ax = bx AND ay = by_))
+    SELECT sx, sy, dx, dy, round(min(m), 6) AS metres FROM o GROUP BY sx, sy, dx, dy""")
+def street_edges(t: Tables):
+    return graph.street_edges(t.v_segment).select(
+        F.col("src.x").alias("sx"), F.col("src.y").alias("sy"), F.col("dst.x").alias("dx"), F.col("dst.y").alias("dy"),
+        F.round("metres", 6).alias("metres"),
+    )
+
+
+_LABELS = """WITH RECURSIVE links AS (SELECT src AS a, dst AS b FROM v_edge UNION SELECT dst, src FROM v_edge),
+    labels(id, component) USING KEY (id) AS (
+        SELECT DISTINCT a, a FROM links
+        UNION
+        SELECT l.id, min(n.component) FROM recurring.labels l JOIN links k ON k.a = l.id JOIN labels n ON n.id = k.b
+        WHERE n.component < l.component GROUP BY l.id)"""
+
+
+@query("n3_components", f"{_LABELS} SELECT id, component FROM labels")
+def components(t: Tables):
+    return graph.components(t.v_edge)
+
+
+@query("n3_largest_component", f"""{_LABELS}, sizes AS (SELECT component, count(*) AS n FROM labels GROUP BY component),
+    best AS (SELECT component FROM sizes ORDER BY n DESC, component LIMIT 1)
+    SELECT e.src, e.dst, min(e.metres) AS metres FROM v_edge e JOIN labels l ON e.src = l.id JOIN best b ON l.component = b.component
+    GROUP BY e.src, e.dst""")
+def largest_component(t: Tables):
+    return graph.largest_component(t.v_edge).groupBy("src", "dst").agg(F.min("metres").alias("metres"))
+
+
+_DIST = """sqrt(power((n.lon - r.lon) * 0.017453292519943295 * cos((n.lat + r.lat) / 2.0 * 0.017453292519943295), 2)
+    + power((n.lat - r.lat) * 0.017453292519943295, 2)) * 6371000.0"""
+_SOURCES = f"""near_node AS (SELECT route_id, first(n.id ORDER BY {_DIST}, n.id) AS source, min({_DIST}) AS m
+    FROM v_route_request r, v_node n GROUP BY route_id)"""
+
+
+@query("j25_nearest_node", f"WITH {_SOURCES} SELECT route_id, source AS node, round(m, 4) AS distance_m FROM near_node")
+def nearest_node(t: Tables):
+    return graph.nearest_nodes(starts(t), nodes(t), "route_id").select(
+        "route_id", "node", F.round("distance_m", 4).alias("distance_m")
+    )
+
+
+_WALKS = f"""WITH RECURSIVE links AS (SELECT src AS a, dst AS b, metres FROM v_edge UNION ALL SELECT dst, src, metres FROM v_edge),
+    {_SOURCES},
+    walks(source, node, metres) AS (
+        SELECT DISTINCT source, source, CAST(0 AS DOUBLE) FROM near_node
+        UNION
+        SELECT w.source, k.b, w.metres + k.metres FROM walks w JOIN links k ON w.node = k.a WHERE w.metres + k.metres <= 250.0)"""
+
+
+@query("n4_shortest_paths", f"{_WALKS} SELECT source, node, min(metres) AS metres FROM walks GROUP BY source, node")
+def shortest_paths(t: Tables):
+    return graph.distances(t.v_edge, sources(t), 250.0)
+
+
+@query("n5_network_legs", f"""{_WALKS}, short AS (SELECT source, node, min(metres) AS metres FROM walks GROUP BY source, node)
+    SELECT r.route_id, n.id, s.metres IS NOT NULL AS joined, round(coalesce(s.metres, 1.3 * {_DIST}), 3) AS leg_m
+    FROM v_route_request r JOIN near_node o ON r.route_id = o.route_id JOIN v_node n ON {_DIST} <= 900.0
+    LEFT JOIN short s ON s.source = o.source AND s.node = n.id""")
+def network_legs(t: Tables):
+    walk = graph.distances(t.v_edge, sources(t), 250.0)
+    origins = graph.nearest_nodes(starts(t), nodes(t), "route_id").select(
+        F.col("route_id").alias("origin"), F.col("node").alias("o_node"), F.lit(0.0).alias("o_frontage_m")
+    )
+    flat = geo.equirectangular_m(F.col("c_lon"), F.col("c_lat"), F.col("lon"), F.col("lat"))
+    pairs = spatial.within_reach(starts(t).withColumn("reach_m", F.lit(950.0)), nodes(t)).withColumn("flat", flat).filter(
+        "flat <= 900.0"
+    ).select(
+        F.col("route_id").alias("origin"), "id", F.col("id").alias("node"), F.lit(0.0).alias("frontage_m"),
+        (F.col("flat") * geo.DETOUR).alias("straight_m"),
+    )
+    return graph.network_legs(origins, pairs, walk).select(
+        F.col("origin").alias("route_id"), "id", F.col("along_m").isNotNull().alias("joined"), F.round("leg_m", 3).alias("leg_m")
+    )
+
+
+@query("n7_plausibility", """WITH d AS (SELECT CAST(p_partkey % 5 AS BIGINT) AS territory_id, CAST(p_size AS DOUBLE) AS m FROM part),
+    r AS (SELECT *, row_number() OVER (PARTITION BY territory_id ORDER BY m) AS i, count(*) OVER (PARTITION BY territory_id) AS n FROM d)
+    SELECT territory_id, n AS nodes, m AS median_m, n >= 12 AND m <= 25.0 AS plausible FROM r WHERE i = floor(n / 2) + 1""")
+def plausibility(t: Tables):
+    access = t.part.select((F.col("p_partkey") % 5).alias("territory_id"), F.col("p_size").cast("double").alias("parcel_m"))
+    return graph.plausible(access, access)
