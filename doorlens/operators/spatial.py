@@ -63,12 +63,14 @@ def nearest_neighbours(
     extent = everyone.groupBy(group).agg(
         F.min("lon").alias("x0"), F.min("lat").alias("y0"),
         F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).alias("_span"),
-        F.max(F.abs("lat")).alias("_far_lat"), F.count_if(F.col("weight") > 0).alias("_places"),
+        F.max(F.abs("lat")).alias("_far_lat"), F.min(F.abs("lat")).alias("_near_lat"), F.count_if(F.col("weight") > 0).alias("_places"),
     ).select(
         group, "x0", "y0",
         # A hair more than the extent, so the last point stays inside the root cell.
         (F.col("_span") * 1.000001 + 1e-9).alias("root"),
+        # The least and the greatest length of a degree of longitude here, against one of latitude.
         F.cos(geo.radians(F.least(F.col("_far_lat") + 0.01, F.lit(89.0)))).alias("thin"),
+        F.cos(geo.radians(F.greatest(F.col("_near_lat") - 0.01, F.lit(0.0)))).alias("thick"),
         F.greatest(F.ceil(F.log2(F.greatest(F.col("_places") / F.lit(k + 1.0), F.lit(1.0))) / 2.0), F.lit(0))
         .cast("int").alias("_even"),
     ).withColumn("deepest", F.col("_even") + below_levels).withColumn(
@@ -95,18 +97,17 @@ def nearest_neighbours(
     chosen = (
         asked.join(filled, cell, "left")
         .filter((F.coalesce(F.col("held"), F.lit(0)) > k) | (F.col("level") == 0))
-        .groupBy(*spot).agg(F.max(F.struct("level", "side", "cx", "cy", "x0", "y0", "thin", "held")).alias("c"))
+        .groupBy(*spot).agg(F.max(F.struct("level", "side", "cx", "cy", "x0", "y0", "thin", "thick", "held")).alias("c"))
         .select(*spot, "c.*")
     )
     # The farthest corner of that cell bounds the search; a thin root cell means everything.
     low_x, low_y = F.col("x0") + F.col("cx") * F.col("side"), F.col("y0") + F.col("cy") * F.col("side")
     dx = F.greatest(F.col("lon") - low_x, low_x + F.col("side") - F.col("lon"))
     dy = F.greatest(F.col("lat") - low_y, low_y + F.col("side") - F.col("lat"))
-    slack = 1.0 + 1e-9
-    reach_y = F.sqrt(dx * dx + dy * dy) * slack
-    reach_x = F.sqrt(dx * dx + dy * dy) / F.col("thin") * slack
+    reach_y = F.sqrt(dx * dx * F.col("thick") * F.col("thick") + dy * dy) * (1.0 + 1e-9)
     probes = chosen.select(
-        *spot, "level", "side", "x0", "y0", reach_x.alias("rx"), reach_y.alias("ry"), F.col("held"),
+        *spot, "level", "side", "x0", "y0", "held", reach_y.alias("ry"), (reach_y / F.col("thin")).alias("rx"),
+        (reach_y * F.lit(geo.DEGREE * radius)).alias("reach_m"),
     )
     whole = F.coalesce(F.col("held"), F.lit(0)) <= k
     span_x = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(
@@ -127,11 +128,15 @@ def nearest_neighbours(
     probes = (
         probes.withColumn("cx", F.explode(span_x)).withColumn("cy", F.explode(span_y))
         .filter(whole | (gap_x * gap_x + gap_y * gap_y <= 1.0 + 1e-6))
-        .select(*cell, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
+        .select(
+            *cell, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), F.when(~whole, F.col("reach_m")).alias("reach_m")
+        )
     )
 
-    pairs = probes.join(indexed.select(*cell, "lon", "lat"), cell).withColumn(
-        "distance_m", geo.equirectangular_m(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"), radius)
+    distance = geo.equirectangular_m(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"), radius)
+    pairs = (
+        probes.join(indexed.select(*cell, "lon", "lat"), cell).withColumn("distance_m", distance)
+        .filter(F.col("reach_m").isNull() | (F.col("distance_m") <= F.col("reach_m"))).drop("reach_m")
     )
     # The k+1 nearest locations, ties kept, hold the k nearest ids of every subject there.
     near = Window.partitionBy(group, "s_lon", "s_lat").orderBy("distance_m")

@@ -17,7 +17,8 @@ from doorlens.plans.scalars import SALE_KEY_SQL, deed_sql
 from doorlens.scoring import engine, facts
 
 A = AS_OF_SQL
-N = F.count(F.lit(1))
+def _rows():
+    return F.count(F.lit(1))
 
 
 @query("a1_latest_sale", f"WITH {LATEST_SQL} SELECT skey AS sale_key, ordinal, deed_date, date_recorded FROM latest")
@@ -45,6 +46,7 @@ COUNTS = (
 @query("a2_permit_accounting", f"""WITH {ACCOUNT_SQL} SELECT t.mun, {', '.join(COUNTS)},
     permits_total - permits_in_window AS permits_out_of_window FROM totals t JOIN counted c ON t.mun = c.mun""")
 def permit_accounting(t: Tables):
+    t = t.landed()
     return resolve.permit_accounting(t.v_permit_raw, routed(t)).select("mun", *COUNTS, "permits_out_of_window")
 
 
@@ -62,11 +64,13 @@ RATES = ("permit_match_rate", "block_lot_match_rate", "address_match_rate", "mun
 
 @query("a3_match_rates", f"WITH {ACCOUNT_SQL} SELECT mun, {RATES_SQL} FROM counted")
 def match_rates(t: Tables):
+    t = t.landed()
     rates = resolve.match_rates(resolve.permit_accounting(t.v_permit_raw, routed(t)))
     return rates.select("mun", *[F.round(r, 6).alias(r) for r in RATES])
 
 
 def resolved(t: Tables):
+    t = t.landed()
     parcels = territory(t).join(t.v_parcel.select("k", "geoid", "yr_constr", "net_value", "calc_acre", "lon", "lat"), "k")
     acs = t.v_acs_stats.filter("geoid != '24'")
     return resolve.resolve(parcels, t.v_permit_raw, t.v_sale, acs, t.v_rental, AS_OF, municipal=t.v_parcel_raw)
@@ -97,6 +101,7 @@ def permits_per_door(t: Tables):
 
 
 def scorer_permits(t: Tables):
+    t = t.landed()
     return t.v_permit.select(
         "territory_id", "pams_pin", F.col("ordinal").cast("string").alias("permit_id"), "municipal_id", "description",
         F.lit(None).cast("string").alias("work_type"), "disposition", "issue_date", "completion_date",
@@ -120,6 +125,7 @@ def scorer_dedupe(t: Tables):
 @query("a8_territory_median", """SELECT p.territory_id, coalesce(median(CASE WHEN prop_class = '2' AND net_value > 0
     THEN net_value END), 0.0) AS median_value FROM v_parcel p GROUP BY p.territory_id""")
 def territory_median(t: Tables):
+    t = t.landed()
     return facts.territory_median(t.v_parcel)
 
 
@@ -130,6 +136,7 @@ def territory_median(t: Tables):
                 THEN 7 WHEN net_value / comp_median > 1.0 THEN 3 ELSE 0 END AS BIGINT) AS points
     FROM v_parcel p JOIN m ON p.pams_pin = m.pams_pin WHERE net_value > 0""")
 def local_median(t: Tables):
+    t = t.landed()
     medians = facts.comparable_facts(nearest_comparables(t.v_parcel))
     ratio = engine.local_ratio(F.col("net_value"), F.col("comp_median"))
     points = F.when(F.col("comps") < engine.MIN_COMPARABLES, 0).otherwise(engine.local_points(F.col("ratio")))
@@ -150,6 +157,7 @@ MIDRANK_SQL = """ranks AS (SELECT territory_id, pams_pin, net_value,
     CAST(CASE WHEN percentile >= 90 THEN 10 WHEN percentile >= 75 THEN 7 WHEN percentile >= 50 THEN 3 ELSE 0 END AS BIGINT)
         AS points FROM ranks""")
 def midrank_percentile(t: Tables):
+    t = t.landed()
     homes = valid_single_family(t.v_parcel).withColumn("value", F.col("net_value"))
     rank = facts.midrank_percentile(F.col("below"), F.col("equal"), F.col("total"))
     ranked = facts.value_ranks(homes).withColumn("percentile", rank)
@@ -174,6 +182,7 @@ PROJECT_SQL = f"""{DEDUPE_SQL},
 @query("a11_category_cap", f"""WITH {PROJECT_SQL} SELECT pams_pin, least(15 * projects, 45) AS project,
     CASE WHEN 15 * projects > 45 THEN 45 - 15 * projects ELSE 0 END AS cap_points FROM per_door""")
 def category_cap(t: Tables):
+    t = t.landed()
     found = facts.permit_facts(facts.classify_permits(scorer_permits(t), None, AS_OF))
     raw = F.col("projects") * engine.PROJECT_POINTS
     capped = F.least(raw, F.lit(engine.PROJECT_CAP))
@@ -209,7 +218,7 @@ def missing_signals(t: Tables):
 @query("a13_confidence", f"""SELECT p.pams_pin, CASE WHEN count(g.gap) >= 2 THEN 'low' ELSE 'normal' END AS confidence
     FROM v_parcel p LEFT JOIN ({_GAPS}) AS g ON p.pams_pin = g.pams_pin GROUP BY p.pams_pin""")
 def confidence(t: Tables):
-    counted = t.sql(_GAPS).groupBy(*facts.DOOR).agg(N.alias("gaps"))
+    counted = t.sql(_GAPS).groupBy(*facts.DOOR).agg(_rows().alias("gaps"))
     low = F.when(F.coalesce("gaps", F.lit(0)) >= 2, "low").otherwise("normal")
     return t.v_parcel.join(counted, facts.DOOR, "left").select("pams_pin", low.alias("confidence"))
 
@@ -248,6 +257,7 @@ def vision_metrics(t: Tables):
            coalesce(moved.n, 0) AS doors_in_mover_window
     FROM own LEFT JOIN sold ON own.mun = sold.mun LEFT JOIN moved ON own.mun = moved.mun""")
 def deed_vintage(t: Tables):
+    t = t.landed()
     doors = resolve.merge_deed(territory(t), resolve.latest_sales(t.v_sale), AS_OF)
     return resolve.deed_vintage(t.v_parcel_raw, t.v_sale, doors, AS_OF).select(
         "mun", F.col("latest_deed_date").cast("string").alias("latest_deed_date"),
@@ -259,7 +269,7 @@ def deed_vintage(t: Tables):
     WHERE present AND confidence >= 0.6 GROUP BY territory_id""")
 def doors_with_imagery(t: Tables):
     framed = t.v_detection.filter("present and confidence >= 0.6").select("territory_id", "pams_pin").distinct()
-    return framed.groupBy("territory_id").agg(N.alias("doors"))
+    return framed.groupBy("territory_id").agg(_rows().alias("doors"))
 
 
 VISION_SQL = """kept AS (SELECT *, substr(capture_date, 1, 4) AS vintage, replace(signal, 'condition_', '') AS grade
@@ -331,6 +341,7 @@ def spend_ledger(t: Tables):
     FROM roof r JOIN doors o ON r.territory_id = o.territory_id LEFT JOIN dup d ON r.territory_id = d.territory_id
     GROUP BY r.territory_id""")
 def match_summary(t: Tables):
+    t = t.landed()
     return history.match_summary(matched(t), t.v_parcel_raw)
 
 
@@ -345,6 +356,7 @@ def match_summary(t: Tables):
         coalesce(details_attached, 0) AS details_attached, coalesce(properties_with_permits, 0) AS properties_with_permits
     FROM doors d LEFT JOIN pages p ON d.territory_id = p.territory_id LEFT JOIN counted c ON d.territory_id = c.territory_id""")
 def history_summary(t: Tables):
+    t = t.landed()
     enriched = history.enrich_applications(t.v_portal_permit, t.v_roof_permit)
     return history.history_summary(t.v_parcel, t.v_portal, enriched).select(
         "territory_id", "properties_total", "pages_collected", "permits_total", "supplements", "details_attached",

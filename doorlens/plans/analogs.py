@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doorlens.session import land
+
 AS_OF = dt.date(2001, 6, 30)
 AS_OF_SQL = "DATE '2001-06-30'"
 
@@ -340,9 +342,29 @@ class Tables:
             self._views[name] = self.sql(f"SELECT * FROM {name}")
         return self._views[name]
 
+    def landed(self) -> "Tables":
+        """The same views as written tables, for jobs that read them many times."""
+        return LandedTables(self.spark, self.sf_dir)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.view(name)
         if name in TABLES:
             return self.table(name)
         raise AttributeError(name)
+
+
+class LandedTables(Tables):
+    """Derived views written once per session under the checkpoint folder and read back as Parquet.
+
+    A composite job uses its inputs in many branches. Read from a written table each branch is a
+    pruned scan; read from the view each would repeat the joins that derive it.
+    """
+
+    _written: dict[tuple[str, str, str], DataFrame] = {}
+
+    def view(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in self._written:
+            self._written[key] = land(super().view(name), name)
+        return self._written[key]

@@ -11,10 +11,12 @@ from doorlens.plans.registry import query
 
 
 def nodes(t: Tables):
+    t = t.landed()
     return t.v_node.select(F.col("area").alias("territory_id"), "id", "lon", "lat")
 
 
 def starts(t: Tables):
+    t = t.landed()
     return t.v_route_request.select(F.lit(0).cast("bigint").alias("territory_id"), "route_id", "lon", "lat")
 
 

@@ -58,6 +58,7 @@ def resolve_report(t: Tables):
     SELECT pams_pin, mid AS municipal_id, description, disposition, CAST(statewide_day AS STRING) AS statewide_issue_date,
         from_portal, from_statewide FROM coalesced""")
 def build_permits(t: Tables):
+    t = t.landed()
     return permits.coalesce_permits(t.v_portal_permit, t.v_roof_permit, t.v_statewide).select(
         "pams_pin", "municipal_id", "description", "disposition",
         F.col("statewide_issue_date").cast("string").alias("statewide_issue_date"), "from_portal", "from_statewide",
@@ -69,6 +70,7 @@ def build_permits(t: Tables):
 
 def score_inputs(t: Tables) -> dict:
     """The scorer's tables over the derived parcels. Rental lists and imagery are off in one territory each."""
+    t = t.landed()
     pages = t.v_portal.select("pams_pin", (F.col("collection_status") == "collected").alias("sdl_page_available"))
     doors = (
         t.v_parcel.join(t.v_acs_stats, "geoid", "left").join(pages, "pams_pin", "left")
@@ -283,6 +285,7 @@ def feature_corroboration(t: Tables):
         CASE WHEN b.pams_pin IS NOT NULL THEN 'parcel record incomplete in county data' END AS exclusion_reason,
         'v2' AS score_contract_version FROM scored s LEFT JOIN bare b ON s.pams_pin = b.pams_pin""")
 def doors_table(t: Tables):
+    t = t.landed()
     from doorlens.functions import dates
 
     raw = t.v_parcel_raw.select("k", dates.deed_date(F.col("deed_date"), AS_OF).alias("deed_day"),
@@ -353,6 +356,7 @@ def identity_scan(t: Tables):
         coalesce(n.details, 0) AS details
     FROM v_parcel p LEFT JOIN v_portal v ON p.pams_pin = v.pams_pin LEFT JOIN n ON p.pams_pin = n.pams_pin""")
 def property_history(t: Tables):
+    t = t.landed()
     enriched = history.enrich_applications(t.v_portal_permit, t.v_roof_permit)
     built = history.property_history(t.v_parcel.select(*DOOR), t.v_portal, enriched)
     return built.select(
@@ -406,6 +410,7 @@ def _route_sql(excluded: str = "false", version: str = "true") -> str:
 @query("x16_plan_routes", f"""{_route_sql()} SELECT route_id, stop, pams_pin, score, round(minutes, 5) AS walk_minutes FROM walk
     WHERE stop > 0""")
 def plan_routes(t: Tables):
+    t = t.landed()
     stops = route.plan_routes(t.v_route_request, t.v_route_door)
     return stops.select("route_id", F.col("stop").cast("bigint").alias("stop"), "pams_pin",
                         F.col("score").cast("bigint").alias("score"), F.round("walk_minutes", 5).alias("walk_minutes"))
@@ -414,6 +419,7 @@ def plan_routes(t: Tables):
 @query("w10_cumulative_minutes", f"""{_route_sql()} SELECT route_id, stop, round(sum(minutes) OVER (PARTITION BY route_id ORDER BY stop),
     5) AS cumulative_minutes FROM walk WHERE stop > 0""")
 def cumulative_minutes(t: Tables):
+    t = t.landed()
     return route.plan_routes(t.v_route_request, t.v_route_door).select(
         "route_id", F.col("stop").cast("bigint").alias("stop"), F.round("cumulative_minutes", 5).alias("cumulative_minutes")
     )
@@ -423,6 +429,7 @@ def cumulative_minutes(t: Tables):
     AS total_minutes, coalesce(round(avg(w.score), 6), -1.0) AS average_score FROM v_route_request r
     LEFT JOIN (SELECT * FROM walk WHERE stop > 0) AS w ON r.route_id = w.route_id GROUP BY r.route_id""")
 def mean_route_score(t: Tables):
+    t = t.landed()
     stops = route.plan_routes(t.v_route_request, t.v_route_door)
     return route.route_summary(t.v_route_request, stops).select(
         "route_id", "stops", F.round("total_minutes", 5).alias("total_minutes"),
@@ -432,6 +439,7 @@ def mean_route_score(t: Tables):
 
 @query("x17_exclude_and_replan", f"""{_route_sql(excluded="d.score % 2 = 0")} SELECT route_id, stop, pams_pin FROM walk WHERE stop > 0""")
 def exclude_and_replan(t: Tables):
+    t = t.landed()
     dropped = t.v_route_door.filter("score % 2 = 0").join(t.v_route_request.select("route_id", "territory_id"), "territory_id")
     stops = route.plan_routes(t.v_route_request, t.v_route_door, exclude=dropped)
     return stops.select("route_id", F.col("stop").cast("bigint").alias("stop"), "pams_pin")
@@ -441,6 +449,7 @@ def exclude_and_replan(t: Tables):
     r.score_contract_version <> 'v2' AS refresh_required, count(w.stop) AS stops FROM v_route_request r
     LEFT JOIN (SELECT * FROM walk WHERE stop > 0) AS w ON r.route_id = w.route_id GROUP BY 1, 2""")
 def stale_contract_route(t: Tables):
+    t = t.landed()
     current, stale = route.current_requests(t.v_route_request)
     stops = route.plan_routes(current, t.v_route_door).groupBy("route_id").agg(F.count(F.lit(1)).alias("stops"))
     answers = current.select("route_id", F.lit(False).alias("refresh_required")).unionByName(

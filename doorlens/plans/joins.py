@@ -21,6 +21,7 @@ def territory(t: Tables):
 
 
 def routed(t: Tables):
+    t = t.landed()
     return resolve.route_permits(t.v_permit_raw, territory(t), t.v_parcel_raw, AS_OF)
 
 
@@ -98,6 +99,7 @@ DEED_SQL = f"""{LATEST_SQL},
 
 @query("j6_deed_merge", f"""WITH {DEED_SQL} SELECT k, CAST(deed_day AS STRING) AS deed_day, price, code, source FROM deeds""")
 def deed_merge(t: Tables):
+    t = t.landed()
     merged = resolve.merge_deed(t.v_parcel_raw, resolve.latest_sales(t.v_sale), AS_OF)
     return merged.select("k", F.col("deed.deed_day").cast("string").alias("deed_day"), F.col("deed.price").alias("price"),
                          F.col("deed.sales_code").alias("code"), F.col("deed.source").alias("source"))
@@ -145,6 +147,7 @@ NEAR_SQL = """near AS (SELECT * FROM (
 @query("j10_nearest_comparables", f"""WITH {NEAR_SQL} SELECT pams_pin, comp_pin, CAST(rank AS BIGINT) AS rank,
     round(distance_m, 4) AS distance_m, value FROM near""")
 def nearest_comparables(t: Tables):
+    t = t.landed()
     return spatial.nearest_comparables(t.v_parcel).select(
         "pams_pin", "comp_pin", F.col("rank").cast("bigint").alias("rank"), F.round("distance_m", 4).alias("distance_m"),
         "value",
@@ -164,6 +167,7 @@ def portal_page(t: Tables):
                    UNION ALL SELECT pams_pin, issue_date FROM v_roof_permit WHERE issue_date IS NOT NULL) AS k
     WHERE k.pams_pin = s.pams_pin AND k.d = s.issue_date)""")
 def statewide_same_day(t: Tables):
+    t = t.landed()
     return permits.drop_same_day_statewide(t.v_statewide, t.v_portal_permit, t.v_roof_permit).select(
         "ordinal", "municipal_id"
     )
@@ -212,6 +216,7 @@ ROOF_FILL_SQL = f"""{BASE_SQL},
 @query("j13_roof_enrichment", f"""WITH {ROOF_FILL_SQL} SELECT pams_pin, mid AS municipal_id, description, work_type,
     disposition, CAST(issue_day AS STRING) AS issue_date FROM filled""")
 def roof_enrichment(t: Tables):
+    t = t.landed()
     none = t.v_statewide.filter(F.lit(False))
     return permits.coalesce_permits(t.v_portal_permit, t.v_roof_permit, none).select(
         "pams_pin", "municipal_id", "description", "work_type", "disposition",
@@ -236,6 +241,7 @@ COALESCED_SQL = f"""{ROOF_FILL_SQL},
     CAST(issue_day AS STRING) AS issue_date, CAST(statewide_day AS STRING) AS statewide_issue_date,
     CAST(completed AS STRING) AS completion_date, from_portal, from_statewide FROM coalesced""")
 def statewide_coalesce(t: Tables):
+    t = t.landed()
     merged = permits.coalesce_permits(t.v_portal_permit, t.v_roof_permit, t.v_statewide, drop_same_day=False)
     return merged.select(
         "pams_pin", "municipal_id", "description", "disposition",
@@ -260,6 +266,7 @@ def _match_sql() -> str:
 
 
 def matched(t: Tables):
+    t = t.landed()
     return history.match_permits(t.v_portal_line, t.v_parcel_raw)
 
 
@@ -283,6 +290,7 @@ ENRICHED_SQL = """det AS (SELECT pams_pin, detail_url, arg_max(description, ordi
 
 @query("j16_detail_enrichment", f"WITH {ENRICHED_SQL} SELECT pams_pin, detail_url, ordinal, source_scope, detail FROM enriched")
 def detail_enrichment(t: Tables):
+    t = t.landed()
     return history.enrich_applications(t.v_portal_permit, t.v_roof_permit).select(
         "pams_pin", "detail_url", "ordinal", "source_scope", F.col("roof_detail.description").alias("detail")
     )
@@ -304,6 +312,7 @@ FROM v_parcel"""
     UNION ALL SELECT CASE WHEN k % 61 = 0 THEN 'ZZ_' || pams_pin ELSE pams_pin END, 'duplicate pin'
     FROM v_parcel WHERE k % 79 = 0 AND k % 59 <> 0""")
 def integrity_violations(t: Tables):
+    t = t.landed()
     pages = t.sql(_PAGES)
     twice = pages.unionByName(pages.filter("k % 79 = 0"))
     return history.integrity_violations(twice, t.v_parcel).distinct()
@@ -348,6 +357,7 @@ def tile_manifest(t: Tables):
     SELECT r.ordinal, f.pin AS found_pin FROM (SELECT ordinal, {ADDRESS_SQL} AS akey FROM v_permit) AS r
     LEFT JOIN firsts f ON r.akey = f.akey""")
 def find_doors(t: Tables):
+    t = t.landed()
     asked = t.v_permit.select("ordinal", "k").join(t.v_parcel_raw.select("k", "address"), "k")
     return resolve.find_doors(asked, t.v_situs).select("ordinal", "found_pin")
 
@@ -399,6 +409,7 @@ def talk_tracks(t: Tables):
     SELECT pams_pin, source, CAST(d AS STRING) AS sale_day, CAST(sale_price AS DOUBLE) AS sale_price FROM every e
     WHERE rank = (SELECT min(rank) FROM every m WHERE m.pams_pin = e.pams_pin)""")
 def source_precedence(t: Tables):
+    t = t.landed()
     register = t.v_sale.filter("source = 'SR1A'")
     return facts.preferred_sales(register, t.v_parcel_raw, t.v_portal, AS_OF).select(
         "pams_pin", "source", F.col("sale_day").cast("string").alias("sale_day"), "sale_price"

@@ -21,6 +21,7 @@ A = AS_OF_SQL
     FROM v_parcel p JOIN v_anchor a ON p.territory_id = a.territory_id WHERE prop_class = '2' AND lon IS NOT NULL) AS x
     WHERE rank <= target""")
 def select_territory(t: Tables):
+    t = t.landed()
     return spatial.select_territory(t.v_parcel, t.v_anchor).select(
         "territory_id", "pams_pin", F.col("territory_rank").cast("bigint").alias("territory_rank")
     )
@@ -29,6 +30,7 @@ def select_territory(t: Tables):
 @query("w2_knn_rank", f"""WITH {NEAR_SQL} SELECT pams_pin, arg_min(comp_pin, rank) AS nearest, CAST(max(rank) AS BIGINT) AS found
     FROM near GROUP BY pams_pin""")
 def knn_rank(t: Tables):
+    t = t.landed()
     near = spatial.nearest_comparables(t.v_parcel)
     return near.groupBy("pams_pin").agg(
         F.min_by("comp_pin", "rank").alias("nearest"), F.max("rank").cast("bigint").alias("found")
@@ -36,6 +38,7 @@ def knn_rank(t: Tables):
 
 
 def scorer_sales(t: Tables):
+    t = t.landed()
     return t.v_sale.select(
         "territory_id", "pams_pin", "ordinal", "source", "sale_day", "sale_price", F.col("nu_code").alias("sales_code")
     )

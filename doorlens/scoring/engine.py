@@ -14,6 +14,7 @@ from doorlens.operators.imagery import CONFIDENCE_FLOOR
 from doorlens.operators.ordering import count_below
 from doorlens.scoring import facts
 from doorlens.scoring.facts import DOOR
+from doorlens.session import land
 
 # Points, caps and bands of the contract.
 CONTRACT = "v2"
@@ -355,15 +356,21 @@ RESULT = (
 
 def score(
     doors: DataFrame, sales: DataFrame, permits: DataFrame, comparables: DataFrame, values: DataFrame,
-    rental: DataFrame, observed: DataFrame,
+    rental: DataFrame, observed: DataFrame, land_facts: bool = True,
 ) -> dict[str, DataFrame]:
     """Doors, evidence and gaps.
 
+    The classified permits and the fact row of each door are written once, because every output
+    is derived from them; `land_facts=False` keeps the whole job lazy.
+
     `doors` holds territory_id, pams_pin, as_of, assessed_value, construction_year, lot_acres, dual_income_pct,
     sdl_page_available, rental_available and imagery_available, one row a door.
     """
     classified = facts.classify_permits(permits, doors.select(*DOOR, "as_of"))
-    scored = score_doors(door_facts(doors, sales, classified, comparables, values, rental, observed))
+    if land_facts:
+        classified = land(classified, "classified_permits")
+    wide = door_facts(doors, sales, classified, comparables, values, rental, observed)
+    scored = score_doors(land(wide, "door_facts") if land_facts else wide)
     return {
         "doors": scored.select(*RESULT), "wide": scored, "evidence": evidence_rows(scored, classified),
         "gaps": gap_rows(scored),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it back, so later rounds do not replay it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table under the checkpoint folder and read it back.
+
+    For a result several outputs are derived from: each then reads only the columns it needs,
+    and nothing upstream runs again when an executor is lost.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/landed-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
