@@ -42,9 +42,9 @@ def unseen_tiles(tiles: DataFrame, seen: DataFrame, prompt_version: str) -> Data
 
 
 def _fence_free(answer):
+    """The answer without one Markdown fence around it; the patterns only run where there is one."""
     body = strip(F.coalesce(answer, F.lit("")))
-    inner = F.regexp_replace(body, r"^```[^\n]*\n?", "")
-    inner = F.regexp_replace(inner, r"\n\s*```[^\n]*$", "")
+    inner = F.regexp_replace(F.regexp_replace(body, r"^```[^\n]*\n?", ""), r"\n\s*```[^\n]*$", "")
     inner = F.when(strip(inner).startswith("```"), F.lit("")).otherwise(inner)
     return F.when(body.startswith("```"), strip(inner)).otherwise(body)
 

@@ -66,6 +66,7 @@ FROM ({_SLICED}) AS cut"""
 
 
 def _sales(t: Tables, muns=None):
+    t = t.landed()
     return readers.distil_sales(t.v_sr1a_line.drop("k"), muns).withColumn(
         "year_built", F.col("year_built").cast("bigint")
     ).drop("prop_loc")
@@ -122,6 +123,7 @@ FROM v_response r"""
 @query("s14_vision_envelopes", f"""SELECT event_id AS ordinal, image_ref, signal, present,
        round(confidence, 6) AS confidence FROM ({_ANSWERS}) AS a WHERE NOT no_envelope""")
 def vision_envelopes(t: Tables):
+    t = t.landed()
     rows, _ = imagery.parse_answers(t.v_answer)
     return rows.select("ordinal", "image_ref", "signal", "present", F.round("confidence", 6).alias("confidence"))
 
@@ -138,6 +140,7 @@ FROM ({_ANSWERS}) AS a LEFT JOIN v_tile t ON t.image_ref = a.image_ref"""
 
 @query("s15_detection_contract", f"SELECT ordinal, image_ref, reason FROM ({_CONTRACT_SQL}) AS c WHERE reason IS NOT NULL")
 def detection_contract(t: Tables):
+    t = t.landed()
     _, quarantine = imagery.detections_from(t.v_answer, t.v_tile)
     return quarantine.select("ordinal", "image_ref", "reason")
 
@@ -145,6 +148,7 @@ def detection_contract(t: Tables):
 @query("j18_detection_provenance", f"""SELECT ordinal, image_ref, pams_pin, capture_date, signal, present,
        round(confidence, 6) AS confidence FROM ({_CONTRACT_SQL}) AS c WHERE reason IS NULL""")
 def detection_provenance(t: Tables):
+    t = t.landed()
     valid, _ = imagery.detections_from(t.v_answer, t.v_tile)
     return valid.select("ordinal", "image_ref", "pams_pin", "capture_date", "signal", "present",
                         F.round("confidence", 6).alias("confidence"))
