@@ -34,16 +34,15 @@ def path_identity(url: Column) -> Column:
 
 
 def match_permits(records: DataFrame, territory: DataFrame, address: str = "address") -> DataFrame:
-    """Every record with `outcome` matched, ambiguous or unmatched, its pin, reason and candidates.
+    """Every record with `outcome` matched, ambiguous or unmatched, its pin and the reason.
 
-    Only an address that names one door attaches. The list of candidates is built on the
-    address side, once per address that several doors share.
+    Only an address that names one door attaches. The doors an ambiguous address could mean are
+    in `ambiguous_candidates`, once per address rather than once per record.
     """
     known = (
         territory.withColumn("address_key", keys.portal_address_key(F.col(address))).filter("address_key != ''")
         .groupBy("territory_id", "address_key")
-        .agg(F.count(F.lit(1)).alias("doors"), F.min("pams_pin").alias("pin"),
-             F.sort_array(F.collect_list("pams_pin")).alias("pins"))
+        .agg(F.count(F.lit(1)).alias("doors"), F.min("pams_pin").alias("pin"))
     )
     asked = records.withColumn("address_key", keys.portal_address_key(F.col("location")))
     joined = asked.join(known, ["territory_id", "address_key"], "left")
@@ -55,8 +54,7 @@ def match_permits(records: DataFrame, territory: DataFrame, address: str = "addr
         joined.withColumn("outcome", F.when(doors == 1, "matched").when(doors > 1, "ambiguous").otherwise("unmatched"))
         .withColumn("pams_pin", F.when(doors == 1, F.col("pin")))
         .withColumn("match_reason", F.when(doors > 1, REASON_AMBIGUOUS).when(doors == 0, REASON_UNKNOWN))
-        .withColumn("candidates", F.when(doors > 1, F.col("pins")))
-        .withColumn("keyword_relevance", relevant).drop("doors", "pin", "pins")
+        .withColumn("keyword_relevance", relevant).drop("doors", "pin")
     )
 
 
@@ -92,6 +90,15 @@ def duplicate_addresses(territory: DataFrame, address: str = "address") -> DataF
     return keyed.groupBy("territory_id", "address_key").agg(F.count(F.lit(1)).alias("doors")).filter("doors > 1")
 
 
+def ambiguous_candidates(territory: DataFrame, address: str = "address") -> DataFrame:
+    """(territory_id, address_key, pams_pin): the doors behind every address that several share."""
+    keyed = territory.select(
+        "territory_id", "pams_pin", keys.portal_address_key(F.col(address)).alias("address_key")
+    ).filter("address_key != ''")
+    shared = duplicate_addresses(territory, address).select("territory_id", "address_key")
+    return keyed.join(shared, ["territory_id", "address_key"], "left_semi")
+
+
 def newest_first(matched: DataFrame, issue: str = "issue_text", tie: str = "ordinal") -> DataFrame:
     """Position from 0 of each matched permit on its property: parseable days first, newest first, then raw text."""
     day = dates.us_date(F.col(issue))
@@ -190,18 +197,26 @@ def history_summary(territory: DataFrame, pages: DataFrame, permits: DataFrame,
     )
 
 
-def property_history(territory: DataFrame, pages: DataFrame, permits: DataFrame) -> DataFrame:
+def property_history(territory: DataFrame, pages: DataFrame, permits: DataFrame, part_size: int = 1000) -> DataFrame:
     """One nested record per territory parcel, also those never collected.
 
-    The arrays are one property's own page, the unit the published file is made of; use the
-    long `permits` table where a property may hold very many.
+    A property with more permits than `part_size` continues in further rows (`part` 1, 2, ...), so no
+    record and no task holds more than a part.
     """
     record = F.struct("ordinal", "detail_url", "permit_number", "work_description", "source_scope", "roof_detail")
-    lists = permits.groupBy("territory_id", "pams_pin").agg(F.sort_array(F.collect_list(record)).alias("permits"))
+    placed = count_below(
+        permits.withColumns({"_one": F.lit(1), "_high": F.shiftright("ordinal", 40), "_mid": F.shiftright("ordinal", 20),
+                             "_tie": F.xxhash64("detail_url", "source_scope")}),
+        ["territory_id", "pams_pin"], ["_high", "_mid", "ordinal", "_tie"], "_one", "_place",
+    )
+    lists = placed.withColumn("part", F.floor(F.col("_place") / part_size)).groupBy("territory_id", "pams_pin", "part").agg(
+        F.sort_array(F.collect_list(record)).alias("permits")
+    )
     states = pages.select("territory_id", "pams_pin", "collection_status")
     return (
         territory.join(states, ["territory_id", "pams_pin"], "left").join(lists, ["territory_id", "pams_pin"], "left")
         .withColumn("collection_status", F.coalesce("collection_status", F.lit("not_collected")))
+        .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("permits", F.coalesce("permits", F.array()))
     )
 

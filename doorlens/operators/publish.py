@@ -55,13 +55,18 @@ def evidence_table(evidence: DataFrame, doors: DataFrame) -> DataFrame:
     return rows.join(shown, ["territory_id", "pams_pin"], "left_semi").select("territory_id", *EVIDENCE_COLUMNS)
 
 
-def door_features(doors: DataFrame, evidence: DataFrame, geometry: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+def door_features(
+    doors: DataFrame, evidence: DataFrame, geometry: DataFrame, gaps: DataFrame | None = None, part_size: int = 1000
+) -> DataFrame:
     """One GeoJSON feature per door as a JSON line; a door without a polygon keeps a null geometry.
 
-    Evidence is gathered per door here because that is the published shape of a feature.
+    A door with more than `part_size` evidence entries goes on in further lines (`part` 1, 2, ...) that
+    repeat its properties with the next entries, so no task gathers more than a part.
     """
     line = F.struct("seq", "type", "points", "reason", "source", "retrieved", "imagery")
-    lists = evidence.groupBy("territory_id", "pams_pin").agg(F.sort_array(F.collect_list(line)).alias("evidence"))
+    lists = evidence.withColumn("part", F.floor(F.col("seq") / part_size)).groupBy("territory_id", "pams_pin", "part").agg(
+        F.sort_array(F.collect_list(line)).alias("evidence")
+    )
     joined = doors.join(lists, ["territory_id", "pams_pin"], "left").join(
         geometry.select("territory_id", "pams_pin", "polygon"), ["territory_id", "pams_pin"], "left"
     )
@@ -89,7 +94,10 @@ def door_features(doors: DataFrame, evidence: DataFrame, geometry: DataFrame, ga
     )
     shape = F.when(F.col("polygon").isNotNull(), F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygon").alias("coordinates")))
     feature = F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))
-    return joined.select("territory_id", "pams_pin", F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+    return joined.select(
+        "territory_id", "pams_pin", F.coalesce("part", F.lit(0)).alias("part"),
+        F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"),
+    )
 
 
 def territory_features(parcels: DataFrame) -> DataFrame:

@@ -328,12 +328,14 @@ def find_doors(requests: DataFrame, doors: DataFrame, address: str = "address")
     return asked.join(address_index(doors).withColumnRenamed("pams_pin", "found_pin"), "address_key", "left")
 
 
-def suggest_doors(requests: DataFrame, doors: DataFrame, address: str = "address", floor: float = 0.6) -> DataFrame:
-    """The most alike short address key for each asked-for key, at or above `floor`.
+def suggest_doors(
+    requests: DataFrame, doors: DataFrame, address: str = "address", floor: float = 0.6, by=("territory_id",)
+) -> DataFrame:
+    """The most alike short address key of the same territory for each asked-for key, at or above `floor`.
 
-    Candidates share the house number, or the leading letters of the street word, so a key
-    meets its look-alikes rather than every key. Likeness is one minus the edit distance over
-    the longer length; best likeness wins, then the later key.
+    A key only meets keys of its territory that share the house number and the first letter of the street
+    word, or the street word's first three letters and the number's first digit. Likeness is one minus
+    the edit distance over the longer length; best likeness wins, then the later key.
     """
     def blocks(key):
         number = F.regexp_extract(key, r"^(\d+)", 1)
@@ -344,18 +346,20 @@ def suggest_doors(requests: DataFrame, doors: DataFrame, address: str = "address
             lambda b: F.length(b) > 2,
         ))
 
-    asked = keys.with_address_key(requests, address).select("address_key").distinct().filter("address_key != ''")
-    known = doors.select(keys.street_address_key(F.col("situs")).alias("known_key")).distinct().filter("known_key != ''")
+    asked = keys.with_address_key(requests, address).select(*by, "address_key").distinct().filter("address_key != ''")
+    known = doors.select(*by, keys.street_address_key(F.col("situs")).alias("known_key")).distinct().filter(
+        "known_key != ''"
+    )
     longer = F.greatest(F.length("address_key"), F.length("known_key"))
     alike = 1.0 - F.levenshtein("address_key", "known_key") / longer
     pairs = (
         asked.withColumn("b", F.explode(blocks(F.col("address_key"))))
-        .join(known.withColumn("b", F.explode(blocks(F.col("known_key")))), "b")
+        .join(known.withColumn("b", F.explode(blocks(F.col("known_key")))), [*by, "b"])
         .withColumn("likeness", alike).filter(F.col("likeness") >= floor)
     )
-    return pairs.groupBy("address_key").agg(
+    return pairs.groupBy(*by, "address_key").agg(
         F.max_by(F.struct("known_key", "likeness"), F.struct("likeness", "known_key")).alias("best")
-    ).select("address_key", F.col("best.known_key").alias("suggested_key"), F.col("best.likeness").alias("likeness"))
+    ).select(*by, "address_key", F.col("best.known_key").alias("suggested_key"), F.col("best.likeness").alias("likeness"))
 
 
 def doors_per_street(doors: DataFrame, min_doors: int = 4, limit: int = 8, keys_=("territory_id",)) -> DataFrame:

@@ -37,6 +37,8 @@ def nearest_neighbours(
     exclude_self: bool = True,
     radius: float = geo.COMPARABLES_RADIUS_M,
     below_levels: int = 4,
+    crowd: int = 16,
+    extra_levels: int = 24,
 ) -> DataFrame:
     """The k nearest candidates of each subject in its group, ties by id.
 
@@ -77,23 +79,44 @@ def nearest_neighbours(
         "topmost", F.greatest(F.col("_even") - below_levels, F.lit(0))
     )
 
-    levels = F.array_distinct(F.concat(F.array(F.lit(0)), F.sequence("topmost", "deepest")))
+    # Where one cell of the deepest level is still crowded, the grid goes on below it. The cells
+    # around it are indexed as deep, because a subject inside may look over the border.
+    def deepest_cell(df):
+        side = F.col("root") / F.pow(F.lit(2.0), F.col("deepest"))
+        return (
+            df.join(extent, group).withColumn("dx", _cell(F.col("lon"), F.col("x0"), side))
+            .withColumn("dy", _cell(F.col("lat"), F.col("y0"), side))
+        )
+
+    crowded = (
+        deepest_cell(places).groupBy(group, "dx", "dy").agg(F.sum("weight").alias("_w"), F.max("thin").alias("thin"),
+                                                            F.max("thick").alias("thick"))
+        .filter(F.col("_w") > crowd * (k + 1))
+    )
+    ring = F.ceil(F.sqrt(F.col("thick") * F.col("thick") + 1.0) / (F.col("thin") * 2.0))
+    around = (
+        crowded.withColumn("dx", F.explode(F.sequence(F.col("dx") - ring, F.col("dx") + ring)))
+        .withColumn("dy", F.explode(F.sequence(F.col("dy") - 1, F.col("dy") + 1)))
+        .select(group, "dx", "dy").distinct()
+    )
 
-    def at_levels(df):
-        side = F.col("root") / F.pow(F.lit(2.0), F.col("level"))
+    def at_levels(df, dense):
+        marked = deepest_cell(df).join(dense.select(group, "dx", "dy", F.lit(True).alias("_dense")), [group, "dx", "dy"], "left")
+        last = F.col("deepest") + F.when(F.col("_dense"), extra_levels).otherwise(0)
+        levels = F.array_distinct(F.concat(F.array(F.lit(0)), F.sequence(F.col("topmost"), last)))
         return (
-            df.join(extent, group).withColumn("level", F.explode(levels))
-            .withColumn("side", side)
+            marked.withColumn("level", F.explode(levels)).drop("dx", "dy", "_dense")
+            .withColumn("side", F.col("root") / F.pow(F.lit(2.0), F.col("level")))
             .withColumn("cx", _cell(F.col("lon"), F.col("x0"), F.col("side")))
             .withColumn("cy", _cell(F.col("lat"), F.col("y0"), F.col("side")))
         )
 
     cell = [group, "level", "cx", "cy"]
-    indexed = at_levels(places)
+    indexed = at_levels(places, around)
     filled = indexed.groupBy(*cell).agg(F.sum("weight").alias("held"))
 
     # The finest own cell with more than k points, or the root.
-    asked = at_levels(subjects.select(*spot).distinct())
+    asked = at_levels(subjects.select(*spot).distinct(), crowded)
     chosen = (
         asked.join(filled, cell, "left")
         .filter((F.coalesce(F.col("held"), F.lit(0)) > k) | (F.col("level") == 0))

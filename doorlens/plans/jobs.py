@@ -111,8 +111,8 @@ SCORE_SQL = f"""{PROJECT_SQL}, {NEAR_SQL}, {SALES_FACTS_SQL}, {VISION_SQL},
             coalesce(list_position(['poor', 'fair', 'good', 'excellent'], v.c2020)
                      < list_position(['poor', 'fair', 'good', 'excellent'], v.c2015), false) AS declined,
             (SELECT count(*) FILTER (WHERE l.value < net_value) + 0.5 * count(*) FILTER (WHERE l.value = net_value)
-             FROM list l WHERE l.territory_id = p.territory_id) / (SELECT count(*) FROM list l
-             WHERE l.territory_id = p.territory_id) * 100.0 AS pct
+             FROM list l WHERE l.territory_id = p.territory_id) / nullif((SELECT count(*) FROM list l
+             WHERE l.territory_id = p.territory_id), 0) * 100.0 AS pct
         FROM v_parcel p LEFT JOIN v_acs_stats a ON p.geoid = a.geoid LEFT JOIN v_portal g ON p.pams_pin = g.pams_pin
             LEFT JOIN per_door d ON p.pams_pin = d.pams_pin LEFT JOIN comps c ON p.pams_pin = c.pams_pin
             LEFT JOIN sale_facts s ON p.pams_pin = s.pams_pin LEFT JOIN rental r ON p.pams_pin = r.pams_pin

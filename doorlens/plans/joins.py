@@ -250,12 +250,11 @@ def statewide_coalesce(t: Tables):
     )
 
 
-MATCH_SQL = """known AS (SELECT territory_id, replace(akey, 'NORTH', 'N') AS akey, count(*) AS n, min(pams_pin) AS pin,
-                  array_to_string(list(pams_pin ORDER BY pams_pin), ',') AS pins
+MATCH_SQL = """known AS (SELECT territory_id, replace(akey, 'NORTH', 'N') AS akey, count(*) AS n, min(pams_pin) AS pin
            FROM (SELECT *, {address} AS akey FROM v_parcel_raw) AS r GROUP BY 1, 2),
     lines AS (SELECT v.territory_id, v.ordinal, {portal} AS akey, v.l_partkey, v.description, v.l_suppkey % 2 = 0 AS has_detail
               FROM v_permit v),
-    matched AS (SELECT l.*, coalesce(k.n, 0) AS n, k.pin, k.pins FROM lines l
+    matched AS (SELECT l.*, coalesce(k.n, 0) AS n, k.pin FROM lines l
                 LEFT JOIN known k ON l.territory_id = k.territory_id AND l.akey = k.akey)"""
 
 
@@ -271,10 +270,16 @@ def matched(t: Tables):
 
 
 @query("j15_match_by_situs", f"""WITH {_match_sql()} SELECT ordinal, CASE n WHEN 0 THEN 'unmatched' WHEN 1 THEN 'matched'
-        ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN pin END AS pams_pin, CASE WHEN n > 1 THEN pins END AS candidates
-    FROM matched""")
+        ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN pin END AS pams_pin FROM matched""")
 def match_by_situs(t: Tables):
-    return matched(t).select("ordinal", "outcome", "pams_pin", F.array_join("candidates", ",").alias("candidates"))
+    return matched(t).select("ordinal", "outcome", "pams_pin")
+
+
+@query("j15_ambiguous_candidates", f"""WITH {_match_sql()} SELECT k.territory_id, k.akey AS address_key, r.pams_pin
+    FROM known k JOIN (SELECT territory_id, pams_pin, replace({ADDRESS_SQL}, 'NORTH', 'N') AS akey FROM v_parcel_raw) AS r
+        ON k.territory_id = r.territory_id AND k.akey = r.akey WHERE k.n > 1""")
+def ambiguous_candidates(t: Tables):
+    return history.ambiguous_candidates(t.landed().v_parcel_raw)
 
 
 ENRICHED_SQL = """det AS (SELECT pams_pin, detail_url, arg_max(description, ordinal) AS d FROM v_roof_permit
@@ -365,19 +370,19 @@ def find_doors(t: Tables):
 _TYPO = "replace(replace(replace(replace({a}, 'OAK', 'OAKK'), 'MAIN', 'MIAN'), 'FAWN', 'FAUN'), 'COURT', 'SHORT')"
 
 
-@query("j23_suggest_doors", f"""WITH q AS (SELECT DISTINCT {_TYPO.format(a=ADDRESS_SQL)} AS address_key FROM v_situs),
-    known AS (SELECT DISTINCT akey AS known_key FROM (SELECT {ADDRESS_SQL} AS akey FROM v_situs) AS x),
-    pairs AS (SELECT address_key, known_key, 1.0 - levenshtein(address_key, known_key)
+@query("j23_suggest_doors", f"""WITH q AS (SELECT DISTINCT territory_id, {_TYPO.format(a=ADDRESS_SQL)} AS address_key FROM v_situs),
+    known AS (SELECT DISTINCT territory_id AS t, akey AS known_key FROM (SELECT territory_id, {ADDRESS_SQL} AS akey FROM v_situs) AS x),
+    pairs AS (SELECT territory_id, address_key, known_key, 1.0 - levenshtein(address_key, known_key)
                   / CAST(greatest(length(address_key), length(known_key)) AS DOUBLE) AS likeness
-              FROM q JOIN known ON (split_part(address_key, ' ', 1) = split_part(known_key, ' ', 1)
+              FROM q JOIN known ON territory_id = t AND ((split_part(address_key, ' ', 1) = split_part(known_key, ' ', 1)
                        AND substr(split_part(address_key, ' ', -2), 1, 1) = substr(split_part(known_key, ' ', -2), 1, 1))
                   OR (substr(split_part(address_key, ' ', -2), 1, 3) = substr(split_part(known_key, ' ', -2), 1, 3)
-                       AND substr(address_key, 1, 1) = substr(known_key, 1, 1))),
-    best AS (SELECT *, row_number() OVER (PARTITION BY address_key ORDER BY likeness DESC, known_key DESC) AS rn
+                       AND substr(address_key, 1, 1) = substr(known_key, 1, 1)))),
+    best AS (SELECT *, row_number() OVER (PARTITION BY territory_id, address_key ORDER BY likeness DESC, known_key DESC) AS rn
              FROM pairs WHERE likeness >= 0.6)
-    SELECT address_key, known_key AS suggested_key, round(likeness, 6) AS likeness FROM best WHERE rn = 1""")
+    SELECT territory_id, address_key, known_key AS suggested_key, round(likeness, 6) AS likeness FROM best WHERE rn = 1""")
 def suggest_doors(t: Tables):
-    typed = t.v_situs.select(F.expr(_TYPO.format(a="address")).alias("address"))
+    typed = t.v_situs.select("territory_id", F.expr(_TYPO.format(a="address")).alias("address"))
     return resolve.suggest_doors(typed, t.v_situs).withColumn("likeness", F.round("likeness", 6))
 
 

@@ -21,7 +21,7 @@ def brute(points, k):
             mean = math.radians((lat + lat2) / 2)
             dx, dy = math.radians(lon2 - lon) * math.cos(mean), math.radians(lat2 - lat)
             near.append((math.sqrt(dx * dx + dy * dy) * 6371000.0, other))
-        out[(g, pin)] = [p for _, p in sorted((round(d, 6), p) for d, p in near)[:k]]
+        out[(g, pin)] = [p for _, p in sorted(near)[:k]]
     return out
 
 
@@ -33,7 +33,11 @@ def layouts():
         ("b", f"f{i:02d}", -74.0 + rnd.random() * 2, 41.0 + rnd.random() * 2) for i in range(15)]
     few = [("c", f"x{i}", -74.0 + i / 1024, 41.0) for i in range(4)] + [("d", "alone", -74.0, 41.0)]
     north = [("e", f"n{i:03d}", 20 + rnd.random() * 3, 69.0 + rnd.random()) for i in range(150)]
-    return one_spot + town_and_farms + few + north
+    # A third of a wide territory inside a few millimetres, all at different spots.
+    packed = [("f", f"q{i:03d}", -74.0 + rnd.random() * 1e-7, 41.0 + rnd.random() * 1e-7) for i in range(260)] + [
+        ("f", f"r{i:03d}", -75.0 + rnd.random() * 4, 40.0 + rnd.random() * 4) for i in range(80)] + [
+        ("f", f"e{i}", -74.0 - 1e-6 * i, 41.0) for i in range(1, 9)]
+    return one_spot + town_and_farms + few + north + packed
 
 
 @pytest.fixture(scope="module")
