@@ -149,9 +149,11 @@ VIEWS = {
                CAST(41.0 AS DOUBLE) + (floor(n_nationkey / 5) + 1) * CAST(0.02 AS DOUBLE) AS max_y
         FROM nation""",
     "v_tile": """
-        SELECT p.territory_id, p.pams_pin, v.vintage, 'tile-' || CAST(p.k AS STRING) || '-' || CAST(v.vintage AS STRING)
-                   AS image_ref, CAST(v.vintage AS STRING) || '-01-01' AS capture_date
-        FROM v_parcel p JOIN (SELECT 2015 AS vintage UNION ALL SELECT 2020 AS vintage) AS v ON p.lon IS NOT NULL""",
+        SELECT territory_id, pams_pin, 2015 AS vintage, 'tile-' || CAST(k AS STRING) || '-2015' AS image_ref,
+               '2015-01-01' AS capture_date FROM v_parcel WHERE lon IS NOT NULL
+        UNION ALL
+        SELECT territory_id, pams_pin, 2020 AS vintage, 'tile-' || CAST(k AS STRING) || '-2020' AS image_ref,
+               '2020-01-01' AS capture_date FROM v_parcel WHERE lon IS NOT NULL""",
     "v_response": """
         SELECT event_id, 'batch-' || CAST(user_id AS STRING) AS batch_id, event_id AS ordinal,
                'tile-' || CAST(user_id AS STRING) || '-' || CASE WHEN event_id % 2 = 0 THEN '2015' ELSE '2020' END
@@ -257,7 +259,7 @@ VIEWS = {
             FROM part WHERE p_partkey % 13 = 0) AS e""",
     "v_node": """
         SELECT p_partkey AS id, CAST(-74.2 AS DOUBLE) + CAST(p_partkey % 50 AS DOUBLE) * CAST(0.002 AS DOUBLE) AS lon,
-               CAST(41.0 AS DOUBLE) + floor(p_partkey / 50) * CAST(0.0025 AS DOUBLE) AS lat, CAST(0 AS BIGINT) AS area
+               CAST(41.0 AS DOUBLE) + floor(p_partkey / 50) * CAST(0.0025 AS DOUBLE) AS lat, p_partkey % 5 AS area
         FROM part""",
     "v_segment": """
         SELECT p_partkey AS id, CAST(p_partkey % 50 * 30 AS DOUBLE) + CAST(p_size % 3 AS DOUBLE) / CAST(5 AS DOUBLE) AS x1,

@@ -17,7 +17,7 @@ def nodes(t: Tables):
 
 def starts(t: Tables):
     t = t.landed()
-    return t.v_route_request.select(F.lit(0).cast("bigint").alias("territory_id"), "route_id", "lon", "lat")
+    return t.v_route_request.select("territory_id", "route_id", "lon", "lat")
 
 
 def sources(t: Tables):
@@ -62,7 +62,7 @@ def largest_component(t: Tables):
 _DIST = """sqrt(power((n.lon - r.lon) * 0.017453292519943295 * cos((n.lat + r.lat) / 2.0 * 0.017453292519943295), 2)
     + power((n.lat - r.lat) * 0.017453292519943295, 2)) * 6371000.0"""
 _SOURCES = f"""near_node AS (SELECT route_id, first(n.id ORDER BY {_DIST}, n.id) AS source, min({_DIST}) AS m
-    FROM v_route_request r, v_node n GROUP BY route_id)"""
+    FROM v_route_request r JOIN v_node n ON n.area = r.territory_id GROUP BY route_id)"""
 
 
 @query("j25_nearest_node", f"WITH {_SOURCES} SELECT route_id, source AS node, round(m, 4) AS distance_m FROM near_node")
@@ -87,7 +87,7 @@ def shortest_paths(t: Tables):
 
 @query("n5_network_legs", f"""{_WALKS}, short AS (SELECT source, node, min(metres) AS metres FROM walks GROUP BY source, node)
     SELECT r.route_id, n.id, s.metres IS NOT NULL AS joined, round(coalesce(s.metres, 1.3 * {_DIST}), 3) AS leg_m
-    FROM v_route_request r JOIN near_node o ON r.route_id = o.route_id JOIN v_node n ON {_DIST} <= 900.0
+    FROM v_route_request r JOIN near_node o ON r.route_id = o.route_id JOIN v_node n ON n.area = r.territory_id AND {_DIST} <= 900.0
     LEFT JOIN short s ON s.source = o.source AND s.node = n.id""")
 def network_legs(t: Tables):
     walk = graph.distances(t.v_edge, sources(t), 250.0)
