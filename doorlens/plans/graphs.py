@@ -112,3 +112,20 @@ def network_legs(t: Tables):
 def plausibility(t: Tables):
     access = t.part.select((F.col("p_partkey") % 5).alias("territory_id"), F.col("p_size").cast("double").alias("parcel_m"))
     return graph.plausible(access, access)
+
+
+@query("n6_walk_paths", f"""{_WALKS} SELECT source, node, min(metres) AS metres FROM walks GROUP BY source, node""")
+def walk_paths(t: Tables):
+    """The length of each path, added up along its own edges, equals the shortest distance."""
+    found = graph.distances(t.v_edge, sources(t), 250.0, with_path=True)
+    steps = found.filter(F.size("path") > 1).select(
+        "source", "node", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path") - 1).alias("b"))).alias("s")
+    ).select("source", "node", F.col("s.a").alias("src"), F.col("s.b").alias("dst"))
+    walked = steps.join(graph.both_ways(t.v_edge), ["src", "dst"]).groupBy("source", "node").agg(F.sum("metres").alias("metres"))
+    return found.select("source", "node").join(walked, ["source", "node"], "left").withColumn("metres", F.coalesce("metres", F.lit(0.0)))
+
+
+@query("n2_prune_spurs")
+def prune_spurs(t: Tables):
+    """No SQL: rounds of removal. Checked against hand-made graphs in the tests."""
+    return graph.prune_spurs(t.v_edge)

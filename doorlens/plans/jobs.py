@@ -468,3 +468,112 @@ def score_report_json(t: Tables):
 
 
 assert keys and resolve
+
+
+# --- sentences, features and the manifest --------------------------------------------------------------
+
+
+@query("c27_evidence_sentences", f"""WITH {SCORE_SQL} SELECT pams_pin, 'fit_home_age' AS type, 'built ' || CAST(yr AS STRING) || ' — a '
+        || CAST(2001 - yr AS STRING) || '-year-old home, an age that supports service fit' AS reason FROM scored WHERE home_pts > 0
+    UNION ALL SELECT pams_pin, 'fit_lot', printf('%.2f', acre) || '-acre lot — at least half an acre' FROM scored WHERE lot_pts > 0
+    UNION ALL SELECT pams_pin, 'project_neutralized', CAST(permits AS STRING) || ' permit record' || CASE WHEN permits = 1 THEN '' ELSE 's' END
+        || ' on file, but none active within 12 months or completed within 24 — no project points under conservative rules'
+        FROM scored WHERE permits > 0 AND project = 0
+    UNION ALL SELECT pams_pin, 'project_cap_adjustment', 'project category capped at 45' FROM scored WHERE project_raw > 45
+    UNION ALL SELECT pams_pin, 'mover_invalid_sale',
+        'a transfer was disqualified from mover influence (nominal price, disqualifying code, or invalid/future date)'
+        FROM scored WHERE invalid_sales > 0
+    UNION ALL SELECT pams_pin, 'rental_registration', 'current verified rental registration (' || CAST(reg AS STRING)
+        || ') demotes the door' FROM scored WHERE rent_current
+    UNION ALL SELECT pams_pin, 'rental_stale', 'rental registration (' || CAST(reg AS STRING)
+        || ') is stale and neutral until reverified' FROM scored WHERE rent_stale""")
+def evidence_sentences(t: Tables):
+    kinds = ("fit_home_age", "fit_lot", "project_neutralized", "project_cap_adjustment", "mover_invalid_sale",
+             "rental_registration", "rental_stale")
+    evidence = engine.score(**only(t, "permits", "sales", "rental"))["evidence"]
+    return evidence.filter(F.col("type").isin(*kinds)).select("pams_pin", "type", "reason")
+
+
+def drawn(t: Tables):
+    """Parcels with a small box around their middle as the polygon, none where there is no middle."""
+    from doorlens.functions import geo  # noqa: F401
+
+    half = 0.0002
+    box = spatial.box_polygon(F.col("lon") - half, F.col("lat") - half, F.col("lon") + half, F.col("lat") + half)
+    return t.v_parcel.withColumn("polygon", F.when(F.col("lon").isNotNull(), box))
+
+
+@query("k1_territory_features", """SELECT pams_pin, 'MultiPolygon' AS shape, prop_class, net_value FROM v_parcel
+    WHERE lon IS NOT NULL AND prop_class = '2'""")
+def territory_features(t: Tables):
+    t = t.landed()
+    raw = t.v_parcel_raw.select("k", "territory_rank", F.col("address").alias("prop_loc"), "zip5", "deed_date", "sale_price", "sales_code")
+    lines = publish.territory_features(filters.of_class(drawn(t).join(raw, "k"))).select("feature")
+
+    def field(path):
+        return F.get_json_object("feature", path)
+
+    return lines.select(
+        field("$.properties.pams_pin").alias("pams_pin"), field("$.geometry.type").alias("shape"),
+        field("$.properties.prop_class").alias("prop_class"), field("$.properties.net_value").cast("double").alias("net_value"),
+    )
+
+
+@query("k2_door_features", f"""WITH chips AS (SELECT pams_pin, count(*) AS n FROM ({_TRAIL}) AS t GROUP BY pams_pin)
+    SELECT d.pams_pin, coalesce(CAST(d.score AS BIGINT), -1) AS score, p.lon IS NULL AS no_shape,
+        CASE WHEN d.score IS NULL THEN 0 ELSE coalesce(c.n, 0) END AS evidence
+    FROM v_door_score d JOIN v_parcel p ON d.pams_pin = p.pams_pin LEFT JOIN chips c ON d.pams_pin = c.pams_pin""")
+def door_features(t: Tables):
+    t = t.landed()
+    nothing = {c: F.lit(None).cast(kind) for c, kind in (
+        ("confidence", "string"), ("situs", "string"), ("exclusion_reason", "string"), ("base", "int"), ("mover_eligible", "int"),
+        ("days_since_move", "int"), ("mover_strength", "double"), ("mover_lift", "double"), ("rental_modifier", "int"),
+        ("adjustment", "double"))}
+    doors = t.v_door_score.withColumns(nothing)
+    numbered = evidence_sequence_of(t.sql(_TRAIL)).withColumns({
+        "reason": F.lit("r"), "source": F.lit(None).cast("string"), "retrieved": F.lit(None).cast("date"),
+        "imagery": F.lit(None).cast("string")})
+    shown = numbered.join(doors.filter("score is not null").select(*DOOR), DOOR, "left_semi")
+    lines = publish.door_features(doors, shown, drawn(t))
+    return lines.groupBy("pams_pin").agg(
+        F.coalesce(F.max(F.get_json_object("feature", "$.properties.score").cast("bigint")), F.lit(-1)).alias("score"),
+        F.bool_and(F.get_json_object("feature", "$.geometry.type").isNull()).alias("no_shape"),
+        F.sum(F.size(F.from_json(F.get_json_object("feature", "$.properties.evidence"), "array<string>"))).alias("evidence"),
+    )
+
+
+def evidence_sequence_of(trail):
+    from doorlens.operators.ordering import count_below
+
+    rows = trail.withColumns({"one": F.lit(1), "high": F.shiftright("ordinal", 40), "mid": F.shiftright("ordinal", 20)})
+    return count_below(rows, DOOR, ["kind", "high", "mid", "ordinal"], "one", "seq").withColumn("seq", F.col("seq").cast("bigint"))
+
+
+@query("k5_run_manifest", f"""WITH {ACCOUNT_SQL}, scored_doors AS (SELECT territory_id, count(*) AS doors_total, count(score) AS doors_scored
+        FROM v_door_score GROUP BY territory_id)
+    SELECT s.territory_id, doors_total, doors_scored, t.permits_total, c.permits_in_window, '{A[6:-1]}' AS as_of
+    FROM scored_doors s JOIN totals t ON t.mun = '02' || lpad(CAST(s.territory_id AS STRING), 2, '0')
+        JOIN counted c ON c.mun = t.mun""")
+def run_manifest(t: Tables):
+    t = t.landed()
+    routed_ = resolve.route_permits(t.v_permit_raw, filters.of_class(t.v_parcel_raw), t.v_parcel_raw, AS_OF)
+    town = F.substring("mun", 3, 2).cast("bigint").alias("territory_id")
+    counts = resolve.match_rates(resolve.permit_accounting(t.v_permit_raw, routed_)).select(town, "*").drop("mun")
+    vintage = t.v_sale.groupBy("territory_id").agg(F.max("sale_day").alias("latest_sale_date"))
+    lines = publish.run_manifest(t.v_door_score, counts, vintage, AS_OF, "2001-06-30T00:00:00Z", "test")
+
+    def field(path, kind="bigint"):
+        return F.get_json_object("manifest", path).cast(kind)
+
+    return lines.select(
+        "territory_id", field("$.doors_total").alias("doors_total"), field("$.doors_scored").alias("doors_scored"),
+        field("$.resolve.permits_total").alias("permits_total"), field("$.resolve.permits_in_window").alias("permits_in_window"),
+        field("$.as_of", "string").alias("as_of"),
+    )
+
+
+@query("s16_label_rules", """SELECT event_id, actual, predicted, probe FROM v_label WHERE NOT (probe AND actual)""")
+def label_rules(t: Tables):
+    from doorlens.sources.readers import label_reason
+
+    return t.v_label.withColumn("reason", label_reason()).filter("reason is null").select("event_id", "actual", "predicted", "probe")

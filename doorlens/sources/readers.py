@@ -287,6 +287,14 @@ def read_roof_permits(spark: SparkSession, path: str) -> DataFrame:
     ).filter("municipal_id is not null")
 
 
+def label_reason():
+    """Why a label row cannot count; NULL when it can."""
+    return (
+        F.when(F.col("actual").isNull() | F.col("predicted").isNull() | F.col("probe").isNull(), "flag is not a boolean")
+        .when(F.col("probe") & F.col("actual"), "a probe row cannot be actual")
+    )
+
+
 def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(labels, rejects). A row whose flags are no booleans, or whose probe is marked real, names its file."""
     raw = spark.read.option("multiLine", True).schema(
@@ -300,12 +308,7 @@ def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         "pams_pin", "image_ref", "signal", truth("actual").alias("actual"), truth("predicted").alias("predicted"),
         F.when(F.col("probe").isNull(), False).otherwise(truth("probe")).alias("probe"), "file", "_broken",
     )
-    reason = (
-        F.when(F.col("_broken").isNotNull(), "malformed file")
-        .when(F.col("actual").isNull() | F.col("predicted").isNull() | F.col("probe").isNull(), "flag is not a boolean")
-        .when(F.col("probe") & F.col("actual"), "a probe row cannot be actual")
-    )
-    checked = rows.withColumn("reason", reason)
+    checked = rows.withColumn("reason", F.when(F.col("_broken").isNotNull(), "malformed file").otherwise(label_reason()))
     return checked.filter("reason is null").drop("reason", "_broken", "file"), checked.filter("reason is not null").select(
         "file", "reason"
     )

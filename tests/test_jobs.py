@@ -278,3 +278,24 @@ def test_band_lift_lists_empty_bands(spark):
     assert got == [(0, 1, 1.0, 1.0), (1, 2, 0.5, 1.0), (2, 0, 0.0, 0.0)]
     with pytest.raises(ValueError):
         outcomes.band_lift(valid, [50, 20])
+
+
+def test_one_door_with_most_permits(spark):
+    from doorlens.scoring import engine
+
+    frames = cc.frames(spark, {name: cc.CASES[name] for name in ("G-017", "G-021")})
+    many = spark.range(3000).select(
+        F.lit("G-017").alias("territory_id"), F.lit("G-017").alias("pams_pin"), F.concat(F.lit("hot"), F.col("id").cast("string")).alias("permit_id"),
+        F.concat(F.lit("H-"), F.col("id").cast("string")).alias("municipal_id"), F.lit("roof repair").alias("description"), F.lit(None).cast("string").alias("work_type"),
+        F.lit("completed").alias("disposition"), F.lit("2026-01-01").cast("date").alias("issue_date"), F.lit(None).cast("date").alias("completion_date"),
+        F.lit(None).cast("date").alias("last_activity_date"), F.lit(True).alias("from_portal"), F.lit(False).alias("from_statewide"),
+        (F.col("id") * 1_000_003 + 10).alias("ordinal"))
+    frames["permits"] = frames["permits"].unionByName(many).repartition(6)
+    out = engine.score(**frames)
+    door = out["doors"].filter("pams_pin = 'G-017'").first()
+    assert (door.project, door.score) == (45, 45)
+    rows = out["evidence"].filter("pams_pin = 'G-017'").orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(3003)) and sum(r.points for r in rows) == 45
+    assert rows[3001].type == "project_cap_adjustment" and rows[3001].points == 45 - 15 * 3001
+    assert rows[3002].reason.startswith("3000 roof-related permit records on file (roof repair, issued 2026-01-01; ")
+    assert rows[3002].reason.endswith("; and 2997 more), but none establish a completed installation age")

@@ -41,8 +41,8 @@ def test_query(spark, con, name):
     assert status in ("ok", "rows"), f"{status}: {got} rows against {want} {note}"
 
 
-def test_every_query_has_sql():
-    assert set(registry.all_queries()) == set(registry.all_sql())
+def test_every_query_but_pruning_has_sql():
+    assert set(registry.all_queries()) - set(registry.all_sql()) == {"n2_prune_spurs"}
 
 
 def test_entry(spark):
