@@ -76,21 +76,22 @@ VIEWS = {
                CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS municipal_id,
                (CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 1000000 + (l_partkey * 131 + l_suppkey * 7) % 1000000
                    AS ordinal,
-               CAST(l_shipdate AS DATE) AS issue_date, l_quantity, l_extendedprice AS cost,
+               issue_date, l_quantity, l_extendedprice AS cost,
                CASE l_returnflag WHEN 'R' THEN 'completed' WHEN 'A' THEN NULL
                     ELSE CASE l_partkey % 3 WHEN 0 THEN 'voided' WHEN 1 THEN 'expired' ELSE 'administrative' END
                END AS disposition,
                CASE l_linestatus WHEN 'F' THEN 'SDL' ELSE 'statewide' END AS source,
-               CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 1
-                    THEN CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) END AS completion_date,
+               CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 1 THEN issue_date + CAST(l_quantity AS INT) END
+                   AS completion_date,
                CASE p_type WHEN 'ECONOMY' THEN 'roof replacement' WHEN 'SMALL' THEN 'roof repair'
                     WHEN 'MEDIUM' THEN 'in-ground pool' WHEN 'PROMO' THEN 'solar panels'
                     WHEN 'LARGE' THEN 'siding' ELSE p_name END AS description,
                p_type, l_partkey, l_orderkey, l_linenumber, l_suppkey
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        FROM (SELECT *, CAST(l_shipdate AS DATE) + CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE -4000 END AS issue_date
+              FROM lineitem) AS line
+             JOIN orders ON l_orderkey = o_orderkey
              JOIN part ON l_partkey = p_partkey
-             JOIN v_parcel p ON p.k = o_custkey
-        WHERE l_partkey % 5 = 0""",
+             JOIN v_parcel p ON p.k = o_custkey""",
     "v_permit_raw": """
         SELECT v.territory_id, v.mun, CAST(v.ordinal AS STRING) AS record_id, v.ordinal, v.issue_date AS permit_date,
                CASE WHEN v.l_partkey % 37 = 0 THEN '0000' WHEN v.l_partkey % 41 = 0 THEN '99999'
@@ -128,7 +129,7 @@ VIEWS = {
         FROM v_sale""",
     "v_rental": """
         SELECT p.territory_id, p.pams_pin, CAST(o_orderdate AS DATE) AS reg_date
-        FROM orders JOIN v_parcel p ON p.k = o_custkey WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0""",
+        FROM orders JOIN v_parcel p ON p.k = o_custkey WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW'""",
     "v_acs": """
         SELECT CAST(n_nationkey AS STRING) AS geoid,
                CASE WHEN n_nationkey = 24 THEN 'N/A' ELSE CAST(1000 AS STRING) END AS couples,
@@ -229,12 +230,12 @@ VIEWS = {
                description, 'Alteration' AS work_type,
                CASE WHEN l_orderkey % 4 = 0 THEN 'completed' END AS disposition,
                CASE WHEN l_orderkey % 3 > 0 THEN issue_date END AS issue_date
-        FROM v_permit WHERE description LIKE '%roof%' AND l_suppkey % 2 = 0""",
+        FROM v_permit WHERE description LIKE '%roof%' AND l_quantity > 25""",
     "v_statewide": """
         SELECT territory_id, pams_pin, ordinal,
                CASE WHEN l_suppkey % 5 = 0 THEN municipal_id || '-S' ELSE municipal_id END AS municipal_id,
                description, issue_date, completion_date
-        FROM v_permit WHERE source = 'statewide' OR l_suppkey % 3 = 0""",
+        FROM v_permit WHERE source = 'statewide' OR l_quantity < 17""",
     "v_portal_line": f"""
         SELECT p.territory_id, v.ordinal, v.municipal_id,
                CASE WHEN v.ordinal % 5 = 0 THEN r.address || ' - Rear garage'
@@ -250,13 +251,13 @@ VIEWS = {
     "v_edge": """
         SELECT src, dst, metres FROM (
             SELECT p_partkey AS src, p_partkey + 1 AS dst, CAST(20 + p_size AS DOUBLE) AS metres
-            FROM part WHERE p_partkey % 50 < 49 AND p_partkey % 7 <> 3
+            FROM part WHERE p_size < 43 AND p_partkey % 50 < 49
             UNION ALL
             SELECT p_partkey AS src, p_partkey + 50 AS dst, CAST(20 + p_size AS DOUBLE) AS metres
-            FROM part WHERE p_partkey % 11 <> 5 AND p_partkey % 500 < 450
+            FROM part WHERE p_size > 4 AND p_type <> 'PROMO'
             UNION ALL
             SELECT p_partkey AS src, -1 - p_partkey AS dst, CAST(5 + p_size AS DOUBLE) AS metres
-            FROM part WHERE p_partkey % 13 = 0) AS e""",
+            FROM part WHERE p_brand = 'Brand#2') AS e""",
     "v_node": """
         SELECT p_partkey AS id, CAST(-74.2 AS DOUBLE) + CAST(p_partkey % 50 AS DOUBLE) * CAST(0.002 AS DOUBLE) AS lon,
                CAST(41.0 AS DOUBLE) + floor(p_partkey / 50) * CAST(0.0025 AS DOUBLE) AS lat, p_partkey % 5 AS area

@@ -437,10 +437,10 @@ def mean_route_score(t: Tables):
     )
 
 
-@query("x17_exclude_and_replan", f"""{_route_sql(excluded="d.score % 2 = 0")} SELECT route_id, stop, pams_pin FROM walk WHERE stop > 0""")
+@query("x17_exclude_and_replan", f"""{_route_sql(excluded="d.score >= 90")} SELECT route_id, stop, pams_pin FROM walk WHERE stop > 0""")
 def exclude_and_replan(t: Tables):
     t = t.landed()
-    dropped = t.v_route_door.filter("score % 2 = 0").join(t.v_route_request.select("route_id", "territory_id"), "territory_id")
+    dropped = t.v_route_door.filter("score >= 90").join(t.v_route_request.select("route_id", "territory_id"), "territory_id")
     stops = route.plan_routes(t.v_route_request, t.v_route_door, exclude=dropped)
     return stops.select("route_id", F.col("stop").cast("bigint").alias("stop"), "pams_pin")
 
