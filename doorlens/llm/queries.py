@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from doorlens.llm import chat, decontaminate, mixing, quality, sharding, simhash, token_files
+from doorlens.llm import chat, decontaminate, html_text, licences, mixing, quality, sharding, simhash, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,21 @@ def op7_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_simhash_near_dedup, op3_decontaminate, op4_mix_sources, op5_format_chats, op6_token_files,
-    op7_shard_interleaved,
+    op7_shard_interleaved, op8_license_scan, op9_html_text, op10_section_tokens,
 )}
 SQL: dict[str, str] = {}
