@@ -128,6 +128,9 @@ class _Builder(HTMLParser):
 
 def parse(html: str) -> Page:
     builder = _Builder()
+    last = html.rfind("<!--")
+    if last >= 0 and "-->" not in html[last:] and "</script" not in html[last:].lower():
+        html = html[:last]  # an unclosed comment takes the rest of the page
     builder.feed(html)
     builder.close()
     return builder.page
