@@ -31,7 +31,7 @@ SEED = 7
 #: Leading hash bits that cut a source's stream into runs, so that no window holds a whole source.
 _RUN_BITS = 12
 #: Slots written out by one row of a plan.
-_SLOT_RUN = 1 << 16
+_SLOT_RUN = 1 << 14
 _WORD = re.compile(f"[^{WHITE}]+")
 
 
@@ -125,7 +125,9 @@ def slots(shares: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARD
     runs = _plan(shares, block_words, shards, seed).filter("slots > 0")
     runs = runs.withColumn("run", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1, F.lit(_SLOT_RUN).cast("long"))))
     runs = runs.withColumn("end", F.least(F.col("run") + _SLOT_RUN, F.col("first") + F.col("slots")) - 1)
-    runs = runs.repartition("source", "shard", "run")
+    # Few rows now, many once written out: the planner must neither merge these tasks nor broadcast the result.
+    parts = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(parts, "source", "shard", "run")
     each = runs.select("source", "key", "blocks", "total", "last_words", "shard", F.explode(F.sequence("run", "end")).alias("slot"))
 
     @F.pandas_udf("long")
@@ -182,7 +184,7 @@ def _taken(pieces: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
     """Per piece the words all its block's slots take of it."""
     drawn = drawn.groupBy("source", "block", "most_words").agg(F.count(F.lit(1)).alias("times"))
     words = F.greatest(F.least("hi", F.col("most_words")) - F.col("lo"), F.lit(0)) * F.col("times")
-    return pieces.join(drawn, ["source", "block"], "left").select(*keys, F.coalesce(words, F.lit(0)).alias("words"))
+    return pieces.join(drawn.hint("merge"), ["source", "block"], "left").select(*keys, F.coalesce(words, F.lit(0)).alias("words"))
 
 
 def mixed_blocks(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
@@ -197,7 +199,7 @@ def mixed_blocks(docs: DataFrame, text: str = "text", source: str = "source", we
     blocks = parts.select("source", "block", "lo", cut.alias("words")).groupBy("source", "block").agg(
         F.sort_array(F.collect_list(F.struct("lo", "words"))).alias("parts"))  # at most block_words parts
     drawn = slots(shares, block_words, shards, seed)
-    joined = drawn.join(blocks, ["source", "block"])
+    joined = drawn.hint("merge").join(blocks, ["source", "block"])
     words = F.slice(F.flatten(F.col("parts.words")), F.lit(1), F.col("most_words").cast("int"))
     return joined.select("shard", "slot", F.expr("if(left(source, 1) = '0', substring(source, 2), null)").alias("source"), words.alias("words")).select(
         "shard", "slot", "source", F.size("words").alias("n_words"), "words")
@@ -222,7 +224,7 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", w
     shares = land(targets(keyed.select("source", "size"), weights, most), "targets")
     narrow = keyed.select("source", "size", "k1", "k2")
     parts = _pieces(_streams(narrow, seed), block_words)
-    hit = parts.join(slots(shares, block_words, shards, seed), ["source", "block"])
+    hit = parts.join(slots(shares, block_words, shards, seed).hint("merge"), ["source", "block"])
     lo = F.col("block") * block_words - F.col("start")
     hit = hit.select("k1", "k2", "start", "size", "pass", (lo + F.col("lo")).alias("a"), (lo + F.least("hi", "most_words")).alias("b")).filter("b > a")
     ranges = hit.groupBy("k1", "k2", "start", "size", "pass").agg(
