@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doorlens.functions import dates, keys, text
 from doorlens.operators.ordering import count_below
+from doorlens.sources.readers import PRIVATE_KEYS
 
 # Fixed values.
 KEYWORD_EXPLICIT = "explicit_roof_work"
@@ -33,9 +35,18 @@ def path_identity(url: Column) -> Column:
 # --- permit lists by exact situs address ----------------------------------------------------
 
 
-def match_permits(records: DataFrame, territory: DataFrame, address: str = "address") -> DataFrame:
+def _place(df: DataFrame, towns: DataFrame | None) -> tuple[DataFrame, list]:
+    """`df` with its territory's town, state and zip, and the columns that hold them."""
+    if towns is None:
+        return df, []
+    named = towns.select("territory_id", *[F.col(c).alias(f"_{c}") for c in ("town", "state", "zip")])
+    return df.join(named, "territory_id", "left"), [F.col(f"_{c}") for c in ("town", "state", "zip")]
+
+
+def match_permits(records: DataFrame, territory: DataFrame, address: str = "address", towns: DataFrame | None = None) -> DataFrame:
     """Every record with `outcome` matched, ambiguous or unmatched, its pin and the reason.
 
+    `towns` (territory_id, town, state, zip) says what ends a location line of each territory.
     Only an address that names one door attaches. The doors an ambiguous address could mean are
     in `ambiguous_candidates`, once per address rather than once per record.
     """
@@ -44,7 +55,8 @@ def match_permits(records: DataFrame, territory: DataFrame, address: str = "addr
         .groupBy("territory_id", "address_key")
         .agg(F.count(F.lit(1)).alias("doors"), F.min("pams_pin").alias("pin"))
     )
-    asked = records.withColumn("address_key", keys.portal_address_key(F.col("location")))
+    placed, names = _place(records, towns)
+    asked = placed.withColumn("address_key", keys.portal_address_key(F.col("location"), *names)).select(*records.columns, "address_key")
     joined = asked.join(known, ["territory_id", "address_key"], "left")
     doors = F.coalesce(F.col("doors"), F.lit(0))
     relevant = F.when(F.col("has_detail"), F.when(
@@ -172,11 +184,21 @@ def enrich_applications(applications: DataFrame, roof: DataFrame) -> DataFrame:
     return listed.unionByName(extra)
 
 
+def _entries(pages: DataFrame, field: str):
+    """How many entries a collected page lists under `construction.field`; 0 where the table has no such column."""
+    if "construction" not in pages.columns:
+        return F.lit(0)
+    return F.coalesce(F.size(F.col(f"construction.{field}")), F.lit(0))
+
+
 def history_summary(territory: DataFrame, pages: DataFrame, permits: DataFrame, extras: DataFrame | None = None) -> DataFrame:
-    """Counters per territory over the long tables: pages, permits, supplements and attached details."""
+    """Counters per territory: pages, permits, supplements, attached details, inspections and violations."""
     doors = territory.groupBy("territory_id").agg(F.count(F.lit(1)).alias("properties_total"))
+    read = F.col("collection_status") == "collected"
     collected = pages.groupBy("territory_id").agg(
-        F.count_if(F.col("collection_status") == "collected").alias("pages_collected")
+        F.count_if(read).alias("pages_collected"),
+        F.sum(F.when(read, _entries(pages, "inspections")).otherwise(0)).alias("inspections_total"),
+        F.sum(F.when(read, _entries(pages, "violations")).otherwise(0)).alias("violations_total"),
     )
     extra = F.col("source_scope") == SUPPLEMENT
     counted = permits.groupBy("territory_id").agg(
@@ -197,30 +219,42 @@ def history_summary(territory: DataFrame, pages: DataFrame, permits: DataFrame,
     )
 
 
-def property_history(territory: DataFrame, pages: DataFrame, permits: DataFrame, part_size: int = 1000) -> DataFrame:
+def property_history(territory: DataFrame, pages: DataFrame, permits: DataFrame) -> DataFrame:
     """One nested record per territory parcel, also those never collected.
 
-    A property with more permits than `part_size` continues in further rows (`part` 1, 2, ...), so no
-    record and no task holds more than a part.
+    A property's permits are one list in page order: a record is as long as the property's own
+    file. The long table `permits` is the form to work on; this is the form to hand out. Of the
+    page, whatever of property_details, assessed_valuation, construction and source_page the
+    table has goes along, without private fields.
     """
     record = F.struct("ordinal", "detail_url", "permit_number", "work_description", "source_scope", "roof_detail")
-    placed = count_below(
-        permits.withColumns({"_one": F.lit(1), "_high": F.shiftright("ordinal", 40), "_mid": F.shiftright("ordinal", 20),
-                             "_tie": F.xxhash64("detail_url", "source_scope")}),
-        ["territory_id", "pams_pin"], ["_high", "_mid", "ordinal", "_tie"], "_one", "_place",
-    )
-    lists = placed.withColumn("part", F.floor(F.col("_place") / part_size)).groupBy("territory_id", "pams_pin", "part").agg(
-        F.sort_array(F.collect_list(record)).alias("permits")
-    )
-    states = pages.select("territory_id", "pams_pin", "collection_status")
+    lists = permits.groupBy("territory_id", "pams_pin").agg(F.sort_array(F.collect_list(record)).alias("permits"))
+    kept = [c for c in ("property_details", "assessed_valuation", "construction", "source_page") if c in pages.columns]
+    states = without_private(pages.select("territory_id", "pams_pin", "collection_status", *kept))
     return (
         territory.join(states, ["territory_id", "pams_pin"], "left").join(lists, ["territory_id", "pams_pin"], "left")
         .withColumn("collection_status", F.coalesce("collection_status", F.lit("not_collected")))
-        .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("permits", F.coalesce("permits", F.array()))
     )
 
 
-def strip_private(document: Column, private=("owner", "mailing", "mailing_address", "agent", "permit_agent")) -> Column:
+def strip_private(document: Column, private=PRIVATE_KEYS) -> Column:
     """A map of fields without the private ones, whatever their case."""
     return F.map_filter(document, lambda key, _: ~F.lower(key).isin(*private))
+
+
+def without_private(df: DataFrame, private=PRIVATE_KEYS) -> DataFrame:
+    """The table without private fields at any depth: in structs, in lists of structs and among map keys."""
+    def cleaned(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            kept = [f for f in kind.fields if f.name.lower() not in private]
+            whole = F.struct(*[cleaned(value.getField(f.name), f.dataType).alias(f.name) for f in kept]) if kept else F.lit(None)
+            return F.when(value.isNotNull(), whole)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: cleaned(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            open_ = strip_private(value, private) if isinstance(kind.keyType, T.StringType) else value
+            return F.transform_values(open_, lambda _, x: cleaned(x, kind.valueType))
+        return value
+
+    return df.select(*[cleaned(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if f.name.lower() not in private])

@@ -55,18 +55,14 @@ def evidence_table(evidence: DataFrame, doors: DataFrame) -> DataFrame:
     return rows.join(shown, ["territory_id", "pams_pin"], "left_semi").select("territory_id", *EVIDENCE_COLUMNS)
 
 
-def door_features(
-    doors: DataFrame, evidence: DataFrame, geometry: DataFrame, gaps: DataFrame | None = None, part_size: int = 1000
-) -> DataFrame:
+def door_features(doors: DataFrame, evidence: DataFrame, geometry: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     """One GeoJSON feature per door as a JSON line; a door without a polygon keeps a null geometry.
 
-    A door with more than `part_size` evidence entries goes on in further lines (`part` 1, 2, ...) that
-    repeat its properties with the next entries, so no task gathers more than a part.
+    The evidence table is the form to work on; a feature repeats a door's entries in order, as the
+    format asks for them inside the feature.
     """
     line = F.struct("seq", "type", "points", "reason", "source", "retrieved", "imagery")
-    lists = evidence.withColumn("part", F.floor(F.col("seq") / part_size)).groupBy("territory_id", "pams_pin", "part").agg(
-        F.sort_array(F.collect_list(line)).alias("evidence")
-    )
+    lists = evidence.groupBy("territory_id", "pams_pin").agg(F.sort_array(F.collect_list(line)).alias("evidence"))
     joined = doors.join(lists, ["territory_id", "pams_pin"], "left").join(
         geometry.select("territory_id", "pams_pin", "polygon"), ["territory_id", "pams_pin"], "left"
     )
@@ -95,8 +91,7 @@ def door_features(
     shape = F.when(F.col("polygon").isNotNull(), F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygon").alias("coordinates")))
     feature = F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))
     return joined.select(
-        "territory_id", "pams_pin", F.coalesce("part", F.lit(0)).alias("part"),
-        F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"),
+        "territory_id", "pams_pin", F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"),
     )
 
 
@@ -111,9 +106,13 @@ def territory_features(parcels: DataFrame) -> DataFrame:
 
 
 def write_tables(doors: DataFrame, evidence: DataFrame, root: str) -> None:
-    """Replaces what was published before; nothing is appended."""
-    doors.write.mode("overwrite").partitionBy("territory_id").parquet(f"{root}/doors")
-    evidence.write.mode("overwrite").partitionBy("territory_id").parquet(f"{root}/evidence")
+    """Replaces what was published before; nothing is appended.
+
+    Rows are brought together by territory first, so a territory is a few files and not one per task;
+    the rebalance splits a large territory over several tasks.
+    """
+    for name, table in (("doors", doors), ("evidence", evidence)):
+        table.hint("rebalance", "territory_id").write.mode("overwrite").partitionBy("territory_id").parquet(f"{root}/{name}")
 
 
 def coverage(doors: DataFrame, spend: DataFrame | None = None, by: str = "territory_id") -> DataFrame:
@@ -179,7 +178,7 @@ def reason_chips(evidence: DataFrame) -> DataFrame:
 
 
 def roof_extract(evidence: DataFrame, doors: DataFrame) -> DataFrame:
-    """Doors that earned roof points, most first, with the facts behind them."""
+    """Doors that earned roof points with the facts behind them; a reader sorts by points, most first, and address."""
     aged = evidence.filter("type = 'fit_roof_age' and points > 0").select(
         "territory_id", "pams_pin", F.col("points").alias("roof_points")
     )
@@ -188,7 +187,7 @@ def roof_extract(evidence: DataFrame, doors: DataFrame) -> DataFrame:
                          F.col("score").alias("house_score"))
     return aged.join(facts, ["territory_id", "pams_pin"]).select(
         "territory_id", "roof_points", "address", "roof_installed", "roof_age_years", "house_score"
-    ).orderBy(F.desc("roof_points"), "address")
+    )
 
 
 # --- identity scan -----------------------------------------------------------------------------

@@ -6,6 +6,8 @@ form; each in-window record gets exactly one route and one municipal bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,8 +224,12 @@ def deed_vintage(municipal: DataFrame, sales: DataFrame, doors: DataFrame, as_of
 
 
 def attach_block_group(points: DataFrame, boundaries: DataFrame, acs: DataFrame, keys_=("territory_id", "pams_pin")):
-    """Adds `geoid` by containment and the block group's statistics by geoid."""
-    placed = locate(points, boundaries, list(keys_)) if "polygon" in boundaries.columns else points
+    """Adds `geoid` by containment in the boundaries' `polygon` and the block group's statistics by geoid."""
+    return attach_statistics(locate(points.drop("geoid"), boundaries, list(keys_)), acs)
+
+
+def attach_statistics(placed: DataFrame, acs: DataFrame) -> DataFrame:
+    """The block group's statistics where the geoid is known already."""
     return placed.join(acs, "geoid", "left")
 
 
@@ -274,7 +280,10 @@ def resolve(
     state: str = "NJ",
     routed: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The whole resolution. Returns doors, permits (long), unmatched and report."""
+    """The whole resolution. Returns doors, permits (long), unmatched and report.
+
+    A territory table with columns `town` and `state` names each parcel's own; else `town` and `state` hold for all.
+    """
     municipal = territory if municipal is None else municipal
     routed = route_permits(permits, territory, municipal, as_of, window_days) if routed is None else routed
     landed = routed.filter("pams_pin is not null").groupBy("pams_pin").agg(F.count(F.lit(1)).alias("permit_count"))
@@ -288,7 +297,8 @@ def resolve(
         .withColumn("has_block_group", F.coalesce("has_block_group", F.lit(False)))
         .withColumn("parcel_key", keys.parcel_key(F.col("mun"), F.col("block"), F.col("lot")))
         .withColumn("address_key", keys.address_key(F.col("address")))
-        .withColumn("situs", keys.situs_display(F.col("address"), F.col("zip5"), F.lit(town), F.lit(state)))
+        .withColumn("situs", keys.situs_display(F.col("address"), F.col("zip5"), *[
+            F.col(c) if c in territory.columns else F.lit(v) for c, v in (("town", town), ("state", state))]))
         .withColumn("provenance", provenance(as_of))
     )
     report = match_rates(permit_accounting(permits, routed)).join(signal_coverage(doors), "mun", "full").na.fill(0)
@@ -333,29 +343,35 @@ def suggest_doors(
 ) -> DataFrame:
     """The most alike short address key of the same territory for each asked-for key, at or above `floor`.
 
-    A key only meets keys of its territory that share the house number and the first letter of the street
-    word, or the street word's first three letters and the number's first digit. Likeness is one minus
-    the edit distance over the longer length; best likeness wins, then the later key.
+    Likeness is one minus the edit distance over the longer length; best likeness wins, then the
+    later key. The answer is that of comparing with every key of the territory: within d edits two keys
+    of longer length n share at least n - 1 - 2d letter pairs (counted with repeats), so keys of
+    which that is one or more meet on a pair they share, and the others are so short (by `floor`) that
+    they meet by length.
     """
-    def blocks(key):
-        number = F.regexp_extract(key, r"^(\d+)", 1)
-        word = F.regexp_extract(key, r"([A-Z]{3})[A-Z]* [A-Z]+$", 1)
-        return F.array_distinct(F.filter(
-            F.array(F.concat(F.lit("n"), number, F.lit(":"), F.substring(word, 1, 1)), F.concat(F.lit("w"), word,
-                    F.lit(":"), F.substring(number, 1, 1))),
-            lambda b: F.length(b) > 2,
-        ))
-
     asked = keys.with_address_key(requests, address).select(*by, "address_key").distinct().filter("address_key != ''")
     known = doors.select(*by, keys.street_address_key(F.col("situs")).alias("known_key")).distinct().filter(
         "known_key != ''"
     )
     longer = F.greatest(F.length("address_key"), F.length("known_key"))
-    alike = 1.0 - F.levenshtein("address_key", "known_key") / longer
+    allowed = F.floor((1.0 - floor) * longer + 1e-9)
+    # From this length on n - 1 - 2 * (1 - floor) * n is above zero.
+    sure = math.floor(1.0 / (2.0 * floor - 1.0) + 1e-9) + 1 if floor > 0.5 else None
+
+    def grams(key):
+        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(key, i, 2)))
+        return F.when(F.length(key) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+    def filed(df, key):
+        # Every key under its letter pairs; short ones also together, as a short pair may share none.
+        alone = F.array(F.lit("")) if sure is None else F.when(F.length(key) < sure, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return df.withColumn("g", F.explode(alone if sure is None else F.concat(alone, grams(F.col(key)))))
+
     pairs = (
-        asked.withColumn("b", F.explode(blocks(F.col("address_key"))))
-        .join(known.withColumn("b", F.explode(blocks(F.col("known_key")))), [*by, "b"])
-        .withColumn("likeness", alike).filter(F.col("likeness") >= floor)
+        filed(asked, "address_key").join(filed(known, "known_key"), [*by, "g"])
+        .filter(F.abs(F.length("address_key") - F.length("known_key")) <= allowed)
+        .select(*by, "address_key", "known_key").distinct()
+        .withColumn("likeness", 1.0 - F.levenshtein("address_key", "known_key") / longer).filter(F.col("likeness") >= floor)
     )
     return pairs.groupBy(*by, "address_key").agg(
         F.max_by(F.struct("known_key", "likeness"), F.struct("likeness", "known_key")).alias("best")

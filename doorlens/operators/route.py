@@ -121,6 +121,8 @@ def plan_routes(
             F.col("cumulative_minutes").alias("elapsed"), "budget", "cap",
             *([F.col("node").alias("at_node"), F.col("frontage_m").alias("at_frontage")] if networked else []),
         )
+    else:
+        raise RuntimeError(f"routes did not end in {max_rounds} stops")
     if stops is None:
         spark = requests.sparkSession
         return spark.createDataFrame(

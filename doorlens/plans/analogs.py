@@ -55,6 +55,11 @@ VIEWS = {
         SELECT territory_id, CAST(-74.15 AS DOUBLE) AS anchor_lon, CAST(41.05 AS DOUBLE) AS anchor_lat,
                CAST(40 + 40 * territory_id AS INT) AS target
         FROM (SELECT DISTINCT territory_id FROM v_parcel) AS t""",
+    "v_town": """
+        SELECT territory_id, CASE territory_id WHEN 0 THEN 'Ramsey' WHEN 1 THEN 'Mahwah' WHEN 2 THEN 'Upper St. Mary (East)'
+                   ELSE 'Town ' || CAST(territory_id AS STRING) END AS town,
+               'NJ' AS state, '07' || lpad(CAST(territory_id * 13 + 430 AS STRING), 3, '0') AS zip
+        FROM v_anchor""",
     "v_parcel_raw": f"""
         SELECT territory_id, mun, pams_pin, k, prop_class,
                ' 0' || block AS block,
@@ -241,13 +246,13 @@ VIEWS = {
                CASE WHEN v.ordinal % 5 = 0 THEN r.address || ' - Rear garage'
                     WHEN v.ordinal % 7 = 0 THEN CAST(v.k % 200 + 1 AS STRING) || '-' || CAST(v.k % 200 + 3 AS STRING)
                         || ' OAK ST'
-                    WHEN v.ordinal % 11 = 0 THEN 'Barn - 12 Elm St' ELSE r.address || ', Ramsey NJ 07446' END AS location,
+                    WHEN v.ordinal % 11 = 0 THEN 'Barn - 12 Elm St' ELSE r.address || ', ' || w.town || ' ' || w.state || ' ' || w.zip END AS location,
                CAST(extract(month FROM v.issue_date) AS STRING) || '/' || CAST(extract(day FROM v.issue_date) AS STRING)
                    || '/' || CAST(extract(year FROM v.issue_date) AS STRING) AS issue_text,
                CASE WHEN v.l_partkey % 2 = 0 THEN 'proofing walls' ELSE v.description END AS work_description,
                CASE WHEN v.l_partkey % 3 = 0 THEN 'Re-roof, ice shield' ELSE 'none' END AS comments,
                (v.l_suppkey % 2 = 0) AS has_detail
-        FROM v_permit v JOIN v_parcel p ON v.k = p.k JOIN v_parcel_raw r ON v.k = r.k""",
+        FROM v_permit v JOIN v_parcel p ON v.k = p.k JOIN v_parcel_raw r ON v.k = r.k JOIN v_town w ON p.territory_id = w.territory_id""",
     "v_edge": """
         SELECT src, dst, metres FROM (
             SELECT p_partkey AS src, p_partkey + 1 AS dst, CAST(20 + p_size AS DOUBLE) AS metres

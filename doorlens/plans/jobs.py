@@ -535,10 +535,10 @@ def door_features(t: Tables):
         "imagery": F.lit(None).cast("string")})
     shown = numbered.join(doors.filter("score is not null").select(*DOOR), DOOR, "left_semi")
     lines = publish.door_features(doors, shown, drawn(t))
-    return lines.groupBy("pams_pin").agg(
-        F.coalesce(F.max(F.get_json_object("feature", "$.properties.score").cast("bigint")), F.lit(-1)).alias("score"),
-        F.bool_and(F.get_json_object("feature", "$.geometry.type").isNull()).alias("no_shape"),
-        F.sum(F.size(F.from_json(F.get_json_object("feature", "$.properties.evidence"), "array<string>"))).alias("evidence"),
+    return lines.select(
+        "pams_pin", F.coalesce(F.get_json_object("feature", "$.properties.score").cast("bigint"), F.lit(-1)).alias("score"),
+        F.get_json_object("feature", "$.geometry.type").isNull().alias("no_shape"),
+        F.size(F.from_json(F.get_json_object("feature", "$.properties.evidence"), "array<string>")).cast("bigint").alias("evidence"),
     )
 
 

@@ -120,10 +120,11 @@ def point_in_polygon(t: Tables):
     return spatial.locate(t.v_parcel.drop("geoid"), boxes(t), DOOR).select("pams_pin", "geoid")
 
 
-@query("j8_door_to_acs", """SELECT p.pams_pin, p.geoid, coalesce(round(a.dual_income_pct, 6), -1.0) AS dual_income_pct
-    FROM v_parcel p LEFT JOIN v_acs_stats a ON p.geoid = a.geoid""")
+@query("j8_door_to_acs", f"""WITH {PLACED_SQL} SELECT p.pams_pin, g.geoid, coalesce(round(a.dual_income_pct, 6), -1.0) AS dual_income_pct
+    FROM v_parcel p LEFT JOIN placed g ON p.pams_pin = g.pams_pin LEFT JOIN v_acs_stats a ON g.geoid = 'BG' || lpad(a.geoid, 2, '0')""")
 def door_to_acs(t: Tables):
-    return resolve.attach_block_group(t.v_parcel, t.v_block_group, t.v_acs_stats).select(
+    stats = t.v_acs_stats.withColumn("geoid", F.concat(F.lit("BG"), F.lpad("geoid", 2, "0")))
+    return resolve.attach_block_group(t.v_parcel, boxes(t), stats).select(
         "pams_pin", "geoid", F.coalesce(F.round("dual_income_pct", 6), F.lit(-1.0)).alias("dual_income_pct")
     )
 
@@ -266,7 +267,7 @@ def _match_sql() -> str:
 
 def matched(t: Tables):
     t = t.landed()
-    return history.match_permits(t.v_portal_line, t.v_parcel_raw)
+    return history.match_permits(t.v_portal_line, t.v_parcel_raw, towns=t.v_town)
 
 
 @query("j15_match_by_situs", f"""WITH {_match_sql()} SELECT ordinal, CASE n WHEN 0 THEN 'unmatched' WHEN 1 THEN 'matched'
@@ -374,10 +375,7 @@ _TYPO = "replace(replace(replace(replace({a}, 'OAK', 'OAKK'), 'MAIN', 'MIAN'), '
     known AS (SELECT DISTINCT territory_id AS t, akey AS known_key FROM (SELECT territory_id, {ADDRESS_SQL} AS akey FROM v_situs) AS x),
     pairs AS (SELECT territory_id, address_key, known_key, 1.0 - levenshtein(address_key, known_key)
                   / CAST(greatest(length(address_key), length(known_key)) AS DOUBLE) AS likeness
-              FROM q JOIN known ON territory_id = t AND ((split_part(address_key, ' ', 1) = split_part(known_key, ' ', 1)
-                       AND substr(split_part(address_key, ' ', -2), 1, 1) = substr(split_part(known_key, ' ', -2), 1, 1))
-                  OR (substr(split_part(address_key, ' ', -2), 1, 3) = substr(split_part(known_key, ' ', -2), 1, 3)
-                       AND substr(address_key, 1, 1) = substr(known_key, 1, 1)))),
+              FROM q JOIN known ON territory_id = t),
     best AS (SELECT *, row_number() OVER (PARTITION BY territory_id, address_key ORDER BY likeness DESC, known_key DESC) AS rn
              FROM pairs WHERE likeness >= 0.6)
     SELECT territory_id, address_key, known_key AS suggested_key, round(likeness, 6) AS likeness FROM best WHERE rn = 1""")

@@ -108,7 +108,8 @@ PORTAL_KEY_SQL = f"""CASE WHEN v.ordinal % 5 = 0 THEN CAST(k % 200 + 1 AS STRING
 
 @query("c11_portal_address", f"SELECT v.ordinal, {PORTAL_KEY_SQL} AS address_key FROM v_permit v")
 def portal_address(t: Tables):
-    return t.v_portal_line.select("ordinal", keys.portal_address_key(F.col("location")).alias("address_key"))
+    lines = t.v_portal_line.join(t.v_town, "territory_id")
+    return lines.select("ordinal", keys.portal_address_key(F.col("location"), F.col("town"), F.col("state"), F.col("zip")).alias("address_key"))
 
 
 @query("c12_roof_relevance", """SELECT ordinal, CASE WHEN l_partkey % 2 <> 0 AND description LIKE 'roof %' THEN description

@@ -12,11 +12,15 @@ from doorlens.plans.registry import query
 from doorlens.sources import readers
 
 
-@query("s2_page_union", "SELECT l_orderkey * 10 + l_linenumber AS object_id, CAST(1 AS BIGINT) AS copies "
-                        "FROM lineitem GROUP BY l_orderkey * 10 + l_linenumber")
+_PAGES = """SELECT CASE WHEN l_linenumber = 4 THEN NULL ELSE CAST(l_orderkey AS BIGINT) END AS object_id,
+    CAST(l_partkey AS BIGINT) AS page, (CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 1000000 + (l_partkey * 131 + l_suppkey * 7) % 1000000 AS ordinal FROM lineitem"""
+
+
+@query("s2_page_union", f"""WITH pages_ AS ({_PAGES}), ranked AS (SELECT *, row_number() OVER (PARTITION BY object_id,
+        CASE WHEN object_id IS NULL THEN (page, ordinal) END ORDER BY page, ordinal) AS rn FROM pages_)
+    SELECT object_id, page, ordinal FROM ranked WHERE rn = 1""")
 def page_union(t: Tables):
-    pages = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("object_id"))
-    return readers.union_pages(pages, "object_id").withColumn("copies", F.lit(1).cast("bigint"))
+    return readers.union_pages(t.sql(_PAGES), "object_id")
 
 
 _RAW_PERMIT = """SELECT record_id AS recordid, block, lot,

@@ -52,9 +52,14 @@ def required_source(df: DataFrame | None, source: str) -> DataFrame:
     return df
 
 
-def union_pages(pages: DataFrame, key: str = "OBJECTID") -> DataFrame:
-    """All pages as one table, a row that two pages repeat kept once."""
-    return pages.dropDuplicates([key])
+def union_pages(pages: DataFrame, key: str = "OBJECTID", order: tuple[str, ...] = ("page", "ordinal")) -> DataFrame:
+    """All pages as one table: of rows that repeat a key the first by `order` stays, rows without a key all stay."""
+    at = F.struct(*[F.col(c) for c in order])
+    rest = [c for c in pages.columns if c != key]
+    # A row without a key is told apart by its place instead.
+    marked = pages.withColumn("_place", F.when(F.col(key).isNull(), at))
+    kept = marked.groupBy(key, "_place").agg(F.min_by(F.struct(*rest), at).alias("_row"))
+    return kept.select(key, "_row.*").select(*pages.columns)
 
 
 def multi_polygon(geometry):
@@ -65,11 +70,26 @@ def multi_polygon(geometry):
     )
 
 
-def _features(spark: SparkSession, path: str, fields) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """JSON files with their name as `page`. A file that is no JSON stops the job, or is left to `file_faults`."""
+    reader = spark.read.schema(f"{schema}, _broken string").option("multiLine", True)
+    if strict:
+        reader = reader.option("mode", "FAILFAST")
+    rows = reader.option("columnNameOfCorruptRecord", "_broken").json(path).withColumn("page", F.col("_metadata.file_path"))
+    return rows.filter("_broken is null").drop("_broken")
+
+
+def file_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(source, reason): one row per JSON file that cannot be read as such."""
+    raw = spark.read.schema("_any string, _broken string").option("multiLine", True).option(
+        "columnNameOfCorruptRecord", "_broken").json(path).withColumn("source", F.col("_metadata.file_name"))
+    return raw.filter("_broken is not null and _any is null").select("source", F.lit("malformed file").alias("reason")).distinct()
+
+
+def _features(spark: SparkSession, path: str, fields, strict: bool = True) -> DataFrame:
     properties = ",".join(f"`{name}`:string" for name in fields)
     schema = f"features array<struct<properties:struct<{properties}>,geometry:{_GEOMETRY}>>"
-    pages = spark.read.schema(schema).option("multiLine", True).json(path)
-    return pages.select(F.input_file_name().alias("page"), F.posexplode("features").alias("ordinal", "f")).select(
+    return read_json(spark, path, schema, strict).select("page", F.posexplode("features").alias("ordinal", "f")).select(
         "page", "ordinal", "f.properties.*", F.col("f.geometry").alias("geometry")
     )
 
@@ -93,8 +113,9 @@ def distil_parcels(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_parcels(spark: SparkSession, path: str) -> DataFrame:
-    parcels = distil_parcels(union_pages(_features(spark, path, PARCEL_FIELDS)))
+def read_parcels(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """All pages' parcels. A broken page stops the job; without `strict` it is left out and named by `file_faults`."""
+    parcels = distil_parcels(union_pages(_features(spark, path, PARCEL_FIELDS, strict)))
     parcels = parcels.withColumn("polygon", multi_polygon(F.col("geometry"))).drop("geometry")
     centre = geo.area_centroid(F.col("polygon"))
     return parcels.withColumn("_c", centre).withColumn("lon", F.col("_c.lon")).withColumn("lat", F.col("_c.lat")).drop("_c")
@@ -113,11 +134,9 @@ def distil_permits(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_permits(spark: SparkSession, path: str) -> DataFrame:
-    schema = "recordid string, block string, lot string, permitdate string, permittypedesc string, " \
-             "permittype string, constcost string, _broken string"
-    raw = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
-    return distil_permits(raw.filter("_broken is null").drop("_broken"))
+def read_permits(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    schema = "recordid string, block string, lot string, permitdate string, permittypedesc string, permittype string, constcost string"
+    return distil_permits(read_json(spark, path, schema, strict))
 
 
 def distil_sales(lines: DataFrame, muns=None) -> DataFrame:
@@ -217,9 +236,9 @@ def read_acs(spark: SparkSession, path: str) -> DataFrame:
     ).select("geoid", "r.*")
 
 
-def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
+def read_boundaries(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Block-group polygons in service order; no id or no usable ring drops the feature."""
-    rows = _features(spark, path, BOUNDARY_FIELDS).filter("GEOID is not null and GEOID != ''")
+    rows = _features(spark, path, BOUNDARY_FIELDS, strict).filter("GEOID is not null and GEOID != ''")
     polygon = multi_polygon(F.col("geometry"))
     return rows.select(
         F.col("GEOID").alias("geoid"), F.struct("page", "ordinal").alias("ordinal"), polygon.alias("polygon")
@@ -241,10 +260,8 @@ def read_portal_history(spark: SparkSession, path: str | None) -> DataFrame | No
     """Portal property pages; None when no snapshot was collected, which means unknown for every door."""
     if path is None:
         return None
-    return (
-        spark.read.schema(f"properties array<struct<{_PROPERTY}>>").option("multiLine", True).json(path)
-        .select(F.posexplode("properties").alias("ordinal", "p")).select("ordinal", "p.*")
-    )
+    pages = read_json(spark, path, f"properties array<struct<{_PROPERTY}>>")
+    return pages.select(F.posexplode("properties").alias("ordinal", "p")).select("ordinal", "p.*")
 
 
 def portal_applications(pages: DataFrame) -> DataFrame:
@@ -269,9 +286,7 @@ def with_page_state(doors: DataFrame, pages: DataFrame | None) -> DataFrame:
 
 def read_roof_permits(spark: SparkSession, path: str) -> DataFrame:
     record = f"{_PERMIT},detail_page:struct<comments:string,description:string>"
-    pages = spark.read.schema(
-        f"properties array<struct<pams_pin:string,block:string,lot:string,permits:array<struct<{record}>>>>"
-    ).option("multiLine", True).json(path)
+    pages = read_json(spark, path, f"properties array<struct<pams_pin:string,block:string,lot:string,permits:array<struct<{record}>>>>")
     rows = pages.select(F.explode("properties").alias("p")).select(
         "p.pams_pin", F.posexplode("p.permits").alias("ordinal", "r")
     )
@@ -322,7 +337,7 @@ def stale_versions(published: DataFrame, current: str = "v2") -> DataFrame:
 
 
 def read_published(spark: SparkSession, doors_path: str, evidence_path: str, current: str = "v2"):
-    """(doors, evidence), refused when any row is of another contract version."""
+    """(doors, evidence): both must be there, and every row of the current contract version."""
     doors, evidence = spark.read.parquet(doors_path), spark.read.parquet(evidence_path)
     if not stale_versions(doors, current).isEmpty():
         raise ValueError(f"published rows of another score contract than {current}")

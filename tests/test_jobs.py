@@ -204,9 +204,6 @@ def test_features(published, spark):
     assert set(two["properties"]) == {
         "PAMS_PIN", "score", "confidence", "evidence", "situs", "exclusion_reason", "score_contract_version", "categories", "base",
         "mover", "mover_lift", "rental_modifier", "adjustment", "data_gaps"}
-    pieces = publish.door_features(doors, evidence, shape, part_size=2).filter("pams_pin = 'G-002'").orderBy("part").collect()
-    whole = [e for p in pieces for e in json.loads(p.feature)["properties"]["evidence"]]
-    assert [p.part for p in pieces] == [0, 1, 2] and whole == two["properties"]["evidence"]
     parcel = spark.createDataFrame([(1, 1, None), (1, 2, [[[[0.0, 0.0]]]])], "territory_id int, territory_rank int, polygon array<array<array<array<double>>>>")
     for name in publish.TERRITORY_PROPERTIES:
         parcel = parcel.withColumn(name, F.lit("x"))
@@ -246,17 +243,23 @@ def test_private_fields_go(spark):
     assert df.select(history.strip_private(F.col("m")).alias("m")).first().m == {"agent_count": "3", "roof": "4"}
 
 
-def test_a_property_with_many_permits_continues_in_parts(spark):
+def test_private_fields_go_at_any_depth(spark):
+    df = spark.sql("""select 1 as id, 'x' as OWNER, named_struct('agent', 'a', 'keep', array(named_struct('Mailing', 'm', 'roof', 1)),
+        'more', map('permit_agent', named_struct('z', 1), 'ok', named_struct('z', 2))) as page""")
+    assert history.without_private(df).first().asDict(recursive=True) == {
+        "id": 1, "page": {"keep": [{"roof": 1}], "more": {"ok": {"z": 2}}}}
+
+
+def test_a_property_with_many_permits_is_one_record(spark):
     key = "territory_id int, pams_pin string, "
-    permits_ = spark.createDataFrame([(1, "p", i, f"u{i}", str(i), None, "property_page", None) for i in range(25)],
+    permits_ = spark.createDataFrame([(1, "p", i, f"u{i}", str(i), None, "property_page", None) for i in range(5000)],
                                      key + "ordinal long, detail_url string, permit_number string, work_description string, "
                                      "source_scope string, roof_detail string")
     doors = spark.createDataFrame([(1, "p"), (1, "q")], "territory_id int, pams_pin string")
     pages = spark.createDataFrame([(1, "p", "collected")], key + "collection_status string")
-    rows = history.property_history(doors, pages, permits_, part_size=10).orderBy("pams_pin", "part").collect()
-    assert [(r.pams_pin, r.part, len(r.permits), r.collection_status) for r in rows] == [
-        ("p", 0, 10, "collected"), ("p", 1, 10, "collected"), ("p", 2, 5, "collected"), ("q", 0, 0, "not_collected")]
-    assert [x.ordinal for r in rows for x in r.permits] == list(range(25))
+    rows = history.property_history(doors, pages, permits_).orderBy("pams_pin").collect()
+    assert [(r.pams_pin, len(r.permits), r.collection_status) for r in rows] == [("p", 5000, "collected"), ("q", 0, "not_collected")]
+    assert [x.ordinal for r in rows for x in r.permits] == list(range(5000))
 
 
 def test_page_identity(spark):

@@ -201,3 +201,21 @@ def test_money_and_status(spark):
     assert column(spark, text.portal_disposition, ["CO/CCO and Close Date Issued", "Closed with Date", "Certificate (TCO) Issued",
                                                    "STALE", "Permit Denied", "", None]) == [
         "completed", "completed", None, "expired", "denied", None, None]
+
+
+def test_rows_without_key_stay_and_first_page_wins(spark):
+    rows = [("a", 0, "1", "x"), ("a", 1, None, "y"), ("b", 0, "1", "late"), ("b", 1, None, "z"), ("b", 2, None, "z")]
+    got = readers.union_pages(spark.createDataFrame(rows, "page string, ordinal int, OBJECTID string, v string"))
+    assert sorted((r.OBJECTID or "", r.v) for r in got.collect()) == [("", "y"), ("", "z"), ("", "z"), ("1", "x")]
+
+
+def test_a_broken_page_stops_the_job_or_is_named(spark, tmp_path):
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    page = {"features": [{"properties": {"PAMS_PIN": "p", "PCLBLOCK": "1", "PCLLOT": "2"}, "geometry": None}]}
+    (folder / "1.json").write_text(json.dumps(page))
+    (folder / "2.json").write_text('{"features": [{"properties": {"PAMS_PIN"')
+    with pytest.raises(Exception):
+        readers.read_parcels(spark, str(folder)).collect()
+    assert [r.pams_pin for r in readers.read_parcels(spark, str(folder), strict=False).collect()] == ["p"]
+    assert [tuple(r) for r in readers.file_faults(spark, str(folder)).collect()] == [("2.json", "malformed file")]
