@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from doorlens.plans import aggregates, filters, graphs, jobs, joins, scalars, scans, windows  # noqa: F401
+    from doorlens.plans import aggregates, filters, graphs, jobs, joins, landed, scalars, scans, windows  # noqa: F401
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
