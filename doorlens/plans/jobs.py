@@ -91,12 +91,6 @@ def score_inputs(t: Tables) -> dict:
     }
 
 
-def only(t: Tables, *kept: str) -> dict:
-    """The scorer's tables with all but the named sources left empty, for looking at one category."""
-    tables = score_inputs(t)
-    return {n: df if n == "doors" or n in kept else df.filter(F.lit(False)) for n, df in tables.items()}
-
-
 SCORE_SQL = f"""{PROJECT_SQL}, {NEAR_SQL}, {SALES_FACTS_SQL}, {VISION_SQL},
     comps AS (SELECT pams_pin, count(*) AS comps, median(value) AS comp_median FROM near GROUP BY pams_pin),
     list AS (SELECT territory_id, net_value AS value FROM v_parcel WHERE prop_class = '2' AND net_value > 0 AND lon IS NOT NULL),
@@ -231,7 +225,7 @@ def project_category(t: Tables):
     CAST(local_pts AS BIGINT) AS local_points, CAST(pct_pts AS BIGINT) AS percentile_points, CAST(acs_pts AS BIGINT) AS acs_points
     FROM scored""")
 def capacity_category(t: Tables):
-    wide = engine.score(**only(t, "comparables", "values"))["wide"]
+    wide = engine.score(**score_inputs(t))["wide"]
     return wide.select("pams_pin", *[F.col(c).cast("bigint").alias(c) for c in (
         "capacity", "local_points", "percentile_points", "acs_points")])
 
@@ -240,7 +234,7 @@ def capacity_category(t: Tables):
     CAST(home_pts AS BIGINT) AS home_points, CAST(decline_pts AS BIGINT) AS decline_points, CAST(pool_pts AS BIGINT) AS pool_points,
     CAST(solar_pts AS BIGINT) AS solar_points, CAST(lot_pts AS BIGINT) AS lot_points FROM scored""")
 def fit_category(t: Tables):
-    wide = engine.score(**only(t, "permits", "observed"))["wide"]
+    wide = engine.score(**score_inputs(t))["wide"]
     return wide.select("pams_pin", *[F.col(c).cast("bigint").alias(c) for c in (
         "fit", "roof_points", "home_points", "decline_points", "pool_points", "solar_points", "lot_points")])
 
@@ -250,7 +244,7 @@ def fit_category(t: Tables):
     SELECT pams_pin, last_sale IS NOT NULL AS mover_eligible, coalesce(days, -1) AS days_since_move,
         round({STRENGTH_SQL.format(d='days')}, 6) AS mover_strength, invalid > 0 AS has_invalid_sale FROM m""")
 def mover(t: Tables):
-    wide = engine.score(**only(t, "sales"))["wide"]
+    wide = engine.score(**score_inputs(t))["wide"]
     return wide.select(
         "pams_pin", "mover_eligible", F.coalesce("days_since_move", F.lit(-1)).cast("bigint").alias("days_since_move"),
         F.round("mover_strength", 6).alias("mover_strength"),
@@ -261,19 +255,19 @@ def mover(t: Tables):
 @query("x8_rental_modifier", f"""WITH {SCORE_SQL} SELECT pams_pin, CAST(rental_modifier AS BIGINT) AS rental_modifier,
     rent_stale AS rental_stale FROM scored""")
 def rental_modifier(t: Tables):
-    wide = engine.score(**only(t, "sales", "rental"))["wide"]
+    wide = engine.score(**score_inputs(t))["wide"]
     return wide.select("pams_pin", F.col("rental_modifier").cast("bigint").alias("rental_modifier"), "rental_stale")
 
 
 @query("x9_data_gaps", f"""WITH {SCORE_SQL} SELECT pams_pin, unnest(string_split(gaps, ',')) AS gap FROM scored WHERE gaps <> ''""")
 def data_gaps(t: Tables):
-    return engine.score(**only(t, "comparables", "values"))["gaps"].select("pams_pin", "gap")
+    return engine.score(**score_inputs(t))["gaps"].select("pams_pin", "gap")
 
 
 @query("x10_feature_corroboration", f"""WITH {SCORE_SQL} SELECT pams_pin, CASE WHEN pool_permits > 0 AND img_on AND pool_img THEN 'both'
     WHEN pool_permits > 0 THEN 'permit' ELSE 'imagery' END AS pool_basis FROM scored WHERE pool_pts > 0""")
 def feature_corroboration(t: Tables):
-    evidence = engine.score(**only(t, "permits", "observed"))["evidence"].filter("type = 'fit_pool'")
+    evidence = engine.score(**score_inputs(t))["evidence"].filter("type = 'fit_pool'")
     basis = F.when(F.col("reason").contains("confirmed in aerial imagery"), "both").when(
         F.col("reason").contains("visible in aerial imagery"), "imagery").otherwise("permit")
     return evidence.select("pams_pin", basis.alias("pool_basis"))
@@ -296,16 +290,15 @@ def doors_table(t: Tables):
     )
 
 
-@query("w11_roof_extract", f"""WITH {PROJECT_SQL}, aged AS (SELECT pams_pin, roof_when, 2001 - extract(year FROM roof_when)
-        - CASE WHEN extract(month FROM roof_when) * 100 + extract(day FROM roof_when) > 630 THEN 1 ELSE 0 END AS age FROM per_door
-        WHERE roof_when IS NOT NULL)
-    SELECT pams_pin, CAST(roof_when AS STRING) AS roof_installed, CAST(age AS BIGINT) AS roof_age_years FROM aged""")
+@query("w11_roof_extract", f"""WITH {SCORE_SQL} SELECT s.territory_id, CAST(roof_pts AS DOUBLE) AS roof_points, v.situs AS address,
+    CAST(roof_when AS STRING) AS roof_installed, CAST(roof_age AS BIGINT) AS roof_age_years, CAST(score AS BIGINT) AS house_score
+    FROM scored s JOIN v_situs v ON s.pams_pin = v.pams_pin WHERE roof_pts > 0""")
 def roof_extract(t: Tables):
-    wide = engine.score(**only(t, "permits"))["wide"]
-    return wide.filter("roof_when is not null").select(
-        "pams_pin", F.col("roof_when").cast("string").alias("roof_installed"),
-        F.col("roof_age").cast("bigint").alias("roof_age_years"),
-    )
+    out = engine.score(**score_inputs(t))
+    doors = out["wide"].join(t.v_situs.select("pams_pin", "situs"), "pams_pin")
+    return publish.roof_extract(out["evidence"], doors).select(
+        "territory_id", F.col("roof_points").cast("double").alias("roof_points"), "address", F.col("roof_installed").cast("string").alias("roof_installed"),
+        F.col("roof_age_years").cast("bigint").alias("roof_age_years"), F.col("house_score").cast("bigint").alias("house_score"))
 
 
 # --- reports ----------------------------------------------------------------------------------------
@@ -317,7 +310,7 @@ def roof_extract(t: Tables):
     FROM v_parcel p LEFT JOIN per_door d ON p.pams_pin = d.pams_pin LEFT JOIN sale_facts s ON p.pams_pin = s.pams_pin
     GROUP BY p.territory_id""")
 def exclusion_counts(t: Tables):
-    return report.exclusions(engine.score(**only(t, "permits", "sales"))["evidence"])
+    return report.exclusions(engine.score(**score_inputs(t))["evidence"])
 
 
 @query("x11_score_report", f"""WITH miss AS (SELECT territory_id, string_agg(gap || '=' || CAST(n AS STRING), ',' ORDER BY gap)
@@ -490,7 +483,7 @@ assert keys and resolve
 def evidence_sentences(t: Tables):
     kinds = ("fit_home_age", "fit_lot", "project_neutralized", "project_cap_adjustment", "mover_invalid_sale",
              "rental_registration", "rental_stale")
-    evidence = engine.score(**only(t, "permits", "sales", "rental"))["evidence"]
+    evidence = engine.score(**score_inputs(t))["evidence"]
     return evidence.filter(F.col("type").isin(*kinds)).select("pams_pin", "type", "reason")
 
 
