@@ -5,7 +5,10 @@ location offers only its first k+1 ids, since no answer can need more of them. C
 come from a grid that is halved level by level over the extent of each territory;
 a subject works at the finest level where its own cell holds more than k points, so
 dense places get small cells and thin places large ones. All k nearest then lie within
-the far corner of that cell, and only cells that touch that circle are probed. The answer
+the far corner of that cell, and only cells that touch that circle are probed. A subject whose
+circle would take in far more than k places (a lone one beside a town, one at the edge of a crowd)
+descends from the root instead, cell by cell: the far corner of any cell that holds more than k
+bounds its search, cells beyond the bound are left, and only small cells are read. The answer
 equals a full comparison; no partner is cut off.
 
 Point in polygon. A polygon is filed under the one level whose cell side is at least its
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from doorlens.functions import geo
 from doorlens.operators.ordering import top_per_key
+from doorlens.session import cut_lineage
 
 
 def _cell(value: Column, origin: Column, side: Column) -> Column:
@@ -155,6 +159,16 @@ def nearest_neighbours(
             *cell, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), F.when(~whole, F.col("reach_m")).alias("reach_m")
         )
     )
+    most = 9 * crowd * (k + 1)
+    costly = (
+        probes.join(filled, cell).groupBy(group, "s_lon", "s_lat").agg(F.sum("held").alias("_read")).filter(F.col("_read") > most)
+        .select(group, "s_lon", "s_lat")
+    )
+    costly = cut_lineage(costly)
+    if not costly.isEmpty():
+        probes = probes.join(costly, [group, "s_lon", "s_lat"], "left_anti").unionByName(
+            _descend(costly, extent, filled, cell, group, k, crowd * (k + 1), extra_levels, geo.DEGREE * radius)
+        )
 
     distance = geo.equirectangular_m(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"), radius)
     pairs = (
@@ -184,6 +198,62 @@ def nearest_neighbours(
     )
 
 
+def _descend(
+    subjects: DataFrame, extent: DataFrame, filled: DataFrame, cell: list[str], group: str, k: int, small: int, extra_levels: int, metres: float
+) -> DataFrame:
+    """(cell..., s_lon, s_lat, reach_m): the small cells that can hold one of a subject's k nearest, found from the root down.
+
+    Each round goes one level deeper for all subjects at once. A subject's bound is the least far
+    corner distance of any cell seen with more than k places; a cell whose near side lies beyond it is left.
+    """
+    subject = [group, "s_lon", "s_lat"]
+    upper = (
+        filled.join(extent.select(group, "topmost"), group).filter(F.col("level") == F.col("topmost")).filter("topmost > 0")
+        .withColumn("up", F.explode(F.sequence(F.lit(1), F.col("topmost")))).withColumn("step", F.pow(F.lit(2.0), F.col("up")))
+        .select(group, (F.col("topmost") - F.col("up")).alias("level"), F.floor(F.col("cx") / F.col("step")).alias("cx"),
+                F.floor(F.col("cy") / F.col("step")).alias("cy"), "held")
+        .groupBy(*cell).agg(F.sum("held").alias("held"))
+    )
+    lower = filled.join(extent.select(group, "topmost"), group).filter(F.col("level") >= F.col("topmost")).select(*cell, "held")
+    counts = cut_lineage(lower.unionByName(upper))
+    frontier = cut_lineage(
+        subjects.join(extent, group).select(
+            *subject, "x0", "y0", "root", "thin", "thick", "topmost", "deepest", F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"),
+            F.lit(float("inf")).alias("bound"))
+    )
+    every = Window.partitionBy(*subject)
+    found = None
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
+        below = counts.filter(F.col("level") == level).select(
+            group, F.col("cx").alias("nx"), F.col("cy").alias("ny"), "held", F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy"))
+        side = F.col("root") / float(2**level)
+        low_x, low_y = F.col("x0") + F.col("nx") * side, F.col("y0") + F.col("ny") * side
+        far_x = F.greatest(F.abs(F.col("s_lon") - low_x), F.abs(low_x + side - F.col("s_lon")))
+        far_y = F.greatest(F.abs(F.col("s_lat") - low_y), F.abs(low_y + side - F.col("s_lat")))
+        gap_x = F.greatest(low_x - F.col("s_lon"), F.col("s_lon") - low_x - side, F.lit(0.0))
+        gap_y = F.greatest(low_y - F.col("s_lat"), F.col("s_lat") - low_y - side, F.lit(0.0))
+        near = F.sqrt(F.pow(gap_x * F.col("thin"), 2) + gap_y * gap_y)
+        far = F.sqrt(F.pow(far_x * F.col("thick"), 2) + far_y * far_y) * (1.0 + 1e-9)
+        step = (
+            frontier.join(below, [group, "cx", "cy"]).withColumns({"near": near, "far": far})
+            .withColumn("bound", F.least("bound", F.coalesce(F.min(F.when(F.col("held") > k, F.col("far"))).over(every), F.lit(float("inf")))))
+            .filter(F.col("near") <= F.col("bound") * (1.0 + 1e-6))
+            .withColumn("leaf", (F.lit(level) >= F.col("topmost")) & ((F.col("held") <= small) | (F.lit(level) >= F.col("deepest") + extra_levels)))
+            .drop("cx", "cy", "far", "held").withColumnsRenamed({"nx": "cx", "ny": "cy"})
+        )
+        step = cut_lineage(step)
+        leaves = step.filter("leaf").select(*subject, F.lit(level).alias("level"), "cx", "cy", "near", "bound")
+        found = leaves if found is None else found.unionByName(leaves)
+        frontier = step.filter(~F.col("leaf")).drop("leaf", "near")
+    final = Window.partitionBy(*subject)
+    return (
+        found.withColumn("bound", F.min("bound").over(final)).filter(F.col("near") <= F.col("bound") * (1.0 + 1e-6))
+        .select(*cell, "s_lon", "s_lat", F.when(F.col("bound") < float("inf"), F.col("bound") * (metres * (1.0 + 1e-6))).alias("reach_m"))
+    )
+
+
 def valid_single_family(parcels: DataFrame) -> DataFrame:
     return parcels.filter(
         (F.trim(F.coalesce("prop_class", F.lit(""))) == "2") & (F.col("net_value") > 0) & F.col("lon").isNotNull()

@@ -181,3 +181,19 @@ def test_territory_selection_ignores_input_order(spark):
         got = spatial.select_territory(df.orderBy(F.rand(seed)).repartition(3), anchor).collect()
         answers.add(tuple(r.pams_pin for r in sorted(got, key=lambda r: r.territory_rank)))
     assert len(answers) == 1 and len(answers.pop()) == 50
+
+
+def test_lone_subjects_beside_a_crowd_read_few_places(spark, monkeypatch):
+    """Lone places next to a dense town descend to small cells; answers equal a full comparison."""
+    rnd = random.Random(11)
+    rows = [("g", f"d{i:04d}", -74.0 + rnd.gauss(0, 1e-3), 41.0 + rnd.gauss(0, 1e-3)) for i in range(900)] + [
+        ("g", f"l{i:02d}", -74.5 + rnd.random(), 40.5 + rnd.random()) for i in range(25)]
+    df = spark.createDataFrame(rows, "territory_id string, pams_pin string, lon double, lat double")
+    seen = []
+    descend = spatial._descend
+    monkeypatch.setattr(spatial, "_descend", lambda subjects, *rest: seen.append(subjects.count()) or descend(subjects, *rest))
+    got = {}
+    for r in spatial.nearest_neighbours(df, df, 3, crowd=2).orderBy("rank").collect():
+        got.setdefault((r.territory_id, r.pams_pin), []).append(r.neighbour)
+    assert got == brute(rows, 3)
+    assert seen and 10 <= seen[0] < 900
