@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doorlens.functions import geo
-from doorlens.functions.text import safe_rate  # noqa: F401
 from doorlens.operators.ordering import ranked_histogram
 from doorlens.operators.spatial import nearest_neighbours, within_reach
 from doorlens.session import cut_lineage
@@ -137,12 +136,13 @@ def prune_spurs(edges: DataFrame, shorter_than: float = SPUR_MIN_M, max_rounds:
             if walk.isEmpty():
                 break
         # Members of a short branch are few: each edge has some length and the branch has less than the limit.
-        from pyspark.sql import Window
-
-        order = F.row_number().over(Window.partitionBy("junction").orderBy("leaf"))
-        at_junction = ended.filter("junction is not null").withColumn("_n", order).filter(
-            F.col("_n") <= F.col("degree") - 2
-        ).drop("_n")
+        # Of m short branches all but m - (degree - 2) go, two at most: the largest ids, found by plain maxima.
+        short_ends = ended.filter("junction is not null")
+        last = short_ends.groupBy("junction").agg(F.count(F.lit(1)).alias("_m"), F.max("leaf").alias("_last"))
+        second = short_ends.join(last, "junction").filter("leaf != _last").groupBy("junction").agg(F.max("leaf").alias("_second"))
+        keeps = F.col("_m") - F.col("degree") + 2
+        stays = ((keeps >= 1) & (F.col("leaf") == F.col("_last"))) | ((keeps >= 2) & F.coalesce(F.col("leaf") == F.col("_second"), F.lit(False)))
+        at_junction = short_ends.join(last, "junction").join(second, "junction", "left").filter(~stays).select(*ended.columns)
         gone = cut_lineage(
             at_junction.unionByName(ended.filter("junction is null")).select(F.explode("members").alias("id")).distinct()
         )

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from doorlens.functions import dates, text
 from doorlens.operators import history, imagery, outcomes, permits, publish, report, resolve
-from doorlens.operators.ordering import first_per_key
 from doorlens.operators.spatial import nearest_comparables, valid_single_family
 from doorlens.plans.analogs import AS_OF, AS_OF_SQL, Tables
 from doorlens.plans.joins import (
     DEED_SQL, ENRICHED_SQL, LATEST_SQL, NEAR_SQL, ROUTED_SQL, _match_sql, matched, routed, territory,
 )
 from doorlens.plans.registry import query
-from doorlens.plans.scalars import SALE_KEY_SQL, deed_sql
+from doorlens.plans.scalars import deed_sql
 from doorlens.scoring import engine, facts
 
 A = AS_OF_SQL
@@ -412,4 +410,3 @@ def doors_per_street(t: Tables):
     return resolve.doors_per_street(t.v_situs).select("territory_id", "street", "doors")
 
 
-assert SALE_KEY_SQL and dates and text and first_per_key

@@ -125,7 +125,18 @@ def walk_paths(t: Tables):
     return found.select("source", "node").join(walked, ["source", "node"], "left").withColumn("metres", F.coalesce("metres", F.lit(0.0)))
 
 
-@query("n2_prune_spurs")
+# Here every edge is at least 6 m and every street edge at least 21 m, so a short branch is one edge; longer ones are in the tests.
+@query("n2_prune_spurs", """WITH RECURSIVE prune(round, src, dst, metres) AS (
+        SELECT 0, least(src, dst), greatest(src, dst), min(metres) FROM v_edge WHERE src <> dst GROUP BY least(src, dst), greatest(src, dst)
+        UNION ALL
+        SELECT round + 1, src, dst, metres FROM (
+            WITH ends AS (SELECT src AS a, dst AS b, metres FROM prune UNION ALL SELECT dst, src, metres FROM prune),
+                degrees AS (SELECT a, count(*) AS n FROM ends GROUP BY a),
+                stubs AS (SELECT e.a AS leaf, e.b AS far, f.n AS degree, row_number() OVER (PARTITION BY e.b ORDER BY e.a) AS rn
+                          FROM ends e JOIN degrees l ON e.a = l.a AND l.n = 1 JOIN degrees f ON e.b = f.a WHERE e.metres < 25.0 AND f.n <> 2),
+                gone AS (SELECT leaf AS id FROM stubs WHERE degree = 1 OR rn <= degree - 2 UNION SELECT far FROM stubs WHERE degree = 1)
+            SELECT p.* FROM prune p WHERE EXISTS (SELECT 1 FROM gone)
+                AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.id = p.src) AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.id = p.dst)) AS next_)
+    SELECT src, dst, metres FROM prune WHERE round = (SELECT max(round) FROM prune)""")
 def prune_spurs(t: Tables):
-    """No SQL: rounds of removal. Checked against hand-made graphs in the tests."""
     return graph.prune_spurs(t.v_edge)

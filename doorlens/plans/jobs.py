@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from doorlens.functions import keys
 from doorlens.operators import filters, history, imagery, outcomes, permits, publish, report, resolve, route, spatial
 from doorlens.plans.aggregates import (
     OUTCOME_SQL, PROJECT_SQL, RATES, RATES_SQL, ACCOUNT_SQL, VISION_SQL, _GAPS, resolved, scorer_permits,
@@ -460,7 +459,6 @@ def score_report_json(t: Tables):
     )
 
 
-assert keys and resolve
 
 
 # --- sentences, features and the manifest --------------------------------------------------------------

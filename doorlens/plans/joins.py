@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from doorlens.functions import dates, keys, text
 from doorlens.operators import filters, history, imagery, permits, resolve, spatial
 from doorlens.plans.analogs import AS_OF, AS_OF_SQL, Tables
 from doorlens.plans.registry import query
@@ -456,4 +455,3 @@ def duplicate_addresses(t: Tables):
     return history.duplicate_addresses(t.v_parcel_raw)
 
 
-assert keys and text and dates

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from doorlens.operators import imagery
@@ -172,4 +170,3 @@ def stale_versions(t: Tables):
     return readers.stale_versions(t.v_door_score)
 
 
-assert dt.date(2001, 6, 30) == AS_OF

@@ -125,4 +125,3 @@ def sales_newest_first(t: Tables):
     ).select("ordinal", F.col("position").cast("bigint").alias("position"))
 
 
-assert AS_OF

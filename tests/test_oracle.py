@@ -15,7 +15,7 @@ SOME = (
     "a2_permit_accounting", "a10_midrank_percentile", "a15_deciles", "a22_detection_signals", "a24_band_lift",
     "c2_normalize_address", "c3_parcel_key", "f9_roof_flags", "j2_permit_address_fallback", "j6_deed_merge",
     "j7_point_in_polygon", "j10_nearest_comparables", "j14_statewide_coalesce", "j17_integrity_violations",
-    "j23_suggest_doors", "n3_components", "n4_shortest_paths", "s5_read_sr1a", "s15_detection_contract",
+    "j23_suggest_doors", "n2_prune_spurs", "n3_components", "n4_shortest_paths", "s1_read_parcels", "s12_read_portal_history", "k8_replace_published", "s5_read_sr1a", "s15_detection_contract",
     "w1_select_territory", "w4_evidence_sequence", "x1_resolve_doors", "x3_score_doors", "x12_identity_scan",
     "x16_plan_routes",
 )
@@ -41,8 +41,8 @@ def test_query(spark, con, name):
     assert status in ("ok", "rows"), f"{status}: {got} rows against {want} {note}"
 
 
-def test_every_query_but_pruning_has_sql():
-    assert set(registry.all_queries()) - set(registry.all_sql()) == {"n2_prune_spurs"}
+def test_every_query_has_sql():
+    assert set(registry.all_queries()) == set(registry.all_sql())
 
 
 def test_entry(spark):
