@@ -168,9 +168,15 @@ def train(corpus: list[str], rounds: int = 300, rate: float = 2.0, decay: float
 
 
 def corpus_sample(docs: DataFrame, text: str, bound: int = CORPUS_SAMPLE) -> list[str]:
-    """At most `bound` paragraphs, one of each of the documents that come first by a hash of their text."""
+    """At most `bound` paragraphs, one of each of the documents that come first by a hash of their text.
+
+    Rows well beyond the bound are passed over by their hash, so each task hands on few.
+    """
+    share = min(1.0, 2.0 * bound / max(1, docs.count()))
     line = F.element_at(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), 1)
-    rows = docs.select(F.xxhash64(F.col(text)).alias("h"), F.substring(line, 1, 2000).alias("line")).orderBy("h", "line").limit(bound).collect()
+    drawn = docs.select(F.xxhash64(F.col(text)).alias("h"), F.substring(line, 1, 2000).alias("line")).filter(
+        F.shiftrightunsigned("h", 1) / float(1 << 63) < share)
+    rows = drawn.orderBy("h", "line").limit(bound).collect()
     return [r["line"] for r in rows]
 
 
