@@ -146,8 +146,10 @@ def apply_quality_rules(docs: DataFrame, text: str = "text", host: str = "source
     A text that loses no line is left as it is. Column `n_chars`, if there, follows the text.
     """
     columns = docs.columns
-    keyed = packed(docs).select(ROW, *_identity(field(text), field(host)), measures(field(text)).alias("m"))
-    keyed = keyed.filter(~base_failed(F.col("m"))).select(ROW, "host", "k1", "k2", F.col("m.n_words").alias("n_words"))
+    # The running number keeps the filter above this projection: below it, the measures would be worked out twice.
+    keyed = packed(docs).select(
+        ROW, *_identity(field(text), field(host)), measures(field(text)).alias("m"), F.monotonically_increasing_id().alias("number"))
+    keyed = keyed.filter(~base_failed(F.col("m")) & (F.col("number") >= 0)).select(ROW, "host", "k1", "k2", F.col("m.n_words").alias("n_words"))
     gone = line_verdicts(docs, text, host, limits)
     kept = keyed.join(gone, ["host", "k1", "k2"], "left").filter(~_depleted(F.col("n_words"), F.col("gone_words"), limits))
     short = lambda line: F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) < limits.max_line_words
