@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -34,8 +35,9 @@ RAW = frozenset("script style template".split())
 #: What a start tag closes if it is open, up to the nearest of the elements that hold it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Start tags that leave an open paragraph open: whatever is no block.
+#: Start tags that leave an open paragraph open, and the blocks that an open paragraph therefore never lies beneath.
 KEEPS_P = frozenset("button iframe noscript option select textarea".split())
+NOT_IN_P = tuple(BLOCK - KEEPS_P - {"p"}) + ("button",)
 
 
 @dataclass
@@ -62,6 +64,7 @@ class _Builder(HTMLParser):
         self.page = Page()
         self.stack = [self._node(-1, "#root", (), None, None)]
         self.raw = 0
+        self.open: Counter[str] = Counter()
 
     def _node(self, parent: int, tag: str, names: tuple[str, ...], text: str | None, label: str | None) -> int:
         page = self.page
@@ -76,13 +79,15 @@ class _Builder(HTMLParser):
     def _pop_to(self, at: int) -> None:
         if any(self.page.tag[n] in BLOCK for n in self.stack[at:]):
             self.page.events.append(-1)
-        if self.raw and any(self.page.tag[n] in RAW for n in self.stack[at:]):
-            self.raw = sum(self.page.tag[n] in RAW for n in self.stack[:at])
+        self.open.subtract(self.page.tag[n] for n in self.stack[at:])
+        self.raw = sum(self.open[tag] for tag in RAW)
         del self.stack[at:]
 
     def _open(self, tags: tuple[str, ...], until: tuple[str, ...]) -> int | None:
         """The outermost open element of `tags` that stands inside the nearest open one of `until`."""
         found = None
+        if not any(self.open[tag] for tag in tags):
+            return None
         for at in range(len(self.stack) - 1, 0, -1):
             tag = self.page.tag[self.stack[at]]
             if tag in tags:
@@ -93,7 +98,7 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
-            if tag not in KEEPS_P and (at := self._open(("p",), ("table", "button"))):
+            if tag not in KEEPS_P and (at := self._open(("p",), NOT_IN_P)):
                 self._pop_to(at)
             if tag in CLOSES and (at := self._open(CLOSES[tag], HOLDS[tag])):
                 self._pop_to(at)
@@ -106,12 +111,15 @@ class _Builder(HTMLParser):
         node = self._node(self.stack[-1], tag, names, None, given.get("data-label"))
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
             self.raw += tag in RAW
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             if self.page.tag[self.stack[at]] == tag:
                 self._pop_to(at)

@@ -68,7 +68,12 @@ def test_broken_pages_have_no_text(pages_model, html):
     assert text_of(pages_model, html) in ("", "<", "&", "<p")
 
 
+def test_raw_elements_inside_one_another(pages_model):
+    assert text_of(pages_model, "<article><p>a</p><template><script>x</script>y</template><p>b</p></article>") == "a\nb"
+
+
 def test_deep_and_long_pages(pages_model):
+    assert len(html_text.parse("<div>" * 50000 + "<p>x" + "</i>" * 50000 + "<p>y" * 2000).parent) == 54003
     assert text_of(pages_model, "<article>" + "<div>" * 3000 + "<p>deep</p>") in ("deep", "")
     assert text_of(pages_model, "<article><p>" + "word " * 200000 + "</p></article>").count("word") == 200000
 
