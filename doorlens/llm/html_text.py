@@ -162,7 +162,7 @@ def features(page: Page) -> tuple[list[str], list[int]]:
     out, owner = [], []
     for i in range(n):
         tag = page.tag[i]
-        found = [f"tag {tag}"]
+        found = [f"tag {tag}{' named' if page.names[i] else ''}"]
         # A text's length speaks once, through its block: below blocks, tags alone.
         if tag in BLOCK:
             found += [f"long {_bucket(length[i])}", f"linked {4 * linked[i] // (length[i] or 1)}"]
