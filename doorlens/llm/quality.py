@@ -1,12 +1,13 @@
 """Quality rules, on DataFrame functions alone: text measures, and line frequency across documents.
 
-A short line that stands in many different documents of one host is that host's furniture, not
-prose. Lines are normalised and hashed, the distinct documents holding each are counted per host,
+A line that stands in many different documents of one host is that host's furniture, however long
+it is. Lines are normalised and hashed, the distinct documents holding each are counted per host,
 lines above the host's limit are taken out, and a document of which too little is left is rejected.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,8 @@ class Limits:
 
     min_documents: int = 10
     share: float = 0.002
-    #: Longer lines are prose: copies of prose are the near-duplicate stage's matter.
-    max_line_words: int = 30
+    #: Lines with more words are left out of the count; by default none is.
+    max_line_words: float = math.inf
     #: A document is depleted with fewer words left, or a smaller part of its words.
     min_words_left: int = 25
     min_part_left: float = 0.5
@@ -85,7 +86,7 @@ def _identity(text: Column, host: Column) -> list[Column]:
 
 
 def frequent_lines(docs: DataFrame, text: str, host: str, limits: Limits) -> tuple[DataFrame, DataFrame]:
-    """Every short line of every document, and the (host, line) above their host's limit.
+    """Every line of every document, and the (host, line) above their host's limit.
 
     A document is its text: exact copies on one host count once.
     """

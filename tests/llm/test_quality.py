@@ -87,3 +87,13 @@ def test_empty_table(spark, work):
 def test_no_python_in_the_plan(spark):
     plan = quality.quality_report(frame(spark, awkward_docs()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_lines_are_furniture_too(spark):
+    """A notice of 40 words in every document of a host goes, as a short one does."""
+    rng = random.Random(5)
+    notice = " ".join(f"n{i}" for i in range(40))
+    rows = [(i, f"{prose(rng, 90)}\n{notice}", "en", "site", 0, 1, "x", "y", "z") for i in range(20)]
+    df = frame(spark, rows)
+    assert {(r.gone_lines, r.gone_words, r.kept) for r in quality.quality_report(df).collect()} == {(1, 40, True)}
+    assert sorted(r.text for r in quality.apply_quality_rules(df).collect()) == sorted(r[1].split("\n")[0] for r in rows)
