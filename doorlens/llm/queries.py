@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from doorlens.llm import chat, decontaminate, html_text, licences, mixing, quality, sharding, simhash, token_counts, token_files
+from doorlens.llm import chat, decontaminate, html_text, licences, mixing, quality, sharding, simhash, suffix_dedup, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,13 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_simhash_near_dedup, op3_decontaminate, op4_mix_sources, op5_format_chats, op6_token_files,
-    op7_shard_interleaved, op8_license_scan, op9_html_text, op10_section_tokens,
+    op7_shard_interleaved, op8_license_scan, op9_html_text, op10_section_tokens, op12_suffix_dedup,
 )}
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce('0' || source, '1') AS host FROM documents),
