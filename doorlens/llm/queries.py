@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doorlens.llm import chat, decontaminate, html_text, licences, mixing, quality, sharding, simhash, suffix_dedup, token_counts, token_files
+from doorlens.llm import (
+    chat, decontaminate, hard_negatives, html_text, licences, mixing, prefix_trie, quality, sharding, simhash, suffix_dedup, token_counts, token_files,
+)
+from doorlens.session import land
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +62,25 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = land(hard_negatives.vectors(given.withColumn("label", moved)), "vectors")
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(prefix_trie.branched(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_simhash_near_dedup, op3_decontaminate, op4_mix_sources, op5_format_chats, op6_token_files,
-    op7_shard_interleaved, op8_license_scan, op9_html_text, op10_section_tokens, op12_suffix_dedup,
+    op7_shard_interleaved, op8_license_scan, op9_html_text, op10_section_tokens,
+    op11_hard_negatives, op12_suffix_dedup, op13_prefix_trie,
 )}
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce('0' || source, '1') AS host FROM documents),
