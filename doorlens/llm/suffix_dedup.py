@@ -4,7 +4,7 @@ A suffix matters only through its first `length` bytes, its window. Windows that
 agree on the k-gram with the smallest hash inside them and on its place, their anchor; so the sort
 deals suffixes out by anchor first, and one anchor stands for the run of windows that share it.
 Anchors met once leave at once, and with them most of the text. Runs that are equal byte for byte
-are settled by one digest of the whole run. The runs left, the borders of what repeats, go through
+are settled by one digest of the whole run, those of one text where the text is read. The runs left, the borders of what repeats, go through
 the radix sort proper: windows are grouped by 40-byte digits, from the most significant on, and a
 window that stands alone after a digit leaves. Windows still together after `length` bytes are
 exactly the repeated ones. An anchor with very many different runs is not gathered: its windows are
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doorlens.llm.common import key_pair
@@ -129,7 +129,12 @@ def _segments(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int,
 
 
 def _anchors(length: int):
-    """Rows (t1, t2, text) to rows of anchors; a text met again by the same task is left out."""
+    """Rows (t1, t2, text) to rows of anchors; a text met again by the same task is left out.
+
+    Runs that one text holds more than once are settled at once: one of them goes on as an anchor marked `twice`, and
+    their bytes come out as spans, rows without h.
+    """
+    names = ["h", "c", "t1", "t2", "first", "back", "more", "twice"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, seen = _Rolling(_SEGMENT), set()
@@ -151,14 +156,36 @@ def _anchors(length: int):
                 owner = np.searchsorted(offsets[i:j + 1], at + a, "right") - 1 + i
                 view = memoryview(part)
                 runs = np.fromiter((digest(view[x:y]) for x, y in zip(first.tolist(), (last + length).tolist())), np.uint64, len(at))
+                lead, twice = repeats(_mixed(_mixed(runs + grams * np.uint64(_ODD)) + owner.astype(np.uint64) * np.uint64(_ODD)))
+                shift = a - offsets[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(x[lead]) for x in (
+                    grams.view(np.int64), runs.view(np.int64), t1[owner], t2[owner], first + shift, (at - first).astype(np.int16),
+                    (last - first).astype(np.int16), twice)], names=names)
+                if not twice.any():
+                    continue
+                own, lo, hi = owner[twice], (first + shift)[twice], (last + shift)[twice]
+                fresh = np.ones(len(own), bool)
+                fresh[1:] = (own[1:] != own[:-1]) | (lo[1:] > hi[:-1] + length)
+                begin = np.flatnonzero(fresh)
+                end = np.append(begin[1:], len(own)) - 1
+                none = [None] * len(begin)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(grams.view(np.int64)), pa.array(runs.view(np.int64)), pa.array(t1[owner]), pa.array(t2[owner]),
-                    pa.array(first + a - offsets[owner]), pa.array((at - first).astype(np.int16)), pa.array((last - first).astype(np.int16)),
-                ], names=["h", "c", "t1", "t2", "first", "back", "more"])
+                    pa.array(none, pa.int64()), pa.array(hi[end] + length), pa.array(t1[own[begin]]), pa.array(t2[own[begin]]), pa.array(lo[begin]),
+                    pa.array(none, pa.int16()), pa.array(none, pa.int16()), pa.array(none, pa.bool_())], names=names)
 
     return work
 
 
+def repeats(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of its value, value met more than once) for each place."""
+    order = np.argsort(values, kind="stable")
+    same = np.zeros(len(values) + 1, bool)
+    same[1:-1] = values[order[1:]] == values[order[:-1]]
+    lead, twice = np.empty(len(values), bool), np.empty(len(values), bool)
+    lead[order], twice[order] = ~same[:-1], same[:-1] | same[1:]
+    return lead, twice
+
+
 def digit_values(data: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit value for the `width` bytes from each position on (those that fit)."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -365,26 +392,24 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, group: int = GROUP) -
     `keyed` has `t1`, `t2` (which identify the text) and `text`. Spans of one text may overlap.
     """
     narrow = keyed.filter(F.octet_length("text") >= length).select("t1", "t2", "text")
-    found = narrow.mapInArrow(_anchors(length), "h long, c long, t1 long, t2 long, first long, back short, more short")
-    tag = F.xxhash64("t1", "t2", F.col("first") + F.col("back"))
-    anchor, run = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("tag", "first")
-    whole_run = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = (
-        found.withColumn("tag", tag)
-        .withColumn("decided", F.min("tag").over(whole_run) != F.max("tag").over(whole_run))
-        .withColumn("place", F.row_number().over(run))
-        .withColumn("met", F.min("tag").over(anchor) != F.max("tag").over(anchor))
-        .withColumn("runs", F.sum((F.col("place") == 1).cast("long")).over(anchor))
-        .filter("met")
-    )
-    shared = land(shared.select("h", "t1", "t2", "first", "back", "more", "decided", ((F.col("place") == 1) & (F.col("runs") > 1)).alias("asked"),
-                                "runs"), "anchors")
-    whole = shared.filter("decided").select("t1", "t2", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b"))
-    hot = F.col("runs") > group
+    found = land(narrow.mapInArrow(_anchors(length), "h long, c long, t1 long, t2 long, first long, back short, more short, twice boolean"), "anchors")
+    # All groupings combine before the shuffle: an anchor may be in a third of all texts.
+    tagged = found.filter("h is not null").withColumn("tag", F.xxhash64("t1", "t2", F.col("first") + F.col("back")))
+    met = tagged.groupBy("h").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low != high").select("h")
+    shared = land(tagged.join(met, "h"), "shared")
+    runs = shared.groupBy("h", "c").agg(
+        ((F.min("tag") != F.max("tag")) | F.max("twice")).alias("decided"), F.min(F.struct("t1", "t2", "first", "back", "more")).alias("one"))
+    runs = land(runs.select("h", "c", "decided", "one.*"), "runs")
+    sizes = runs.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1")
+    asked = runs.join(sizes, "h").select("t1", "t2", F.struct((F.col("runs") > group).alias("hot"), "h", "first", "back", "more", "decided").alias("run"))
+    inside = found.filter("h is null").select("t1", "t2", F.col("first").alias("a"), F.col("c").alias("b"))
+    whole = shared.join(runs.filter("decided").select("h", "c"), ["h", "c"]).select(
+        "t1", "t2", F.col("first").alias("a"), (F.col("first") + F.col("more") + length).alias("b")).unionByName(inside)
     # Only the text's own runs are gathered with it: fewer than it has bytes.
-    asked = shared.groupBy("t1", "t2").agg(F.collect_list(F.when(F.col("asked"), F.struct(
-        F.when(hot, F.lit(True)).otherwise(F.lit(False)).alias("hot"), "h", "first", "back", "more", "decided"))).alias("runs"))
-    texts = land(narrow.groupBy("t1", "t2").agg(F.any_value("text").alias("text")).join(asked, ["t1", "t2"]), "texts")
+    none = F.lit(None).cast(asked.schema["run"].dataType)
+    lists = asked.unionByName(shared.select("t1", "t2", none.alias("run"))).unionByName(inside.select("t1", "t2", none.alias("run")))
+    lists = lists.groupBy("t1", "t2").agg(F.collect_list("run").alias("runs"))
+    texts = land(narrow.groupBy("t1", "t2").agg(F.any_value("text").alias("text")).join(lists, ["t1", "t2"]), "texts")
     schema = "h long, t1 long, t2 long, first long, back short, decided boolean, bytes binary"
 
     def cut(is_hot: bool) -> DataFrame:
