@@ -32,6 +32,8 @@ BLOCK = frozenset(
     "textarea tfoot th thead title tr ul".split())
 #: Their content is no text of the page.
 RAW = frozenset("script style template".split())
+#: Their content is text, comment marks included.
+NO_COMMENTS = frozenset("textarea title".split())
 #: What a start tag closes if it is open, up to the nearest of the elements that hold it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -54,6 +56,7 @@ class Page:
 
 
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?--!?>)", re.DOTALL)
 
 
 class _Builder(HTMLParser):
@@ -96,6 +99,14 @@ class _Builder(HTMLParser):
                 break
         return found
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment ends at `-->` or `--!>`, or at once as `<!-->` or `<!--->`; without an end it takes the rest of the page, as in HTML."""
+        if self.page.tag[self.stack[-1]] in NO_COMMENTS:
+            self.handle_data("<!--")
+            return i + 4
+        found = _COMMENT.match(self.rawdata, i)
+        return found.end() if found else len(self.rawdata)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             if tag not in KEEPS_P and (at := self._open(("p",), NOT_IN_P)):
@@ -136,9 +147,6 @@ class _Builder(HTMLParser):
 
 def parse(html: str) -> Page:
     builder = _Builder()
-    last = html.rfind("<!--")
-    if last >= 0 and "-->" not in html[last:] and "</script" not in html[last:].lower():
-        html = html[:last]  # an unclosed comment takes the rest of the page
     builder.feed(html)
     builder.close()
     return builder.page

@@ -68,6 +68,20 @@ def test_broken_pages_have_no_text(pages_model, html):
     assert text_of(pages_model, html) in ("", "<", "&", "<p")
 
 
+@pytest.mark.parametrize("html", [
+    "<!-- x --!>", "<!-->", "<!--->", "<!-- a -- > b <p>no</p> -->", "<style><!-- .a {} </style>", "<script>var a = '<!--';</script>", "<i title='<!-- x'></i>",
+    "<template><!-- x --></template>", "<!-- </article> --!>",
+])
+def test_comments_end_where_html_ends_them(pages_model, html):
+    body = "<p>one two three</p>" * 3
+    lines = "one two three\n" * 5 + "one two three"
+    assert text_of(pages_model, f"<html><body><article>{body}{html}{body}</article></body></html>") == lines
+
+
+def test_an_unclosed_comment_takes_the_rest(pages_model):
+    assert text_of(pages_model, "<article><p>one two three</p><p>four five<!-- six</p><p>seven</p></article>") == "one two three\nfour five"
+
+
 def test_raw_elements_inside_one_another(pages_model):
     assert text_of(pages_model, "<article><p>a</p><template><script>x</script>y</template><p>b</p></article>") == "a\nb"
 
