@@ -15,11 +15,12 @@ Both are Parquet, so Spark's own commit protocol makes a lost executor harmless.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
+from unicodedata import combining, is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,15 @@ _TOGETHER = 2000
 _TEXTS = 512
 
 
+#: An ASCII capital and a mark that combines: only its small letter may compose with it, after which case no longer matters.
+_CAPITAL_MARK = re.compile("[A-Z][" + "".join(chr(c) for c in range(0x300, 0x1F000) if combining(chr(c))) + "]")
+
+
+def _composes(text: str) -> bool:
+    """Whether the tokenizer's normal form and small letters depend on their order in this text."""
+    return not text.isascii() and (not is_normalized("NFC", text) or _CAPITAL_MARK.search(text) is not None)
+
+
 def _words(text: str) -> list[bytes]:
     """`text` cut where the tokenizer cuts whatever stands around: at ASCII white space, and before a sign that follows a letter."""
     data = text.encode("utf-8", "surrogatepass").lower()
@@ -61,8 +71,8 @@ def _one_piece(word: str) -> bool:
 class Encoder:
     """Whole texts to ids, for a tokenizer that lower-cases and never joins white-space separated words or a letter and a sign.
 
-    Words repeat, so each is encoded once while it is remembered. A text that may hold a special token is
-    encoded as a whole.
+    Words repeat, so each is encoded once while it is remembered. A text that may hold a special token, or marks that
+    still compose, is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -94,7 +104,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. Words not yet known are encoded in one go for all texts."""
-        whole = [any(s in text for s in self.special) for text in texts]
+        whole = [any(s in text for s in self.special) or _composes(text) for text in texts]
         split = [None if w else _words(text) for w, text in zip(whole, texts)]
         if len(self.known) > _MEMORY:
             self.known.clear()

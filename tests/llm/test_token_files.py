@@ -81,7 +81,21 @@ def test_crossing_rule():
 
 def test_random_texts_equal_whole_encoding():
     rng, encoder, tokenizer = random.Random(4), token_files.Encoder(WORDS), Tokenizer.from_file(WORDS)
-    signs = [chr(c) for c in (32, 9, 10, 11, 12, 13, 28, 31, 39, 45, 48, 65, 97, 133, 160, 0x300, 0x301, 0x307, 0x3a3, 0x4e00, 0xac00, 0x1100, 0x1161, 0x2003, 0x1f600)]
+    signs = [chr(c) for c in (32, 9, 10, 11, 12, 13, 28, 31, 39, 45, 48, 65, 72, 73, 74, 97, 133, 160, 0x300, 0x301, 0x307, 0x308, 0x30a, 0x30c, 0x323, 0x331, 0x94d, 0x3a3, 0x4e00, 0xac00, 0x1100, 0x1161, 0x2003, 0x1f600)]
     for _ in range(2000):
         text = "".join(rng.choices(signs, k=rng.randrange(0, 12)))
         assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("text", ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "I\u0307\u094d", "H\u0323\u0331 x", "a J\u030c. b"])
+def test_capitals_whose_mark_composes_with_the_small_letter(text):
+    encoder, tokenizer = token_files.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_every_letter_with_a_mark():
+    encoder, tokenizer = token_files.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123)]]
+    texts = [f"{a}{chr(m)}" for a in letters for m in range(0x300, 0x345)]
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in encoder.encode_all(texts)] == [w.ids for w in want]
