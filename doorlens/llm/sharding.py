@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doorlens.llm.common import ROW, field, key_pair, packed, source_key
+from doorlens.llm.common import ROW, field, key_pair, packed, row_key, source_key
 from doorlens.operators.ordering import count_below
 
 SHARDS = 8
@@ -23,20 +23,30 @@ _RUN_BITS = 12
 
 def interleaved(keyed: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds `shard` and `slot` to a table with source, k1, k2 (no nulls); row counts differ by one at most."""
-    counts = keyed.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(0))))  # one row per source
+    counts = _offsets(keyed.groupBy("source").agg(F.count(F.lit(1)).alias("_n")), seed)
+    total = keyed.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    counts = counts.join(F.broadcast(total), F.col("_n") <= F.col("_all"))
     place = F.struct(F.xxhash64(F.lit(seed), "k1", "k2").alias("h"), "k1", "k2")
     placed = keyed.withColumn("_one", F.lit(1).cast("long")).withColumn("_place", place)
     placed = placed.withColumn("_run", F.shiftrightunsigned(F.col("_place.h"), 64 - _RUN_BITS))
     ranked = count_below(placed, ["source"], ["_run", "_place"], "_one", "_rank").join(counts, "source")
-    fraction = (F.col("_rank") + 0.5) / F.col("_n")
+    fraction = (F.col("_rank") + F.col("_offset")) / F.col("_n")
     ranked = ranked.withColumn("_run", F.floor(fraction * (1 << _RUN_BITS)))
     ranked = ranked.withColumn("_place", F.struct(fraction.alias("f"), F.col("_place.h").alias("h"), "source", "k1", "k2"))
     spread = count_below(ranked, [], ["_run", "_place"], "_one", "_at")
     shard = F.expr(f"(_at * {shards}) div _all")
     first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
     return spread.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_at") - first).drop(
-        "_one", "_place", "_run", "_rank", "_n", "_all", "_at")
+        "_one", "_place", "_run", "_rank", "_n", "_all", "_at", "_offset")
+
+
+def _offsets(counts: DataFrame, seed: int) -> DataFrame:
+    """Adds `_offset` in (0, 1): sources of one size stand evenly between 0 and 1, in seeded order, so that many small ones spread."""
+    placed = counts.withColumn("_place", F.struct(F.xxhash64(F.lit(seed), "source").alias("h"), "source")).withColumn("_one", F.lit(1).cast("long"))
+    placed = placed.withColumn("_run", F.shiftrightunsigned(F.col("_place.h"), 64 - _RUN_BITS))
+    sizes = counts.groupBy("_n").agg(F.count(F.lit(1)).alias("_alike"))
+    ranked = count_below(placed, ["_n"], ["_run", "_place"], "_one", "_before").join(sizes, "_n")
+    return ranked.select("source", "_n", ((F.col("_before") + 0.5) / F.col("_alike")).alias("_offset"))
 
 
 def shard_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -66,8 +76,7 @@ def _name(key: Column) -> Column:
 def shard_documents(docs: DataFrame, source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The documents with columns `shard` and `slot` (replacing any of that name); same cases as `shard_report`."""
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    one, two = key_pair(*[field(c) for c in columns if "map<" not in kinds[c]])
+    one, two = row_key(docs)
     keyed = packed(docs).select(ROW, source_key(field(source)).alias("source"), one.alias("k1"), two.alias("k2"))
     dealt = interleaved(keyed, shards, seed)
     return dealt.select(*[field(c).alias(c) for c in columns], "shard", "slot")
