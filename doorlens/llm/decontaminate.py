@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from doorlens.llm.common import ROW, field, key_pair, packed, unpacked
+from doorlens.llm.common import ROW, field, packed, row_key, unpacked
 
 _WORD = re.compile(r"\w+")
 #: Share of an item's words that may be edited.
@@ -209,12 +209,9 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", budget: float = BUDGET) -> DataFrame:
     """The documents that hold no test item; all columns stay. Handles the same cases as `contamination`."""
     columns = docs.columns
-    one, two = key_pair(*_hashable(docs))
+    one, two = row_key(docs)
     keyed = packed(docs).select(ROW, one.alias("k1"), two.alias("k2"))
     narrow = keyed.select("k1", "k2", field(text).alias("text"))
     bad = find_items(narrow, items, ["k1", "k2"], "text", budget=budget).select("k1", "k2").distinct()
     return unpacked(keyed.join(bad, ["k1", "k2"], "left_anti"), columns)
 
-
-def _hashable(docs: DataFrame) -> list[Column]:
-    return [field(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doorlens.llm.common import ROW, WHITE, field, key_pair, packed, source_key, unpacked, word_count
+from doorlens.llm.common import ROW, WHITE, field, key_pair, packed, row_key, source_key, unpacked, word_count
 from doorlens.operators.ordering import count_below
 from doorlens.session import land
 
@@ -190,7 +190,7 @@ def _taken(pieces: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
 def mixed_blocks(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
                  most: int = MOST_REPEATS, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: (shard, slot, source, n_words, words), one row per slot, its words joined over document borders."""
-    keyed = _keyed(docs, docs.columns, text, source).withColumn("text", field(text)).drop(ROW)
+    keyed = _keyed(docs, text, source).withColumn("text", field(text)).drop(ROW)
     shares = land(targets(keyed.drop("text"), weights, most), "targets")
     streams = _streams(keyed, seed)
     parts = _pieces(streams, block_words)
@@ -205,9 +205,8 @@ def mixed_blocks(docs: DataFrame, text: str = "text", source: str = "source", we
         "shard", "slot", "source", F.size("words").alias("n_words"), "words")
 
 
-def _keyed(docs: DataFrame, columns: list[str], text: str, source: str) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    one, two = key_pair(*[field(c) for c in columns if "map<" not in kinds[c]])
+def _keyed(docs: DataFrame, text: str, source: str) -> DataFrame:
+    one, two = row_key(docs)
     return packed(docs).select(ROW, source_key(field(source)).alias("source"), word_count(field(text)).alias("size"), one.alias("k1"), two.alias("k2"))
 
 
@@ -217,10 +216,11 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", w
 
     A pass that takes all of a document leaves its text as it is; otherwise the taken runs of
     words, as written, are joined by a line break. All columns stay; `n_chars`, if there, follows
-    the text. A document of which nothing is taken, or without a word, goes.
+    the text. A document of which nothing is taken, or without a word, goes; so does a null text.
+    Repeated rows are documents of their own; null sources are one source; an empty table gives none.
     """
     columns = docs.columns
-    keyed = _keyed(docs, columns, text, source)
+    keyed = _keyed(docs, text, source)
     shares = land(targets(keyed.select("source", "size"), weights, most), "targets")
     narrow = keyed.select("source", "size", "k1", "k2")
     parts = _pieces(_streams(narrow, seed), block_words)

@@ -7,7 +7,6 @@ lines above the host's limit are taken out, and a document of which too little i
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +23,6 @@ class Limits:
 
     min_documents: int = 10
     share: float = 0.002
-    #: Lines with more words are left out of the count; by default none is.
-    max_line_words: float = math.inf
     #: A document is depleted with fewer words left, or a smaller part of its words.
     min_words_left: int = 25
     min_part_left: float = 0.5
@@ -96,7 +93,7 @@ def frequent_lines(docs: DataFrame, text: str, host: str, limits: Limits) -> tup
     line = line.select(
         "host", "k1", "k2", F.xxhash64("line").alias("line"),
         (F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"),
-    ).filter(F.col("n") <= limits.max_line_words)
+    )
     size = identity.groupBy("host").agg(F.count_distinct("k1").alias("documents"))
     held = line.groupBy("host", "line").agg(F.count_distinct("k1").alias("holders")).filter(
         F.col("holders") > limits.min_documents)
@@ -153,8 +150,7 @@ def apply_quality_rules(docs: DataFrame, text: str = "text", host: str = "source
     keyed = keyed.filter(~base_failed(F.col("m")) & (F.col("number") >= 0)).select(ROW, "host", "k1", "k2", F.col("m.n_words").alias("n_words"))
     gone = line_verdicts(docs, text, host, limits)
     kept = keyed.join(gone, ["host", "k1", "k2"], "left").filter(~_depleted(F.col("n_words"), F.col("gone_words"), limits))
-    short = lambda line: F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) < limits.max_line_words
-    stays = lambda line: let(_normal(line), lambda x: ~(F.array_contains(F.col("gone"), F.xxhash64(x)) & short(x)))
+    stays = lambda line: ~F.array_contains(F.col("gone"), F.xxhash64(_normal(line)))
     cleaned = F.when(F.col("gone").isNull(), field(text)).otherwise(F.array_join(F.filter(_lines(field(text)), stays), "\n"))
     final = kept.select(ROW, cleaned.alias("cleaned"))
     replaced = {text: F.col("cleaned")}

@@ -92,11 +92,11 @@ m AS (SELECT w.r, doc_id, len(l) AS n_words, length(array_to_string(l, '')) AS w
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(p) - len(list_distinct(p)) AS n_dup_lines,
         coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN covered c ON w.r = c.r),
 lines AS (SELECT r, host, t, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS x FROM d)),
-short AS (SELECT *, len(string_split(line, ' ')) AS n FROM lines WHERE line <> '' AND len(string_split(line, ' ')) <= 30),
+worded AS (SELECT *, len(string_split(line, ' ')) AS n FROM lines WHERE line <> ''),
 hosts AS (SELECT host, count(DISTINCT t) AS documents FROM d GROUP BY host),
-above AS (SELECT s.host, line FROM short s JOIN hosts h ON s.host = h.host GROUP BY s.host, line, documents
+above AS (SELECT s.host, line FROM worded s JOIN hosts h ON s.host = h.host GROUP BY s.host, line, documents
     HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > 0.002 * documents),
-gone AS (SELECT r, count(*) AS gone_lines, sum(n) AS gone_words FROM short JOIN above USING (host, line) GROUP BY r),
+gone AS (SELECT r, count(*) AS gone_lines, sum(n) AS gone_words FROM worded JOIN above USING (host, line) GROUP BY r),
 judged AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(gone_lines, 0) AS gone_lines, coalesce(gone_words, 0) AS gone_words
     FROM m LEFT JOIN gone ON m.r = gone.r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,

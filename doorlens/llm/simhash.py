@@ -20,7 +20,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doorlens.llm.common import ROW, field, key_pair, packed, unpacked
 from doorlens.operators.graph import components
 from doorlens.session import land
 
@@ -309,17 +308,3 @@ def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     lowest = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     names = land(labelled.join(lowest, "component").select("fp", "component", "component_id"), "components")
     return prints.join(names, "fp")
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents, one of each group: the smallest doc_id (nulls last), one row of it. All columns stay."""
-    columns = docs.columns
-    one, two = key_pair(*[field(c) for c in columns])
-    keyed = packed(docs).select(ROW, one.alias("k1"), two.alias("k2"))
-    narrow = keyed.select(field(doc_id).alias("doc_id"), field(text).alias("text"), "k1", "k2")
-    prints = land(with_fingerprint(narrow, "text", "fp"), "fingerprints")
-    grouped = components_of(prints, radius)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
-    kept = grouped.groupBy("component").agg(F.min_by(F.struct("k1", "k2"), order).alias("k")).select("k.k1", "k.k2")
-    once = keyed.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    return unpacked(once, columns)

@@ -4,9 +4,10 @@ import collections
 import random
 import re
 
+import duckdb
 import pytest
 
-from doorlens.llm import quality
+from doorlens.llm import quality, queries
 from tests.llm.fixtures import awkward_docs, frame, prose, split_words
 
 
@@ -28,11 +29,10 @@ def normal(line):
 def verdicts(rows, limits):
     """(kept, text without its frequent lines) per row."""
     holders, documents = collections.defaultdict(set), collections.defaultdict(set)
-    short = lambda line: bool(line) and len(line.split(" ")) <= limits.max_line_words
     for row in rows:
         documents[row[3]].add(row[1])
         for line in map(normal, (row[1] or "").split("\n")):
-            if short(line):
+            if line:
                 holders[row[3], line].add(row[1])
     above = {k for k, v in holders.items() if len(v) > limits.min_documents and len(v) > limits.share * len(documents[k[0]])}
     out = []
@@ -97,3 +97,17 @@ def test_long_lines_are_furniture_too(spark):
     df = frame(spark, rows)
     assert {(r.gone_lines, r.gone_words, r.kept) for r in quality.quality_report(df).collect()} == {(1, 40, True)}
     assert sorted(r.text for r in quality.apply_quality_rules(df).collect()) == sorted(r[1].split("\n")[0] for r in rows)
+
+
+def test_sql_equals_the_query(spark, tmp_path):
+    """Lines of any length, in both engines."""
+    rng = random.Random(6)
+    notice = " ".join(f"n{i}" for i in range(40))
+    rows = [(i, f"{prose(rng, 90 if i % 2 else 45)}\n{notice}", "en", "site", 0, 1, "x", "y", "z") for i in range(30)] + site_docs()[:40]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.op1_quality_rules(spark, str(tmp_path))
+    want = duckdb.sql(queries.OP1_SQL)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert sum(r[8] == 1 and r[9] == 40 for r in want.fetchall()) >= 30
