@@ -155,40 +155,106 @@ def prune_spurs(edges: DataFrame, shorter_than: float = SPUR_MIN_M, max_rounds:
     raise RuntimeError(f"pruning did not settle in {max_rounds} rounds")
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_metres: float, with_path: bool = False, max_rounds: int = 100_000):
-    """(source, node, metres[, path]): shortest walks from every source at once, up to a length.
+def chain_ends(graph: DataFrame, keep: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(src, dst, end, metres): where the walk that enters at src -> dst first meets a kept node, and how long it is.
 
-    Only nodes whose distance fell in the last round are extended. `sources` holds (source).
-    Ties between equal walks go to the smaller predecessor.
+    Nodes with two neighbours that `keep` (id) does not name are passed through. Every directed edge points at the next one
+    of its walk; each round a pointer takes over the pointer it points at, so walks double and rounds grow with the logarithm
+    of the longest chain. Walks that go round a ring without a kept node have no end and are left out.
+    """
+    degree = graph.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    inner = degree.filter("degree = 2").select(F.col("src").alias("id")).join(keep, "id", "left_anti")
+    passed = graph.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    onward = graph.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+    going = cut_lineage(passed.join(onward, "dst").filter("to != src").select("src", "dst", F.col("dst").alias("at"), "to", "metres"))
+    ended = graph.join(inner.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", F.col("dst").alias("end"), "metres")
+    ended = cut_lineage(ended)
+    left = going.count()
+    for _ in range(max_rounds):
+        if not left:
+            return ended
+        # The edge at -> to is either ended, or itself points further on.
+        after = ended.select(F.col("src").alias("at"), F.col("dst").alias("to"), "end", F.col("metres").alias("more"))
+        done = cut_lineage(going.join(after, ["at", "to"]).select("src", "dst", "end", (F.col("metres") + F.col("more")).alias("metres")))
+        further = going.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("at").alias("next_at"), F.col("to").alias("next_to"),
+                               F.col("metres").alias("more"))
+        going = cut_lineage(
+            going.join(further, ["at", "to"])
+            .select("src", "dst", F.col("next_at").alias("at"), F.col("next_to").alias("to"), (F.col("metres") + F.col("more")).alias("metres")))
+        ended = ended.unionByName(done)
+        remaining = going.count()
+        if remaining == left:
+            return ended
+        left = remaining
+    raise RuntimeError(f"chains did not end in {max_rounds} rounds")
+
+
+def distances(edges: DataFrame, sources: DataFrame, max_metres: float, max_rounds: int = 100_000) -> DataFrame:
+    """(source, node, metres): shortest walks from every source at once, up to a length.
+
+    Streets are mostly nodes with two neighbours: walks between the others are contracted first, the sweep goes from junction
+    to junction, and the nodes between take their distance from the two ends of their chain. A round extends only what the last
+    one brought and writes only what it brings; what is known is never written again. `sources` holds (source).
     """
     graph = cut_lineage(both_ways(edges))
-    start = sources.select("source").distinct().select(
-        "source", F.col("source").alias("node"), F.lit(0.0).alias("metres"), F.array("source").alias("path")
-    )
-    if not with_path:
-        start = start.drop("path")
-    known = frontier = cut_lineage(start)
+    start = cut_lineage(sources.select("source").distinct())
+    ends = chain_ends(graph, start.select(F.col("source").alias("id")))
+    degree = graph.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    kept = degree.filter("degree != 2").select("src").union(start.select("source")).distinct()
+    core = cut_lineage(ends.join(kept, "src", "left_semi").filter("src != end").groupBy("src", "end").agg(F.min("metres").alias("metres")))
+    known = frontier = cut_lineage(start.select("source", F.col("source").alias("node"), F.lit(0.0).alias("metres")))
     for _ in range(max_rounds):
-        reached = frontier.withColumnRenamed("metres", "so_far").join(graph, F.col("node") == F.col("src")).select(
-            "source", F.col("dst").alias("node"), (F.col("so_far") + F.col("metres")).alias("metres"),
-            *([F.concat("path", F.array("dst")).alias("path")] if with_path else []),
-        ).filter(F.col("metres") <= max_metres)
-        if with_path:
-            offers = reached.groupBy("source", "node").agg(F.min(F.struct("metres", "path")).alias("best")).select(
-                "source", "node", "best.*"
-            )
-        else:
-            offers = reached.groupBy("source", "node").agg(F.min("metres").alias("metres"))
-        old = known.select("source", "node", F.col("metres").alias("old"))
-        frontier = cut_lineage(
-            offers.join(old, ["source", "node"], "left").filter("old is null or metres < old").drop("old")
-        )
+        reached = frontier.withColumnRenamed("metres", "so_far").join(core, F.col("node") == F.col("src")).select(
+            "source", F.col("end").alias("node"), (F.col("so_far") + F.col("metres")).alias("metres")).filter(F.col("metres") <= max_metres)
+        offers = reached.groupBy("source", "node").agg(F.min("metres").alias("metres"))
+        old = known.select(F.col("source").alias("o_source"), F.col("node").alias("o_node"), F.col("metres").alias("old"))
+        frontier = cut_lineage(offers.join(
+            old, (F.col("source") == F.col("o_source")) & (F.col("node") == F.col("o_node")) & (F.col("old") <= F.col("metres")), "left_anti"))
         if frontier.isEmpty():
-            return known
-        known = cut_lineage(
-            known.join(frontier.select("source", "node"), ["source", "node"], "left_anti").unionByName(frontier)
-        )
-    raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+            break
+        known = known.unionByName(frontier)
+    else:
+        raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
+    settled = known.groupBy("source", "node").agg(F.min("metres").alias("metres"))
+    between = ends.join(kept, "src", "left_anti").select(F.col("src").alias("inner"), "end", F.col("metres").alias("more"))
+    inside = settled.join(between, F.col("node") == F.col("end")).select(
+        "source", F.col("inner").alias("node"), (F.col("metres") + F.col("more")).alias("metres")).filter(F.col("metres") <= max_metres)
+    return settled.unionByName(inside.groupBy("source", "node").agg(F.min("metres").alias("metres")))
+
+
+def predecessors(walks: DataFrame, edges: DataFrame, slack: float = 1e-7) -> DataFrame:
+    """(source, node, before): the node a shortest walk comes from, the smallest id of several; sources have none.
+
+    `walks` is (source, node, metres), written. Sums along a walk may differ in their last digits: `slack` metres count as equal.
+    """
+    back = both_ways(edges).select(F.col("dst").alias("node"), F.col("src").alias("before"), F.col("metres").alias("step"))
+    from_ = walks.select("source", F.col("node").alias("before"), F.col("metres").alias("so_far"))
+    links = walks.join(back, "node").join(from_, ["source", "before"]).filter(
+        (F.col("so_far") < F.col("metres")) & (F.abs(F.col("so_far") + F.col("step") - F.col("metres")) <= slack))
+    return links.groupBy("source", "node").agg(F.min("before").alias("before"))
+
+
+def path_rows(walks: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(source, node, place, at): the nodes of the walk from source (place 0) to each node, one row each.
+
+    Predecessor links are doubled: after i rounds each knows the node 2^i steps back. Taking the powers from the largest down,
+    every number of steps back is reached once. Rounds grow with the logarithm of the longest walk and no path is ever a value.
+    """
+    walks = cut_lineage(walks.select("source", "node", "metres"))
+    jumps = [cut_lineage(predecessors(walks, edges))]
+    while not jumps[-1].isEmpty():
+        if len(jumps) > max_rounds:
+            raise RuntimeError(f"paths did not end in {max_rounds} rounds")
+        last = jumps[-1]
+        jumps.append(cut_lineage(last.join(last.select("source", F.col("before").alias("b"), F.col("node").alias("n")).select(
+            "source", F.col("n").alias("before"), F.col("b").alias("further")), ["source", "before"]).select("source", "node", F.col("further").alias("before"))))
+    rows = walks.select("source", "node", F.col("node").alias("at"), F.lit(0).alias("back"))
+    for i in range(len(jumps) - 2, -1, -1):
+        step = jumps[i].select("source", F.col("node").alias("at"), "before")
+        rows = cut_lineage(rows.unionByName(rows.join(step, ["source", "at"]).select(
+            "source", "node", F.col("before").alias("at"), (F.col("back") + (1 << i)).alias("back"))))
+    longest = rows.groupBy("source", "node").agg(F.max("back").alias("steps"))
+    return rows.join(longest, ["source", "node"]).select("source", "node", (F.col("steps") - F.col("back")).alias("place"), "at")
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, key: str, group: str = "territory_id") -> DataFrame:
@@ -225,7 +291,8 @@ def nearest_nodes_of_parcels(parcels: DataFrame, nodes: DataFrame, group: str =
     gap = F.when(geo.covered(F.col("edges"), F.col("lon"), F.col("lat")), F.lit(0.0)).otherwise(
         F.array_min(F.transform("edges", to_segment))
     )
-    return pairs.withColumn("gap", gap).groupBy(group, key).agg(
+    # Nodes equally far but for rounding are a tie, the smaller id's.
+    return pairs.withColumn("gap", F.round(gap, 6)).groupBy(group, key).agg(
         F.min(F.struct("gap", "id")).alias("best")
     ).select(group, key, F.col("best.id").alias("node"), F.col("best.gap").alias("parcel_m"))
 

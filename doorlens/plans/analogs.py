@@ -268,12 +268,20 @@ VIEWS = {
                CAST(41.0 AS DOUBLE) + floor(p_partkey / 50) * CAST(0.0025 AS DOUBLE) AS lat, p_partkey % 5 AS area
         FROM part""",
     "v_segment": """
-        SELECT p_partkey AS id, CAST(p_partkey % 50 * 30 AS DOUBLE) + CAST(p_size % 3 AS DOUBLE) / CAST(5 AS DOUBLE) AS x1,
+        SELECT p_partkey AS id, p_partkey % 3 AS area, CAST(p_partkey % 50 * 30 AS DOUBLE) + CAST(p_size % 3 AS DOUBLE) / CAST(4 AS DOUBLE) AS x1,
                CAST(floor(p_partkey / 50) * 30 AS DOUBLE) AS y1,
-               CAST((p_partkey + 1) % 50 * 30 AS DOUBLE) + CAST(p_size % 5 AS DOUBLE) / CAST(5 AS DOUBLE) AS x2,
-               CAST(floor((p_partkey + 1) / 50) * 30 AS DOUBLE) + CAST(p_size AS DOUBLE) AS y2,
-               CAST(p_size % 37 AS DOUBLE) AS clearance_m, p_partkey % 9 = 0 AS crosses
+               CAST((p_partkey + 1) % 50 * 30 AS DOUBLE) + CAST(p_size % 5 AS DOUBLE) / CAST(4 AS DOUBLE) AS x2,
+               CAST(floor((p_partkey + 1) / 50) * 30 AS DOUBLE) + CAST(p_size AS DOUBLE) AS y2
         FROM part""",
+    "v_lot": """
+        SELECT p_partkey AS k, p_partkey % 3 AS area, x AS min_x, y AS min_y, x + CAST(6 + p_size % 9 + CASE WHEN p_size = 50 THEN 300 ELSE 0 END AS DOUBLE) AS max_x,
+               y + CAST(5 + p_size % 11 AS DOUBLE) AS max_y
+        FROM (SELECT *, CAST(p_partkey % 50 * 30 + 4 + p_size % 5 AS DOUBLE) + CAST(0.125 AS DOUBLE) AS x,
+                     CAST(floor(p_partkey / 50) * 30 + 3 + p_size % 7 AS DOUBLE) + CAST(0.125 AS DOUBLE) AS y
+              FROM part WHERE p_size % 4 <> 0) AS lots""",
+    "v_parcel_box": """
+        SELECT territory_id, pams_pin, k, lon, lat, lon - half AS min_x, lat - half AS min_y, lon + half AS max_x, lat + half AS max_y
+        FROM (SELECT *, CAST(1 + k % 7 AS DOUBLE) / CAST(8192 AS DOUBLE) AS half FROM v_parcel WHERE lon IS NOT NULL) AS sized""",
     "v_route_request": """
         SELECT CAST(n_nationkey AS BIGINT) AS route_id, CAST(n_regionkey AS BIGINT) AS territory_id,
                CAST(-74.19 AS DOUBLE) + CAST(n_nationkey % 5 AS DOUBLE) * CAST(0.02 AS DOUBLE) AS lon,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from doorlens.functions import geo
-from doorlens.operators import graph, spatial
+from doorlens.operators import graph, spatial, streets
 from doorlens.plans.analogs import Tables
 from doorlens.plans.registry import query
 
@@ -24,16 +24,36 @@ def sources(t: Tables):
     return graph.nearest_nodes(starts(t), nodes(t), "route_id").select(F.col("node").alias("source"))
 
 
-@query("n1_street_edges", """WITH s AS (SELECT CAST(round_even(x1 / 0.5, 0) AS BIGINT) AS ax, CAST(round_even(y1 / 0.5, 0) AS BIGINT) AS ay,
-        CAST(round_even(x2 / 0.5, 0) AS BIGINT) AS bx, CAST(round_even(y2 / 0.5, 0) AS BIGINT) AS by_,
-        sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS m FROM v_segment WHERE clearance_m <= 30.0 AND NOT crosses),
+# A box is met if the boxes overlap and its corners do not all lie on one side of the segment's line.
+_TURNS = "[" + ", ".join(f"(x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)" for x in ("min_x", "max_x") for y in ("min_y", "max_y")) + "]"
+_AMONG = f"""pairs AS (SELECT s.id, s.area, least(x1, x2) <= max_x AND greatest(x1, x2) >= min_x AND least(y1, y2) <= max_y AND greatest(y1, y2) >= min_y
+            AND list_min({_TURNS}) <= 0 AND list_max({_TURNS}) >= 0 AS meets,
+        sqrt(power(greatest(min_x - (x1 + x2) / 2, (x1 + x2) / 2 - max_x, 0.0), 2) + power(greatest(min_y - (y1 + y2) / 2, (y1 + y2) / 2 - max_y, 0.0), 2)) AS gap
+        FROM v_segment s JOIN v_lot l ON s.area = l.area AND (x1 + x2) / 2 BETWEEN min_x - 60 AND max_x + 60 AND (y1 + y2) / 2 BETWEEN min_y - 60 AND max_y + 60),
+    among AS (SELECT id, area, bool_or(meets) AS crosses, min(gap) AS clearance_m FROM pairs GROUP BY id, area)"""
+
+
+def lots(t: Tables):
+    return t.v_lot.select("area", spatial.box_polygon(*[F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]).alias("polygon"))
+
+
+@query("n1_segments_among_parcels", f"""WITH {_AMONG} SELECT s.id, s.area, coalesce(crosses, false) AS crosses,
+        CASE WHEN clearance_m <= 30.0 THEN round(clearance_m, 6) END AS clearance_m
+    FROM v_segment s LEFT JOIN among a ON s.id = a.id AND s.area = a.area WHERE power(x2 - x1, 2) + power(y2 - y1, 2) <= 3600.0""")
+def segments_among_parcels(t: Tables):
+    return streets.segments_among_parcels(t.v_segment, lots(t), ["area"]).select("id", "area", "crosses", F.round("clearance_m", 6).alias("clearance_m"))
+
+
+@query("n1_street_edges", f"""WITH {_AMONG}, s AS (SELECT CAST(round_even(x1 / 0.5, 0) AS BIGINT) AS ax, CAST(round_even(y1 / 0.5, 0) AS BIGINT) AS ay,
+        CAST(round_even(x2 / 0.5, 0) AS BIGINT) AS bx, CAST(round_even(y2 / 0.5, 0) AS BIGINT) AS by_, s.area,
+        sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS m FROM v_segment s JOIN among a ON s.id = a.id AND s.area = a.area WHERE clearance_m <= 30.0 AND NOT crosses),
     o AS (SELECT CASE WHEN (ax, ay) < (bx, by_) THEN ax ELSE bx END AS sx, CASE WHEN (ax, ay) < (bx, by_) THEN ay ELSE by_ END AS sy,
-                 CASE WHEN (ax, ay) < (bx, by_) THEN bx ELSE ax END AS dx, CASE WHEN (ax, ay) < (bx, by_) THEN by_ ELSE ay END AS dy, m
+                 CASE WHEN (ax, ay) < (bx, by_) THEN bx ELSE ax END AS dx, CASE WHEN (ax, ay) < (bx, by_) THEN by_ ELSE ay END AS dy, m, area
           FROM s WHERE m <= 60.0 AND NOT (ax = bx AND ay = by_))
-    SELECT sx, sy, dx, dy, round(min(m), 6) AS metres FROM o GROUP BY sx, sy, dx, dy""")
+    SELECT area, sx, sy, dx, dy, round(min(m), 6) AS metres FROM o GROUP BY area, sx, sy, dx, dy""")
 def street_edges(t: Tables):
-    return graph.street_edges(t.v_segment).select(
-        F.col("src.x").alias("sx"), F.col("src.y").alias("sy"), F.col("dst.x").alias("dx"), F.col("dst.y").alias("dy"),
+    return streets.street_edges(t.v_segment, lots(t), ["area"]).select(
+        "area", F.col("src.x").alias("sx"), F.col("src.y").alias("sy"), F.col("dst.x").alias("dx"), F.col("dst.y").alias("dy"),
         F.round("metres", 6).alias("metres"),
     )
 
@@ -85,44 +105,76 @@ def shortest_paths(t: Tables):
     return graph.distances(t.v_edge, sources(t), 250.0)
 
 
-@query("n5_network_legs", f"""{_WALKS}, short AS (SELECT source, node, min(metres) AS metres FROM walks GROUP BY source, node)
-    SELECT r.route_id, n.id, s.metres IS NOT NULL AS joined, round(coalesce(s.metres, 1.3 * {_DIST}), 3) AS leg_m
-    FROM v_route_request r JOIN near_node o ON r.route_id = o.route_id JOIN v_node n ON n.area = r.territory_id AND {_DIST} <= 900.0
-    LEFT JOIN short s ON s.source = o.source AND s.node = n.id""")
+def parcels(t: Tables):
+    corner = [F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]
+    return t.landed().v_parcel_box.select("territory_id", "pams_pin", "lon", "lat", spatial.box_polygon(*corner).alias("polygon"))
+
+
+# Metres from a node to a parcel's box, on a flat map whose scale is taken at the parcel's middle.
+_BOX_GAP = """sqrt(power(greatest(p.min_x - n.lon, n.lon - p.max_x, 0.0) * 111320.0 * cos(p.lat * 0.017453292519943295), 2)
+    + power(greatest(p.min_y - n.lat, n.lat - p.max_y, 0.0) * 110540.0, 2))"""
+_ACCESS = f"""access AS (SELECT p.territory_id, p.pams_pin, p.lon, p.lat, first(n.id ORDER BY round({_BOX_GAP}, 6), n.id) AS node, min({_BOX_GAP}) AS parcel_m
+    FROM v_parcel_box p JOIN v_node n ON n.area = p.territory_id GROUP BY p.territory_id, p.pams_pin, p.lon, p.lat)"""
+
+
+def access(t: Tables):
+    """Each parcel's node, the one nearest the lot itself, with the walk from the door's point to it."""
+    found = graph.nearest_nodes_of_parcels(parcels(t), nodes(t))
+    placed = found.join(nodes(t).select("territory_id", F.col("id").alias("node"), F.col("lon").alias("n_lon"), F.col("lat").alias("n_lat")), ["territory_id", "node"])
+    placed = placed.join(parcels(t).drop("polygon"), ["territory_id", "pams_pin"])
+    frontage = geo.equirectangular_m(F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat"))
+    return placed.select("territory_id", "pams_pin", "lon", "lat", "node", "parcel_m", frontage.alias("frontage_m"))
+
+
+@query("j25_parcel_access", f"WITH {_ACCESS} SELECT territory_id, pams_pin, node, round(round(parcel_m, 6), 4) AS parcel_m FROM access")
+def parcel_access(t: Tables):
+    return graph.nearest_nodes_of_parcels(parcels(t), nodes(t)).select("territory_id", "pams_pin", "node", F.round("parcel_m", 4).alias("parcel_m"))
+
+
+_FLAT = """sqrt(power(({b}.lon - {a}.lon) * 0.017453292519943295 * cos(({b}.lat + {a}.lat) / 2.0 * 0.017453292519943295), 2)
+    + power(({b}.lat - {a}.lat) * 0.017453292519943295, 2)) * 6371000.0"""
+_LEG, _FRONT, _OWN = _FLAT.format(a="r", b="p"), _FLAT.format(a="p", b="n"), _FLAT.format(a="r", b="o_n")
+
+
+@query("n5_network_legs", f"""{_WALKS}, {_ACCESS}, short AS (SELECT source, node, min(metres) AS metres FROM walks GROUP BY source, node)
+    SELECT r.route_id, p.pams_pin, s.metres IS NOT NULL AS joined,
+        round(CASE WHEN s.metres IS NULL THEN 1.3 * {_LEG} ELSE {_OWN} + s.metres + {_FRONT} END, 3) AS leg_m
+    FROM v_route_request r JOIN near_node o ON r.route_id = o.route_id JOIN v_node o_n ON o_n.id = o.source AND o_n.area = r.territory_id
+    JOIN access p ON p.territory_id = r.territory_id AND {_LEG} <= 900.0 JOIN v_node n ON n.id = p.node AND n.area = p.territory_id
+    LEFT JOIN short s ON s.source = o.source AND s.node = p.node""")
 def network_legs(t: Tables):
+    """Frontage of the origin, the way along the streets, frontage of the door."""
     walk = graph.distances(t.v_edge, sources(t), 250.0)
     origins = graph.nearest_nodes(starts(t), nodes(t), "route_id").select(
-        F.col("route_id").alias("origin"), F.col("node").alias("o_node"), F.lit(0.0).alias("o_frontage_m")
-    )
+        F.col("route_id").alias("origin"), F.col("node").alias("o_node"), F.col("distance_m").alias("o_frontage_m"))
     flat = geo.equirectangular_m(F.col("c_lon"), F.col("c_lat"), F.col("lon"), F.col("lat"))
-    pairs = spatial.within_reach(starts(t).withColumn("reach_m", F.lit(950.0)), nodes(t)).withColumn("flat", flat).filter(
-        "flat <= 900.0"
-    ).select(
-        F.col("route_id").alias("origin"), "id", F.col("id").alias("node"), F.lit(0.0).alias("frontage_m"),
-        (F.col("flat") * geo.DETOUR).alias("straight_m"),
-    )
+    pairs = spatial.within_reach(starts(t).withColumn("reach_m", F.lit(950.0)), access(t)).withColumn("flat", flat).filter("flat <= 900.0").select(
+        F.col("route_id").alias("origin"), "pams_pin", "node", "frontage_m", (F.col("flat") * geo.DETOUR).alias("straight_m"))
     return graph.network_legs(origins, pairs, walk).select(
-        F.col("origin").alias("route_id"), "id", F.col("along_m").isNotNull().alias("joined"), F.round("leg_m", 3).alias("leg_m")
-    )
+        F.col("origin").alias("route_id"), "pams_pin", F.col("along_m").isNotNull().alias("joined"), F.round("leg_m", 3).alias("leg_m"))
 
 
-@query("n7_plausibility", """WITH d AS (SELECT CAST(p_partkey % 5 AS BIGINT) AS territory_id, CAST(p_size AS DOUBLE) AS m FROM part),
-    r AS (SELECT *, row_number() OVER (PARTITION BY territory_id ORDER BY m) AS i, count(*) OVER (PARTITION BY territory_id) AS n FROM d)
-    SELECT territory_id, n AS nodes, m AS median_m, n >= 12 AND m <= 25.0 AS plausible FROM r WHERE i = floor(n / 2) + 1""")
+@query("n7_plausibility", f"""WITH {_ACCESS}, r AS (SELECT territory_id, round(round(parcel_m, 6), 4) AS m, row_number() OVER (PARTITION BY territory_id ORDER BY round(round(parcel_m, 6), 4)) AS i,
+        count(*) OVER (PARTITION BY territory_id) AS c FROM access),
+    counted AS (SELECT area AS territory_id, count(*) AS nodes FROM v_node GROUP BY area)
+    SELECT territory_id, nodes, m AS median_m, nodes >= 12 AND coalesce(m <= 25.0, false) AS plausible
+    FROM counted LEFT JOIN (SELECT * FROM r WHERE i = floor(c / 2) + 1) AS middle USING (territory_id)""")
 def plausibility(t: Tables):
-    access = t.part.select((F.col("p_partkey") % 5).alias("territory_id"), F.col("p_size").cast("double").alias("parcel_m"))
-    return graph.plausible(access, access)
+    found = graph.nearest_nodes_of_parcels(parcels(t), nodes(t)).withColumn("parcel_m", F.round("parcel_m", 4))
+    return graph.plausible(found, nodes(t))
 
 
-@query("n6_walk_paths", f"""{_WALKS} SELECT source, node, min(metres) AS metres FROM walks GROUP BY source, node""")
+@query("n6_walk_paths", f"""{_WALKS}, short AS (SELECT source, node, min(metres) AS metres FROM walks GROUP BY source, node),
+    back AS (SELECT v.source, v.node, min(u.node) AS before FROM short v JOIN links k ON k.b = v.node JOIN short u ON u.source = v.source AND u.node = k.a
+             WHERE u.metres < v.metres AND u.metres + k.metres = v.metres GROUP BY v.source, v.node),
+    steps(source, node, at_node, behind) AS (
+        SELECT source, node, node, 0 FROM short
+        UNION ALL
+        SELECT s.source, s.node, b.before, s.behind + 1 FROM steps s JOIN back b ON b.source = s.source AND b.node = s.at_node)
+    SELECT source, node, CAST(max(behind) OVER (PARTITION BY source, node) - behind AS INT) AS place, at_node FROM steps""")
 def walk_paths(t: Tables):
-    """The length of each path, added up along its own edges, equals the shortest distance."""
-    found = graph.distances(t.v_edge, sources(t), 250.0, with_path=True)
-    steps = found.filter(F.size("path") > 1).select(
-        "source", "node", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path") - 1).alias("b"))).alias("s")
-    ).select("source", "node", F.col("s.a").alias("src"), F.col("s.b").alias("dst"))
-    walked = steps.join(graph.both_ways(t.v_edge), ["src", "dst"]).groupBy("source", "node").agg(F.sum("metres").alias("metres"))
-    return found.select("source", "node").join(walked, ["source", "node"], "left").withColumn("metres", F.coalesce("metres", F.lit(0.0)))
+    """Every step of every walk: its nodes in order, the smaller id where two ways are equally long."""
+    return graph.path_rows(graph.distances(t.v_edge, sources(t), 250.0), t.v_edge).withColumnRenamed("at", "at_node")
 
 
 # Here every edge is at least 6 m and every street edge at least 21 m, so a short branch is one edge; longer ones are in the tests.

@@ -63,7 +63,8 @@ def test_distances_and_paths(spark):
     rows = [(rnd.randrange(40), rnd.randrange(40), rnd.randrange(1, 30)) for _ in range(90)]
     rows = [(a, b, m) for a, b, m in rows if a != b]
     sources = spark.createDataFrame([(0,), (7,)], "source long")
-    got = graph.distances(edges(spark, rows), sources, 60.0, with_path=True).collect()
+    walks = graph.distances(edges(spark, rows), sources, 60.0)
+    got = walks.collect()
     length = {}
     for a, b, m in rows:
         pair = (min(a, b), max(a, b))
@@ -71,10 +72,29 @@ def test_distances_and_paths(spark):
     for source in (0, 7):
         want = {n: d for n, d in dijkstra(rows, source).items() if d <= 60}
         assert {r.node: r.metres for r in got if r.source == source} == want
+    paths = {}
+    for r in graph.path_rows(walks, edges(spark, rows)).collect():
+        assert paths.setdefault((r.source, r.node), {}).setdefault(r.place, r.at) == r.at
+    assert len(paths) == len(got)
     for r in got:
-        steps = list(zip(r.path, r.path[1:]))
-        assert r.path[0] == r.source and r.path[-1] == r.node
-        assert sum(length[(min(s), max(s))] for s in steps) == r.metres
+        path = [at for _, at in sorted(paths[r.source, r.node].items())]
+        assert sorted(paths[r.source, r.node]) == list(range(len(path))) and path[0] == r.source and path[-1] == r.node
+        assert sum(length[(min(s), max(s))] for s in zip(path, path[1:])) == r.metres
+
+
+def test_long_chains_and_rings(spark):
+    """Chains of nodes with two neighbours, one with the source inside, a ring with one way in, and a ring nothing reaches."""
+    rows = [(i, i + 1, 1 + i % 3) for i in range(200)] + [(0, 300, 2), (300, 301, 2), (301, 0, 2)] + [(50, 400, 5), (400, 401, 5), (401, 90, 5)]
+    rows += [(500 + i, 500 + (i + 1) % 9, 1) for i in range(9)] + [(600, 601, 4)]
+    sources = spark.createDataFrame([(7,), (400,), (600,), (999,)], "source long")
+    walks = graph.distances(edges(spark, rows), sources, 300.0)
+    got = {(r.source, r.node): r.metres for r in walks.collect()}
+    want = {(s, n): d for s in (7, 400, 600) for n, d in dijkstra(rows, s).items() if d <= 300} | {(999, 999): 0.0}
+    assert got == want
+    far = [r.at for r in graph.path_rows(walks, edges(spark, rows)).filter("source = 7 and node = 150").orderBy("place").collect()]
+    assert far[0] == 7 and far[-1] == 150 and len(far) > 100
+    ends = graph.chain_ends(graph.both_ways(edges(spark, rows)), spark.createDataFrame([(7,)], "id long")).collect()
+    assert {(r.end, r.metres) for r in ends if r.src == 7} == {(0, 13.0), (50, 86.0)}
 
 
 def greedy(doors, lon, lat, hours, cap):
