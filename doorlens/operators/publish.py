@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doorlens.functions import dates, text
 from doorlens.operators.filters import EXCLUSION_REASON, UNSPEAKABLE
+from doorlens.sources.readers import stale_versions
 
 # Published columns and the identity name patterns no table may carry.
 DOOR_COLUMNS = (
@@ -115,6 +117,50 @@ def write_tables(doors: DataFrame, evidence: DataFrame, root: str) -> None:
         table.hint("rebalance", "territory_id").write.mode("overwrite").partitionBy("territory_id").parquet(f"{root}/{name}")
 
 
+def publish_run(tables: dict[str, DataFrame], root: str, run_id: str) -> None:
+    """Publishes all tables of a run as one: they are written under a folder of the run, and then one pointer row names it.
+
+    A reader follows the newest pointer, so it sees the run before or this one, whole. A run that stops between its tables
+    leaves no pointer. Nothing published is overwritten; a repeated run id replaces what an interrupted attempt left.
+    """
+    names = sorted(tables)
+    for name in names:
+        table = tables[name]
+        if "territory_id" in table.columns:
+            table.hint("rebalance", "territory_id").write.mode("overwrite").partitionBy("territory_id").parquet(f"{root}/runs/{run_id}/{name}")
+        else:
+            table.write.mode("overwrite").parquet(f"{root}/runs/{run_id}/{name}")
+    spark = tables[names[0]].sparkSession
+    number = _newest(spark, root)
+    pointer = spark.createDataFrame([(run_id, names, 1 if number is None else number["number"] + 1)], "run_id string, tables array<string>, number long")
+    pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
+
+
+def _newest(spark: SparkSession, root: str):
+    """The newest pointer row, or None before the first publish."""
+    try:
+        pointers = spark.read.schema("run_id string, tables array<string>, number long").parquet(f"{root}/pointers")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return pointers.orderBy(F.desc("number"), F.desc("run_id")).first()
+
+
+def read_run(spark: SparkSession, root: str, needed: tuple[str, ...] = ("doors", "evidence")) -> dict[str, DataFrame]:
+    """The tables of the run published last. Every needed one has to be there, and doors of the current contract only."""
+    newest = _newest(spark, root)
+    if newest is None:
+        raise ValueError(f"nothing is published under {root}")
+    lacking = [name for name in needed if name not in newest["tables"]]
+    if lacking:
+        raise ValueError(f"run {newest['run_id']} lacks {', '.join(lacking)}")
+    tables = {name: spark.read.parquet(f"{root}/runs/{newest['run_id']}/{name}") for name in newest["tables"]}
+    if "doors" in tables and not stale_versions(tables["doors"], CONTRACT).isEmpty():
+        raise ValueError(f"published rows of another score contract than {CONTRACT}")
+    return tables
+
+
 def coverage(doors: DataFrame, spend: DataFrame | None = None, by: str = "territory_id") -> DataFrame:
     """Totals, coverage and cost per scored door; 0.0 over nothing. `spend` is (by, usd)."""
     counts = doors.groupBy(by).agg(
@@ -215,11 +261,3 @@ def schema_findings(table: str, schema: T.StructType) -> list[str]:
 
     walk(schema, table)
     return sorted(found)
-
-
-def key_findings(df: DataFrame, column: str) -> DataFrame:
-    """(path_key, rows) of identity-shaped keys anywhere inside a JSON text column."""
-    names = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
-    keys_ = df.select(F.explode(F.array_distinct(names)).alias("path_key"))
-    pattern = "(?i)" + "|".join(IDENTITY_PATTERNS)
-    return keys_.filter(F.col("path_key").rlike(pattern)).groupBy("path_key").agg(F.count(F.lit(1)).alias("rows"))

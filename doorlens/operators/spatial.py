@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doorlens.functions import geo
-from doorlens.operators.ordering import top_per_key
+from doorlens.operators.ordering import count_below, value_bucket
 from doorlens.session import cut_lineage
 
 
@@ -352,15 +352,20 @@ def within_reach(
 # --- territory ---------------------------------------------------------------------
 
 
-def select_territory(parcels: DataFrame, anchors: DataFrame, slices: int = 32) -> DataFrame:
-    """The `target` residential parcels nearest each anchor, nearest first, as `territory_rank`."""
+def select_territory(parcels: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The `target` residential parcels nearest each anchor, nearest first, as `territory_rank`; ties by pin.
+
+    Distances fall into bands, whose counts say in which band a territory's target lies; what is farther goes unranked. The
+    others take their rank level by level: bands of a territory, distances of a band, pins of one distance. So no window
+    holds a territory, however many parcels it has and however large its target is.
+    """
     homes = parcels.filter((F.col("prop_class") == "2") & F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    placed = homes.join(anchors, "territory_id").withColumn(
-        "anchor_m",
-        geo.equirectangular_m(
-            F.col("lon"), F.col("lat"), F.col("anchor_lon"), F.col("anchor_lat"), geo.TERRITORY_RADIUS_M
-        ),
-    )
-    return top_per_key(
-        placed, ["territory_id"], [F.col("anchor_m"), F.col("pams_pin")], "target", "pams_pin", "territory_rank", slices
-    ).drop("anchor_lon", "anchor_lat", "target")
+    metres = geo.equirectangular_m(F.col("lon"), F.col("lat"), F.col("anchor_lon"), F.col("anchor_lat"), geo.TERRITORY_RADIUS_M)
+    placed = homes.join(anchors, "territory_id").withColumn("anchor_m", metres).withColumns({
+        "_band": value_bucket(F.col("anchor_m")), "_distance": F.col("anchor_m"), "_pin": F.col("pams_pin"), "_one": F.lit(1).cast("long")})
+    bands = placed.groupBy("territory_id", "target", "_band").agg(F.count(F.lit(1)).alias("_held"))
+    wanted = count_below(bands, ["territory_id"], ["_band"], "_held", "_before").filter(F.col("_before") < F.col("target"))
+    near = placed.join(wanted.select("territory_id", "_band"), ["territory_id", "_band"], "left_semi")
+    ranked = count_below(near, ["territory_id"], ["_band", "_distance", "_pin"], "_one", "territory_rank")
+    return ranked.withColumn("territory_rank", (F.col("territory_rank") + 1).cast("int")).filter(F.col("territory_rank") <= F.col("target")).drop(
+        "anchor_lon", "anchor_lat", "target", "_band", "_distance", "_pin", "_one")

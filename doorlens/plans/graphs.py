@@ -126,9 +126,9 @@ def access(t: Tables):
     return placed.select("territory_id", "pams_pin", "lon", "lat", "node", "parcel_m", frontage.alias("frontage_m"))
 
 
-@query("j25_parcel_access", f"WITH {_ACCESS} SELECT territory_id, pams_pin, node, round(round(parcel_m, 6), 4) AS parcel_m FROM access")
+@query("j25_parcel_access", f"WITH {_ACCESS} SELECT territory_id, pams_pin, node, round(parcel_m, 6) AS parcel_m FROM access")
 def parcel_access(t: Tables):
-    return graph.nearest_nodes_of_parcels(parcels(t), nodes(t)).select("territory_id", "pams_pin", "node", F.round("parcel_m", 4).alias("parcel_m"))
+    return graph.nearest_nodes_of_parcels(parcels(t), nodes(t)).select("territory_id", "pams_pin", "node", F.round("parcel_m", 6).alias("parcel_m"))
 
 
 _FLAT = """sqrt(power(({b}.lon - {a}.lon) * 0.017453292519943295 * cos(({b}.lat + {a}.lat) / 2.0 * 0.017453292519943295), 2)
@@ -154,13 +154,13 @@ def network_legs(t: Tables):
         F.col("origin").alias("route_id"), "pams_pin", F.col("along_m").isNotNull().alias("joined"), F.round("leg_m", 3).alias("leg_m"))
 
 
-@query("n7_plausibility", f"""WITH {_ACCESS}, r AS (SELECT territory_id, round(round(parcel_m, 6), 4) AS m, row_number() OVER (PARTITION BY territory_id ORDER BY round(round(parcel_m, 6), 4)) AS i,
+@query("n7_plausibility", f"""WITH {_ACCESS}, r AS (SELECT territory_id, round(parcel_m, 6) AS m, row_number() OVER (PARTITION BY territory_id ORDER BY round(parcel_m, 6)) AS i,
         count(*) OVER (PARTITION BY territory_id) AS c FROM access),
     counted AS (SELECT area AS territory_id, count(*) AS nodes FROM v_node GROUP BY area)
     SELECT territory_id, nodes, m AS median_m, nodes >= 12 AND coalesce(m <= 25.0, false) AS plausible
     FROM counted LEFT JOIN (SELECT * FROM r WHERE i = floor(c / 2) + 1) AS middle USING (territory_id)""")
 def plausibility(t: Tables):
-    found = graph.nearest_nodes_of_parcels(parcels(t), nodes(t)).withColumn("parcel_m", F.round("parcel_m", 4))
+    found = graph.nearest_nodes_of_parcels(parcels(t), nodes(t)).withColumn("parcel_m", F.round("parcel_m", 6))
     return graph.plausible(found, nodes(t))
 
 

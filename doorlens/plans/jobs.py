@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from doorlens.operators import filters, history, imagery, outcomes, permits, publish, report, resolve, route, spatial
+from doorlens.operators import documents, filters, history, imagery, outcomes, permits, publish, report, resolve, route, spatial
 from doorlens.plans.aggregates import (
     OUTCOME_SQL, PROJECT_SQL, RATES, RATES_SQL, ACCOUNT_SQL, VISION_SQL, _GAPS, resolved, scorer_permits,
 )
@@ -335,11 +335,11 @@ _JSON = """SELECT k, '{"pams_pin": "' || pams_pin || '", "details": {"' || CASE
     || '": "a: b", "list": [{"taxpayer_id": ' || CAST(k AS STRING) || '}]}}' AS body FROM v_parcel"""
 
 
-@query("x12_identity_scan", """SELECT CASE k % 6 WHEN 0 THEN 'ownerName' WHEN 1 THEN 'permit_agent' WHEN 3 THEN 'Mailing City'
-    ELSE 'is_Resident' END AS path_key, count(*) AS rows FROM v_parcel WHERE k % 6 IN (0, 1, 3, 5) GROUP BY 1
-    UNION ALL SELECT 'taxpayer_id', count(*) FROM v_parcel""")
+@query("x12_identity_scan", """SELECT 'details.' || CASE k % 6 WHEN 0 THEN 'ownerName' WHEN 1 THEN 'permit_agent' WHEN 3 THEN 'Mailing City'
+    ELSE 'is_Resident' END AS path, count(*) AS rows FROM (SELECT * FROM v_parcel WHERE k % 6 IN (0, 1, 3, 5)) AS p GROUP BY 1
+    UNION ALL SELECT 'details.list[].taxpayer_id', count(*) FROM v_parcel""")
 def identity_scan(t: Tables):
-    return publish.key_findings(t.sql(_JSON), "body")
+    return documents.identity_paths(t.sql(_JSON), "body", ["k"])
 
 
 @query("x13_property_history", f"""WITH {ENRICHED_SQL}, n AS (SELECT pams_pin, count(*) AS permits, count(detail) AS details FROM enriched

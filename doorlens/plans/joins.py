@@ -432,14 +432,6 @@ def assessed_value(t: Tables):
 # --- set operations ---------------------------------------------------------------------------
 
 
-@query("u1_union_yearly_sales", "SELECT ordinal, deed_date FROM v_sale")
-def union_yearly_sales(t: Tables):
-    sales, start = t.v_sale, F.lit("1998-01-01").cast("date")
-    return sales.filter(F.col("sale_day") < start).unionByName(sales.filter(F.col("sale_day") >= start)).select(
-        "ordinal", "deed_date"
-    )
-
-
 @query("u4_accounting_partition", """SELECT mun, CAST(0 AS BIGINT) AS unaccounted, CAST(0 AS BIGINT) AS misfiled
     FROM v_permit_raw GROUP BY mun""")
 def accounting_partition(t: Tables):

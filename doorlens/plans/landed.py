@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doorlens.operators import history, publish, spatial
-from doorlens.plans.analogs import Tables
+from doorlens.operators import documents, history, publish, spatial
+from doorlens.operators.ordering import first_per_key
+from doorlens.plans.analogs import AS_OF, AS_OF_SQL, Tables
 from doorlens.plans.registry import query
 from doorlens.session import ensure_checkpoint_dir
-from doorlens.sources import readers
+from doorlens.sources import filesets, layout, readers
 
 #: Features on one service page.
 PAGE = 40
@@ -170,16 +171,143 @@ def published_columns(t: Tables):
     return table.drop("territory_id").withColumn("retrieved", F.col("retrieved").cast("string"))
 
 
+def _published(t: Tables, factor: int = 1) -> dict[str, DataFrame]:
+    doors, evidence = _rows(t, factor=factor)
+    shown = doors.filter("score is not null").withColumn("score_contract_version", F.lit("v2")).select("territory_id", *publish.DOOR_COLUMNS)
+    return {"doors": shown, "evidence": publish.evidence_table(evidence, shown)}
+
+
 @query("k8_replace_published", f"""SELECT d.pams_pin, d.score, count(*) AS entries, sum(e.points) AS points
     FROM v_door_score d JOIN ({_ENTRIES}) AS e ON d.pams_pin = e.pams_pin WHERE d.score IS NOT NULL GROUP BY d.pams_pin, d.score""")
 def replace_published(t: Tables):
-    """Published twice, other numbers first; what is read back is the second run alone."""
+    """Published twice, other numbers first, and a third time in part; what is read back is the second run alone."""
     t = t.landed()
     root = folder(t, "published")
     for factor in (2, 1):
-        doors, evidence = _rows(t, factor=factor)
-        shown = doors.filter("score is not null").withColumn("score_contract_version", F.lit("v2")).select("territory_id", *publish.DOOR_COLUMNS)
-        publish.write_tables(shown, publish.evidence_table(evidence, shown), root)
-    doors, evidence = readers.read_published(t.spark, f"{root}/doors", f"{root}/evidence")
+        publish.publish_run(_published(t, factor), root, f"run-{factor}")
+    # A third run stops after its doors: nothing points at it.
+    _published(t, 3)["doors"].write.parquet(f"{root}/runs/run-3/doors")
+    doors, evidence = publish.read_run(t.spark, root).values()
     sums = evidence.groupBy("pams_pin").agg(F.count(F.lit(1)).alias("entries"), F.sum("points").alias("points"))
     return doors.join(sums, "pams_pin").select("pams_pin", "score", "entries", "points")
+
+
+@query("s17_published_read_back", """SELECT territory_id, situs_key, min(pams_pin) AS pams_pin FROM (
+        SELECT d.territory_id, d.pams_pin, upper(split_part(s.situs, ',', 1)) AS situs_key
+        FROM v_door_score d JOIN v_situs s ON d.pams_pin = s.pams_pin WHERE d.score IS NOT NULL) AS x GROUP BY territory_id, situs_key""")
+def published_read_back(t: Tables):
+    """Both tables of the published run, and its address index: the first door of each address."""
+    t = t.landed()
+    root = folder(t, "published")
+    tables = _published(t)
+    situs = t.v_situs.select("pams_pin", F.col("situs").alias("situs_"))
+    tables["doors"] = tables["doors"].join(situs, "pams_pin").withColumn("situs", F.col("situs_")).drop("situs_")
+    publish.publish_run(tables, root, "run-1")
+    doors = publish.read_run(t.spark, root)["doors"].withColumn("situs_key", F.upper(F.substring_index("situs", ",", 1)))
+    return first_per_key(doors.select("territory_id", "situs_key", "pams_pin"), ["territory_id", "situs_key"], ["pams_pin"])
+
+
+def permit_layout(t: Tables) -> str:
+    """Permits landed by town and year."""
+    root = folder(t, "permits-by-town")
+    layout.land_by_town_and_year(t.landed().v_permit.select("mun", "municipal_id", "ordinal", "issue_date", "cost"), root)
+    return root
+
+
+@query("s4_pushed_filters", f"""SELECT municipal_id, ordinal, CAST(issue_date AS STRING) AS issue_date, cost FROM v_permit
+    WHERE mun = '0203' AND issue_date >= {AS_OF_SQL} - 730""")
+def pushed_filters(t: Tables):
+    """One town's window out of the landed layout: its town and years are the only folders opened."""
+    rows = layout.read_window(t.spark, permit_layout(t), AS_OF, 730, ["0203"])
+    return rows.select("municipal_id", "ordinal", F.col("issue_date").cast("string").alias("issue_date"), "cost")
+
+
+@query("s4_window_of_towns", f"""SELECT mun, count(*) AS permits, sum(ordinal) AS ordinals FROM v_permit JOIN v_town w ON mun = '02' || lpad(CAST(w.territory_id AS STRING), 2, '0')
+    WHERE w.town LIKE 'Town%' AND issue_date >= {AS_OF_SQL} - 365 GROUP BY mun""")
+def window_of_towns(t: Tables):
+    """Towns given as a table: the scan is pruned at run time."""
+    towns = t.landed().v_town.filter("town like 'Town%'").select(F.concat(F.lit("02"), F.lpad(F.col("territory_id").cast("string"), 2, "0")).alias("mun"))
+    rows = layout.read_window(t.spark, permit_layout(t), AS_OF, 365, towns)
+    return rows.groupBy("mun").agg(F.count(F.lit(1)).alias("permits"), F.sum("ordinal").alias("ordinals"))
+
+
+#: Years asked for: the sales end before the last one, and one year's file is cut off.
+_YEARS = [(f"{year}.txt", str(year)) for year in range(1994, 2002)]
+_BROKEN = 1997
+
+
+def yearly_sales(t: Tables) -> str:
+    """Sales lines as one entry per year; the lines of one year are too short, rows without a day stand in the first year."""
+    days = t.v_sale.select(F.col("ordinal").alias("o"), F.coalesce(F.year("sale_day"), F.lit(1994)).alias("year"))
+    line = F.when(F.col("year") == _BROKEN, F.left("line", F.lit(100))).otherwise(F.col("line"))
+    root = folder(t, "sales-by-year")
+    t.v_sr1a_line.join(days, F.col("ordinal") == F.col("o")).select(F.concat(F.col("year").cast("string"), F.lit(".txt")).alias("file"), line.alias("line")).write.partitionBy(
+        "file").text(root)
+    return root
+
+
+_YEARLY = """SELECT l.ordinal, l.line, s.deed_date, s.mun, extract(year FROM coalesce(s.sale_day, DATE '1994-01-01')) AS y FROM v_sr1a_line l JOIN v_sale s ON l.ordinal = s.ordinal"""
+
+
+@query("u1_union_yearly_sales", f"""SELECT CAST(y AS STRING) || '.txt' AS entry, mun, trim(deed_date) AS deed_date, count(*) AS sales FROM ({_YEARLY}) AS x
+    WHERE length(line) = 663 AND y <> {_BROKEN} GROUP BY 1, 2, 3""")
+def union_yearly_sales(t: Tables):
+    sales, _ = filesets.read_sales_files(t.spark, yearly_sales(t.landed()), _YEARS)
+    return sales.groupBy("entry", "mun", "deed_date").agg(F.count(F.lit(1)).alias("sales"))
+
+
+@query("s7_yearly_files", f"""WITH held AS (SELECT y, CASE WHEN y = {_BROKEN} THEN 0 ELSE count(*) FILTER (WHERE length(line) = 663) END AS n FROM ({_YEARLY}) AS x GROUP BY y)
+    SELECT CAST(e.y AS STRING) || '.txt' AS name, CAST(e.y AS STRING) AS key, coalesce(n, 0) AS rows,
+        CASE WHEN n IS NULL THEN 'no such file' WHEN n = 0 THEN 'nothing readable in it' END AS reason
+    FROM (SELECT unnest(range(1994, 2002)) AS y) AS e LEFT JOIN held ON e.y = held.y""")
+def yearly_files(t: Tables):
+    """What was asked for, and what became of it: one year is absent, one broken, the others are kept."""
+    _, found = filesets.read_sales_files(t.spark, yearly_sales(t.landed()), _YEARS)
+    return found.drop("bytes")
+
+
+@query("s3_read_permit_pages", """SELECT record_id, block, lot, CAST(permit_date AS STRING) AS permit_date, coalesce(cost, 0.0) AS cost FROM v_permit_raw""")
+def read_permit_pages(t: Tables):
+    """Pages of a permit service, one of them cut off in the middle: its rows are lost alone, and named by `file_faults`."""
+    record = F.struct(F.col("record_id").alias("recordid"), "block", "lot", F.concat(F.col("permit_date").cast("string"), F.lit("T00:00:00")).alias("permitdate"),
+                      F.lit("x").alias("permittype"), F.col("cost").cast("string").alias("constcost"), F.lit("secret").alias("contractor"))
+    rows = t.landed().v_permit_raw.select(F.pmod(F.xxhash64("record_id"), F.lit(64)).alias("page"), record.alias("r"))
+    pages = rows.withColumn("part", F.floor(F.rand(7) * 4)).groupBy("page", "part").agg(F.collect_list("r").alias("all")).select(F.to_json("all"))
+    torn = t.spark.createDataFrame([('[{"recordid": "1", "blo',)], "value string")
+    permits, faults = filesets.read_permit_pages(t.spark, write_documents(t, pages.unionByName(torn.toDF(*pages.columns)), "permit-pages"))
+    # The torn page is the one fault there may be.
+    sound = faults.agg((F.count(F.lit(1)) == 1).alias("one")).filter("one")
+    return permits.join(F.broadcast(sound), F.lit(True)).select("record_id", "block", "lot", F.col("permit_date").cast("string").alias("permit_date"), "cost")
+
+
+@query("s16_read_labels", """SELECT CASE WHEN probe AND actual THEN 'a probe row cannot be actual' WHEN event_id % 11 = 0 THEN 'flag is not a boolean' END AS reason,
+        count(*) AS rows, count(*) FILTER (WHERE actual) AS actual FROM v_label GROUP BY 1
+    UNION ALL SELECT 'malformed file', 1, 0""")
+def read_labels(t: Tables):
+    """A folder of label files; one is no JSON, some flags are words."""
+    flag = lambda name: F.when(F.col(name), F.lit("true")).otherwise(F.lit("false"))
+    predicted = F.when((F.col("event_id") % 11 == 0) & ~(F.col("probe") & F.col("actual")), F.lit('"yes"')).otherwise(flag("predicted"))
+    text = F.concat(F.lit('{"pams_pin": "p", "image_ref": "'), F.col("image_ref"), F.lit('", "signal": "pool", "actual": '), flag("actual"),
+                    F.lit(', "predicted": '), predicted, F.lit(', "probe": '), flag("probe"), F.lit("}"))
+    rows = t.landed().v_label.select(F.pmod("event_id", F.lit(40)).alias("file"), text.alias("text"))
+    files = rows.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("value")).select("value")
+    torn = t.spark.createDataFrame([("not a label file",)], "value string")
+    labels, rejects = readers.read_labels(t.spark, write_documents(t, files.unionByName(torn), "labels"))
+    good = labels.agg(F.count(F.lit(1)).alias("rows"), F.count_if("actual").alias("actual")).withColumn("reason", F.lit(None).cast("string"))
+    bad = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+    seen = t.landed().v_label.filter("probe and actual").agg(F.count(F.lit(1)).alias("actual")).withColumn("reason", F.lit("a probe row cannot be actual"))
+    words = t.landed().v_label.filter("event_id % 11 = 0 and not (probe and actual) and actual").agg(F.count(F.lit(1)).alias("actual")).withColumn(
+        "reason", F.lit("flag is not a boolean"))
+    bad = bad.join(seen.unionByName(words), "reason", "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    return good.select("reason", "rows", "actual").unionByName(bad.select("reason", "rows", "actual"))
+
+
+@query("s19_undeclared_json", """SELECT k, '{"k":' || CAST(k AS STRING) || ',"page":{"lot":"' || lot || '","more":[{"roof":"' || block || '"},' || CAST(k % 5 AS STRING)
+    || ',[]],"people":[{"role":"r"},{}]}}' AS body FROM v_parcel""")
+def undeclared_json(t: Tables):
+    """Private keys leave documents whose shape is not declared anywhere."""
+    body = F.concat(
+        F.lit('{"page": {"people": [{"Owner": "x", "role": "r"}, {"AGENT": {"role": [1, 2]}}], "mailing": null, "lot": "'), F.col("lot"),
+        F.lit('", "more": [{"Permit_Agent": 1, "roof": "'), F.col("block"), F.lit('"}, '), (F.col("k") % 5).cast("string"),
+        F.lit(', []]}, "MAILING_ADDRESS": "'), F.col("pams_pin"), F.lit('", "k": '), F.col("k").cast("string"), F.lit("}"))
+    return documents.without_keys(t.landed().v_parcel.select("k", body.alias("body")), "body", ["k"])

@@ -40,9 +40,9 @@ def read_permits(t: Tables):
     return readers.distil_permits(t.sql(_RAW_PERMIT)).withColumn("permit_date", F.col("permit_date").cast("string"))
 
 
-@query("s4_pushed_filters", f"""SELECT municipal_id, ordinal, CAST(issue_date AS STRING) AS issue_date FROM v_permit
+@query("s4_derived_filters", f"""SELECT municipal_id, ordinal, CAST(issue_date AS STRING) AS issue_date FROM v_permit
     WHERE mun = '0203' AND issue_date >= {AS_OF_SQL} - 730""")
-def pushed_filters(t: Tables):
+def derived_filters(t: Tables):
     recent = F.col("issue_date") >= F.date_sub(F.lit(AS_OF), 730)
     return t.v_permit.filter((F.col("mun") == "0203") & recent).select(
         "municipal_id", "ordinal", F.col("issue_date").cast("string").alias("issue_date")
@@ -89,16 +89,6 @@ def sr1a_price(t: Tables):
     return _sales(t).select("ordinal", "sale_price")
 
 
-@query("s7_yearly_files", f"""SELECT extract(year FROM sale_day) AS file_year, count(*) AS sales FROM v_sale
-    WHERE extract(year FROM sale_day) IN (extract(year FROM {AS_OF_SQL}), extract(year FROM {AS_OF_SQL} - 200))
-    GROUP BY extract(year FROM sale_day)""")
-def yearly_files(t: Tables):
-    years = readers.sales_years(AS_OF, 200)
-    return t.v_sale.withColumn("file_year", F.year("sale_day").cast("bigint")).filter(
-        F.col("file_year").isin(*years)
-    ).groupBy("file_year").agg(F.count(F.lit(1)).alias("sales"))
-
-
 @query("s9_acs_estimate", """SELECT geoid, CASE WHEN try_cast(income AS DOUBLE) > -1000000 THEN try_cast(income AS DOUBLE)
     ELSE -1.0 END AS median_hh_income FROM v_acs""")
 def acs_estimate(t: Tables):
@@ -156,15 +146,6 @@ def detection_provenance(t: Tables):
                         F.round("confidence", 6).alias("confidence"))
 
 
-@query("s17_published_read_back", """SELECT situs_key, min(k) AS k FROM (
-        SELECT k, upper(split_part(situs, ',', 1)) AS situs_key FROM v_situs) AS s GROUP BY situs_key""")
-def published_read_back(t: Tables):
-    from doorlens.operators.ordering import first_per_key
-
-    keyed = t.v_situs.select(F.upper(F.substring_index("situs", ",", 1)).alias("situs_key"), "k")
-    return first_per_key(keyed, ["situs_key"], ["k"])
-
-
 @query("u3_stale_versions", "SELECT DISTINCT score_contract_version FROM v_door_score WHERE score_contract_version <> 'v2'")
 def stale_versions(t: Tables):
     return readers.stale_versions(t.v_door_score)
