@@ -1,23 +1,26 @@
 """Walking routes for many requests at once.
 
-Every round moves each route one door on: candidates meet the routes' current positions,
-the best affordable one per route is a combinable minimum. Only the small state is rewritten
-each round; the candidate table is written once.
+Every round moves each route one door on. Doors lie in cells that know their scores; a route looks
+into the cells that could hold its best next door, and the best affordable one is a combinable
+minimum. Only the small state is written each round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doorlens.functions import geo, keys
 from doorlens.operators.filters import routable
+from doorlens.operators.publish import reason_chips
 from doorlens.operators.spatial import within_reach
-from doorlens.session import cut_lineage
+from doorlens.session import cut_lineage, land
 
 # Fixed values.
 CONTRACT = "v2"
 DISCLOSURE = "Walking times are straight-line estimates (x1.3 detour at 3 mph), not turn-by-turn directions."
+NETWORK_DISCLOSURE = (
+    "Walking times follow the streets between the parcels, at 3 mph — estimated from parcel geometry, not turn-by-turn directions.")
 HOOKS = {
     "tenure": "Have you been here long?",
     "churn": "Who do you usually call when something on the house needs doing?",
@@ -45,11 +48,82 @@ def current_requests(requests: DataFrame, current: str = CONTRACT) -> tuple[Data
     return requests.filter(version == current), stale
 
 
-def candidates_for(requests: DataFrame, doors: DataFrame, slack: float = 1.0, detour: float = geo.DETOUR) -> DataFrame:
-    """Doors a route could ever afford: within the budget of its start. Loses none, by the triangle inequality."""
-    metres = F.greatest(F.col("hours"), F.lit(0.0)) * 60.0 * F.lit(geo.METRES_PER_MINUTE / detour * slack) + 0.001
-    centres = requests.select("route_id", "territory_id", "lon", "lat", metres.alias("reach_m"))
-    return within_reach(centres, routable(doors)).drop("c_lon", "c_lat", "reach_m")
+def scored_cells(doors: DataFrame, per_cell: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(doors with their cell, cells with their doors' box and scores), both written.
+
+    A territory's cells are as large as hold `per_cell` of its doors on average. `scores` lists a cell's scores with their
+    number of doors, highest first: what is still the best of a cell once some of its doors are gone can be read off it.
+    """
+    placed = routable(doors)
+    extent = placed.groupBy("territory_id").agg(
+        F.count(F.lit(1)).alias("n"), (F.max("lon") - F.min("lon")).alias("width"), (F.max("lat") - F.min("lat")).alias("height"))
+    area = F.greatest("width", F.lit(1e-6)) * F.greatest("height", F.lit(1e-6)) * per_cell / F.col("n")
+    sized = extent.select("territory_id", F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(area)))).alias("side"))
+    dealt = land(placed.join(sized, "territory_id").withColumns({
+        "gx": F.floor(F.col("lon") / F.col("side")).cast("bigint"), "gy": F.floor(F.col("lat") / F.col("side")).cast("bigint")}).drop("side"), "route-doors")
+    cell = ["territory_id", "gx", "gy"]
+    held = dealt.groupBy(*cell, "score").agg(
+        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("lon", "lat") for f in (F.min, F.max)])
+    cells = held.groupBy(*cell).agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct("score", "n")))).alias("scores"),
+        *[f(f"{f.__name__}_{c}").alias(f"{f.__name__}_{c}") for c in ("lon", "lat") for f in (F.min, F.max)])
+    half = geo.haversine_m(F.col("min_lon"), F.col("min_lat"), F.col("max_lon"), F.col("max_lat")) / 2.0 + 1.0
+    cells = cells.withColumns({"lon": (F.col("min_lon") + F.col("max_lon")) / 2, "lat": (F.col("min_lat") + F.col("max_lat")) / 2, "half_m": half})
+    return dealt, land(cells, "route-cells")
+
+
+def _best_left(scores: Column, gone: Column) -> Column:
+    """The highest score of a cell after any `gone` of its doors are left out; null if none need be left."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("best"))
+    return F.aggregate(scores, zero, lambda acc, x: F.struct(
+        (acc.seen + x.n).alias("seen"), F.when(acc.best.isNull() & (acc.seen + x.n > gone), x.score.cast("double")).otherwise(acc.best).alias("best"))).best
+
+
+def promising_cells(state: DataFrame, cells: DataFrame, gone: DataFrame | None, networked: bool) -> DataFrame:
+    """The cells in which each route's best next door can lie: state columns with gx, gy.
+
+    A cell's nearest side bounds score per minute from above, its farthest corner and a score that is surely still there from
+    below. Cells whose upper bound is under the best lower bound of the route are left. A leg along streets has no such lower
+    bound; there the budget alone leaves cells out.
+    """
+    per_minute = F.lit(geo.METRES_PER_MINUTE / (1.0 / 1.01 if networked else geo.DETOUR))
+    widest = cells.groupBy("territory_id").agg(F.max("half_m").alias("half_m"))
+    reach = (F.col("budget") - F.col("elapsed")) * per_minute * 1.001 + F.col("half_m") + 1.0
+    centres = state.join(widest, "territory_id").withColumns({"reach_m": reach, "lon": F.col("at_lon"), "lat": F.col("at_lat")}).drop("half_m")
+    pairs = within_reach(centres, cells)
+    degree = geo.TERRITORY_RADIUS_M * geo.DEGREE
+
+    def metres(across: Column, down: Column, lat: Column) -> Column:
+        return F.sqrt(F.pow(across * F.cos(geo.radians(lat)), 2) + down * down) * degree
+
+    gap = [F.greatest(F.col(f"min_{c}") - F.col(f"at_{c}"), F.col(f"at_{c}") - F.col(f"max_{c}"), F.lit(0.0)) for c in ("lon", "lat")]
+    span = [F.greatest(F.abs(F.col(f"at_{c}") - F.col(f"min_{c}")), F.abs(F.col(f"max_{c}") - F.col(f"at_{c}"))) for c in ("lon", "lat")]
+    lats = [F.abs("at_lat"), F.abs("min_lat"), F.abs("max_lat")]
+    near = metres(*gap, F.least(F.greatest(*lats), F.lit(90.0))) * 0.999 / per_minute
+    far = metres(*span, F.when(F.signum("min_lat") * F.signum("at_lat") <= 0, F.lit(0.0)).otherwise(F.least(*lats))) * 1.001 / per_minute
+    pairs = pairs.withColumns({"near": near, "far": far}).filter(F.col("elapsed") + F.col("near") <= F.col("budget"))
+    if networked:
+        return pairs.select(*state.columns, "gx", "gy")
+    left = F.lit(0)
+    if gone is not None:
+        pairs = pairs.join(gone, ["route_id", "gx", "gy"], "left")
+        left = F.coalesce("gone", F.lit(0))
+    infinite = F.lit(float("inf"))
+    sure = _best_left(F.col("scores"), left)
+    pairs = pairs.withColumns({
+        "most": F.when(F.col("near") == 0.0, infinite).otherwise(F.get("scores", F.lit(0)).score / F.col("near")),
+        "least": F.when(F.col("elapsed") + F.col("far") <= F.col("budget"), F.when(F.col("far") == 0.0, infinite).otherwise(sure / F.col("far")))})
+    floor = pairs.groupBy("route_id").agg(F.max("least").alias("floor"))
+    return pairs.join(floor, "route_id").filter("floor is null or most >= floor * (1.0 - 1e-9)").select(*state.columns, "gx", "gy")
+
+
+def _gone(doors: DataFrame, stops: DataFrame | None, exclude: DataFrame | None) -> DataFrame | None:
+    """(route_id, gx, gy, gone): how many doors of a cell a route may not visit (again); a door named twice counts twice, which is safe."""
+    named = [x.select("route_id", "pams_pin") for x in (stops, exclude) if x is not None]
+    if not named:
+        return None
+    every = named[0] if len(named) == 1 else named[0].unionByName(named[1])
+    return every.join(doors.select("pams_pin", "gx", "gy"), "pams_pin").groupBy("route_id", "gx", "gy").agg(F.count(F.lit(1)).alias("gone"))
 
 
 def plan_routes(
@@ -64,60 +138,63 @@ def plan_routes(
 
     `requests` hold route_id, territory_id, lon, lat, hours and optionally max_doors; `doors` hold
     territory_id, pams_pin, score, lon, lat. Each step takes the most score per minute among the
-    doors whose leg still fits, a door underfoot first, ties by pin. `exclude` (route_id, pams_pin)
-    leaves doors out and plans anew. With `access` (pams_pin, node, frontage_m; and start_node,
+    doors whose leg still fits, a door underfoot first, ties by pin. `exclude` leaves doors out and plans anew: those of
+    (route_id, pams_pin), or without route_id for all routes. With `access` (pams_pin, node, frontage_m; and start_node,
     start_frontage_m on the requests) and `walk` (source, node, metres), legs follow the network
     where it joins the two points.
+
+    The search is best first over cells: a round looks into those cells only whose best score, at their nearest side, could beat
+    what is sure elsewhere. No table of requests and doors is kept.
     """
     networked = walk is not None
-    pool = candidates_for(requests, doors, 1.3 * 1.01 if networked else 1.0)
+    if exclude is not None and "route_id" not in exclude.columns:
+        doors, exclude = doors.join(exclude.select("pams_pin").distinct(), "pams_pin", "left_anti"), None
+    dealt, cells = scored_cells(doors)
     if exclude is not None:
-        pool = pool.join(exclude.select("route_id", "pams_pin").distinct(), ["route_id", "pams_pin"], "left_anti")
-    if networked:
-        pool = pool.join(access.select("pams_pin", "node", "frontage_m"), "pams_pin", "left")
-    pool = cut_lineage(pool)
+        exclude = exclude.select("route_id", "pams_pin").distinct()
 
     cap = F.col("max_doors") if "max_doors" in requests.columns else F.lit(None)
+    keys_ = ["route_id", "territory_id"]
     state = requests.select(
-        "route_id", F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"), F.lit(0.0).alias("elapsed"),
+        *keys_, F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"), F.lit(0.0).alias("elapsed"),
         (F.greatest(F.col("hours"), F.lit(0.0)) * 60.0).alias("budget"),
         F.greatest(F.coalesce(cap.cast("bigint"), F.lit(2**62)), F.lit(0)).alias("cap"),
         *([F.col("start_node").alias("at_node"), F.col("start_frontage_m").alias("at_frontage")] if networked else []),
-    )
+    ).filter("at_lon is not null and at_lat is not null")
     stops = None
     for number in range(1, max_rounds + 1):
         open_ = state.filter(F.col("cap") >= number)
-        left = pool if stops is None else pool.join(stops.select("route_id", "pams_pin"), ["route_id", "pams_pin"], "left_anti")
-        legs = left.join(open_, "route_id")
+        legs = promising_cells(open_, cells, _gone(dealt, stops, exclude), networked).join(dealt, ["territory_id", "gx", "gy"])
+        for left in (stops, exclude):
+            if left is not None:
+                legs = legs.join(left.select("route_id", "pams_pin"), ["route_id", "pams_pin"], "left_anti")
         straight = geo.haversine_m(F.col("at_lon"), F.col("at_lat"), F.col("lon"), F.col("lat")) * geo.DETOUR
+        metres = straight
         if networked:
+            legs = legs.join(access.select("pams_pin", "node", "frontage_m"), "pams_pin", "left")
             along = walk.select(F.col("source").alias("at_node"), "node", F.col("metres").alias("along"))
             legs = legs.join(along, ["at_node", "node"], "left")
             same = (F.col("lon") == F.col("at_lon")) & (F.col("lat") == F.col("at_lat"))
-            metres = F.when(same, F.lit(0.0)).otherwise(
-                F.coalesce(F.col("at_frontage") + F.col("along") + F.col("frontage_m"), straight)
-            )
-        else:
-            metres = straight
+            metres = F.when(same, F.lit(0.0)).otherwise(F.coalesce(F.col("at_frontage") + F.col("along") + F.col("frontage_m"), straight))
         legs = legs.withColumn("walk_minutes", geo.walk_minutes(metres)).filter(
             F.col("elapsed") + F.col("walk_minutes") <= F.col("budget")
         )
         merit = F.when(F.col("walk_minutes") == 0.0, F.lit(float("-inf"))).otherwise(-F.col("score") / F.col("walk_minutes"))
         picked = ["pams_pin", "score", "lon", "lat", "walk_minutes"] + (["node", "frontage_m"] if networked else [])
         chosen = cut_lineage(
-            legs.groupBy("route_id", "elapsed", "budget", "cap").agg(
+            legs.groupBy(*keys_, "elapsed", "budget", "cap").agg(
                 F.min_by(F.struct(*picked), F.struct(merit.alias("m"), F.col("pams_pin").alias("p"))).alias("c")
             ).select(
-                "route_id", F.lit(number).alias("stop"), "c.*", (F.col("elapsed") + F.col("c.walk_minutes")).alias("cumulative_minutes"),
+                *keys_, F.lit(number).alias("stop"), "c.*", (F.col("elapsed") + F.col("c.walk_minutes")).alias("cumulative_minutes"),
                 "budget", "cap",
             )
         )
         if chosen.isEmpty():
             break
         made = chosen.select("route_id", "stop", "pams_pin", "score", "walk_minutes", "cumulative_minutes")
-        stops = cut_lineage(made if stops is None else stops.unionByName(made))
+        stops = made if stops is None else stops.unionByName(made)
         state = chosen.select(
-            "route_id", F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"),
+            *keys_, F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat"),
             F.col("cumulative_minutes").alias("elapsed"), "budget", "cap",
             *([F.col("node").alias("at_node"), F.col("frontage_m").alias("at_frontage")] if networked else []),
         )
@@ -131,6 +208,46 @@ def plan_routes(
     return stops
 
 
+def describe_stops(
+    requests: DataFrame, stops: DataFrame, doors: DataFrame, evidence: DataFrame, company: str, scripts: DataFrame | None = None,
+    access: DataFrame | None = None, paths: DataFrame | None = None, nodes: DataFrame | None = None,
+) -> DataFrame:
+    """Stops as a rep needs them: address, reason chip, opening line with its branches, the line of the leg, and what the minutes rest on.
+
+    `doors` hold pams_pin, situs, lon, lat and evidence_type, `evidence` the scored entries the chip is chosen from, `scripts` (angle,
+    branch, trigger, line) what follows an answer. With `access`, `paths` (source, node, place, at) and `nodes` (id, lon, lat),
+    legs that the network joins are drawn along it; others are a straight line from the place before.
+    """
+    chips = reason_chips(evidence).select("pams_pin", "reason_chip")
+    told = talk_tracks(stops.join(doors.select("pams_pin", "situs", "lon", "lat", "evidence_type"), "pams_pin").join(chips, "pams_pin", "left"), company)
+    if scripts is None:
+        told = told.withColumn("branches", F.array().cast("array<struct<branch:string,trigger:string,line:string>>"))
+    else:
+        lines = scripts.groupBy("angle").agg(F.array_sort(F.collect_list(F.struct("branch", "trigger", "line"))).alias("branches"))
+        told = told.join(lines, "angle", "left")
+    point = lambda lon, lat: F.array(F.col(lon), F.col(lat))
+    start = requests.select("route_id", point("lon", "lat").alias("start"), *([F.col("start_node")] if access is not None else []))
+    before = told.select("route_id", (F.col("stop") + 1).alias("stop"), F.col("pams_pin").alias("from_pin"), point("lon", "lat").alias("from_point"))
+    legs = told.join(start, "route_id").join(before, ["route_id", "stop"], "left").withColumns(
+        {"from_point": F.coalesce("from_point", "start"), "to_point": point("lon", "lat")})
+    straight = F.array("from_point", "to_point")
+    if access is None:
+        drawn = legs.withColumns({"path": straight, "disclosure": F.lit(DISCLOSURE)})
+    else:
+        node = access.select("pams_pin", "node")
+        ends = legs.join(node, "pams_pin", "left").join(node.toDF("from_pin", "from_node"), "from_pin", "left").withColumn(
+            "source", F.when(F.col("from_pin").isNull(), F.col("start_node")).otherwise(F.col("from_node")))
+        asked = ends.select("source", "node").distinct()
+        placed = paths.join(asked, ["source", "node"]).join(nodes.select(F.col("id").alias("at"), F.array("lon", "lat").alias("xy")), "at")
+        line = placed.groupBy("source", "node").agg(F.array_sort(F.collect_list(F.struct("place", "xy"))).alias("line"))
+        drawn = ends.join(line, ["source", "node"], "left").withColumns({
+            "path": F.when(F.col("line").isNull(), straight).otherwise(F.concat(F.array("from_point"), F.transform("line", lambda x: x.xy), F.array("to_point"))),
+            "disclosure": F.lit(NETWORK_DISCLOSURE)})
+    return drawn.select(
+        "route_id", "stop", "pams_pin", F.col("situs").alias("address"), "score", "walk_minutes", "cumulative_minutes", "reason_chip", "talk_track",
+        "branches", "path", "disclosure")
+
+
 def route_summary(requests: DataFrame, stops: DataFrame) -> DataFrame:
     """One row per route: stops, minutes and the mean score, NULL without stops."""
     totals = stops.groupBy("route_id").agg(

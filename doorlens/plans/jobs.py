@@ -432,11 +432,51 @@ def mean_route_score(t: Tables):
 @query("x17_exclude_and_replan", f"""{_route_sql(excluded="d.score >= 90")} SELECT route_id, stop, pams_pin FROM walk WHERE stop > 0""")
 def exclude_and_replan(t: Tables):
     t = t.landed()
-    dropped = t.v_route_door.filter("score >= 90").join(t.v_route_request.select("route_id", "territory_id"), "territory_id")
+    stops = route.plan_routes(t.v_route_request, t.v_route_door, exclude=t.v_route_door.filter("score >= 90").select("pams_pin"))
+    return stops.select("route_id", F.col("stop").cast("bigint").alias("stop"), "pams_pin")
+
+
+@query("x17_exclude_per_route", f"""{_route_sql(excluded="(d.score + w.route_id) % 10 = 0")} SELECT route_id, stop, pams_pin FROM walk WHERE stop > 0""")
+def exclude_per_route(t: Tables):
+    """Each route leaves out doors of its own."""
+    t = t.landed()
+    dropped = t.v_route_door.join(t.v_route_request.select("route_id", "territory_id"), "territory_id").filter("(score + route_id) % 10 = 0")
     stops = route.plan_routes(t.v_route_request, t.v_route_door, exclude=dropped)
     return stops.select("route_id", F.col("stop").cast("bigint").alias("stop"), "pams_pin")
 
 
+_SPOKEN = """CASE k % 4 WHEN 0 THEN 'Do you have a pool or anything out back?' WHEN 1 THEN 'How old''s the house, do you know?'
+    WHEN 2 THEN 'Who do you usually call when something on the house needs doing?'
+    ELSE 'Are you the one who deals with the house stuff, or is that somebody else?' END"""
+
+
+@query("x16_route_stops", f"""{_route_sql()}, told AS (SELECT w.route_id, w.stop, w.pams_pin, s.address || ', Ramsey NJ' || CASE WHEN r.zip5 = '' THEN '' ELSE ' ' || r.zip5 END AS address,
+        w.score, round(w.minutes, 5) AS walk_minutes, round(sum(w.minutes) OVER (PARTITION BY w.route_id ORDER BY w.stop), 5) AS cumulative_minutes,
+        CASE s.k % 4 WHEN 0 THEN 'fit_pool' WHEN 1 THEN 'fit_lot' WHEN 2 THEN 'project_active' END AS reason_chip, {_SPOKEN.replace("k %", "s.k %")} AS hook,
+        CASE WHEN s.k % 4 = 0 THEN 2 ELSE 0 END AS branches,
+        lag(w.lon) OVER (PARTITION BY w.route_id ORDER BY w.stop) AS x1, lag(w.lat) OVER (PARTITION BY w.route_id ORDER BY w.stop) AS y1, w.lon AS x2, w.lat AS y2
+    FROM walk w LEFT JOIN v_situs s ON w.pams_pin = s.pams_pin LEFT JOIN v_parcel_raw r ON w.pams_pin = r.pams_pin)
+    SELECT route_id, stop, pams_pin, address, score, walk_minutes, cumulative_minutes, reason_chip, hook, branches, round(x1, 9) AS x1, round(y1, 9) AS y1,
+        round(x2, 9) AS x2, round(y2, 9) AS y2 FROM told WHERE stop > 0""")
+def route_stops(t: Tables):
+    """Stops with address, chip, opener and branches, and the line of each leg."""
+    t = t.landed()
+    kinds = ("fit_pool", "fit_lot", "project_active", "capacity_local_relative_value")
+    kind = F.get(F.array(*[F.lit(x) for x in kinds]), (F.col("k") % 4).cast("int"))
+    doors = t.v_situs.join(t.v_parcel.select("pams_pin", "lon", "lat"), "pams_pin").withColumn("evidence_type", kind)
+    evidence = doors.select("territory_id", "pams_pin", F.col("evidence_type").alias("type"), F.lit(3.0).alias("points"))
+    scripts = t.spark.createDataFrame([("pool", "yes", "they have one", "Great."), ("pool", "no", "they have none", "Fair enough.")],
+                                      "angle string, branch string, trigger string, line string")
+    stops = route.plan_routes(t.v_route_request, t.v_route_door)
+    told = route.describe_stops(t.v_route_request, stops, doors, evidence, "Acme Home", scripts)
+    at = lambda i, j: F.round(F.get(F.get("path", F.lit(i)), F.lit(j)), 9)
+    return told.select(
+        "route_id", F.col("stop").cast("bigint").alias("stop"), "pams_pin", "address", F.col("score").cast("bigint").alias("score"),
+        F.round("walk_minutes", 5).alias("walk_minutes"), F.round("cumulative_minutes", 5).alias("cumulative_minutes"), "reason_chip",
+        F.substring_index("talk_track", " this week. ", -1).alias("hook"), F.coalesce(F.size("branches"), F.lit(0)).alias("branches"),
+        at(0, 0).alias("x1"), at(0, 1).alias("y1"), at(1, 0).alias("x2"), at(1, 1).alias("y2"))
+
+
 @query("x18_stale_contract_route", f"""{_route_sql(version="score_contract_version = 'v2'")} SELECT r.route_id,
     r.score_contract_version <> 'v2' AS refresh_required, count(w.stop) AS stops FROM v_route_request r
     LEFT JOIN (SELECT * FROM walk WHERE stop > 0) AS w ON r.route_id = w.route_id GROUP BY 1, 2""")

@@ -142,6 +142,59 @@ def test_routes_equal_greedy_one_by_one(spark, town):
         assert got == greedy(town, lon, lat, hours, 10**9 if cap is None else cap)
 
 
+def test_exclusions_of_one_route_and_of_all(spark, town):
+    doors = spark.createDataFrame([(1, pin, s, x, y) for pin, (s, x, y) in town.items()], DOORS)
+    requests = spark.createDataFrame([(i, 1, -74.0 + i / 500, 41.0 + i / 500, 1.0, 6) for i in range(4)], REQUESTS)
+    best = sorted(town, key=lambda p: -town[p][0])[:15]
+    own = spark.createDataFrame([(i, p) for i in (1, 3) for p in best] + [(1, "nobody")], "route_id long, pams_pin string")
+    stops = route.plan_routes(requests, doors, exclude=own).collect()
+    for i in range(4):
+        left = {p: v for p, v in town.items() if i in (0, 2) or p not in best}
+        got = [r.pams_pin for r in sorted((r for r in stops if r.route_id == i), key=lambda r: r.stop)]
+        assert got == greedy(left, -74.0 + i / 500, 41.0 + i / 500, 1.0, 6)
+    stops = route.plan_routes(requests, doors, exclude=own.select("pams_pin")).collect()
+    left = {p: v for p, v in town.items() if p not in best}
+    assert [r.pams_pin for r in sorted((r for r in stops if r.route_id == 0), key=lambda r: r.stop)] == greedy(left, -74.0, 41.0, 1.0, 6)
+
+
+def test_a_round_looks_into_few_cells(spark):
+    """4,000 doors in reach of every route: what a round examines is a small part of them, and the answer is the plain one."""
+    rnd = random.Random(5)
+    town = {f"d{i:04d}": (rnd.randrange(0, 101), -74 + rnd.random() / 30, 41 + rnd.random() / 30) for i in range(4000)}
+    doors = spark.createDataFrame([(1, pin, s, x, y) for pin, (s, x, y) in town.items()], DOORS)
+    requests = spark.createDataFrame([(i, 1, -74 + rnd.random() / 30, 41 + rnd.random() / 30, 8.0, 5) for i in range(12)], REQUESTS)
+    dealt, cells = route.scored_cells(doors)
+    state = requests.selectExpr("route_id", "territory_id", "lon at_lon", "lat at_lat", "0.0D elapsed", "hours * 60.0 budget", "5L cap")
+    looked = route.promising_cells(state, cells, None, False).join(dealt, ["territory_id", "gx", "gy"]).count()
+    assert looked < 0.1 * 12 * 4000
+    stops = route.plan_routes(requests, doors).collect()
+    for r in requests.collect():
+        got = [s.pams_pin for s in sorted((s for s in stops if s.route_id == r.route_id), key=lambda s: s.stop)]
+        assert got == greedy(town, r.lon, r.lat, 8.0, 5)
+
+
+def test_stops_are_described(spark):
+    doors = spark.createDataFrame([("a", "12 OAK ST, Ramsey NJ", -74.0, 41.001, "fit_pool"), ("b", "9 ELM AVE, Ramsey NJ", -74.0, 41.002, "other")],
+                                  "pams_pin string, situs string, lon double, lat double, evidence_type string")
+    evidence = spark.createDataFrame([(1, "a", "fit_pool", 3.0), (1, "a", "fit_lot", 5.0), (1, "b", "capacity_local_relative_value", 9.0)],
+                                     "territory_id int, pams_pin string, type string, points double")
+    requests = spark.createDataFrame([(1, 1, -74.0, 41.0, 1.0, 2, 100, 0.0)], REQUESTS + ", start_node long, start_frontage_m double")
+    stops = spark.createDataFrame([(1, 1, "a", 50, 4.0, 4.0), (1, 2, "b", 40, 2.0, 6.0)],
+                                  "route_id long, stop int, pams_pin string, score int, walk_minutes double, cumulative_minutes double")
+    scripts = spark.createDataFrame([("pool", "yes", "has one", "Nice."), ("pool", "no", "none", "OK.")], "angle string, branch string, trigger string, line string")
+    a, b = route.describe_stops(requests, stops, doors, evidence, "Acme", scripts).orderBy("stop").collect()
+    assert (a.address, a.reason_chip, len(a.branches), a.path) == ("12 OAK ST, Ramsey NJ", "fit_lot", 2, [[-74.0, 41.0], [-74.0, 41.001]])
+    assert a.talk_track.startswith("Hey, I'm with Acme") and "Oak St" in a.talk_track and a.disclosure == route.DISCLOSURE
+    assert (b.reason_chip, b.branches, b.path) == (None, None, [[-74.0, 41.001], [-74.0, 41.002]])
+    streets = spark.createDataFrame([(100, 101, 50.0), (101, 102, 60.0)], "src long, dst long, metres double")
+    walks = graph.distances(streets, spark.createDataFrame([(100,)], "source long"), 500.0)
+    access = spark.createDataFrame([("a", 102), ("b", 103)], "pams_pin string, node long")
+    nodes = spark.createDataFrame([(i, float(i), 0.0) for i in (100, 101, 102)], "id long, lon double, lat double")
+    a, b = route.describe_stops(requests, stops, doors, evidence, "Acme", None, access, graph.path_rows(walks, streets), nodes).orderBy("stop").collect()
+    assert a.path == [[-74.0, 41.0], [100.0, 0.0], [101.0, 0.0], [102.0, 0.0], [-74.0, 41.001]] and a.disclosure == route.NETWORK_DISCLOSURE
+    assert b.path == [[-74.0, 41.001], [-74.0, 41.002]] and b.branches == []
+
+
 def test_network_legs_replace_straight_ones(spark):
     # The nearer door is across a river: 1,000 m round by the street.
     doors = spark.createDataFrame([(1, "near", 50, -74.0, 41.001), (1, "far", 50, -74.0, 40.998)], DOORS)
