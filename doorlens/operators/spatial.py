@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from doorlens.functions import geo
 from doorlens.operators.ordering import count_below, value_bucket
-from doorlens.session import cut_lineage
+from doorlens.session import cut_lineage, land
 
 
 def _cell(value: Column, origin: Column, side: Column) -> Column:
@@ -62,6 +62,8 @@ def nearest_neighbours(
         candidates.withColumn("_i", F.row_number().over(in_spot)).filter(F.col("_i") <= k + 1)
         .groupBy(*spot).agg(F.sort_array(F.collect_list("_id")).alias("ids"))
     )
+    # What several steps read is written once: the places, the index with its counts, and the cells that subjects ask.
+    offered = land(offered, "places")
     places = offered.select(*spot, F.size("ids").alias("weight"))
 
     # The root cell covers subjects and candidates alike, so no subject falls outside the grid.
@@ -82,6 +84,7 @@ def nearest_neighbours(
     ).withColumn("deepest", F.col("_even") + below_levels).withColumn(
         "topmost", F.greatest(F.col("_even") - below_levels, F.lit(0))
     )
+    extent = land(extent, "extent")
 
     # Where one cell of the deepest level is still crowded, the grid goes on below it. The cells
     # around it are indexed as deep, because a subject inside may look over the border.
@@ -97,6 +100,7 @@ def nearest_neighbours(
                                                             F.max("thick").alias("thick"))
         .filter(F.col("_w") > crowd * (k + 1))
     )
+    crowded = land(crowded, "crowded")
     ring = F.ceil(F.sqrt(F.col("thick") * F.col("thick") + 1.0) / (F.col("thin") * 2.0))
     around = (
         crowded.withColumn("dx", F.explode(F.sequence(F.col("dx") - ring, F.col("dx") + ring)))
@@ -116,8 +120,8 @@ def nearest_neighbours(
         )
 
     cell = [group, "level", "cx", "cy"]
-    indexed = at_levels(places, around)
-    filled = indexed.groupBy(*cell).agg(F.sum("weight").alias("held"))
+    indexed = land(at_levels(places, around).select(*cell, "lon", "lat", "weight"), "index")
+    filled = land(indexed.groupBy(*cell).agg(F.sum("weight").alias("held")), "cells")
 
     # The finest own cell with more than k points, or the root.
     asked = at_levels(subjects.select(*spot).distinct(), crowded)
@@ -159,6 +163,7 @@ def nearest_neighbours(
             *cell, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), F.when(~whole, F.col("reach_m")).alias("reach_m")
         )
     )
+    probes = land(probes, "probes")
     most = 9 * crowd * (k + 1)
     costly = (
         probes.join(filled, cell).groupBy(group, "s_lon", "s_lat").agg(F.sum("held").alias("_read")).filter(F.col("_read") > most)
