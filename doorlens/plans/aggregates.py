@@ -8,7 +8,7 @@ from doorlens.operators import history, imagery, outcomes, permits, publish, rep
 from doorlens.operators.spatial import nearest_comparables, valid_single_family
 from doorlens.plans.analogs import AS_OF, AS_OF_SQL, Tables
 from doorlens.plans.joins import (
-    DEED_SQL, ENRICHED_SQL, LATEST_SQL, NEAR_SQL, ROUTED_SQL, _match_sql, matched, routed, territory,
+    DEED_SQL, ENRICHED_SQL, LATEST_SQL, NEAR_SQL, PLACED_SQL, ROUTED_SQL, _match_sql, boxes, matched, routed, territory,
 )
 from doorlens.plans.registry import query
 from doorlens.plans.scalars import deed_sql
@@ -70,14 +70,14 @@ def match_rates(t: Tables):
 def resolved(t: Tables):
     t = t.landed()
     parcels = territory(t).join(t.v_parcel.select("k", "geoid", "yr_constr", "net_value", "calc_acre", "lon", "lat"), "k")
-    acs = t.v_acs_stats.filter("geoid != '24'")
-    return resolve.resolve(parcels, t.v_permit_raw, t.v_sale, acs, t.v_rental, AS_OF, municipal=t.v_parcel_raw)
+    acs = t.v_acs_stats.withColumn("geoid", F.concat(F.lit("BG"), F.lpad("geoid", 2, "0"))).filter("geoid != 'BG24'")
+    return resolve.resolve(parcels, t.v_permit_raw, t.v_sale, acs, t.v_rental, AS_OF, municipal=t.v_parcel_raw, boundaries=boxes(t))
 
 
-SIGNAL_SQL = f"""WITH {ROUTED_SQL}, landed AS (SELECT DISTINCT pams_pin FROM routed WHERE pams_pin IS NOT NULL),
-    signals AS (SELECT r.mun, r.pams_pin, l.pams_pin IS NOT NULL AS permits, p.geoid <> '24' AS bg,
+SIGNAL_SQL = f"""WITH {ROUTED_SQL}, {PLACED_SQL}, landed AS (SELECT DISTINCT pams_pin FROM routed WHERE pams_pin IS NOT NULL),
+    signals AS (SELECT r.mun, r.pams_pin, l.pams_pin IS NOT NULL AS permits, coalesce(g.geoid <> 'BG24', false) AS bg,
                        r.pams_pin IN (SELECT pams_pin FROM v_rental) AS rental
-                FROM v_parcel_raw r JOIN v_parcel p ON r.k = p.k LEFT JOIN landed l ON r.pams_pin = l.pams_pin
+                FROM v_parcel_raw r LEFT JOIN placed g ON r.pams_pin = g.pams_pin LEFT JOIN landed l ON r.pams_pin = l.pams_pin
                 WHERE r.prop_class = '2')"""
 
 
@@ -363,12 +363,12 @@ def history_summary(t: Tables):
 
 
 @query("a29_provenance", f"""WITH {DEED_SQL}, {ROUTED_SQL.replace('parcels AS', 'rparcels AS').replace('FROM parcels', 'FROM rparcels')},
-    landed AS (SELECT DISTINCT pams_pin FROM routed WHERE pams_pin IS NOT NULL)
-    SELECT d.pams_pin, concat_ws(',', CASE WHEN p.geoid <> '24' THEN 'acs' END, 'parcel',
+    {PLACED_SQL}, landed AS (SELECT DISTINCT pams_pin FROM routed WHERE pams_pin IS NOT NULL)
+    SELECT d.pams_pin, concat_ws(',', CASE WHEN g.geoid <> 'BG24' THEN 'acs' END, 'parcel',
         CASE WHEN l.pams_pin IS NOT NULL THEN 'permits' END,
         CASE WHEN d.pams_pin IN (SELECT pams_pin FROM v_rental) THEN 'rental' END,
         CASE WHEN d.newer THEN 'sales' END) AS signals
-    FROM deeds d JOIN v_parcel p ON d.k = p.k LEFT JOIN landed l ON d.pams_pin = l.pams_pin WHERE d.prop_class = '2'""")
+    FROM deeds d LEFT JOIN placed g ON d.pams_pin = g.pams_pin LEFT JOIN landed l ON d.pams_pin = l.pams_pin WHERE d.prop_class = '2'""")
 def provenance(t: Tables):
     return resolved(t)["doors"].select(
         "pams_pin", F.array_join(F.sort_array(F.map_keys("provenance")), ",").alias("signals")

@@ -182,6 +182,9 @@ VIEWS = {
                              ELSE '0.' || lpad(CAST(k100 AS STRING), 2, '0') END || '}]}'
                         || CASE WHEN k100 % 10 = 3 THEN chr(10) || '```' ELSE '' END END AS response
         FROM v_response""",
+    "v_batch": """
+        SELECT DISTINCT batch_id, image_ref FROM v_response WHERE batch_id NOT LIKE '%7' OR image_ref LIKE '%-2015'
+        UNION ALL SELECT DISTINCT batch_id, 'tile-1-2015' AS image_ref FROM v_response WHERE batch_id LIKE '%3'""",
     "v_detection": """
         SELECT r.batch_id, r.ordinal, t.territory_id, t.pams_pin, r.image_ref, t.capture_date, r.signal,
                (r.k100 % 7 <> 0) AS present, CAST(r.k100 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence

@@ -10,7 +10,7 @@ from doorlens.plans.aggregates import (
 )
 from doorlens.plans.analogs import AS_OF, AS_OF_SQL, Tables
 from doorlens.plans.joins import (
-    COALESCED_SQL, DEED_SQL, ENRICHED_SQL, NEAR_SQL, ROUTED_SQL, _match_sql, matched,
+    COALESCED_SQL, DEED_SQL, ENRICHED_SQL, NEAR_SQL, PLACED_SQL, ROUTED_SQL, _match_sql, matched,
 )
 from doorlens.plans.registry import query
 from doorlens.plans.scalars import ADDRESS_SQL, HAVERSINE_SQL, KEY_SQL, STRENGTH_SQL
@@ -25,13 +25,13 @@ DOOR = facts.DOOR
 
 
 @query("x1_resolve_doors", f"""WITH {DEED_SQL}, {ROUTED_SQL.replace('parcels AS', 'rparcels AS').replace('FROM parcels', 'FROM rparcels')},
-    landed AS (SELECT pams_pin, count(*) AS n FROM routed WHERE pams_pin IS NOT NULL GROUP BY pams_pin)
+    {PLACED_SQL}, landed AS (SELECT pams_pin, count(*) AS n FROM routed WHERE pams_pin IS NOT NULL GROUP BY pams_pin)
     SELECT d.pams_pin, CAST(d.deed_day AS STRING) AS deed_day, d.price, d.source AS deed_source, coalesce(l.n, 0) AS permit_count,
-        p.geoid <> '24' AS has_block_group, d.pams_pin IN (SELECT pams_pin FROM v_rental) AS is_rental,
+        coalesce(g.geoid <> 'BG24', false) AS has_block_group, d.pams_pin IN (SELECT pams_pin FROM v_rental) AS is_rental,
         {KEY_SQL.replace('mun', 'd.mun').replace('block', 'd.block').replace('lot', 'd.lot').replace('d.bd.lotck', 'd.block')}
             AS parcel_key,
         {ADDRESS_SQL.replace('k %', 'd.k %')} AS address_key
-    FROM deeds d JOIN v_parcel p ON d.k = p.k LEFT JOIN landed l ON d.pams_pin = l.pams_pin WHERE d.prop_class = '2'""")
+    FROM deeds d LEFT JOIN placed g ON d.pams_pin = g.pams_pin LEFT JOIN landed l ON d.pams_pin = l.pams_pin WHERE d.prop_class = '2'""")
 def resolve_doors(t: Tables):
     return resolved(t)["doors"].select(
         "pams_pin", F.col("deed.deed_day").cast("string").alias("deed_day"), F.col("deed.price").alias("price"),

@@ -122,18 +122,19 @@ def vision_envelopes(t: Tables):
 
 _CONTRACT_SQL = f"""SELECT event_id AS ordinal, CASE WHEN no_envelope THEN NULL ELSE a.image_ref END AS image_ref,
        CASE WHEN no_envelope THEN 'response was not a {{''detections'': [...]}} JSON object'
-            WHEN t.pams_pin IS NULL THEN 'detection names an image_ref that was not in this batch'
+            WHEN t.pams_pin IS NULL OR b.image_ref IS NULL THEN 'detection names an image_ref that was not in this batch'
             WHEN signal = 'garage' THEN 'unknown vision signal'
             WHEN present IS NULL THEN 'present must be a bool'
             WHEN confidence > 1.0 THEN 'confidence must be a number within [0, 1]' END AS reason,
        t.pams_pin, t.capture_date, a.signal, a.present, a.confidence
-FROM ({_ANSWERS}) AS a LEFT JOIN v_tile t ON t.image_ref = a.image_ref"""
+FROM ({_ANSWERS}) AS a LEFT JOIN v_tile t ON t.image_ref = a.image_ref
+    LEFT JOIN (SELECT DISTINCT batch_id, image_ref FROM v_batch) AS b ON b.batch_id = a.batch_id AND b.image_ref = a.image_ref"""
 
 
 @query("s15_detection_contract", f"SELECT ordinal, image_ref, reason FROM ({_CONTRACT_SQL}) AS c WHERE reason IS NOT NULL")
 def detection_contract(t: Tables):
     t = t.landed()
-    _, quarantine = imagery.detections_from(t.v_answer, t.v_tile)
+    _, quarantine = imagery.detections_from(t.v_answer, t.v_tile, t.v_batch)
     return quarantine.select("ordinal", "image_ref", "reason")
 
 
@@ -141,7 +142,7 @@ def detection_contract(t: Tables):
        round(confidence, 6) AS confidence FROM ({_CONTRACT_SQL}) AS c WHERE reason IS NULL""")
 def detection_provenance(t: Tables):
     t = t.landed()
-    valid, _ = imagery.detections_from(t.v_answer, t.v_tile)
+    valid, _ = imagery.detections_from(t.v_answer, t.v_tile, t.v_batch)
     return valid.select("ordinal", "image_ref", "pams_pin", "capture_date", "signal", "present",
                         F.round("confidence", 6).alias("confidence"))
 
