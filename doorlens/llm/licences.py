@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier, its unknown class calibrated, each finding confirmed by a template.
 
-Paragraphs are lines. Features are the word 1- to 3-grams that occur in licence notices, so a
+Paragraphs are runs of lines with words. Each line is judged, and around each line break inside a paragraph the
+words before and after it, so a notice may be wrapped anywhere; marks of comments are no words. Features are the word 1- to 3-grams that occur in licence notices, so a
 paragraph is a sparse vector and one without such a gram is unknown without further work. The
 classifier is a multinomial logistic regression over the licence families and `unknown`, trained here on
 notices made from the templates below and, as unknown, on other sentences and on a bounded sample of the
@@ -31,7 +32,7 @@ TEMPLATES = {
     "apache": ("licensed under the Apache License, Version 2.0", "released under the Apache License 2.0",
                "you may not use this file except in compliance with the License",
                "SPDX-License-Identifier: Apache-2.0"),
-    "bsd": ("licensed under the BSD 3-Clause License", "released under the BSD license",
+    "bsd": ("licensed under the BSD 3-Clause License", "released under the BSD license", "BSD-2-Clause licensed",
             "redistribution and use in source and binary forms, with or without modification, are permitted",
             "SPDX-License-Identifier: BSD-3-Clause"),
     "cc-by": ("licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
@@ -40,15 +41,22 @@ TEMPLATES = {
     "cc-by-sa": ("licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "cc0": ("dedicated to the public domain under CC0 1.0", "released into the public domain",
             "to the extent possible under law, the author has waived all copyright and related rights to this work"),
-    "gpl": ("licensed under the GNU General Public License, version 3", "released under the GNU GPL v2 or later",
+    "epl": ("licensed under the Eclipse Public License 2.0", "made available under the terms of the Eclipse Public License",
+            "SPDX-License-Identifier: EPL-2.0"),
+    "gpl": ("GPL version 2 only", "licensed under the GNU General Public License, version 3", "released under the GNU GPL v2 or later",
             "under the terms of the GNU General Public License as published by the Free Software Foundation",
             "SPDX-License-Identifier: GPL-3.0-only"),
+    "isc": ("licensed under the ISC License", "SPDX-License-Identifier: ISC",
+            "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     "lgpl": ("licensed under the GNU Lesser General Public License, version 2.1",
              "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     "mit": ("released under the MIT License", "licensed under the MIT License",
             "permission is hereby granted, free of charge, to any person obtaining a copy of this software",
             "SPDX-License-Identifier: MIT"),
     "mpl": ("subject to the terms of the Mozilla Public License, version 2.0", "licensed under the Mozilla Public License 2.0"),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"),
+    "zlib": ("permission is granted to anyone to use this software for any purpose, including commercial applications",
+             "released under the zlib license", "SPDX-License-Identifier: Zlib"),
 }
 # What stands around a notice, and sentences that use its words without naming a licence.
 BEFORE = ("", "This work is", "This software is", "This file is", "Copyright 2020 The Authors,", "Code in this folder is",
@@ -68,6 +76,8 @@ GRAMS = 3
 CORPUS_SAMPLE = 2000
 MIN_PROBABILITY = 0.5
 MIN_TEMPLATE = 0.8
+#: Words on either side of a line break that a notice across it may reach: twice the longest template.
+ACROSS = 2 * max(len(_WORD.findall(t.lower())) for ts in TEMPLATES.values() for t in ts)
 
 
 def paragraph_words(text: str) -> list[str]:
@@ -135,8 +145,8 @@ def labelled_notices() -> list[tuple[str, str]]:
 
 def train(corpus: list[str], rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> Model:
     """Fits the classifier; every fourth example is held out for the temperature."""
-    known = {" ".join(paragraph_words(t)) for ts in TEMPLATES.values() for t in ts}
-    clean = [w for w in map(paragraph_words, corpus) if not any(k in " ".join(w) for k in known)]
+    all_templates = [paragraph_words(t) for ts in TEMPLATES.values() for t in ts]
+    clean = [w for w in map(paragraph_words, corpus) if not _holds_any(all_templates, w)]
     examples = [(paragraph_words(t), f) for t, f in labelled_notices()] + [(w, UNKNOWN) for w in clean]
     families = [UNKNOWN, *sorted(TEMPLATES)]
     seen = sorted({g for t, _ in labelled_notices() for g in grams(paragraph_words(t))})
@@ -167,23 +177,88 @@ def train(corpus: list[str], rounds: int = 300, rate: float = 2.0, decay: float
     return model
 
 
+def _needed(templates: list[list[str]]) -> list[tuple[list[str], set[str], float]]:
+    """Each template, its words, and how many of them a paragraph that covers it has to hold."""
+    return [(t, set(t), len(set(t)) - (1 - MIN_TEMPLATE) * len(t)) for t in templates]
+
+
+def _holds_any(templates: list[list[str]], words: list[str]) -> bool:
+    held = set(words)
+    return any(len(t & held) >= least and coverage(template, words) >= MIN_TEMPLATE for template, t, least in _needed(templates))
+
+
+def _start(template: list[str], words: list[str], likeness: float) -> int:
+    """The last word from which on the template is still covered as well."""
+    at = 0
+    while at + 1 < len(words) and _covers(template, words[at + 1:], likeness):
+        at += 1
+    return at
+
+
+def _covers(template: list[str], words: list[str], likeness: float) -> bool:
+    return len(set(template) & set(words)) >= likeness * len(set(template)) - 1e-9 and coverage(template, words) >= likeness - 1e-9
+
+
+def findings(model: Model, text: str) -> list[tuple[int, str, float, str, float]]:
+    """(line, family, probability, template, likeness) of every notice: the line it begins on, from 0."""
+    needed = _needed([t for ts in model.templates.values() for t in ts])
+    lines = [paragraph_words(line) for line in text.split("\n")]
+    found: dict[tuple[int, str], tuple] = {}
+    wrapped: list[tuple[int, int, str]] = []
+
+    def may_hold(words: list[str]) -> bool:
+        held = set(words)
+        return any(len(t & held) >= least for _, t, least in needed)
+
+    for number, words in enumerate(lines):
+        if may_hold(words) and (hit := model.finding(words)):
+            found[number, hit[0]] = (number, *hit)
+    for number in range(1, len(lines)):
+        if not lines[number] or not lines[number - 1]:
+            continue
+        before: list[tuple[str, int]] = []
+        at = number - 1
+        while at >= 0 and lines[at] and len(before) < ACROSS:
+            before = [(w, at) for w in lines[at][-ACROSS:]] + before
+            at -= 1
+        after: list[tuple[str, int]] = []
+        at = number
+        while at < len(lines) and lines[at] and len(after) < ACROSS:
+            after += [(w, at) for w in lines[at][:ACROSS]]
+            at += 1
+        near = before[-ACROSS:] + after[:ACROSS]
+        words = [w for w, _ in near]
+        if not may_hold(words) or not (hit := model.finding(words)):
+            continue
+        template = hit[2].split(" ")
+        start = _start(template, words, hit[3])
+        first = near[start][1]
+        if (first, hit[0]) not in found:
+            found[first, hit[0]] = (first, *hit)
+            end = next(e for e in range(start + 1, len(words) + 1) if _covers(template, words[start:e], hit[3]))
+            wrapped.append((first, near[end - 1][1], hit[2]))
+    # A notice that is part of a longer one's words, on its lines, is that one.
+    return [hit for key, hit in sorted(found.items()) if not any(
+        a <= key[0] <= b and hit[3] != whole and f" {hit[3]} " in f" {whole} " for a, b, whole in wrapped)]
+
+
 def corpus_sample(docs: DataFrame, text: str, bound: int = CORPUS_SAMPLE) -> list[str]:
-    """At most `bound` paragraphs, one of each of the documents that come first by a hash of their text.
+    """At most `bound` whole lines, one (chosen by hash) of each of the documents that come first by a hash of their text.
 
     Rows well beyond the bound are passed over by their hash, so each task hands on few.
     """
     share = min(1.0, 2.0 * bound / max(1, docs.count()))
-    line = F.element_at(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), 1)
-    drawn = docs.select(F.xxhash64(F.col(text)).alias("h"), F.substring(line, 1, 2000).alias("line")).filter(
+    drawn = docs.select(F.xxhash64(F.col(text)).alias("h"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines")).filter(
         F.shiftrightunsigned("h", 1) / float(1 << 63) < share)
+    drawn = drawn.select("h", F.get("lines", F.pmod(F.xxhash64("h"), F.size("lines")).cast("int")).alias("line"))
     rows = drawn.orderBy("h", "line").limit(bound).collect()
     return [r["line"] for r in rows]
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = CORPUS_SAMPLE) -> DataFrame:
-    """One row per licence paragraph: doc_id, paragraph (line number from 0), family, probability, template, likeness.
+    """One row per licence notice: doc_id, paragraph (number of the line it begins on, from 0), family, probability, template, likeness.
 
-    Documents without one have no row. Every line of every whole text is judged. Null and empty
+    Documents without one have no row. Every line of every whole text is judged, and every line break inside a paragraph. Null and empty
     texts have none; repeated rows give repeated findings; null doc_ids are kept; an empty table
     gives no rows (the classifier is then trained on the notices alone).
     """
@@ -194,21 +269,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: in
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        # A paragraph that lacks more of each template's words than a confirmed one may is passed over.
-        needed = [(set(t), len(set(t)) - (1 - MIN_TEMPLATE) * len(t)) for ts in model.templates.values() for t in ts]
         for batch in batches:
             rows, out = [], []
             for i in range(batch.num_rows):
-                whole = batch.column(1)[i].as_py() or ""
-                for number, line in enumerate(whole.split("\n")):
-                    words = paragraph_words(line)
-                    held = set(words)
-                    if not any(len(t & held) >= least for t, least in needed):
-                        continue
-                    found = model.finding(words)
-                    if found:
-                        rows.append(i)
-                        out.append((number, *found))
+                for found in findings(model, batch.column(1)[i].as_py() or ""):
+                    rows.append(i)
+                    out.append(found)
             if out:
                 kinds = (pa.int32(), pa.string(), pa.float64(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays(

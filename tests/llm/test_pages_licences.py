@@ -121,6 +121,49 @@ def test_sentences_without_licence(licence_model):
         assert licence_model.finding(licences.paragraph_words(text)) is None if text else True
 
 
+WRAPPED = {
+    "gpl": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "lgpl": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.""",
+    "agpl": """// it under the terms of the GNU Affero General Public License as
+// published by the Free Software Foundation, either version 3 of the
+// License, or (at your option) any later version.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "mit": """; Permission is hereby granted, free of charge, to any person obtaining
+; a copy of this software and associated documentation files (the
+; "Software"), to deal in the Software without restriction""",
+    "isc": """-- Permission to use, copy, modify, and/or distribute this software for any
+-- purpose with or without fee is hereby granted, provided that the above
+-- copyright notice appears""",
+    "zlib": """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it""",
+    "unlicense": """This is free and unencumbered software
+released into the public domain.""",
+}
+FIRST = {"gpl": 1, "lgpl": 1}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+def test_wrapped_notices_are_found_on_their_first_line(licence_model, family):
+    rng = random.Random(4)
+    for before in ("", prose(rng, 12) + "\n", prose(rng, 150) + "\n\n"):
+        for after in ("", "\n" + prose(rng, 150), "\n\n" + prose(rng, 9)):
+            got = licences.findings(licence_model, before + WRAPPED[family] + after)
+            assert [(line, f) for line, f, *_ in got] == [(before.count("\n") + FIRST.get(family, 0), family)], (got, before[:20])
+
+
+def test_short_forms(licence_model):
+    for text, family in (("GPL version 2 only", "gpl"), ("BSD-2-Clause licensed", "bsd"), ("made available under the terms of the Eclipse Public License", "epl")):
+        assert [f for _, f, *_ in licences.findings(licence_model, f"x\n{text}\ny")] == [family]
+
+
 def test_unknown_is_calibrated(licence_model):
     """Held-out notices in settings never seen: probabilities are about as often right as they say."""
     made = [(f"Note that the text was {t} and more", f) for f, ts in licences.TEMPLATES.items() for t in ts]
