@@ -289,6 +289,32 @@ def doors_table(t: Tables):
     )
 
 
+_BARE = """bare AS (SELECT p.pams_pin FROM v_parcel p JOIN v_parcel_raw r ON p.k = r.k
+        WHERE (r.deed_date IS NULL OR r.deed_date = '991332') AND p.yr_constr <= 0 AND p.net_value <= 0)"""
+
+
+@query("x3_published_run", f"""WITH {EVIDENCE_SQL}, {_BARE},
+    trail AS (SELECT pams_pin, count(*) AS entries, round(sum(points), 6) AS points FROM evidence GROUP BY pams_pin)
+    SELECT s.territory_id, s.pams_pin, v.situs, CASE WHEN b.pams_pin IS NULL THEN CAST(s.score AS BIGINT) END AS score,
+        CASE WHEN b.pams_pin IS NOT NULL THEN 'parcel record incomplete in county data' END AS exclusion_reason, 'v2' AS score_contract_version,
+        CASE WHEN b.pams_pin IS NULL THEN coalesce(t.entries, 0) ELSE 0 END AS entries, CASE WHEN b.pams_pin IS NULL THEN coalesce(t.points, 0.0) ELSE 0.0 END AS points
+    FROM scored s JOIN v_situs v ON s.pams_pin = v.pams_pin LEFT JOIN bare b ON s.pams_pin = b.pams_pin LEFT JOIN trail t ON s.pams_pin = t.pams_pin""")
+def published_run(t: Tables):
+    """Scored, published and read back: each door with what its published evidence adds up to."""
+    from doorlens.functions import dates
+    from doorlens.operators import run
+    from doorlens.plans.landed import folder
+
+    t = t.landed()
+    raw = t.v_parcel_raw.select("k", dates.deed_date(F.col("deed_date"), AS_OF).alias("deed_day"))
+    resolved_doors = filters.with_exclusion(t.v_parcel.join(raw, "k").join(t.v_situs.select("pams_pin", "situs"), "pams_pin"))
+    tables = run.publish_scored(resolved_doors, score_inputs(t), imagery.imagery_signals(t.v_detection), folder(t, "runs"), "run-1")
+    trail = tables["evidence"].groupBy("territory_id", "pams_pin").agg(F.count(F.lit(1)).alias("entries"), F.round(F.sum("points"), 6).alias("points"))
+    return tables["doors"].join(trail, DOOR, "left").select(
+        *DOOR, "situs", F.col("score").cast("bigint").alias("score"), "exclusion_reason", "score_contract_version",
+        F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("points", F.lit(0.0)).alias("points"))
+
+
 @query("w11_roof_extract", f"""WITH {SCORE_SQL} SELECT s.territory_id, CAST(roof_pts AS DOUBLE) AS roof_points, v.situs AS address,
     CAST(roof_when AS STRING) AS roof_installed, CAST(roof_age AS BIGINT) AS roof_age_years, CAST(score AS BIGINT) AS house_score
     FROM scored s JOIN v_situs v ON s.pams_pin = v.pams_pin WHERE roof_pts > 0""")
