@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +37,64 @@ def exclusions(evidence: DataFrame, by=("territory_id",)) -> DataFrame:
     )
 
 
-def score_report(doors: DataFrame, evidence: DataFrame, gaps: DataFrame, by: str = "territory_id") -> DataFrame:
-    """One flat row per territory; every aggregate runs on the full tables and meets on the key."""
+def freshness(retrieved: DataFrame, by=("territory_id",)) -> DataFrame:
+    """Per key a map of each source to the last day it was retrieved; `retrieved` holds (by, source, retrieved), one row a source and file."""
+    last = retrieved.groupBy(*by, "source").agg(F.max("retrieved").alias("retrieved"))
+    return last.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "retrieved")))).alias("source_freshness"))
+
+
+def identity_findings(tables: dict[str, DataFrame], documents_in: dict[str, tuple[str, Sequence[str]]] | None = None) -> DataFrame:
+    """(artifact, path, rows) of identity-shaped names: columns and declared fields (rows null), and keys inside JSON columns.
+
+    `documents_in` names, for tables with JSON text, the column and the columns that identify its rows.
+    """
+    from doorlens.operators.documents import identity_paths
+    from doorlens.operators.publish import schema_findings
+
+    spark = next(iter(tables.values())).sparkSession
+    declared = [(name, path.removeprefix(f"{name}."), None) for name, df in tables.items() for path in schema_findings(name, df.schema)]
+    found = spark.createDataFrame(declared, "artifact string, path string, rows long")
+    for name, (column, ids) in (documents_in or {}).items():
+        inside = identity_paths(tables[name], column, list(ids)).select(F.lit(name).alias("artifact"), F.concat(F.lit(f"{column}:"), F.col("path")).alias("path"), "rows")
+        found = found.unionByName(inside)
+    return found
+
+
+def require_no_identity(findings: DataFrame, shown: int = 20) -> None:
+    """Stops a publish whose artifacts carry an identity; the message names the first few paths."""
+    first = findings.orderBy("artifact", "path").limit(shown).collect()
+    if first:
+        raise ValueError("published artifacts carry identity fields: " + ", ".join(f"{r['artifact']}.{r['path']}" for r in first))
+
+
+def score_report(
+    doors: DataFrame, evidence: DataFrame, gaps: DataFrame, by: str = "territory_id", labels: DataFrame | None = None,
+    retrieved: DataFrame | None = None, excluded: DataFrame | None = None,
+) -> DataFrame:
+    """One flat row per territory; every aggregate runs on the full tables and meets on the key.
+
+    Optional blocks: `labels` (by, actual, predicted, probe) add precision, recall and hallucination_rate, `retrieved` (by, source,
+    retrieved) the source_freshness, `excluded` (by, voided_or_admin, cross_source_dedup_collapsed) the counts of the permit join.
+    """
+    from doorlens.operators.imagery import vision_metrics
     from doorlens.operators.publish import coverage
 
     missing = missing_signals(gaps, (by,)).groupBy(by).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("gap", "doors")))).alias("missing_signals")
     )
-    return (
+    report = (
         coverage(doors, by=by).join(spread(doors, ("project", "capacity", "fit", "score"), (by,)), by, "left")
         .join(deciles(doors, (by,)).drop("total"), by, "left").join(missing, by, "left")
         .join(exclusions(evidence, (by,)), by, "left").na.fill(0, ["stale_open_neutralized", "non_arms_length_sales"])
     )
+    if excluded is not None:
+        counts = ["voided_or_admin", "cross_source_dedup_collapsed"]
+        report = report.join(excluded.select(by, *counts), by, "left").na.fill(0, counts)
+    if labels is not None:
+        report = report.join(vision_metrics(labels, (by,)).select(by, "precision", "recall", "hallucination_rate"), by, "left")
+    if retrieved is not None:
+        report = report.join(freshness(retrieved, (by,)), by, "left")
+    return report
 
 
 def unreconciled(doors: DataFrame, evidence: DataFrame, tolerance: float = 1e-6) -> DataFrame:

@@ -338,22 +338,61 @@ def exclusion_counts(t: Tables):
     return report.exclusions(engine.score(**score_inputs(t))["evidence"])
 
 
+_DECILES = ", ".join(f"round(quantile_cont(CAST(score AS DOUBLE), {n / 100}), 6) AS q{n}" for n in range(10, 100, 10))
+_SPREADS = ", ".join(f"round({f}(CASE WHEN score IS NOT NULL THEN CAST({c} AS DOUBLE) END), 6) AS {c}_{n}" for c in ("project", "capacity", "fit", "score")
+                     for n, f in (("min", "min"), ("max", "max"), ("mean", "avg")))
+
+
 @query("x11_score_report", f"""WITH miss AS (SELECT territory_id, string_agg(gap || '=' || CAST(n AS STRING), ',' ORDER BY gap)
         AS missing FROM (SELECT territory_id, gap, count(*) AS n FROM ({_GAPS}) AS g GROUP BY 1, 2) AS c GROUP BY 1),
-    chips AS (SELECT territory_id, count(*) FILTER (WHERE type = 'mover_invalid_sale') AS non_arms_length_sales
-              FROM ({_TRAIL}) AS t GROUP BY 1)
-    SELECT d.territory_id, count(*) AS doors_total, count(score) AS doors_scored, round(avg(score), 6) AS score_mean,
-        round(quantile_cont(CAST(score AS DOUBLE), 0.5), 6) AS q50, round(quantile_cont(CAST(score AS DOUBLE), 0.9), 6) AS q90,
-        max(missing) AS missing, coalesce(max(non_arms_length_sales), 0) AS non_arms_length_sales
+    chips AS (SELECT territory_id, count(*) FILTER (WHERE type = 'mover_invalid_sale') AS non_arms_length_sales,
+              count(*) FILTER (WHERE type = 'project_neutralized') AS stale_open_neutralized FROM ({_TRAIL}) AS t GROUP BY 1),
+    seen AS (SELECT event_id % 5 AS territory_id, count(*) FILTER (WHERE NOT probe AND actual AND predicted) AS tp,
+             count(*) FILTER (WHERE NOT probe AND NOT actual AND predicted) AS fp, count(*) FILTER (WHERE NOT probe AND actual AND NOT predicted) AS fn,
+             count(*) FILTER (WHERE probe AND predicted) AS pc, count(*) FILTER (WHERE probe) AS pr FROM v_label GROUP BY 1),
+    fresh AS (SELECT territory_id, 'deeds=' || CAST(max(sale_day) AS STRING) AS source_freshness FROM v_sale GROUP BY 1),
+    lost AS (SELECT territory_id, count(*) FILTER (WHERE disposition IN ('voided', 'administrative')) AS voided_or_admin,
+             count(*) FILTER (WHERE source = 'statewide') AS cross_source_dedup_collapsed FROM v_permit GROUP BY 1)
+    SELECT d.territory_id, count(*) AS doors_total, count(score) AS doors_scored, count(*) - count(score) AS doors_unscored,
+        round(count(score) / CAST(count(*) AS DOUBLE), 6) AS coverage, {_SPREADS}, {_DECILES},
+        max(missing) AS missing, coalesce(max(non_arms_length_sales), 0) AS non_arms_length_sales, coalesce(max(stale_open_neutralized), 0) AS stale_open_neutralized,
+        coalesce(max(voided_or_admin), 0) AS voided_or_admin, coalesce(max(cross_source_dedup_collapsed), 0) AS cross_source_dedup_collapsed,
+        round(max(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / CAST(tp + fp AS DOUBLE) END), 6) AS precision,
+        round(max(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / CAST(tp + fn AS DOUBLE) END), 6) AS recall,
+        round(max(CASE WHEN pr = 0 THEN 0.0 ELSE pc / CAST(pr AS DOUBLE) END), 6) AS hallucination_rate, max(source_freshness) AS source_freshness
     FROM v_door_score d LEFT JOIN miss m ON d.territory_id = m.territory_id LEFT JOIN chips c ON d.territory_id = c.territory_id
-    GROUP BY d.territory_id""")
+    LEFT JOIN seen s ON d.territory_id = s.territory_id AND tp IS NOT NULL LEFT JOIN fresh f ON d.territory_id = f.territory_id
+    LEFT JOIN lost l ON d.territory_id = l.territory_id GROUP BY d.territory_id""")
 def score_report(t: Tables):
-    built = report.score_report(t.v_door_score, t.sql(_TRAIL), t.sql(_GAPS))
-    entries = F.transform(F.map_entries("missing_signals"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
-    return built.select(
-        "territory_id", "doors_total", "doors_scored", *[F.round(c, 6).alias(c) for c in ("score_mean", "q50", "q90")],
-        F.array_join(entries, ",").alias("missing"), "non_arms_length_sales",
-    )
+    """The whole report with its optional blocks, every column compared."""
+    t = t.landed()
+    labels = t.v_label.withColumn("territory_id", F.col("event_id") % 5)
+    retrieved = t.v_sale.select("territory_id", F.lit("deeds").alias("source"), F.col("sale_day").alias("retrieved"))
+    excluded = t.v_permit.groupBy("territory_id").agg(
+        F.count_if(F.col("disposition").isin("voided", "administrative")).alias("voided_or_admin"),
+        F.count_if(F.col("source") == "statewide").alias("cross_source_dedup_collapsed"))
+    built = report.score_report(t.v_door_score, t.sql(_TRAIL), t.sql(_GAPS), labels=labels, retrieved=retrieved, excluded=excluded)
+
+    def listed(name: str):
+        pairs = F.transform(F.map_entries(name), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))
+        return F.array_join(pairs, ",")
+
+    plain = ["territory_id", "doors_total", "doors_scored", "doors_unscored", "non_arms_length_sales", "stale_open_neutralized", "voided_or_admin",
+             "cross_source_dedup_collapsed"]
+    rounded = [c for c in built.columns if c not in (*plain, "missing_signals", "source_freshness")]
+    return built.select(*plain, *[F.round(c, 6).alias(c) for c in rounded], listed("missing_signals").alias("missing"), listed("source_freshness").alias("source_freshness"))
+
+
+@query("x12_identity_findings", """SELECT 'pages' AS artifact, 'body:details.' || CASE k % 6 WHEN 0 THEN 'ownerName' WHEN 1 THEN 'permit_agent' WHEN 3 THEN 'Mailing City'
+        ELSE 'is_Resident' END AS path, count(*) AS rows FROM (SELECT * FROM v_parcel WHERE k % 6 IN (0, 1, 3, 5)) AS p GROUP BY 2
+    UNION ALL SELECT 'pages', 'body:details.list[].taxpayer_id', count(*) FROM v_parcel
+    UNION ALL SELECT 'doors', 'owner.ownership_note', CAST(NULL AS BIGINT) UNION ALL SELECT 'doors', 'owner', CAST(NULL AS BIGINT)
+    UNION ALL SELECT 'doors', 'contacts[].mail_addr', CAST(NULL AS BIGINT)""")
+def identity_findings(t: Tables):
+    """Columns, declared fields and keys of undeclared documents, over two published artifacts."""
+    person = F.struct(F.col("pams_pin").alias("name"), F.col("pams_pin").alias("ownership_note"))
+    doors = t.v_parcel.select("pams_pin", person.alias("owner"), F.array(F.struct(F.col("pams_pin").alias("mail_addr"))).alias("contacts"))
+    return report.identity_findings({"doors": doors, "pages": t.sql(_JSON)}, {"pages": ("body", ["k"])})
 
 
 _JSON = """SELECT k, '{"pams_pin": "' || pams_pin || '", "details": {"' || CASE k % 6 WHEN 0 THEN 'ownerName'

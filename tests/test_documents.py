@@ -4,7 +4,9 @@ import json
 import random
 import re
 
-from doorlens.operators import documents
+import pytest
+
+from doorlens.operators import documents, report
 
 
 def walk(node, path, out):
@@ -68,3 +70,13 @@ def test_private_keys_go_at_any_depth(spark):
     assert {r.k: json.loads(r.body) for r in got if r.body is not None} == {i: cleaned(json.loads(text)) for i, text, _ in rows}
     assert {r.k for r in got} == {i for i, *_ in rows} | {900} and all(r.key in ("kept", "x") for r in got)
     assert documents.without_keys(frame(spark, []), "body", ["k"]).count() == 0
+
+
+def test_an_identity_stops_the_publish(spark):
+    pages = spark.createDataFrame([(1, '{"a": [{"Mailing City": 1}]}'), (2, '{"b": 2}')], "k long, body string")
+    clean = spark.createDataFrame([("p", 1)], "pams_pin string, score int")
+    found = report.identity_findings({"pages": pages, "doors": clean}, {"pages": ("body", ["k"])})
+    assert [tuple(r) for r in found.collect()] == [("pages", "body:a[].Mailing City", 1)]
+    with pytest.raises(ValueError, match=r"pages.body:a\[\].Mailing City"):
+        report.require_no_identity(found)
+    report.require_no_identity(report.identity_findings({"doors": clean}))
