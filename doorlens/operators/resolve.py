@@ -6,8 +6,6 @@ form; each in-window record gets exactly one route and one municipal bucket.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -338,46 +336,6 @@ def find_doors(requests: DataFrame, doors: DataFrame, address: str = "address")
     return asked.join(address_index(doors).withColumnRenamed("pams_pin", "found_pin"), "address_key", "left")
 
 
-def suggest_doors(
-    requests: DataFrame, doors: DataFrame, address: str = "address", floor: float = 0.6, by=("territory_id",)
-) -> DataFrame:
-    """The most alike short address key of the same territory for each asked-for key, at or above `floor`.
-
-    Likeness is one minus the edit distance over the longer length; best likeness wins, then the
-    later key. The answer is that of comparing with every key of the territory: within d edits two keys
-    of longer length n share at least n - 1 - 2d letter pairs (counted with repeats), so keys of
-    which that is one or more meet on a pair they share, and the others are so short (by `floor`) that
-    they meet by length.
-    """
-    asked = keys.with_address_key(requests, address).select(*by, "address_key").distinct().filter("address_key != ''")
-    known = doors.select(*by, keys.street_address_key(F.col("situs")).alias("known_key")).distinct().filter(
-        "known_key != ''"
-    )
-    longer = F.greatest(F.length("address_key"), F.length("known_key"))
-    allowed = F.floor((1.0 - floor) * longer + 1e-9)
-    # From this length on n - 1 - 2 * (1 - floor) * n is above zero.
-    sure = math.floor(1.0 / (2.0 * floor - 1.0) + 1e-9) + 1 if floor > 0.5 else None
-
-    def grams(key):
-        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(key, i, 2)))
-        return F.when(F.length(key) > 1, pairs).otherwise(F.array().cast("array<string>"))
-
-    def filed(df, key):
-        # Every key under its letter pairs; short ones also together, as a short pair may share none.
-        alone = F.array(F.lit("")) if sure is None else F.when(F.length(key) < sure, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-        return df.withColumn("g", F.explode(alone if sure is None else F.concat(alone, grams(F.col(key)))))
-
-    pairs = (
-        filed(asked, "address_key").join(filed(known, "known_key"), [*by, "g"])
-        .filter(F.abs(F.length("address_key") - F.length("known_key")) <= allowed)
-        .select(*by, "address_key", "known_key").distinct()
-        .withColumn("likeness", 1.0 - F.levenshtein("address_key", "known_key") / longer).filter(F.col("likeness") >= floor)
-    )
-    return pairs.groupBy(*by, "address_key").agg(
-        F.max_by(F.struct("known_key", "likeness"), F.struct("likeness", "known_key")).alias("best")
-    ).select(*by, "address_key", F.col("best.known_key").alias("suggested_key"), F.col("best.likeness").alias("likeness"))
-
-
 def doors_per_street(doors: DataFrame, min_doors: int = 4, limit: int = 8, keys_=("territory_id",)) -> DataFrame:
     """The streets with the most doors per territory, by count then name."""
     from doorlens.operators.ordering import top_per_key

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from doorlens.operators import filters, history, imagery, permits, resolve, spatial
+from doorlens.operators import filters, history, imagery, permits, resolve, spatial, suggest
 from doorlens.plans.analogs import AS_OF, AS_OF_SQL, Tables
 from doorlens.plans.registry import query
 from doorlens.plans.scalars import ADDRESS_SQL, KEY_SQL, SALE_KEY_SQL, _component, deed_sql
@@ -370,17 +370,33 @@ def find_doors(t: Tables):
 _TYPO = "replace(replace(replace(replace({a}, 'OAK', 'OAKK'), 'MAIN', 'MIAN'), 'FAWN', 'FAUN'), 'COURT', 'SHORT')"
 
 
-@query("j23_suggest_doors", f"""WITH q AS (SELECT DISTINCT territory_id, {_TYPO.format(a=ADDRESS_SQL)} AS address_key FROM v_situs),
+# Longest matching blocks in SQL: each open range of a pair is cut at its longest common text, until none is left.
+_BLOCKS_SQL = """cut AS (
+        SELECT known_key, address_key, known_key AS x, address_key AS y FROM (SELECT DISTINCT known_key, address_key FROM pairs) AS p
+        UNION ALL
+        SELECT known_key, address_key, side.x, side.y FROM (
+            SELECT known_key, address_key, unnest([
+                {'x': substr(x, 1, pos - 1), 'y': substr(y, 1, strpos(y, piece) - 1)},
+                {'x': substr(x, pos + length(piece)), 'y': substr(y, strpos(y, piece) + length(piece))}]) AS side
+            FROM (SELECT *, substr(x, pos, size) AS piece FROM (SELECT *, -best.back AS pos, best.size AS size FROM (
+                SELECT *, list_max(list_transform(range(1, length(x) + 1), lambda i: {'size': len(list_filter(
+                    range(1, length(x) - i + 2), lambda k: contains(y, substr(x, i, k)))), 'back': -i})) AS best FROM cut) AS b) AS c) AS d
+            WHERE size > 0) AS e WHERE side.x <> '' AND side.y <> ''),
+    likeness AS (SELECT known_key, address_key, 2.0 * sum(list_max(list_transform(range(1, length(x) + 1), lambda i: len(list_filter(
+            range(1, length(x) - i + 2), lambda k: contains(y, substr(x, i, k)))))))
+            / CAST(length(known_key) + length(address_key) AS DOUBLE) AS likeness FROM cut GROUP BY known_key, address_key)"""
+
+
+@query("j23_suggest_doors", f"""WITH RECURSIVE q AS (SELECT DISTINCT territory_id, {_TYPO.format(a=ADDRESS_SQL)} AS address_key FROM v_situs),
     known AS (SELECT DISTINCT territory_id AS t, akey AS known_key FROM (SELECT territory_id, {ADDRESS_SQL} AS akey FROM v_situs) AS x),
-    pairs AS (SELECT territory_id, address_key, known_key, 1.0 - levenshtein(address_key, known_key)
-                  / CAST(greatest(length(address_key), length(known_key)) AS DOUBLE) AS likeness
-              FROM q JOIN known ON territory_id = t),
-    best AS (SELECT *, row_number() OVER (PARTITION BY territory_id, address_key ORDER BY likeness DESC, known_key DESC) AS rn
-             FROM pairs WHERE likeness >= 0.6)
+    pairs AS (SELECT territory_id, address_key, known_key FROM q JOIN known ON territory_id = t),
+    {_BLOCKS_SQL},
+    best AS (SELECT p.*, likeness, row_number() OVER (PARTITION BY territory_id, p.address_key ORDER BY likeness DESC, p.known_key DESC) AS rn
+             FROM pairs p JOIN likeness l ON p.known_key = l.known_key AND p.address_key = l.address_key WHERE likeness >= 0.6)
     SELECT territory_id, address_key, known_key AS suggested_key, round(likeness, 6) AS likeness FROM best WHERE rn = 1""")
 def suggest_doors(t: Tables):
     typed = t.v_situs.select("territory_id", F.expr(_TYPO.format(a="address")).alias("address"))
-    return resolve.suggest_doors(typed, t.v_situs).withColumn("likeness", F.round("likeness", 6))
+    return suggest.suggest_doors(typed, t.v_situs).withColumn("likeness", F.round("likeness", 6))
 
 
 @query("j24_talk_tracks", """SELECT pams_pin, CASE WHEN kind IN ('fit_pool', 'fit_solar')
