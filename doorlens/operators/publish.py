@@ -180,23 +180,51 @@ def coverage(doors: DataFrame, spend: DataFrame | None = None, by: str = "territ
 def run_manifest(
     doors: DataFrame, report: DataFrame, vintage: DataFrame, as_of, run_at: str, code_version: str,
     spend: DataFrame | None = None, degradations: DataFrame | None = None, by: str = "territory_id",
+    retrieved: DataFrame | None = None, vision: DataFrame | None = None, register: DataFrame | None = None,
 ) -> DataFrame:
     """One JSON line per territory: inputs, coverage, vintages, resolve numbers and what was lost.
 
-    `report` and `vintage` are keyed by `by`; `degradations` holds (reason), a handful of rows by nature.
+    `report` and `vintage` are keyed by `by`. `degradations` holds (reason), a handful of rows by nature, or (by, reason), which
+    stay with their territory. Optional blocks: `retrieved` (by, source, retrieved) gives the last day of each source; `vision`
+    (by, available, declination_reason, answers_total, answers_lost, doors_with_imagery) says what became of the answers, null for
+    a territory without a row; `register` (by, source_files, doors_superseding_modiv) adds the sales register to the deed
+    vintage, which then holds the window movers are counted in.
     """
+    from doorlens.operators.report import freshness
+    from doorlens.operators.resolve import MOVER_WINDOW_DAYS
+
     base = coverage(doors, spend, by)
     joined = base.join(report.drop("doors_total", "coverage"), by, "left").join(vintage, by, "left")
-    lost = (
-        degradations.agg(F.sort_array(F.collect_set("reason"))).scalar() if degradations is not None
-        else F.array().cast("array<string>")
-    )
+    no_words = F.array().cast("array<string>")
+    lost = no_words
+    if degradations is not None and by in degradations.columns:
+        reasons = degradations.groupBy(by).agg(F.sort_array(F.collect_set("reason")).alias("_lost"))
+        joined, lost = joined.join(reasons, by, "left"), F.coalesce("_lost", no_words)
+    elif degradations is not None:
+        lost = degradations.agg(F.sort_array(F.collect_set("reason"))).scalar()
     resolve_names = [c for c in report.columns if c not in (by, "doors_total", "coverage")]
+    aged = [c for c in vintage.columns if c != by]
+    deeds = [F.col(c) for c in aged]
+    if register is not None:
+        joined = joined.join(register.select(by, "source_files", "doors_superseding_modiv"), by, "left")
+        sold = F.col("latest_sale_date") if "latest_sale_date" in aged else F.lit(None).cast("date")
+        deeds = [F.col(c) for c in aged if c != "latest_sale_date"] + [
+            F.lit(MOVER_WINDOW_DAYS).alias("mover_window_days"),
+            F.struct(sold.alias("latest_sale_date"), F.coalesce("source_files", no_words).alias("source_files"),
+                     F.coalesce("doors_superseding_modiv", F.lit(0)).alias("doors_superseding_modiv")).alias("sales_register"),
+        ]
+    blocks = []
+    if retrieved is not None:
+        joined = joined.join(freshness(retrieved, (by,)).withColumnRenamed("source_freshness", "retrieved"), by, "left")
+        blocks.append(F.col("retrieved"))
+    if vision is not None:
+        facts = F.struct("available", "declination_reason", "answers_total", "answers_lost", "doors_with_imagery")
+        joined = joined.join(vision.select(by, facts.alias("vision")), by, "left")
+        blocks.append(F.col("vision"))
     body = F.struct(
         F.lit(run_at).alias("run_at"), dates.as_of_column(as_of).alias("as_of"), F.lit(CONTRACT).alias("score_contract_version"),
         F.lit(code_version).alias("code_version"), F.lit(0.35).alias("acs_dual_income_threshold"),
-        *[F.col(c) for c in base.columns if c != by],
-        F.struct(*[F.col(c) for c in vintage.columns if c != by]).alias("deed_vintage"),
+        *[F.col(c) for c in base.columns if c != by], F.struct(*deeds).alias("deed_vintage"), *blocks,
         lost.alias("degradations"), F.struct(*[F.col(c) for c in resolve_names]).alias("resolve"),
     )
     return joined.select(by, F.to_json(body, {"ignoreNullFields": "false"}).alias("manifest"))

@@ -645,26 +645,75 @@ def evidence_sequence_of(trail):
     return count_below(rows, DOOR, ["kind", "high", "mid", "ordinal"], "one", "seq").withColumn("seq", F.col("seq").cast("bigint"))
 
 
-@query("k5_run_manifest", f"""WITH {ACCOUNT_SQL}, scored_doors AS (SELECT territory_id, count(*) AS doors_total, count(score) AS doors_scored
-        FROM v_door_score GROUP BY territory_id)
-    SELECT s.territory_id, doors_total, doors_scored, t.permits_total, c.permits_in_window, '{A[6:-1]}' AS as_of
-    FROM scored_doors s JOIN totals t ON t.mun = '02' || lpad(CAST(s.territory_id AS STRING), 2, '0')
-        JOIN counted c ON c.mun = t.mun""")
+_MANIFEST_DEEDS = DEED_SQL.replace("parcels AS (", "dparcels AS (").replace("FROM parcels p", "FROM dparcels p")
+_COUNTED = ("permits_total", "permits_in_window", "permits_out_of_territory", "permits_unmatched", "permits_matched_municipal")
+
+
+@query("k5_run_manifest", f"""WITH {ACCOUNT_SQL}, {PLACED_SQL}, {_MANIFEST_DEEDS},
+    towns AS (SELECT DISTINCT territory_id, '02' || lpad(CAST(territory_id AS STRING), 2, '0') AS mun FROM v_door_score),
+    scored_doors AS (SELECT territory_id, count(*) AS doors_total, count(score) AS doors_scored FROM v_door_score GROUP BY territory_id),
+    own_deeds AS (SELECT mun, max(own) AS d FROM dparcels GROUP BY mun),
+    sold AS (SELECT mun, max(sale_day) AS d, array_to_string(list_sort(list_distinct(array_agg('sr1a-' || CAST(year(sale_day) AS STRING) || '.txt'))), ' ')
+                 AS files FROM v_sale WHERE deed_date <> '' GROUP BY mun),
+    landed AS (SELECT DISTINCT pams_pin FROM routed WHERE pams_pin IS NOT NULL),
+    homes AS (SELECT d.mun, count(*) FILTER (WHERE {A} - deed_day <= 90) AS moved, count(*) FILTER (WHERE newer) AS newer,
+            count(*) FILTER (WHERE coalesce(g.geoid <> 'BG24', false)) AS with_group,
+            count(*) FILTER (WHERE l.pams_pin IS NOT NULL OR coalesce(g.geoid <> 'BG24', false)
+                OR d.pams_pin IN (SELECT pams_pin FROM v_rental)) AS with_signal
+        FROM deeds d LEFT JOIN placed g ON d.pams_pin = g.pams_pin LEFT JOIN landed l ON d.pams_pin = l.pams_pin
+        WHERE d.prop_class = '2' GROUP BY d.mun),
+    answers AS (SELECT territory_id, count(*) AS total, count(*) FILTER (WHERE signal = 'error') AS lost
+        FROM v_response r JOIN v_tile t ON r.image_ref = t.image_ref GROUP BY territory_id),
+    framed AS (SELECT territory_id, count(DISTINCT pams_pin) AS doors FROM v_detection WHERE present AND confidence >= 0.6 GROUP BY territory_id)
+    SELECT s.territory_id, '{A[6:-1]}' AS as_of, 'v2' AS score_contract_version, doors_total, doors_scored, doors_total - doors_scored AS doors_unscored,
+        round(doors_scored / CAST(doors_total AS DOUBLE), 6) AS coverage, CAST(greatest(o.d, sold.d) AS STRING) AS latest_deed_date,
+        CAST(sold.d AS STRING) AS latest_sale_date, coalesce(h.moved, 0) AS doors_in_mover_window, CAST(90 AS BIGINT) AS mover_window_days,
+        sold.files AS source_files, coalesce(h.newer, 0) AS doors_superseding_modiv, CAST(sold.d AS STRING) AS retrieved_deeds, a.total > 0 AS available,
+        a.total AS answers_total, a.lost AS answers_lost, CASE WHEN a.total > 0 THEN coalesce(f.doors, 0) END AS doors_with_imagery,
+        CASE WHEN a.lost > 0 THEN 'vision answers lost' ELSE '' END AS degradations, h.with_group AS doors_with_block_group,
+        h.with_signal AS doors_with_signal, {', '.join(_COUNTED)}, {RATES_SQL}
+    FROM scored_doors s JOIN towns w ON s.territory_id = w.territory_id JOIN totals t ON t.mun = w.mun JOIN counted c ON c.mun = w.mun
+        JOIN own_deeds o ON o.mun = w.mun LEFT JOIN sold ON sold.mun = w.mun LEFT JOIN homes h ON h.mun = w.mun
+        LEFT JOIN answers a ON a.territory_id = s.territory_id LEFT JOIN framed f ON f.territory_id = s.territory_id""")
 def run_manifest(t: Tables):
+    """The manifest with every block, each field read back from its JSON."""
     t = t.landed()
-    routed_ = resolve.route_permits(t.v_permit_raw, filters.of_class(t.v_parcel_raw), t.v_parcel_raw, AS_OF)
     town = F.substring("mun", 3, 2).cast("bigint").alias("territory_id")
-    counts = resolve.match_rates(resolve.permit_accounting(t.v_permit_raw, routed_)).select(town, "*").drop("mun")
-    vintage = t.v_sale.groupBy("territory_id").agg(F.max("sale_day").alias("latest_sale_date"))
-    lines = publish.run_manifest(t.v_door_score, counts, vintage, AS_OF, "2001-06-30T00:00:00Z", "test")
+    found = resolved(t)
+    counts = found["report"].select(town, "*").drop("mun")
+    doors = found["doors"]
+    vintage = resolve.deed_vintage(t.v_parcel_raw, t.v_sale, doors, AS_OF).select(town, "*").drop("mun")
+    newer = doors.groupBy("mun").agg(F.count_if(F.col("deed.source") == resolve.SOURCE_SR1A).alias("doors_superseding_modiv"))
+    dated = t.v_sale.filter("deed_date != ''")
+    name = F.concat(F.lit("sr1a-"), F.year("sale_day").cast("string"), F.lit(".txt"))
+    files = dated.groupBy("mun").agg(F.sort_array(F.collect_set(name)).alias("source_files"))
+    register = newer.join(files, "mun", "full").select(town, "source_files", "doors_superseding_modiv")
+    retrieved = dated.select(town, F.lit("deeds").alias("source"), F.col("sale_day").alias("retrieved"))
+    framed = t.v_detection.filter("present and confidence >= 0.6").groupBy("territory_id").agg(F.count_distinct("pams_pin").alias("doors_with_imagery"))
+    answers = t.v_response.join(t.v_tile, "image_ref").groupBy("territory_id").agg(
+        F.count(F.lit(1)).alias("answers_total"), F.count_if(F.col("signal") == "error").alias("answers_lost"))
+    vision = answers.join(framed, "territory_id", "left").na.fill(0, ["doors_with_imagery"]).withColumns(
+        {"available": F.col("answers_total") > 0, "declination_reason": F.lit(None).cast("string")})
+    lost = answers.filter("answers_lost > 0").select("territory_id", F.lit("vision answers lost").alias("reason"))
+    lines = publish.run_manifest(t.v_door_score, counts, vintage, AS_OF, "2001-06-30T00:00:00Z", "test", degradations=lost,
+                                 retrieved=retrieved, vision=vision, register=register)
 
     def field(path, kind="bigint"):
-        return F.get_json_object("manifest", path).cast(kind)
+        return F.get_json_object("manifest", f"$.{path}").cast(kind).alias(path.rsplit(".", 1)[-1])
+
+    def words(path):
+        listed = F.from_json(F.get_json_object("manifest", f"$.{path}"), "array<string>")
+        return F.array_join(listed, " ").alias(path.rsplit(".", 1)[-1])
 
     return lines.select(
-        "territory_id", field("$.doors_total").alias("doors_total"), field("$.doors_scored").alias("doors_scored"),
-        field("$.resolve.permits_total").alias("permits_total"), field("$.resolve.permits_in_window").alias("permits_in_window"),
-        field("$.as_of", "string").alias("as_of"),
+        "territory_id", field("as_of", "string"), field("score_contract_version", "string"), field("doors_total"), field("doors_scored"),
+        field("doors_unscored"), F.round(field("coverage", "double"), 6).alias("coverage"), field("deed_vintage.latest_deed_date", "string"),
+        field("deed_vintage.sales_register.latest_sale_date", "string"), field("deed_vintage.doors_in_mover_window"),
+        field("deed_vintage.mover_window_days"), words("deed_vintage.sales_register.source_files"),
+        field("deed_vintage.sales_register.doors_superseding_modiv"), field("retrieved.deeds", "string").alias("retrieved_deeds"),
+        field("vision.available", "boolean"), field("vision.answers_total"), field("vision.answers_lost"), field("vision.doors_with_imagery"),
+        words("degradations"), field("resolve.doors_with_block_group"), field("resolve.doors_with_signal"),
+        *[field(f"resolve.{c}") for c in _COUNTED], *[F.round(field(f"resolve.{c}", "double"), 6).alias(c) for c in RATES],
     )
 
 

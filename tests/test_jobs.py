@@ -226,6 +226,26 @@ def test_manifest_and_report(published, spark):
     assert built.score_max == 96.0 and built.missing_signals["imagery_missing"] == 1 and built.stale_open_neutralized == 7
 
 
+def test_manifest_blocks(published, spark):
+    _, doors, _ = published
+    two = doors.withColumn("territory_id", F.lit(1)).unionByName(doors.withColumn("territory_id", F.lit(2)))
+    facts = spark.createDataFrame([(1, 11), (2, 12)], "territory_id int, permits_total int")
+    vintage = spark.createDataFrame([(1, dt.date(2026, 7, 1), dt.date(2026, 6, 1), 3)], "territory_id int, latest_deed_date date, latest_sale_date date, doors_in_mover_window int")
+    register = spark.createDataFrame([(1, ["b.txt"], 4)], "territory_id int, source_files array<string>, doors_superseding_modiv int")
+    retrieved = spark.createDataFrame([(1, "deeds", dt.date(2026, 5, 1)), (1, "deeds", dt.date(2026, 5, 9)), (1, "acs", dt.date(2026, 1, 1))], "territory_id int, source string, retrieved date")
+    vision = spark.createDataFrame([(1, False, "no key", 0, 0, 0)], "territory_id int, available boolean, declination_reason string, answers_total int, answers_lost int, doors_with_imagery int")
+    lost = spark.createDataFrame([(2, "b"), (2, "a"), (2, "a")], "territory_id int, reason string")
+    rows = publish.run_manifest(two, facts, vintage, AS_OF, "2026-08-18T00:00:00Z", "abc", degradations=lost, retrieved=retrieved, vision=vision, register=register)
+    one, other = (json.loads(r.manifest) for r in rows.orderBy("territory_id").collect())
+    assert one["retrieved"] == {"acs": "2026-01-01", "deeds": "2026-05-09"} and other["retrieved"] is None
+    assert one["deed_vintage"] == {
+        "latest_deed_date": "2026-07-01", "doors_in_mover_window": 3, "mover_window_days": 90,
+        "sales_register": {"latest_sale_date": "2026-06-01", "source_files": ["b.txt"], "doors_superseding_modiv": 4}}
+    assert other["deed_vintage"]["sales_register"] == {"latest_sale_date": None, "source_files": [], "doors_superseding_modiv": 0}
+    assert one["vision"]["declination_reason"] == "no key" and one["vision"]["available"] is False and other["vision"] is None
+    assert one["degradations"] == [] and other["degradations"] == ["a", "b"]
+
+
 def test_chips_and_panel_terms(published):
     out, _, evidence = published
     chips = {r.pams_pin: r.reason_chip for r in publish.reason_chips(evidence).collect()}
