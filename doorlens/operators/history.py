@@ -16,6 +16,7 @@ KEYWORD_ONLY = "portal_keyword_only"
 REASON_AMBIGUOUS = "normalized address identifies multiple territory parcels"
 REASON_UNKNOWN = "normalized address is not a territory situs address"
 SUPPLEMENT = "roof_keyword_search_supplement"
+PAGE_BLOCKS = ("source_page", "location", "property_details", "geoareas", "assessed_valuation", "map", "property_data")
 
 
 def path_identity(url: Column) -> Column:
@@ -224,12 +225,11 @@ def property_history(territory: DataFrame, pages: DataFrame, permits: DataFrame)
 
     A property's permits are one list in page order: a record is as long as the property's own
     file. The long table `permits` is the form to work on; this is the form to hand out. Of the
-    page, whatever of property_details, assessed_valuation, construction and source_page the
-    table has goes along, without private fields.
+    page, whatever of PAGE_BLOCKS and construction the table has goes along, without private fields.
     """
     record = F.struct("ordinal", "detail_url", "permit_number", "work_description", "source_scope", "roof_detail")
     lists = permits.groupBy("territory_id", "pams_pin").agg(F.sort_array(F.collect_list(record)).alias("permits"))
-    kept = [c for c in ("property_details", "assessed_valuation", "construction", "source_page") if c in pages.columns]
+    kept = [c for c in (*PAGE_BLOCKS, "construction") if c in pages.columns]
     states = without_private(pages.select("territory_id", "pams_pin", "collection_status", *kept))
     return (
         territory.join(states, ["territory_id", "pams_pin"], "left").join(lists, ["territory_id", "pams_pin"], "left")
@@ -238,6 +238,56 @@ def property_history(territory: DataFrame, pages: DataFrame, permits: DataFrame)
     )
 
 
+def history_documents(histories: DataFrame) -> DataFrame:
+    """(territory_id, pams_pin, document): each record of `property_history` as one JSON text with identity and construction.
+
+    The territory given to `property_history` brings block, lot and address along. Blocks a page lacks are empty, never missing.
+    """
+    def listed(field: str):
+        if "construction" in histories.columns and field in histories.schema["construction"].dataType.names:
+            return F.coalesce(F.col(f"construction.{field}"), F.array())
+        return F.array()
+
+    def blank(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+
+    def block(name: str):
+        empty = F.parse_json(F.lit("{}"))
+        if name not in histories.columns:
+            return empty.alias(name)
+        return F.coalesce(F.parse_json(F.to_json(name)), empty).alias(name)
+
+    document = F.struct(
+        "pams_pin", blank("block"), blank("lot"), F.trim(F.coalesce("address", F.lit(""))).alias("address"),
+        keys.address_key(F.col("address")).alias("normalized_address"), "collection_status", *[block(name) for name in PAGE_BLOCKS],
+        F.struct(F.col("permits").alias("permit_applications"), listed("inspections").alias("inspections"),
+                 listed("violations").alias("violations")).alias("construction"),
+    )
+    return histories.select("territory_id", "pams_pin", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_histories(
+    territory: DataFrame, pages: DataFrame, permits: DataFrame, root: str, run_id: str, errors: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Publishes the histories of a run as one, and returns them as read back.
+
+    `properties` has a document per parcel, `summary` the counters per territory, `errors` what the collection could not read, as
+    rows (territory_id, ...) without private fields: their number grows with the pages, so they are no list inside the summary.
+    """
+    from doorlens.operators.publish import publish_run, read_run
+
+    tables = {
+        "properties": history_documents(property_history(territory, pages, permits)),
+        "summary": history_summary(territory, pages, permits),
+    }
+    if errors is not None:
+        tables["errors"] = without_private(errors)
+        counted = errors.groupBy("territory_id").agg(F.count(F.lit(1)).alias("collection_errors"))
+        tables["summary"] = tables["summary"].join(counted, "territory_id", "left").na.fill(0, ["collection_errors"])
+    publish_run(tables, root, run_id)
+    return read_run(territory.sparkSession, root, tuple(tables))
+
+
 def strip_private(document: Column, private=PRIVATE_KEYS) -> Column:
     """A map of fields without the private ones, whatever their case."""
     return F.map_filter(document, lambda key, _: ~F.lower(key).isin(*private))

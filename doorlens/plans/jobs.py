@@ -422,6 +422,54 @@ def property_history(t: Tables):
     )
 
 
+@query("k7_write_property_history", f"""WITH {ENRICHED_SQL}, listed AS (SELECT pams_pin, count(*) AS permits, count(detail) AS details,
+        count(*) FILTER (WHERE source_scope <> 'property_page') AS supplements,
+        string_agg(CAST(ordinal AS STRING) || ' ' || detail_url, ',' ORDER BY ordinal, detail_url) AS applications FROM enriched GROUP BY pams_pin),
+    sums AS (SELECT p.territory_id, count(*) AS properties_total, sum(coalesce(permits, 0)) AS permits_total,
+        sum(CASE WHEN v.collection_status = 'collected' THEN p.k % 3 ELSE 0 END) AS inspections_total,
+        count(*) FILTER (WHERE v.collection_status = 'collected' AND p.k % 4 = 1) AS violations_total,
+        count(*) FILTER (WHERE coalesce(v.collection_status, '') = 'not_collected') AS collection_errors
+        FROM v_parcel p LEFT JOIN v_portal v ON p.pams_pin = v.pams_pin LEFT JOIN listed l ON p.pams_pin = l.pams_pin GROUP BY p.territory_id)
+    SELECT r.territory_id, r.pams_pin, r.block, r.lot, r.address, {ADDRESS_SQL.replace('k %', 'r.k %')} AS normalized_address,
+        coalesce(v.collection_status, 'not_collected') AS collection_status, coalesce(v.assessed_total, '') AS assessed_total,
+        r.k % 3 AS inspections, CASE WHEN r.k % 4 = 1 THEN '[{{"kind":"fence"}}]' ELSE '[]' END AS violations, coalesce(l.permits, 0) AS permits,
+        coalesce(l.details, 0) AS details, coalesce(l.supplements, 0) AS supplements, coalesce(l.applications, '') AS applications, '{{}}' AS geoareas,
+        s.properties_total, CAST(s.permits_total AS BIGINT) AS permits_total, CAST(s.inspections_total AS BIGINT) AS inspections_total,
+        s.violations_total, s.collection_errors
+    FROM v_parcel p JOIN v_parcel_raw r ON p.k = r.k LEFT JOIN v_portal v ON p.pams_pin = v.pams_pin
+        LEFT JOIN listed l ON p.pams_pin = l.pams_pin JOIN sums s ON s.territory_id = p.territory_id""")
+def write_property_history(t: Tables):
+    """Histories published and read back: each record's fields out of its document, beside its territory's counters."""
+    from doorlens.plans.landed import folder
+
+    t = t.landed()
+    parcels = t.v_parcel.select("k", *DOOR).join(t.v_parcel_raw.select("k", "block", "lot", "address"), "k")
+    seen = F.transform(F.slice(F.array(F.lit(1), F.lit(2)), 1, (F.col("k") % 3).cast("int")), lambda n: F.struct(n.alias("number")))
+    broken = F.array(F.struct(F.lit("fence").alias("kind"), F.lit("A. Name").alias("permit_agent")))
+    pages = t.v_portal.withColumns({
+        "assessed_valuation": F.struct(F.col("assessed_total").alias("total"), F.lit("B. Name").alias("owner")),
+        "construction": F.struct(seen.alias("inspections"), F.when(F.col("k") % 4 == 1, broken).otherwise(F.slice(broken, 1, 0)).alias("violations"))})
+    errors = t.v_portal.filter("collection_status = 'not_collected'").select(*DOOR, F.lit("no page").alias("error"), F.lit("C. Name").alias("agent"))
+    enriched = history.enrich_applications(t.v_portal_permit, t.v_roof_permit)
+    published = history.write_histories(parcels, pages, enriched, folder(t, "histories"), "run-1", errors)
+
+    def field(path):
+        return F.get_json_object("document", f"$.{path}")
+
+    listed = F.from_json(field("construction.permit_applications"), "array<struct<ordinal:bigint,detail_url:string,source_scope:string,roof_detail:string>>")
+    read = published["properties"].withColumn("a", listed)
+    each = F.transform("a", lambda e: F.concat(e.ordinal.cast("string"), F.lit(" "), e.detail_url))
+    inspections = F.from_json(field("construction.inspections"), "array<struct<number:int>>")
+    return read.join(published["summary"], "territory_id").select(
+        "territory_id", field("pams_pin").alias("pams_pin"), *[field(c).alias(c) for c in ("block", "lot", "address", "normalized_address", "collection_status")],
+        F.coalesce(field("assessed_valuation.total"), F.lit("")).alias("assessed_total"), F.size(inspections).cast("bigint").alias("inspections"),
+        field("construction.violations").alias("violations"), F.size("a").cast("bigint").alias("permits"),
+        F.size(F.filter("a", lambda e: e.roof_detail.isNotNull())).cast("bigint").alias("details"),
+        F.size(F.filter("a", lambda e: e.source_scope == history.SUPPLEMENT)).cast("bigint").alias("supplements"),
+        F.array_join(each, ",").alias("applications"), field("geoareas").alias("geoareas"),
+        "properties_total", "permits_total", "inspections_total", "violations_total", "collection_errors")
+
+
 @query("x14_roof_permit_match", f"""WITH {_match_sql()} SELECT ordinal, CASE WHEN n = 1 THEN pin END AS pams_pin,
     CASE WHEN NOT has_detail THEN NULL WHEN (l_partkey % 2 <> 0 AND description LIKE 'roof %') OR l_partkey % 3 = 0
          THEN 'explicit_roof_work' ELSE 'portal_keyword_only' END AS keyword_relevance,

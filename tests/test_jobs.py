@@ -282,6 +282,20 @@ def test_a_property_with_many_permits_is_one_record(spark):
     assert [x.ordinal for r in rows for x in r.permits] == list(range(5000))
 
 
+def test_history_documents_have_every_block_and_no_private_field(spark):
+    doors = spark.createDataFrame([(1, "p", "1", "2", " 5 Oak Street "), (1, "q", None, None, None)], "territory_id int, pams_pin string, block string, lot string, address string")
+    pages = spark.sql("""select 1 as territory_id, 'p' as pams_pin, 'collected' as collection_status, named_struct('total', '$5', 'owner', 'x') as assessed_valuation,
+        named_struct('inspections', array(named_struct('agent', 'y', 'n', 1))) as construction""")
+    permits_ = spark.createDataFrame([], "territory_id int, pams_pin string, ordinal long, detail_url string, permit_number string, "
+                                         "work_description string, source_scope string, roof_detail string")
+    rows = history.history_documents(history.property_history(doors, pages, permits_)).orderBy("pams_pin").collect()
+    first, second = (json.loads(r.document) for r in rows)
+    assert (first["block"], first["address"], first["normalized_address"]) == ("1", "5 Oak Street", "5 OAK ST")
+    assert first["assessed_valuation"] == {"total": "$5"} and first["construction"] == {"permit_applications": [], "inspections": [{"n": 1}], "violations": []}
+    assert (second["block"], second["address"], second["collection_status"]) == ("", "", "not_collected")
+    assert all(second[b] == {} for b in history.PAGE_BLOCKS) and set(first) == set(second)
+
+
 def test_page_identity(spark):
     urls = ["https://x/t/properties/22.01/4", "https://x/properties/properties/a%20b/7?q=1", "https://x/properties/1", "https://x/properties/1/2/3", ""]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
