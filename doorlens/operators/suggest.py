@@ -120,10 +120,10 @@ def _with_shared(pairs: DataFrame, asked: DataFrame, known: DataFrame, by: Seque
 def _compared(pairs: DataFrame, asked: DataFrame, known: DataFrame, by: Sequence[str]) -> DataFrame:
     """Candidates (by, address_key, known_key) that pass the count of shared places, with their likeness."""
     enough = _shared_places(F.col("at_least"), F.length("address_key") + F.length("known_key"))
-    return (
-        _with_shared(pairs, asked, known, by).filter(F.col("shared") >= enough)
-        .select(*by, "address_key", "known_key", block_likeness(F.col("known_key"), F.col("address_key")).alias("likeness"))
-    )
+    left = _with_shared(pairs, asked, known, by).filter(F.col("shared") >= enough).select(*by, "address_key", "known_key")
+    # Few bytes and much work: pairs are dealt evenly over all tasks, also those of one asked key.
+    dealt = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumn("likeness", block_likeness(F.col("known_key"), F.col("address_key")))
 
 
 def candidates(asked: DataFrame, known: DataFrame, floor: float = 0.6, by: Sequence[str] = ("territory_id",), tries: int = 2) -> dict[str, DataFrame]:
