@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doorlens.session import land
+from doorlens.session import land, sized_by_rows
 
 AS_OF = dt.date(2001, 6, 30)
 AS_OF_SQL = "DATE '2001-06-30'"
@@ -342,6 +342,7 @@ class Tables:
     """The given Parquet tables and the derived views, as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        sized_by_rows(spark)
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         self._views: dict[str, DataFrame] = {}
 
