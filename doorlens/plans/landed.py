@@ -228,7 +228,8 @@ def window_of_towns(t: Tables):
     """Towns given as a table: the scan is pruned at run time."""
     towns = t.landed().v_town.filter("town like 'Town%'").select(F.concat(F.lit("02"), F.lpad(F.col("territory_id").cast("string"), 2, "0")).alias("mun"))
     rows = layout.read_window(t.spark, permit_layout(t), AS_OF, 365, towns)
-    return rows.groupBy("mun").agg(F.count(F.lit(1)).alias("permits"), F.sum("ordinal").alias("ordinals"))
+    # Ordinals have fourteen digits: those of a large town add up beyond a bigint.
+    return rows.groupBy("mun").agg(F.count(F.lit(1)).alias("permits"), F.sum(F.col("ordinal").cast("decimal(38,0)")).alias("ordinals"))
 
 
 #: Years asked for: the sales end before the last one, and one year's file is cut off.

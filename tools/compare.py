@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import os
 import sys
 import time
@@ -12,6 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def normal(value):
     if isinstance(value, float):
         return f"{value + 0.0:.6g}" if abs(value) >= 1e15 else repr(round(value, 6) + 0.0)
+    if isinstance(value, decimal.Decimal) and value == value.to_integral_value():
+        return repr(int(value))
     return repr(value)
 
 
