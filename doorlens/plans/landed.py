@@ -281,6 +281,16 @@ def read_permit_pages(t: Tables):
     return permits.join(F.broadcast(sound), F.lit(True)).select("record_id", "block", "lot", F.col("permit_date").cast("string").alias("permit_date"), "cost")
 
 
+#: Ids that share a label file: a larger table has more files, not larger ones.
+_LABEL_IDS = 2500
+
+
+def label_files(rows: DataFrame) -> DataFrame:
+    """Labels (event_id, text) as one JSON list per file."""
+    filed = rows.groupBy(F.floor(F.col("event_id") / _LABEL_IDS).alias("file"))
+    return filed.agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("value")).select("value")
+
+
 @query("s16_read_labels", """SELECT CASE WHEN probe AND actual THEN 'a probe row cannot be actual' WHEN event_id % 11 = 0 THEN 'flag is not a boolean' END AS reason,
         count(*) AS rows, count(*) FILTER (WHERE actual) AS actual FROM v_label GROUP BY 1
     UNION ALL SELECT 'malformed file', 1, 0""")
@@ -290,8 +300,7 @@ def read_labels(t: Tables):
     predicted = F.when((F.col("event_id") % 11 == 0) & ~(F.col("probe") & F.col("actual")), F.lit('"yes"')).otherwise(flag("predicted"))
     text = F.concat(F.lit('{"pams_pin": "p", "image_ref": "'), F.col("image_ref"), F.lit('", "signal": "pool", "actual": '), flag("actual"),
                     F.lit(', "predicted": '), predicted, F.lit(', "probe": '), flag("probe"), F.lit("}"))
-    rows = t.landed().v_label.select(F.pmod("event_id", F.lit(40)).alias("file"), text.alias("text"))
-    files = rows.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("text"), ","), F.lit("]")).alias("value")).select("value")
+    files = label_files(t.landed().v_label.select("event_id", text.alias("text")))
     torn = t.spark.createDataFrame([("not a label file",)], "value string")
     labels, rejects = readers.read_labels(t.spark, write_documents(t, files.unionByName(torn), "labels"))
     good = labels.agg(F.count(F.lit(1)).alias("rows"), F.count_if("actual").alias("actual")).withColumn("reason", F.lit(None).cast("string"))

@@ -18,3 +18,10 @@ def test_joins_are_planned_by_the_size_of_rows(spark):
         assert spark.conf.get(key) == "2.0"
     finally:
         spark.conf.set(key, before)
+
+
+def test_label_files_do_not_grow_with_the_table(spark):
+    from doorlens.plans.landed import label_files
+
+    files = label_files(spark.range(9_000).select(F.col("id").alias("event_id"), F.lit("1").alias("text"))).collect()
+    assert sorted(len(f.value.split(",")) for f in files) == [1500, 2500, 2500, 2500]
