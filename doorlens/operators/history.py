@@ -170,7 +170,7 @@ def enrich_applications(applications: DataFrame, roof: DataFrame) -> DataFrame:
     key = ["territory_id", "pams_pin", "detail_url"]
     linked = roof.filter("coalesce(detail_url, '') != ''")
     detail = linked.groupBy(*key).agg(
-        F.max_by(F.struct("description", "disposition"), "ordinal").alias("roof_detail")
+        F.max_by(F.struct("description", "disposition"), F.struct("ordinal", "description", "disposition")).alias("roof_detail")
     )
     listed = applications.join(detail, key, "left").select(
         *key, "ordinal", "permit_number", "work_description", F.lit("property_page").alias("source_scope"), "roof_detail"

@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def tie_break(columns: Sequence[Column]) -> Column:
+    """A hash that orders rows which `ordinal` leaves level, so a pick among them does not depend on the order they arrive in."""
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row per key, the smallest by `order`. A combinable aggregate: one row per key and task is shuffled."""
     return _extreme(df, keys, order, F.min_by)

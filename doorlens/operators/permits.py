@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doorlens.functions import dates, text
+from doorlens.operators.ordering import tie_break
 
 FIELDS = (
     "description", "work_type", "disposition", "issue_date", "statewide_issue_date", "completion_date",
@@ -17,7 +18,7 @@ def portal_projects(applications: DataFrame) -> DataFrame:
     """Portal applications grouped by municipal record.
 
     The last base record stands for the group; without one, the first amendment does.
-    Amendments are counted into it. Blank ids are dropped.
+    Amendments are counted into it. Blank ids are dropped. Among records of one `ordinal` their content decides.
     """
     issue, close = dates.us_date(F.col("issue_date")), dates.us_date(F.col("close_date"))
     number = text.blank_to_null(F.col("permit_number"))
@@ -32,8 +33,9 @@ def portal_projects(applications: DataFrame) -> DataFrame:
             disposition.alias("disposition"), issue.alias("issue_date"),
             F.when(disposition == "completed", close).alias("completion_date"),
         ).alias("record"),
+        tie_break([F.col(c) for c in ("work_description", "work_type", "status", "issue_date", "close_date")]).alias("tie"),
     ).filter("municipal_id is not null")
-    base_last = F.struct(~F.col("amends"), F.when(F.col("amends"), -F.col("ordinal")).otherwise(F.col("ordinal")))
+    base_last = F.struct(~F.col("amends"), F.when(F.col("amends"), -F.col("ordinal")).otherwise(F.col("ordinal")), "tie")
     return rows.groupBy("territory_id", "pams_pin", "municipal_id").agg(
         F.max_by("record", base_last).alias("r"),
         F.count_if("amends").alias("amendments"),
@@ -57,6 +59,7 @@ def coalesce_permits(
 
     One grouping does the work of both outer joins: the portal record leads, the first roof
     record fills its blanks, the statewide record fills lifecycle gaps and is named as a source.
+    Where several rows of one source share an `ordinal`, their content decides.
     """
     if drop_same_day:
         statewide = drop_same_day_statewide(statewide, applications, roof)
@@ -69,7 +72,8 @@ def coalesce_permits(
                  "last_activity_date")
         record = F.struct(*[fields.get(n, F.lit(None)).alias(n) for n in names]).cast(shape)
         extra = fields.get("amendments", F.lit(None)).cast("bigint").alias("amendments")
-        return df.select(*key, F.lit(source).alias("origin"), ordinal.cast("bigint").alias("ordinal"),
+        tie = tie_break([fields[n] for n in names if n in fields]).alias("tie")
+        return df.select(*key, F.lit(source).alias("origin"), ordinal.cast("bigint").alias("ordinal"), tie,
                          record.alias("record"), extra)
 
     projects = portal_projects(applications)
@@ -84,19 +88,21 @@ def coalesce_permits(
             statewide_issue_date=F.col("issue_date"), completion_date=F.col("completion_date")))
     )
 
+    order = F.struct("ordinal", "tie")
+
     def of(origin, value):
-        return F.min_by(F.when(F.col("origin") == origin, value), F.when(F.col("origin") == origin, F.col("ordinal")))
+        return F.min_by(F.when(F.col("origin") == origin, value), F.when(F.col("origin") == origin, order))
 
     # Several roof rows of one id fill one another's blanks in order, so each field has its own first.
     def first_roof(name):
         value = F.col(f"record.{name}")
         there = (F.col("origin") == 1) & (value.isNotNull() if name == "issue_date" else F.coalesce(value, F.lit("")) != "")
-        return F.min_by(F.when(there, value), F.when(there, F.col("ordinal"))).alias(f"roof_{name}")
+        return F.min_by(F.when(there, value), F.when(there, order)).alias(f"roof_{name}")
 
     def first_statewide(name):
         value = F.col(f"record.{name}")
         there = (F.col("origin") == 2) & value.isNotNull()
-        return F.min_by(F.when(there, value), F.when(there, F.col("ordinal"))).alias(f"state_{name}")
+        return F.min_by(F.when(there, value), F.when(there, order)).alias(f"state_{name}")
 
     grouped = merged.groupBy(*key).agg(
         of(0, F.col("record")).alias("portal"),
@@ -131,14 +137,15 @@ def coalesce_permits(
 def dedupe_permits(permits: DataFrame, by=("territory_id", "pams_pin")) -> DataFrame:
     """One record per municipal id: the first, unless a later portal record replaces a non-portal one.
 
-    The place in the order stays that of the first record seen.
+    The place in the order stays that of the first record seen. Among records of one `ordinal` their content decides.
     """
     key = [*by, "dedupe_key"]
     keyed = permits.withColumn(
         "dedupe_key", F.coalesce(text.blank_to_null(F.col("municipal_id")), F.col("permit_id"))
     )
     rest = [c for c in keyed.columns if c not in key and c != "ordinal"]
-    choice = F.struct(F.when(F.col("from_portal"), 0).otherwise(1), F.col("ordinal"))
+    content = [F.col(f.name) for f in keyed.schema.fields if f.name in rest and "map<" not in f.dataType.simpleString()]
+    choice = F.struct(F.when(F.col("from_portal"), 0).otherwise(1), F.col("ordinal"), tie_break(content))
     return keyed.groupBy(*key).agg(
         F.min_by(F.struct(*rest), choice).alias("r"), F.min("ordinal").alias("ordinal")
     ).select(*key, "r.*", "ordinal")
