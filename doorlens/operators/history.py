@@ -44,6 +44,15 @@ def _place(df: DataFrame, towns: DataFrame | None) -> tuple[DataFrame, list]:
     return df.join(named, "territory_id", "left"), [F.col(f"_{c}") for c in ("town", "state", "zip")]
 
 
+def _known_addresses(territory: DataFrame, address: str) -> DataFrame:
+    """(territory_id, address_key, doors, pin): how many doors an address names, and the first of them."""
+    written = territory.groupBy("territory_id", address).agg(F.count(F.lit(1)).alias("_doors"), F.min("pams_pin").alias("_pin"))
+    return (
+        written.withColumn("address_key", keys.portal_address_key(F.col(address))).filter("address_key != ''")
+        .groupBy("territory_id", "address_key").agg(F.sum("_doors").alias("doors"), F.min("_pin").alias("pin"))
+    )
+
+
 def match_permits(records: DataFrame, territory: DataFrame, address: str = "address", towns: DataFrame | None = None) -> DataFrame:
     """Every record with `outcome` matched, ambiguous or unmatched, its pin and the reason.
 
@@ -51,14 +60,14 @@ def match_permits(records: DataFrame, territory: DataFrame, address: str = "addr
     Only an address that names one door attaches. The doors an ambiguous address could mean are
     in `ambiguous_candidates`, once per address rather than once per record.
     """
-    known = (
-        territory.withColumn("address_key", keys.portal_address_key(F.col(address))).filter("address_key != ''")
-        .groupBy("territory_id", "address_key")
-        .agg(F.count(F.lit(1)).alias("doors"), F.min("pams_pin").alias("pin"))
-    )
-    placed, names = _place(records, towns)
-    asked = placed.withColumn("address_key", keys.portal_address_key(F.col("location"), *names)).select(*records.columns, "address_key")
-    joined = asked.join(known, ["territory_id", "address_key"], "left")
+    known = _known_addresses(territory, address)
+    placed, names = _place(records.select("territory_id", "location").distinct(), towns)
+    # A location's key is worked out once, however many records name it.
+    asked = placed.withColumn("address_key", keys.portal_address_key(F.col("location"), *names)).join(
+        known, ["territory_id", "address_key"], "left").select(
+        F.col("territory_id").alias("_territory"), F.col("location").alias("_location"), "address_key", "doors", "pin")
+    same = F.col("territory_id").eqNullSafe(F.col("_territory")) & F.col("location").eqNullSafe(F.col("_location"))
+    joined = records.join(asked, same, "left").drop("_territory", "_location")
     doors = F.coalesce(F.col("doors"), F.lit(0))
     relevant = F.when(F.col("has_detail"), F.when(
         text.roof_evidence(F.col("work_description"), F.col("comments")).isNotNull(), KEYWORD_EXPLICIT
@@ -99,8 +108,7 @@ def match_summary(matched: DataFrame, territory: DataFrame, address: str = "addr
 
 
 def duplicate_addresses(territory: DataFrame, address: str = "address") -> DataFrame:
-    keyed = territory.withColumn("address_key", keys.portal_address_key(F.col(address))).filter("address_key != ''")
-    return keyed.groupBy("territory_id", "address_key").agg(F.count(F.lit(1)).alias("doors")).filter("doors > 1")
+    return _known_addresses(territory, address).filter("doors > 1").select("territory_id", "address_key", "doors")
 
 
 def ambiguous_candidates(territory: DataFrame, address: str = "address") -> DataFrame:
