@@ -3,8 +3,10 @@
 Each text is its set of shingle hashes; equal sets are one node. MinHash values in BANDS bands of
 ROWS make buckets: two texts with Jaccard s share none with probability (1 - s ** ROWS) ** BANDS,
 0.00035 at 0.8 and less above. Within buckets nothing is guessed: every link is an exact comparison of
-two whole sets. First each member is compared with the bucket's member of most company; buckets that
-then still hold several components have all their pairs across components compared, tile against tile.
+two whole sets. First SimHash fingerprints of the sets make groups within a few bits, by the operator of
+`simhash.py`, and each member is compared with its group's first; so is each member of a bucket with the
+bucket's member of most company. Fingerprints alone miss most links near 0.8: buckets that then still hold
+several components have all their pairs across components compared, tile against tile.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doorlens.llm import simhash
 from doorlens.llm.common import ROW, field, let, packed, row_key, unpacked
 from doorlens.operators.graph import components
 from doorlens.session import land
@@ -56,7 +59,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 def _mapped(df: DataFrame, of_text, kinds: dict[str, str]) -> DataFrame:
     """Replaces column `text` by the columns that `of_text` makes of it."""
     at = df.columns.index("text")
-    arrow = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    arrow = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "long": pa.int64()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,9 +73,17 @@ def _mapped(df: DataFrame, of_text, kinds: dict[str, str]) -> DataFrame:
     return df.mapInArrow(work, ", ".join([*fields, *[f"`{n}` {k}" for n, k in kinds.items()]]))
 
 
-def _signed(text: str | None) -> tuple[bytes, list[int]]:
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes, as a signed long: a bit is 1 if set in over half of them."""
+    counts = np.zeros(simhash.BITS, np.int64)
+    for at in range(0, len(hashes), _RUN):
+        counts += np.unpackbits(hashes[at:at + _RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def _signed(text: str | None) -> tuple[bytes, list[int], int]:
     hashes = shingles(text)
-    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED), bands(hashes)
+    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED), bands(hashes), fingerprint(hashes)
 
 
 def _set(text: str | None) -> tuple[list[int]]:
@@ -142,19 +153,31 @@ def _dealt(members: DataFrame, tile: int) -> DataFrame:
         (F.col("mine") > F.col("other")).cast("int").alias("tile"))
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(node, centre): each member of a group of fingerprints within the radius, with the group's first. `nodes` has distinct `node` and its `fp`."""
+    prints = land(nodes.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
+    grouped = components(land(simhash.links(prints.select("fp")), "links")).withColumnRenamed("id", "fp")
+    named = prints.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    first = named.groupBy("component").agg(F.min("low").alias("centre"))
+    centres = named.join(first, "component").select("fp", "centre")
+    return nodes.select("node", "fp").join(centres, "fp").filter("node != centre").select("node", "centre")
+
+
 def groups(prints: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
-    """(node, component) of every node that shares a bucket. `prints` is a written table of k1, k2, node and bands; `texts` has k1, k2, text."""
-    nodes = prints.select("node", "bands").dropDuplicates(["node"])
+    """(node, component) of every node with a link. `prints` is a written table of k1, k2, node, bands and fp; `texts` has k1, k2, text."""
+    nodes = prints.select("node", "bands", "fp").dropDuplicates(["node"])
+    alike = land(simhash_pairs(nodes), "simhash-pairs")
     entries = nodes.select("node", F.explode("bands").alias("key"))
     crowds = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = land(entries.join(crowds, "key"), "buckets")
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
     one = prints.select("node", "k1", "k2").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    named = company.join(one, "node").select("node", "k.k1", "k.k2")
+    wanted = company.select("node").unionByName(alike.select("node")).unionByName(alike.select(F.col("centre").alias("node"))).distinct()
+    named = wanted.join(one, "node").select("node", "k.k1", "k.k2")
     found = texts.select("k1", "k2", "text").join(named, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     sets = land(_mapped(found.select("node", "text"), _set, {"hashes": "array<long>"}), "sets")
     central = shared.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("centre"))
-    pairs = shared.join(central, "key").filter("node != centre").select("node", "centre").distinct()
+    pairs = shared.join(central, "key").filter("node != centre").select("node", "centre").unionByName(alike).distinct()
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("hashes").alias("others")), "centre")
     first = land(both.filter(_alike(F.col("hashes"), F.col("others"))).select(F.col("node").alias("src"), F.col("centre").alias("dst")), "links")
     labels = land(components(first).withColumnRenamed("id", "node"), "labels")
@@ -178,8 +201,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     one, two = row_key(docs)
     keyed = packed(docs).select(ROW, one.alias("k1"), two.alias("k2"))
     narrow = keyed.select(field(doc_id).alias("doc_id"), field(text).alias("text"), "k1", "k2")
-    prints = land(_mapped(narrow, _signed, {"node": "binary", "bands": "array<long>"}), "signatures")
-    grouped = prints.drop("bands").join(groups(prints, narrow, tile), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    prints = land(_mapped(narrow, _signed, {"node": "binary", "bands": "array<long>", "fp": "long"}), "signatures")
+    grouped = prints.drop("bands", "fp").join(groups(prints, narrow, tile), "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
     kept = grouped.groupBy("component").agg(F.min_by(F.struct("k1", "k2"), order).alias("k")).select("k.k1", "k.k2")
     once = keyed.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
