@@ -1,6 +1,6 @@
 """The corpus pipeline: raw documents to shards in five stages, four of them numbered operators.
 
-Stage 2 links by SimHash fingerprints of 5-word shingles, each link confirmed by a Jaccard of 0.8; what 64 bits leave apart is found by
+Stage 2 links by SimHash fingerprints of 5-word shingles, members kept by an exact Jaccard of 0.8; what 64 bits leave apart is found by
 MinHash buckets under the same check (see `minhash.py`).
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as Parquet
