@@ -14,8 +14,9 @@ from doorlens.plans.joins import (
 )
 from doorlens.plans.registry import query
 from doorlens.plans.scalars import ADDRESS_SQL, HAVERSINE_SQL, KEY_SQL, STRENGTH_SQL
-from doorlens.plans.windows import SALES_FACTS_SQL, _TRAIL, scorer_sales
+from doorlens.plans.windows import SALES_FACTS_SQL, _TRAIL, scorer_sales, trail
 from doorlens.scoring import engine, facts
+from doorlens.session import land
 
 A = AS_OF_SQL
 DOOR = facts.DOOR
@@ -365,13 +366,14 @@ _SPREADS = ", ".join(f"round({f}(CASE WHEN score IS NOT NULL THEN CAST({c} AS DO
     LEFT JOIN lost l ON d.territory_id = l.territory_id GROUP BY d.territory_id""")
 def score_report(t: Tables):
     """The whole report with its optional blocks, every column compared."""
+    lines = land(t.derived().v_permit.select("territory_id", "pams_pin", "ordinal", "disposition", "source"), "lines")
     t = t.landed()
     labels = t.v_label.withColumn("territory_id", F.col("event_id") % 5)
     retrieved = t.v_sale.select("territory_id", F.lit("deeds").alias("source"), F.col("sale_day").alias("retrieved"))
-    excluded = t.v_permit.groupBy("territory_id").agg(
+    excluded = lines.groupBy("territory_id").agg(
         F.count_if(F.col("disposition").isin("voided", "administrative")).alias("voided_or_admin"),
         F.count_if(F.col("source") == "statewide").alias("cross_source_dedup_collapsed"))
-    built = report.score_report(t.v_door_score, t.sql(_TRAIL), t.sql(_GAPS), labels=labels, retrieved=retrieved, excluded=excluded)
+    built = report.score_report(t.v_door_score, trail(lines), t.sql(_GAPS), labels=labels, retrieved=retrieved, excluded=excluded)
 
     def listed(name: str):
         pairs = F.transform(F.map_entries(name), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string")))

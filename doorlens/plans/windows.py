@@ -59,10 +59,16 @@ def freshest_valid_sale(t: Tables):
     )
 
 
-_TRAIL = """SELECT territory_id, pams_pin, ordinal, CAST(ordinal % 7 AS BIGINT) AS kind,
+_TRAIL_OF = """SELECT territory_id, pams_pin, ordinal, CAST(ordinal % 7 AS BIGINT) AS kind,
     CASE ordinal % 5 WHEN 0 THEN 'fit_pool' WHEN 1 THEN 'capacity_territory_percentile' WHEN 2 THEN 'project_active'
         WHEN 3 THEN 'capacity_local_relative_value' ELSE 'mover_recency' END AS type,
-    CAST(ordinal % 11 AS DOUBLE) - CAST(3 AS DOUBLE) AS points FROM v_permit"""
+    CAST(ordinal % 11 AS DOUBLE) - CAST(3 AS DOUBLE) AS points FROM {permits}"""
+_TRAIL = _TRAIL_OF.format(permits="v_permit")
+
+
+def trail(lines):
+    """The trail over permits that are at hand, as `_TRAIL` has it over the view."""
+    return lines.sparkSession.sql(_TRAIL_OF.format(permits="{lines}"), lines=lines)
 
 
 @query("w4_evidence_sequence", f"""SELECT pams_pin, ordinal, row_number() OVER (PARTITION BY pams_pin ORDER BY kind, ordinal) - 1 AS seq
