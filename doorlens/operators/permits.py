@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,10 +136,14 @@ def coalesce_permits(
     )
 
 
-def dedupe_permits(permits: DataFrame, by=("territory_id", "pams_pin")) -> DataFrame:
+def dedupe_permits(
+    permits: DataFrame, by=("territory_id", "pams_pin"), clock: DataFrame | None = None, fields: Sequence[str] | None = None
+) -> DataFrame:
     """One record per municipal id: the first, unless a later portal record replaces a non-portal one.
 
     The place in the order stays that of the first record seen. Among records of one `ordinal` their content decides.
+    `clock` (by, as_of) adds its day and drops records of doors it does not list; it is met before the grouping, so that one dealing
+    of the rows by door serves both. `fields` are the columns wanted of a record, all by default.
     """
     key = [*by, "dedupe_key"]
     keyed = permits.withColumn(
@@ -145,7 +151,11 @@ def dedupe_permits(permits: DataFrame, by=("territory_id", "pams_pin")) -> DataF
     )
     rest = [c for c in keyed.columns if c not in key and c != "ordinal"]
     content = [F.col(f.name) for f in keyed.schema.fields if f.name in rest and "map<" not in f.dataType.simpleString()]
-    choice = F.struct(F.when(F.col("from_portal"), 0).otherwise(1), F.col("ordinal"), tie_break(content))
+    rest = [c for c in rest if fields is None or c in fields]
+    keyed = keyed.select(*key, *rest, "ordinal", tie_break(content).alias("_tie"))
+    if clock is not None:
+        keyed, rest = keyed.join(clock.select(*by, "as_of"), list(by)), [*rest, "as_of"]
+    choice = F.struct(F.when(F.col("from_portal"), 0).otherwise(1), F.col("ordinal"), F.col("_tie"))
     return keyed.groupBy(*key).agg(
         F.min_by(F.struct(*rest), choice).alias("r"), F.min("ordinal").alias("ordinal")
     ).select(*key, "r.*", "ordinal")

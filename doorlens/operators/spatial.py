@@ -43,15 +43,20 @@ def nearest_neighbours(
     below_levels: int = 4,
     crowd: int = 16,
     extra_levels: int = 24,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The k nearest candidates of each subject in its group, ties by id.
 
     `subjects` hold (group, key, lon, lat), `candidates` (group, candidate_key, lon, lat); rows
     without a position take no part. `exclude_self` is for ids of one kind: a subject does not
-    meet itself. Returns (group, key, neighbour, distance_m, rank).
+    meet itself. `carry` names columns of the candidates that come along with the neighbour, so that
+    nobody has to look them up again. Returns (group, key, neighbour, distance_m, rank, *carry).
+
+    Places and subjects' spots get a number when they are written. The pairs, most of the rows, then hold two numbers and a
+    distance, and what follows is keyed by a number: Spark deals rows anew for each grouping or join by a floating-point key.
     """
     subjects = subjects.select(group, key, "lon", "lat").filter("lon is not null and lat is not null")
-    candidates = candidates.select(group, F.col(candidate_key or key).alias("_id"), "lon", "lat").filter(
+    candidates = candidates.select(group, F.col(candidate_key or key).alias("_id"), "lon", "lat", *carry).filter(
         "lon is not null and lat is not null"
     )
     spot = [group, "lon", "lat"]
@@ -60,14 +65,15 @@ def nearest_neighbours(
     in_spot = Window.partitionBy(*spot).orderBy("_id")
     offered = (
         candidates.withColumn("_i", F.row_number().over(in_spot)).filter(F.col("_i") <= k + 1)
-        .groupBy(*spot).agg(F.sort_array(F.collect_list("_id")).alias("ids"))
+        .groupBy(*spot).agg(F.collect_list(F.struct("_id", *carry)).alias("ids")).withColumn("place", F.monotonically_increasing_id())
     )
     # What several steps read is written once: the places, the index with its counts, and the cells that subjects ask.
     offered = land(offered, "places")
-    places = offered.select(*spot, F.size("ids").alias("weight"))
+    places = offered.select(*spot, F.size("ids").alias("weight"), "place")
+    spots = land(subjects.select(*spot).distinct().withColumn("sid", F.monotonically_increasing_id()), "spots")
 
     # The root cell covers subjects and candidates alike, so no subject falls outside the grid.
-    everyone = places.unionByName(subjects.select(*spot, F.lit(0).alias("weight")))
+    everyone = places.drop("place").unionByName(spots.select(*spot, F.lit(0).alias("weight")))
     extent = everyone.groupBy(group).agg(
         F.min("lon").alias("x0"), F.min("lat").alias("y0"),
         F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).alias("_span"),
@@ -120,16 +126,17 @@ def nearest_neighbours(
         )
 
     cell = [group, "level", "cx", "cy"]
-    indexed = land(at_levels(places, around).select(*cell, "lon", "lat", "weight"), "index")
+    indexed = land(at_levels(places, around).select(*cell, "lon", "lat", "weight", "place"), "index")
     filled = land(indexed.groupBy(*cell).agg(F.sum("weight").alias("held")), "cells")
 
     # The finest own cell with more than k points, or the root.
-    asked = at_levels(subjects.select(*spot).distinct(), crowded)
+    asked = at_levels(spots, crowded).select(*cell, "sid")
     chosen = (
         asked.join(filled, cell, "left")
         .filter((F.coalesce(F.col("held"), F.lit(0)) > k) | (F.col("level") == 0))
-        .groupBy(*spot).agg(F.max(F.struct("level", "side", "cx", "cy", "x0", "y0", "thin", "thick", "held")).alias("c"))
-        .select(*spot, "c.*")
+        .groupBy("sid").agg(F.max(F.struct("level", "cx", "cy", "held")).alias("c"))
+        .select("sid", "c.*").join(spots, "sid").join(extent.select(group, "x0", "y0", "root", "thin", "thick"), group)
+        .withColumn("side", F.col("root") / F.pow(F.lit(2.0), F.col("level")))
     )
     # The farthest corner of that cell bounds the search; a thin root cell means everything.
     low_x, low_y = F.col("x0") + F.col("cx") * F.col("side"), F.col("y0") + F.col("cy") * F.col("side")
@@ -137,7 +144,7 @@ def nearest_neighbours(
     dy = F.greatest(F.col("lat") - low_y, low_y + F.col("side") - F.col("lat"))
     reach_y = F.sqrt(dx * dx * F.col("thick") * F.col("thick") + dy * dy) * (1.0 + 1e-9)
     probes = chosen.select(
-        *spot, "level", "side", "x0", "y0", "held", reach_y.alias("ry"), (reach_y / F.col("thin")).alias("rx"),
+        "sid", *spot, "level", "side", "x0", "y0", "held", reach_y.alias("ry"), (reach_y / F.col("thin")).alias("rx"),
         (reach_y * F.lit(geo.DEGREE * radius)).alias("reach_m"),
     )
     whole = F.coalesce(F.col("held"), F.lit(0)) <= k
@@ -160,58 +167,60 @@ def nearest_neighbours(
         probes.withColumn("cx", F.explode(span_x)).withColumn("cy", F.explode(span_y))
         .filter(whole | (gap_x * gap_x + gap_y * gap_y <= 1.0 + 1e-6))
         .select(
-            *cell, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), F.when(~whole, F.col("reach_m")).alias("reach_m")
+            *cell, "sid", F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"), F.when(~whole, F.col("reach_m")).alias("reach_m")
         )
     )
     probes = land(probes, "probes")
     most = 9 * crowd * (k + 1)
     costly = (
-        probes.join(filled, cell).groupBy(group, "s_lon", "s_lat").agg(F.sum("held").alias("_read")).filter(F.col("_read") > most)
-        .select(group, "s_lon", "s_lat")
+        probes.join(filled, cell).groupBy("sid").agg(
+            F.sum("held").alias("_read"), *[F.any_value(c).alias(c) for c in (group, "s_lon", "s_lat")])
+        .filter(F.col("_read") > most).select(group, "sid", "s_lon", "s_lat")
     )
     costly = cut_lineage(costly)
     if not costly.isEmpty():
-        probes = probes.join(costly, [group, "s_lon", "s_lat"], "left_anti").unionByName(
+        probes = probes.join(costly, "sid", "left_anti").unionByName(
             _descend(costly, extent, filled, cell, group, k, crowd * (k + 1), extra_levels, geo.DEGREE * radius)
         )
 
     distance = geo.equirectangular_m(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"), radius)
+    # Levels that nobody asks at, most of the index, are left before it is dealt by cell; there are some tens of levels at most.
+    levels = [r.level for r in probes.select("level").distinct().collect()]
+    offering = indexed.filter(F.col("level").isin(levels)).select(*cell, "lon", "lat", "place")
     pairs = (
-        probes.join(indexed.select(*cell, "lon", "lat"), cell).withColumn("distance_m", distance)
-        .filter(F.col("reach_m").isNull() | (F.col("distance_m") <= F.col("reach_m"))).drop("reach_m")
+        probes.join(offering, cell).withColumn("distance_m", distance)
+        .filter(F.col("reach_m").isNull() | (F.col("distance_m") <= F.col("reach_m"))).select("sid", "place", "distance_m")
     )
     # The k+1 nearest locations, ties kept, hold the k nearest ids of every subject there.
-    near = Window.partitionBy(group, "s_lon", "s_lat").orderBy("distance_m")
+    near = Window.partitionBy("sid").orderBy("distance_m")
     shortlist = (
         pairs.withColumn("_r", F.rank().over(near)).filter(F.col("_r") <= k + 1)
-        .join(offered, spot)
-        .select(group, "s_lon", "s_lat", "distance_m", F.explode("ids").alias("neighbour"))
+        .join(offered.select("place", "ids"), "place")
+        .select("sid", "distance_m", F.explode("ids").alias("id")).select("sid", "distance_m", F.col("id._id").alias("neighbour"), *[f"id.{c}" for c in carry])
     )
-    ranked = Window.partitionBy(group, "s_lon", "s_lat").orderBy("distance_m", "neighbour")
+    ranked = Window.partitionBy("sid").orderBy("distance_m", "neighbour")
     answer = (
         shortlist.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= k + 1)
-        .groupBy(group, "s_lon", "s_lat")
-        .agg(F.sort_array(F.collect_list(F.struct("distance_m", "neighbour"))).alias("near"))
-        .select(group, F.col("s_lon").alias("lon"), F.col("s_lat").alias("lat"), "near")
+        .groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("distance_m", "neighbour", *carry))).alias("near"))
     )
     # Each subject drops itself and keeps k.
     others = F.filter("near", lambda n: n.neighbour != F.col(key)) if exclude_self else F.col("near")
     own = F.slice(others, 1, k)
     return (
-        subjects.join(answer, spot).select(group, key, F.posexplode(own).alias("_p", "n"))
-        .select(group, key, "n.neighbour", "n.distance_m", (F.col("_p") + 1).alias("rank"))
+        subjects.join(spots, spot).select(group, key, "sid").join(answer, "sid").select(group, key, F.posexplode(own).alias("_p", "n"))
+        .select(group, key, "n.neighbour", "n.distance_m", (F.col("_p") + 1).alias("rank"), *[f"n.{c}" for c in carry])
     )
 
 
 def _descend(
     subjects: DataFrame, extent: DataFrame, filled: DataFrame, cell: list[str], group: str, k: int, small: int, extra_levels: int, metres: float
 ) -> DataFrame:
-    """(cell..., s_lon, s_lat, reach_m): the small cells that can hold one of a subject's k nearest, found from the root down.
+    """(cell..., sid, s_lon, s_lat, reach_m): the small cells that can hold one of a subject's k nearest, found from the root down.
 
     Each round goes one level deeper for all subjects at once. A subject's bound is the least far
     corner distance of any cell seen with more than k places; a cell whose near side lies beyond it is left.
     """
-    subject = [group, "s_lon", "s_lat"]
+    subject = [group, "sid", "s_lon", "s_lat"]
     upper = (
         filled.join(extent.select(group, "topmost"), group).filter(F.col("level") == F.col("topmost")).filter("topmost > 0")
         .withColumn("up", F.explode(F.sequence(F.lit(1), F.col("topmost")))).withColumn("step", F.pow(F.lit(2.0), F.col("up")))
@@ -226,7 +235,7 @@ def _descend(
             *subject, "x0", "y0", "root", "thin", "thick", "topmost", "deepest", F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy"),
             F.lit(float("inf")).alias("bound"))
     )
-    every = Window.partitionBy(*subject)
+    every = Window.partitionBy("sid")
     found = None
     level = 0
     while not frontier.isEmpty():
@@ -252,10 +261,10 @@ def _descend(
         leaves = step.filter("leaf").select(*subject, F.lit(level).alias("level"), "cx", "cy", "near", "bound")
         found = leaves if found is None else found.unionByName(leaves)
         frontier = step.filter(~F.col("leaf")).drop("leaf", "near")
-    final = Window.partitionBy(*subject)
+    final = Window.partitionBy("sid")
     return (
         found.withColumn("bound", F.min("bound").over(final)).filter(F.col("near") <= F.col("bound") * (1.0 + 1e-6))
-        .select(*cell, "s_lon", "s_lat", F.when(F.col("bound") < float("inf"), F.col("bound") * (metres * (1.0 + 1e-6))).alias("reach_m"))
+        .select(*cell, "sid", "s_lon", "s_lat", F.when(F.col("bound") < float("inf"), F.col("bound") * (metres * (1.0 + 1e-6))).alias("reach_m"))
     )
 
 
@@ -268,11 +277,9 @@ def valid_single_family(parcels: DataFrame) -> DataFrame:
 
 def nearest_comparables(parcels: DataFrame, k: int = 20) -> DataFrame:
     """(territory_id, pams_pin, comp_pin, distance_m, value): up to k valid homes nearest each positioned door."""
-    homes = valid_single_family(parcels)
-    pairs = nearest_neighbours(parcels, homes, k)
-    values = homes.select("territory_id", F.col("pams_pin").alias("comp_pin"), F.col("net_value").alias("value"))
-    return pairs.withColumnRenamed("neighbour", "comp_pin").join(values, ["territory_id", "comp_pin"]).select(
-        "territory_id", "pams_pin", "comp_pin", "distance_m", "value", "rank"
+    homes = valid_single_family(parcels).withColumn("value", F.col("net_value"))
+    return nearest_neighbours(parcels, homes, k, carry=["value"]).select(
+        "territory_id", "pams_pin", F.col("neighbour").alias("comp_pin"), "distance_m", "value", "rank"
     )
 
 

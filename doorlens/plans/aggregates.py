@@ -98,8 +98,9 @@ def permits_per_door(t: Tables):
     return resolve.door_permits(routed(t)).select("pams_pin", "record_id", F.col("position").cast("bigint").alias("position"))
 
 
-def scorer_permits(t: Tables):
-    t = t.landed()
+def scorer_permits(t: Tables, landed: bool = True):
+    """The scorer's permits; a job that reads them once takes them as they are derived, not as a written table of all columns."""
+    t = t.landed() if landed else t.derived()
     return t.v_permit.select(
         "territory_id", "pams_pin", F.col("ordinal").cast("string").alias("permit_id"), "municipal_id", "description",
         F.lit(None).cast("string").alias("work_type"), "disposition", "issue_date", "completion_date",

@@ -313,10 +313,10 @@ VIEWS = {
 SPARK_VIEWS = {
     "v_permit": """
         SELECT p.territory_id, p.mun, p.pams_pin, p.k, p.block, p.lot,
-               CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS municipal_id, ordinal, issue_date, l_quantity, cost,
+               CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS municipal_id,
+               (CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 1000000 + low AS ordinal, issue_date, l_quantity, cost,
                disposition, source, completion_date, description, p_type, l_partkey, l_orderkey, l_linenumber, l_suppkey
-        FROM (SELECT (CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 1000000 + (l_partkey * 131 + l_suppkey * 7) % 1000000
-                         AS ordinal, issue_date, l_quantity, l_extendedprice AS cost,
+        FROM (SELECT (l_partkey * 131 + l_suppkey * 7) % 1000000 AS low, issue_date, l_quantity, l_extendedprice AS cost,
                      CASE l_returnflag WHEN 'R' THEN 'completed' WHEN 'A' THEN NULL
                           ELSE CASE l_partkey % 3 WHEN 0 THEN 'voided' WHEN 1 THEN 'expired' ELSE 'administrative' END
                      END AS disposition,

@@ -84,7 +84,7 @@ def score_inputs(t: Tables) -> dict:
     )
     homes = spatial.valid_single_family(t.v_parcel)
     return {
-        "doors": doors, "sales": scorer_sales(t), "permits": scorer_permits(t),
+        "doors": doors, "sales": scorer_sales(t, landed=False), "permits": scorer_permits(t, landed=False),
         "comparables": spatial.nearest_comparables(t.v_parcel),
         "values": homes.select("territory_id", F.col("net_value").alias("value")), "rental": t.v_rental,
         "observed": imagery.observations(imagery.imagery_signals(t.v_detection)),

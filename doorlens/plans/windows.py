@@ -37,8 +37,8 @@ def knn_rank(t: Tables):
     )
 
 
-def scorer_sales(t: Tables):
-    t = t.landed()
+def scorer_sales(t: Tables, landed: bool = True):
+    t = t.landed() if landed else t.derived()
     return t.v_sale.select(
         "territory_id", "pams_pin", "ordinal", "source", "sale_day", "sale_price", F.col("nu_code").alias("sales_code")
     )

@@ -14,7 +14,7 @@ from doorlens.operators.imagery import CONFIDENCE_FLOOR
 from doorlens.operators.ordering import count_below
 from doorlens.scoring import facts
 from doorlens.scoring.facts import DOOR
-from doorlens.session import land
+from doorlens.session import hot_joins_split, land
 
 # Points, caps and bands of the contract.
 CONTRACT = "v2"
@@ -366,9 +366,11 @@ def score(
     `doors` holds territory_id, pams_pin, as_of, assessed_value, construction_year, lot_acres, dual_income_pct,
     sdl_page_available, rental_available and imagery_available, one row a door.
     """
-    classified = facts.classify_permits(permits, doors.select(*DOOR, "as_of"))
+    classified = facts.classify_permits(permits, doors.select(*DOOR, "as_of"), fields=facts.PERMIT_FIELDS).select(*facts.CLASSIFIED)
     if land_facts:
-        classified = land(classified, "classified_permits")
+        # A door with very many permits is split among tasks, for one more dealing of the rows.
+        with hot_joins_split(classified.sparkSession):
+            classified = land(classified, "classified_permits")
     wide = door_facts(doors, sales, classified, comparables, values, rental, observed)
     scored = score_doors(land(wide, "door_facts") if land_facts else wide)
     return {

@@ -8,6 +8,7 @@ single task more than its share.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,16 @@ SOURCE_RENTAL = "municipal rental registration list"
 SOURCE_IMAGERY = "NJ aerial orthoimagery"
 
 
+# What the flags of a permit are worked out of, and what is read of a permit once they are.
+PERMIT_FIELDS = (
+    "description", "work_type", "disposition", "issue_date", "completion_date", "last_activity_date", "from_portal", "from_statewide",
+)
+CLASSIFIED = (
+    *DOOR, "as_of", "ordinal", "brief", "completed_on", "active", "completed", "is_roof", "is_install", "supersedes", "is_pool", "is_solar",
+    "from_portal", "from_statewide",
+)
+
+
 def permit_source(portal, statewide):
     """The sources named once each, portal first; the portal when none is known."""
     both = F.concat_ws(" + ", F.when(portal, SOURCE_PORTAL), F.when(statewide, SOURCE_STATEWIDE))
@@ -74,12 +85,10 @@ def is_active(disposition, last_activity, issue, as_of):
     return F.coalesce(disposition, F.lit("")).eqNullSafe("") & recent
 
 
-def classify_permits(permits: DataFrame, clock: DataFrame | None, as_of=None) -> DataFrame:
-    """Deduplicated permits with the flags every category reads."""
-    unique = dedupe_permits(permits)
-    if clock is not None:
-        unique = unique.join(clock, DOOR)
-    else:
+def classify_permits(permits: DataFrame, clock: DataFrame | None, as_of=None, fields: Sequence[str] | None = None) -> DataFrame:
+    """Deduplicated permits with the flags every category reads. `fields` are the columns of a record that are kept, all by default."""
+    unique = dedupe_permits(permits, clock=clock, fields=fields)
+    if clock is None:
         unique = unique.withColumn("as_of", dates.as_of_column(as_of))
     c, day = F.col, F.col("as_of")
     state = F.lower(F.coalesce("disposition", F.lit("")))

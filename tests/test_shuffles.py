@@ -1,11 +1,16 @@
 """How often rows are dealt anew: plans are read with broadcasts off, as on tables too large to send."""
 
+import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from doorlens.operators import spatial
 from doorlens.plans import registry
 from doorlens.plans.analogs import SPARK_VIEWS, VIEWS, Tables, with_views
+from doorlens.scoring import facts
+from doorlens.session import hot_joins_split
 
 SF = "/root/testdata/sf0.001"
 data = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
@@ -53,3 +58,38 @@ def test_lines_are_dealt_twice(planned):
 @data
 def test_report_derives_permits_once(spark):
     assert "lineitem" not in registry.all_queries()["x11_score_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_classified_permits_are_dealt_once(planned):
+    """One dealing by door serves the doors' clock and the grouping by municipal id; the columns read of a record are all that is kept."""
+    lines = planned.range(20).selectExpr(
+        "1L AS territory_id", "concat('p', id % 3) AS pams_pin", "cast(id AS string) AS permit_id", "concat('m', id % 7) AS municipal_id",
+        "concat('roof ', id) AS description", "cast(null AS string) AS work_type", "'completed' AS disposition", "DATE '2000-01-01' AS issue_date",
+        "DATE '2000-02-01' AS completion_date", "cast(null AS date) AS last_activity_date", "id % 2 = 0 AS from_portal", "id % 2 = 1 AS from_statewide",
+        "id AS ordinal")
+    clock = planned.createDataFrame([(1, "p0"), (1, "p1"), (1, "p9")], "territory_id long, pams_pin string").withColumn(
+        "as_of", F.lit("2001-06-30").cast("date"))
+    found = facts.classify_permits(lines, clock, fields=facts.PERMIT_FIELDS).select(*facts.CLASSIFIED)
+    assert dealings(found, "Range") == 1
+    whole = facts.classify_permits(lines, None, dt.date(2001, 6, 30)).filter("pams_pin != 'p2'").select(*facts.CLASSIFIED)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) and found.count() == 14
+
+
+def test_neighbours_carry_what_is_read_of_them(spark):
+    """The value comes with the neighbour: nothing is looked up by pin, and the answer is not dealt anew by coordinates."""
+    homes = spark.range(60).selectExpr("id % 2 AS territory_id", "concat('h', id) AS pams_pin", "'2' AS prop_class", "id * 10.0D AS net_value",
+                                       "-74.0D + id % 7 / 100D AS lon", "41.0D + id % 5 / 100D AS lat")
+    near = spatial.nearest_comparables(homes, 3)
+    assert "net_value" not in near._jdf.queryExecution().optimizedPlan().toString()
+    value = {r.pams_pin: r.net_value for r in homes.collect()}
+    rows = near.collect()
+    assert len(rows) == 180 and all(r.value == value[r.comp_pin] for r in rows)
+
+
+def test_hot_joins_are_split_only_inside(spark):
+    name = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), hot_joins_split(spark):
+        assert spark.conf.get(name) == "true"
+        1 / 0
+    assert spark.conf.get(name) == before
