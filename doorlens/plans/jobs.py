@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from doorlens.operators import documents, filters, history, imagery, outcomes, permits, publish, report, resolve, route, spatial
@@ -676,10 +677,12 @@ def door_features(t: Tables):
         ("days_since_move", "int"), ("mover_strength", "double"), ("mover_lift", "double"), ("rental_modifier", "int"),
         ("adjustment", "double"))}
     doors = t.v_door_score.withColumns(nothing)
-    numbered = evidence_sequence_of(t.sql(_TRAIL)).withColumns({
+    # A feature holds all entries of its door, so they are dealt by door once, and numbered there.
+    own = t.sql(_TRAIL).join(doors.filter("score is not null").select(*DOOR), DOOR, "left_semi")
+    shown = own.withColumns({
+        "seq": (F.row_number().over(Window.partitionBy(*DOOR).orderBy("kind", "ordinal")) - 1).cast("bigint"),
         "reason": F.lit("r"), "source": F.lit(None).cast("string"), "retrieved": F.lit(None).cast("date"),
         "imagery": F.lit(None).cast("string")})
-    shown = numbered.join(doors.filter("score is not null").select(*DOOR), DOOR, "left_semi")
     lines = publish.door_features(doors, shown, drawn(t))
     return lines.select(
         "pams_pin", F.coalesce(F.get_json_object("feature", "$.properties.score").cast("bigint"), F.lit(-1)).alias("score"),
@@ -688,13 +691,6 @@ def door_features(t: Tables):
     )
 
 
-def evidence_sequence_of(trail):
-    from doorlens.operators.ordering import count_below
-
-    rows = trail.withColumns({"one": F.lit(1), "high": F.shiftright("ordinal", 40), "mid": F.shiftright("ordinal", 20)})
-    return count_below(rows, DOOR, ["kind", "high", "mid", "ordinal"], "one", "seq").withColumn("seq", F.col("seq").cast("bigint"))
-
-
 _MANIFEST_DEEDS = DEED_SQL.replace("parcels AS (", "dparcels AS (").replace("FROM parcels p", "FROM dparcels p")
 _COUNTED = ("permits_total", "permits_in_window", "permits_out_of_territory", "permits_unmatched", "permits_matched_municipal")
 

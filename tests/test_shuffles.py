@@ -93,3 +93,9 @@ def test_hot_joins_are_split_only_inside(spark):
         assert spark.conf.get(name) == "true"
         1 / 0
     assert spark.conf.get(name) == before
+
+
+@data
+def test_feature_entries_are_dealt_once_after_permits(planned):
+    """Two dealings make the permits, one brings a door's entries together."""
+    assert dealings(registry.all_queries()["k2_door_features"](planned, SF), "l_orderkey") == 3
