@@ -20,15 +20,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from unicodedata import combining, is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from doorlens.llm.common import WHITE
 from doorlens.operators.ordering import count_below
 from doorlens.session import ensure_checkpoint_dir
 
@@ -37,12 +40,12 @@ CHUNK_IDS = 1 << 14
 LEVEL = 3
 #: Words remembered by an encoder; beyond it they are forgotten, not wrong.
 _MEMORY = 800_000
-#: Of each byte: 1 an ASCII letter, 2 an ASCII sign but the apostrophe, which may belong to what follows.
-_KIND = np.array([1 if 97 <= c <= 122 else 2 if 33 <= c <= 126 and not chr(c).isalnum() and c != 39 else 0 for c in range(256)], np.uint8)
+#: Of each byte: 1 an ASCII letter, 2 an ASCII sign but the apostrophe, which may belong to what follows, 3 ASCII white space.
+_KIND = np.array([1 if 97 <= c <= 122 else 2 if 33 <= c <= 126 and not chr(c).isalnum() and c != 39 else 3 if chr(c) in WHITE else 0 for c in range(256)], np.uint8)
 #: Words of one piece encoded as one text.
 _TOGETHER = 2000
-#: Texts encoded together.
-_TEXTS = 512
+#: Bytes of text encoded together, a text at least.
+_BYTES = 1 << 22
 
 
 #: An ASCII capital and a mark that combines: only its small letter may compose with it, after which case no longer matters.
@@ -51,16 +54,28 @@ _CAPITAL_MARK = re.compile("[A-Z][" + "".join(chr(c) for c in range(0x300, 0x1F0
 
 def _composes(text: str) -> bool:
     """Whether the tokenizer's normal form and small letters depend on their order in this text."""
-    return not text.isascii() and (not is_normalized("NFC", text) or _CAPITAL_MARK.search(text) is not None)
+    try:
+        text.encode("latin-1")  # no mark is that low
+    except UnicodeEncodeError:
+        return not is_normalized("NFC", text) or _CAPITAL_MARK.search(text) is not None
+    return False
 
 
-def _words(text: str) -> list[bytes]:
-    """`text` cut where the tokenizer cuts whatever stands around: at ASCII white space, and before a sign that follows a letter."""
-    data = text.encode("utf-8", "surrogatepass").lower()
-    raw = np.frombuffer(data, np.uint8)
+def _words(texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The texts' words in order and, for each text and the end, how many come before it.
+
+    Texts are cut where the tokenizer cuts whatever stands around: at ASCII white space, and before a sign that follows a letter.
+    """
+    data = [text.encode("utf-8", "surrogatepass") for text in texts]
+    raw = np.frombuffer(b"\n".join([*data, b""]).lower(), np.uint8)
     kind = _KIND[raw]
-    at = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
-    return (np.insert(raw, at, 32).tobytes() if len(at) else data).split()
+    inside = kind != 3
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | (kind[:-1] == 1) & (kind[1:] == 2)
+    kept = raw[inside]
+    bounds = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
+    return words, np.searchsorted(np.flatnonzero(begins), np.cumsum([0, *[len(d) + 1 for d in data]]))
 
 
 def _one_piece(word: str) -> bool:
@@ -103,20 +118,22 @@ class Encoder:
         self.known.update(zip(rest, (np.array(x.ids, np.uint32).tobytes() for x in found)))
 
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text. Words not yet known are encoded in one go for all texts."""
+        """The ids of each text. Words not yet known are encoded in one go for all texts; each distinct word is looked up once."""
         whole = [any(s in text for s in self.special) or _composes(text) for text in texts]
-        split = [None if w else _words(text) for w, text in zip(whole, texts)]
+        words, before = _words(["" if w else text for w, text in zip(whole, texts)])
+        words = words.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > _MEMORY:
             self.known.clear()
-        known = self.known
-        new = set().union(*[words for words in split if words]).difference(known)
-        if new:
-            self._learn(list(new))
-        for text, words in zip(texts, split):
-            if words is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                yield np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            self._learn([w for w, ids in zip(distinct, found) if ids is None])
+            found = [self.known[w] if ids is None else ids for w, ids in zip(distinct, found)]
+        _, ends, data = pa.array(found, pa.large_binary()).take(words.indices).buffers()
+        at = np.frombuffer(ends, np.int64)[before] // 4
+        ids = np.frombuffer(data, np.uint32) if data else np.empty(0, np.uint32)
+        for w, text, lo, hi in zip(whole, texts, at[:-1].tolist(), at[1:].tolist()):
+            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) if w else ids[lo:hi]
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_all([text]))
@@ -145,7 +162,11 @@ def unpack(planes: bytes, ends: list[int], n_ids: int) -> np.ndarray:
 
 
 def _encoded(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int, object, np.ndarray]]:
-    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoder.encode_all(batch.column(2).to_pylist()))
+    """part, doc_id and ids of each row, encoded in runs of about `_BYTES`."""
+    run = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64) // _BYTES
+    for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]):
+        part, key, text = (c.slice(lo, hi - lo).to_pylist() for c in batch.columns)
+        yield from zip(part, key, encoder.encode_all(text))
 
 
 CHUNKS = "part int, chunk long, n_ids int, planes binary, ends array<int>, docs array<struct<doc_id: {id}, n: int, last: boolean>>"
@@ -179,8 +200,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_i
                 [{"part": part, "chunk": chunk, "n_ids": len(ids), "planes": planes, "ends": ends, "docs": pieces}], schema=arrow)
 
         for batch in batches:
-            rows = (x for lo in range(0, batch.num_rows, _TEXTS) for x in _encoded(encoder, batch.slice(lo, _TEXTS)))
-            for part, key, found in rows:  # noqa: B007 (flush reads part)
+            for part, key, found in _encoded(encoder, batch):  # noqa: B007 (flush reads part)
                 ids, at = np.append(found, np.uint32(end_id)), 0
                 while at < len(ids):
                     take = min(chunk_ids - held, len(ids) - at)

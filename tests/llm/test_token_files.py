@@ -99,3 +99,32 @@ def test_every_letter_with_a_mark():
     texts = [f"{a}{chr(m)}" for a in letters for m in range(0x300, 0x345)]
     want = tokenizer.encode_batch(texts, add_special_tokens=False)
     assert [x.tolist() for x in encoder.encode_all(texts)] == [w.ids for w in want]
+
+
+def test_texts_together_equal_each_alone():
+    rng, encoder, tokenizer = random.Random(5), token_files.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    signs = [*" \t\n\x0b\x0c\r", *"aAbz'.#-_4", "\xe9", "́", "œ", "一", "<|endoftext|>"]
+    texts = ["", " ", "a", ".", *["".join(rng.choices(signs, k=rng.randrange(0, 9))) for _ in range(500)], ""]
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [x.tolist() for x in encoder.encode_all(texts)] == want
+    assert [x.tolist() for x in encoder.encode_all(["", "\n"])] == [[], []] and list(encoder.encode_all([])) == []
+
+
+def test_a_word_is_looked_up_once_for_all_texts():
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counting.asked += 1
+            return super().__getitem__(word)
+
+        def get(self, word, default=None):
+            Counting.asked += 1
+            return super().get(word, default)
+
+    encoder = token_files.Encoder(WORDS)
+    encoder.known = Counting()
+    texts = ["one two, " * 300] * 20
+    first = [x.tolist() for x in encoder.encode_all(texts)]
+    Counting.asked = 0
+    assert [x.tolist() for x in encoder.encode_all(texts)] == first and Counting.asked <= 3
