@@ -14,7 +14,7 @@ from doorlens.functions import geo, keys
 from doorlens.operators.filters import routable
 from doorlens.operators.publish import reason_chips
 from doorlens.operators.spatial import within_reach
-from doorlens.session import cut_lineage, land
+from doorlens.session import land
 
 # Fixed values.
 CONTRACT = "v2"
@@ -90,7 +90,7 @@ def promising_cells(state: DataFrame, cells: DataFrame, gone: DataFrame | None,
     widest = cells.groupBy("territory_id").agg(F.max("half_m").alias("half_m"))
     reach = (F.col("budget") - F.col("elapsed")) * per_minute * 1.001 + F.col("half_m") + 1.0
     centres = state.join(widest, "territory_id").withColumns({"reach_m": reach, "lon": F.col("at_lon"), "lat": F.col("at_lat")}).drop("half_m")
-    pairs = within_reach(centres, cells)
+    pairs = within_reach(land(centres, "route-centres"), cells)
     degree = geo.TERRITORY_RADIUS_M * geo.DEGREE
 
     def metres(across: Column, down: Column, lat: Column) -> Column:
@@ -144,7 +144,8 @@ def plan_routes(
     where it joins the two points.
 
     The search is best first over cells: a round looks into those cells only whose best score, at their nearest side, could beat
-    what is sure elsewhere. No table of requests and doors is kept.
+    what is sure elsewhere. No table of requests and doors is kept. What a round brings is read back from files, whose size Spark knows:
+    it is then what a join sends, not the doors.
     """
     networked = walk is not None
     if exclude is not None and "route_id" not in exclude.columns:
@@ -164,7 +165,8 @@ def plan_routes(
     stops = None
     for number in range(1, max_rounds + 1):
         open_ = state.filter(F.col("cap") >= number)
-        legs = promising_cells(open_, cells, _gone(dealt, stops, exclude), networked).join(dealt, ["territory_id", "gx", "gy"])
+        asked = land(promising_cells(open_, cells, _gone(dealt, stops, exclude), networked), "route-asked")
+        legs = asked.join(dealt, ["territory_id", "gx", "gy"])
         for left in (stops, exclude):
             if left is not None:
                 legs = legs.join(left.select("route_id", "pams_pin"), ["route_id", "pams_pin"], "left_anti")
@@ -181,13 +183,13 @@ def plan_routes(
         )
         merit = F.when(F.col("walk_minutes") == 0.0, F.lit(float("-inf"))).otherwise(-F.col("score") / F.col("walk_minutes"))
         picked = ["pams_pin", "score", "lon", "lat", "walk_minutes"] + (["node", "frontage_m"] if networked else [])
-        chosen = cut_lineage(
+        chosen = land(
             legs.groupBy(*keys_, "elapsed", "budget", "cap").agg(
                 F.min_by(F.struct(*picked), F.struct(merit.alias("m"), F.col("pams_pin").alias("p"))).alias("c")
             ).select(
                 *keys_, F.lit(number).alias("stop"), "c.*", (F.col("elapsed") + F.col("c.walk_minutes")).alias("cumulative_minutes"),
                 "budget", "cap",
-            )
+            ), "route-stops"
         )
         if chosen.isEmpty():
             break

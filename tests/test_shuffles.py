@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from doorlens.operators import spatial
+from doorlens.operators import route, spatial
 from doorlens.plans import registry
 from doorlens.plans.analogs import SPARK_VIEWS, VIEWS, Tables, with_views
 from doorlens.scoring import facts
@@ -99,3 +99,41 @@ def test_hot_joins_are_split_only_inside(spark):
 def test_feature_entries_are_dealt_once_after_permits(planned):
     """Two dealings make the permits, one brings a door's entries together."""
     assert dealings(registry.all_queries()["k2_door_features"](planned, SF), "l_orderkey") == 3
+
+
+@pytest.fixture
+def sending(planned):
+    """Small sides are sent, and a plan shows whole paths."""
+    planned.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    planned.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    yield planned
+    planned.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def sent_from(df, of):
+    """Whether the plan broadcasts rows of the file whose path holds `of`, not counting what is summed up before."""
+    def down(node, inside):
+        inside = (inside or node.nodeName() == "BroadcastExchange") and "Aggregate" not in node.nodeName()
+        children = node.children()
+        if children.isEmpty():
+            return inside and of in node.toString()
+        return any(down(children.apply(i), inside) for i in range(children.size()))
+
+    return down(df._jdf.queryExecution().executedPlan(), False)
+
+
+def test_a_round_of_routes_sends_neither_doors_nor_cells(sending, monkeypatch, tmp_path):
+    """Doors are under the broadcast limit here, so they would be sent in every round if Spark took what a round brings for larger."""
+    doors = sending.range(5000).selectExpr("id % 2 AS territory_id", "concat('d', id) AS pams_pin", "id % 101 AS score",
+                                          "-74.0D + id % 23 / 10000D AS lon", "41.0D + id % 29 / 10000D AS lat")
+    requests = sending.createDataFrame([(1, 0, -74.0, 41.0, 1.0, 2), (2, 1, -73.999, 41.001, 1.0, 2)],
+                                       "route_id long, territory_id long, lon double, lat double, hours double, max_doors int")
+    requests.write.parquet(str(tmp_path / "requests"))
+    plans = []
+    for name in ("land", "cut_lineage"):
+        if write := getattr(route, name, None):
+            monkeypatch.setattr(route, name, lambda df, *to, write=write: plans.append(df) or write(df, *to))
+    stops = route.plan_routes(sending.read.parquet(str(tmp_path / "requests")), doors)
+    assert sorted((r.route_id, r.stop) for r in stops.collect()) == [(i, n) for i in (1, 2) for n in (1, 2)]
+    assert len(plans) > 3
+    assert [name for df in plans for name in ("route-doors", "route-cells") if sent_from(df, name)] == []
