@@ -15,6 +15,7 @@ each, and a second walk fills these with rows of other labels.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,7 +112,8 @@ PACKED = "pack long, width int, keys binary, ids binary, labels binary, q binary
 
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
-    q = _matrix(table.column("q").combine_chunks()).astype(np.int32)
+    q = _matrix(table.column("q").combine_chunks())
+    q = q.astype(np.int16 if np.abs(q).max(initial=0) < 1 << 15 else np.int32)
     packed = [np.ascontiguousarray(table.column(c).to_numpy().astype(np.int64)).tobytes() for c in ("key", "vec_id", "label")]
     windows = b""
     if "windows" in table.column_names:
@@ -206,7 +208,9 @@ class Walk:
 
 def _unpacked(values: dict, prefix: str):
     ids, keys, labels = (np.frombuffer(values[prefix + c], np.int64) for c in ("ids", "keys", "labels"))
-    return ids, keys, labels, np.frombuffer(values[prefix + "q"], np.int32).reshape(len(ids), values[prefix + "width"]).astype(np.int64)
+    shape = len(ids), values[prefix + "width"]
+    kind = np.int16 if len(values[prefix + "q"]) == 2 * math.prod(shape) else np.int32
+    return ids, keys, labels, np.frombuffer(values[prefix + "q"], kind).reshape(shape).astype(np.int64)
 
 
 def _walked(same_label: bool, want: int):
@@ -247,11 +251,26 @@ def _walked(same_label: bool, want: int):
     return work
 
 
-def _best(groups: DataFrame, blocks: DataFrame, stripes: int, same_label: bool, want: int) -> DataFrame:
+def grid(parts: int, rows: int, anchors: int, blocks: int) -> tuple[int, int]:
+    """Into how many stripes the blocks and into how many bands the groups are dealt, so that stripes times bands make up to `parts` tasks.
+
+    Groups go to every stripe and blocks to every band; at this ratio both send as much.
+    """
+    bands = max(1, round(math.sqrt(parts * anchors / max(1, rows))))
+    return max(1, min(blocks, parts // bands)), bands
+
+
+def _best(groups: DataFrame, blocks: DataFrame, stripes: int, bands: int, same_label: bool, want: int) -> DataFrame:
     """(anchor, low, high, score, id, key, place): the best rows per anchor and window over all blocks."""
-    left = groups.select(*[F.col(c).alias(f"g_{c}") for c in groups.columns], F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    right = blocks.select(*[F.col(c).alias(f"b_{c}") for c in blocks.columns], F.pmod(F.xxhash64("pack"), F.lit(stripes)).cast("int").alias("stripe"))
-    found = left.join(right, "stripe").mapInArrow(_walked(same_label, want), "anchor long, low long, high long, score long, id long, key long")
+
+    def dealt(packs: DataFrame, prefix: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        named = packs.select(*[F.col(c).alias(prefix + c) for c in packs.columns], F.pmod(F.xxhash64("pack"), F.lit(n_own)).cast("int").alias(own))
+        return named.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    left = dealt(groups, "g_", "band", bands, "stripe", stripes)
+    # A pack is one row of up to some MB and estimates know nothing of it, so neither side may go through the driver by its estimate.
+    right = dealt(blocks, "b_", "stripe", stripes, "band", bands).hint("merge")
+    found = left.join(right, ["band", "stripe"]).mapInArrow(_walked(same_label, want), "anchor long, low long, high long, score long, id long, key long")
     return top_per_key(found, ["anchor", "low", "high"], [F.col("score").desc(), F.col("id"), F.col("key")], want, "key", "place")
 
 
@@ -271,16 +290,16 @@ def mine(
     centres = fit_directions([r.q for r in sample], cells)
     blocks = land(packed_rows(_celled(rows, centres), block).groupBy("pack").applyInArrow(_pack, PACKED), "blocks")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stripes = max(1, min(blocks.count(), parts))
     grouped = land(packed_rows(_celled(anchors, centres), members), "anchors")
+    stripes, bands = grid(parts, rows.count(), grouped.count(), blocks.count())
     groups = grouped.groupBy("pack").applyInArrow(_pack, PACKED)
-    positives = land(_best(groups, blocks, stripes, True, n_positives), "positives")
+    positives = land(_best(groups, blocks, stripes, bands, True, n_positives), "positives")
     # At most `n_positives` windows an anchor; equal scores share one.
     exact = F.col("score").cast("decimal(20,0)")
     positives = positives.withColumns({"low": F.ceil(exact * low / 100).cast("long"), "high": F.floor(exact * high / 100).cast("long")})
     asked = positives.filter("low <= high").groupBy("anchor").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("windows"))
     asking = grouped.join(asked.withColumnRenamed("anchor", "key"), "key").select(*grouped.columns, "windows")
-    negatives = _best(asking.groupBy("pack").applyInArrow(_pack, PACKED), blocks, stripes, False, n_negatives)
+    negatives = _best(asking.groupBy("pack").applyInArrow(_pack, PACKED), blocks, stripes, bands, False, n_negatives)
     pairs = positives.select("anchor", "low", "high", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     names = anchors.select(F.col("key").alias("anchor"), F.col("vec_id").alias("anchor_id"))
     return pairs.join(negatives, ["anchor", "low", "high"]).join(names, "anchor").select(

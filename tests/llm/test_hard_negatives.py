@@ -90,3 +90,22 @@ def test_a_walk_stops_early_and_loses_nothing():
     for m in range(20):
         order = np.lexsort((ids, -exact[m]))[:5]
         assert list(found[owner == m]) == list(order) and list(score[owner == m]) == list(exact[m][order])
+
+
+def test_packs_are_dealt_and_not_sent_through_the_driver(spark):
+    rows = land(hard_negatives.vectors(spark.createDataFrame(table(), SCHEMA)), "vectors")
+    packs = land(hard_negatives.packed_rows(rows.withColumn("cell", F.lit(0)), 100).groupBy("pack").applyInArrow(
+        hard_negatives._pack, hard_negatives.PACKED), "packs")
+    plan = hard_negatives._best(packs, packs, 4, 1, True, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_every_group_meets_every_block_once_on_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "grid", lambda *_: (3, 2))
+    rows = table()
+    assert sorted(map(tuple, mined(spark, rows, block=40, members=3).collect())) == plain(rows)
+
+
+def test_grid_balances_what_both_sides_send():
+    assert hard_negatives.grid(100, 10_000, 100, 500) == (100, 1) and hard_negatives.grid(100, 10_000, 100, 7) == (7, 1)
+    assert hard_negatives.grid(10_000, 10 ** 8, 10 ** 6, 10 ** 5) == (1000, 10) and hard_negatives.grid(8, 0, 0, 0) == (1, 1)
