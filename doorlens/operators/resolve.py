@@ -336,12 +336,14 @@ def find_doors(requests: DataFrame, doors: DataFrame, address: str = "address")
     return asked.join(address_index(doors).withColumnRenamed("pams_pin", "found_pin"), "address_key", "left")
 
 
-def doors_per_street(doors: DataFrame, min_doors: int = 4, limit: int = 8, keys_=("territory_id",)) -> DataFrame:
-    """The streets with the most doors per territory, by count then name."""
+def doors_per_street(
+    doors: DataFrame, min_doors: int = 4, limit: int = 8, keys_=("territory_id",), before_unit: bool = False
+) -> DataFrame:
+    """The streets with the most doors per territory, by count then name; `before_unit` as in `keys.map_street`."""
     from doorlens.operators.ordering import top_per_key
 
     counts = (
-        doors.withColumn("street", keys.map_street(F.col("situs"))).filter("street is not null")
+        doors.withColumn("street", keys.map_street(F.col("situs"), before_unit)).filter("street is not null")
         .groupBy(*keys_, "street").agg(F.count(F.lit(1)).alias("doors")).filter(F.col("doors") >= min_doors)
     )
     return top_per_key(counts, list(keys_), [F.col("doors").desc(), F.col("street")], limit, "street")

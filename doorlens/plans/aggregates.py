@@ -408,6 +408,6 @@ _STREET_OF = """CASE k % 8 WHEN 0 THEN 'OAK' WHEN 1 THEN 'ELM' WHEN 2 THEN 'MAIN
         SELECT territory_id, {_STREET_OF} AS street, count(*) AS doors FROM v_situs GROUP BY 1, 2) AS c WHERE doors >= 4) AS r
     WHERE n <= 8""")
 def doors_per_street(t: Tables):
-    return resolve.doors_per_street(t.v_situs).select("territory_id", "street", "doors")
+    return resolve.doors_per_street(t.v_situs, before_unit=True).select("territory_id", "street", "doors")
 
 
